@@ -25,7 +25,7 @@ ENTRIES, ROWS, REPEATS = 1, 0, 2
 #: A reference that asks for no answer: its key repeats inside its own chunk, which is settled there.
 SETTLED = np.uint32(0xFFFFFFFF)
 #: Positions of a chunk, at about which it is sent.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 PACKED = "bucket long, chunk long, kind int, keys binary, refs binary"
 
 
