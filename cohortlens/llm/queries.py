@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, decontaminate, ngram_join, quality, substring
+from cohortlens.llm import bpe, decontaminate, ngram_join, quality, secrets, substring
 
 
 def vocabulary(name: str) -> str:
@@ -51,12 +51,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf_dir, "documents"), secrets.trained())
+    return found.select("doc_id", "kind", "start", "end", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 9).alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: Words without upper-case A-Z, as SQL.
