@@ -12,10 +12,11 @@ overlap). The larger of two linked sets has an overlap of at least t of its size
    a pair of frequent ones. Candidates are verified on the whole sets.
 
 Links decide components only, so a large group of copies need not become all its pairs. Two early rounds take the first
-few tokens of each prefix as signatures and verify one member of a signature against the others. Then frequencies are
-counted anew as the number of *components* that hold a token: what occurs in one component only can't link it to another,
-and a document with too few other tokens is done. The last round indexes every signature of the rest and verifies every
-pair of different components, so no link between components is missed.
+few tokens of each prefix as signatures and verify the most central member of a signature against the others. Then
+frequencies are counted anew as the number of *components* that hold a token: what occurs in one component only can't
+link it to another, so a document with too few other tokens is done. The last round indexes every signature of the rest,
+each with the most that can be shared from its place in the order on, and verifies every pair of different components that
+this bound leaves. A linked pair always passes under its first common tokens, so no link between components is missed.
 
 Results for odd input: null or empty text has no tokens and stays alone; fewer words than n are one token; a null id has
 component null and links nothing; repeated rows are one class; rows of one id with different texts are judged apart.
@@ -24,6 +25,7 @@ component null and links nothing; repeated rows are one class; rows of one id wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -130,28 +132,30 @@ def _entries(keys: np.ndarray, refs: list[np.ndarray], buckets: int, chunk: int)
     return [(int(bucket[a]), chunk, ENTRIES, keys[a:b].tobytes(), b"".join(r[a:b].tobytes() for r in refs)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a set and whether each is one of it as the smaller set. ``spread``: components that hold a token."""
+def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set; whether each is one of it as the smaller set; and the most that it can share with a set that
+    has its first common tokens under that signature. ``spread``: components that hold a token."""
     n = len(tokens)
     shared = spread > 1
     m = int(shared.sum())
     large = min(m, m - least_overlap(n, percent) + 2)
     if m < least_overlap(n, percent):
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     small = m - least_overlap(n, percent, small=True) + 2 if m >= least_overlap(n, percent, small=True) else 0
     tokens, spread = tokens[shared], spread[shared]
     order = np.lexsort((tokens, spread))[:large]
     tokens, spread = tokens[order], spread[order]
     if few is not None:
-        return splitmix(tokens[:few]), np.ones(min(few, large), bool)
+        return splitmix(tokens[:few]), np.ones(min(few, large), bool), np.full(min(few, large), m)
     rare = int((spread <= RARE).sum())
-    keys, is_small = [splitmix(tokens[:rare])], [np.arange(rare) < small]
+    keys, is_small, left = [splitmix(tokens[:rare])], [np.arange(rare) < small], [m - np.arange(rare)]
     if large - rare > 1:
         i, j = np.triu_indices(large - rare, 1)
         rest = tokens[rare:]
         keys.append(splitmix(rest[i] * np.uint64(0x9E3779B97F4A7C15) + splitmix(rest[j])))
         is_small.append(j + rare < small)
-    return np.concatenate(keys), np.concatenate(is_small)
+        left.append(m + 1 - rare - j)
+    return np.concatenate(keys), np.concatenate(is_small), np.concatenate(left)
 
 
 def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame:
@@ -220,24 +224,25 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
             count = np.ones(len(unique), np.int64)
             count[told[:, 0]] = told[:, 1]
             count = count[inverse]
-            ends, keys, small = np.cumsum(table[:, 2]), [], []
+            ends, keys, small, left = np.cumsum(table[:, 2]), [], [], []
             for b, n in zip(ends, table[:, 2], strict=True):
-                k, s = signatures(tokens[b - n : b], count[b - n : b], percent, few)
+                k, s, most = signatures(tokens[b - n : b], count[b - n : b], percent, few)
                 keys.append(k)
                 small.append(s)
+                left.append(most)
             row = np.repeat(np.arange(len(table)), [len(k) for k in keys])
-            keys, small = np.concatenate(keys), np.concatenate(small)
-            rk, root, size = (table[row, c] for c in range(3))
-            order = np.lexsort((rk, keys))
-            keys, rk, root, size = keys[order], rk[order], root[order], (size * 2 + small)[order]
+            keys = np.concatenate(keys)
+            rows = Rows(*(table[row, c] for c in range(3)), np.concatenate(left), np.concatenate(small))
+            order = np.lexsort((rows.rk, rows.n - rows.left, keys))
+            keys, rows = keys[order], rows.take(order)
             if few is not None and len(keys):  # one member leaves the chunk, the others are paired with it here
                 first = np.ones(len(keys), bool)
                 first[1:] = keys[1:] != keys[:-1]
-                pairs = _star(first, rk, root, size >> 1, percent)
+                pairs = _star(first, rows, percent)
                 if len(pairs):
                     yield from _batches([(chunk % buckets, chunk, REPEATS, None, pairs.tobytes())])
-                keys, rk, root, size = keys[first], rk[first], root[first], size[first]
-            yield from _batches(_entries(keys, [rk.astype("<i8"), root.astype("<i8"), size.astype("<i8")], buckets, chunk))
+                keys, rows = keys[first], rows.take(first)
+            yield from _batches(_entries(keys, [c.astype("<i8") for c in rows.columns()], buckets, chunk))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, "bucket"):
@@ -245,17 +250,17 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
             rows = [r for r in rows if r[2] == ENTRIES]
             if rows:
                 keys = np.frombuffer(b"".join(r[3] for r in rows), "<u8")
-                rk, root, size = (np.concatenate([np.frombuffer(r[4], "<i8").reshape(3, -1)[c] for r in rows]) for c in range(3))
-                order = np.lexsort((rk, size >> 1, keys) if few is None else (rk, keys))
-                keys, rk, root, size = keys[order], rk[order], root[order], size[order]
+                table = Rows(*(np.concatenate([np.frombuffer(r[4], "<i8").reshape(5, -1)[c] for r in rows]) for c in range(5)))
+                order = np.lexsort((table.rk, table.n, keys) if few is None else (table.rk, table.n - table.left, keys))
+                keys, table = keys[order], table.take(order)
                 first = np.ones(len(keys), bool)
                 first[1:] = keys[1:] != keys[:-1]
                 if few is not None:
-                    found.append(_star(first, rk, root, size >> 1, percent))
+                    found.append(_star(first, table, percent))
                 else:
-                    found += _all_pairs(np.flatnonzero(first), rk, root, size, percent)
+                    found += _all_pairs(np.flatnonzero(first), table, percent)
             for part in found:
-                part = np.unique(part, axis=0)
+                part = np.unique(np.sort(part, axis=1), axis=0)
                 for a in range(0, len(part), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 100_000, c], pa.int64()) for c in (0, 1)], ["a", "b"])
 
@@ -264,29 +269,53 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
     return out.repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind").mapInArrow(pair, "a long, b long").distinct()
 
 
-def _star(first: np.ndarray, rk: np.ndarray, root: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of the first row of each run with the others, of different roots and fitting sizes."""
-    head = np.flatnonzero(first)[np.cumsum(first) - 1]
-    fit = 100 * np.minimum(size, size[head]) >= percent * np.maximum(size, size[head])
-    keep = ~first & (root != root[head]) & (rk != rk[head]) & fit
-    return np.unique(np.column_stack([rk[head[keep]], rk[keep]]), axis=0).astype("<i8").reshape(-1, 2)
+@dataclass
+class Rows:
+    """Rows under a signature: name, component, set size, the most that the row can share from there on, and whether the
+    signature is one of the row as the smaller set."""
 
+    rk: np.ndarray
+    root: np.ndarray
+    n: np.ndarray
+    left: np.ndarray
+    small: np.ndarray
 
-def _all_pairs(starts: np.ndarray, rk: np.ndarray, root: np.ndarray, size: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Pairs inside each run (ascending by size): one as the smaller set, and a larger one of another root."""
-    if not len(rk):
+    def columns(self) -> list[np.ndarray]:
+        return [self.rk, self.root, self.n, self.left, self.small]
+
+    def take(self, where) -> Rows:
+        return Rows(*(c[where] for c in self.columns()))
+
+    def may_link(self, i, j, percent: int) -> np.ndarray:
+        """Whether rows i and j are of different components and can reach the overlap that their sizes ask for."""
+        n, m = self.n[i] + self.n[j], np.minimum(self.left[i], self.left[j])
+        fit = 100 * np.minimum(self.n[i], self.n[j]) >= percent * np.maximum(self.n[i], self.n[j])
+        return (self.root[i] != self.root[j]) & fit & ((100 + percent) * m >= percent * n)
+
+
+def _star(first: np.ndarray, rows: Rows, percent: int) -> np.ndarray:
+    """Pairs of the first row of each run with the others that it may link to. Runs begin with the row that has the
+    fewest tokens of its own: the most central one of a group of copies."""
+    head, own = np.flatnonzero(first)[np.cumsum(first) - 1], np.arange(len(first))
+    keep = ~first & rows.may_link(head, own, percent)
+    return np.unique(np.column_stack([rows.rk[head[keep]], rows.rk[keep]]), axis=0).astype("<i8").reshape(-1, 2)
+
+
+def _all_pairs(starts: np.ndarray, rows: Rows, percent: int) -> list[np.ndarray]:
+    """Pairs inside each run (ascending by size) that may link: one as the smaller set, and one not smaller."""
+    if not len(rows.rk):
         return []
-    ends = np.append(starts[1:], len(rk))
-    differ = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    ends = np.append(starts[1:], len(rows.rk))
+    differ = np.minimum.reduceat(rows.root, starts) != np.maximum.reduceat(rows.root, starts)
     found, held, out = [], 0, []
     for a, b in zip(starts[differ], ends[differ], strict=True):
-        n = size[a:b] >> 1
-        for i in np.flatnonzero(size[a:b] & 1):
-            stop = np.searchsorted(n, 100 * n[i] // percent, side="right")
-            other = np.arange(np.searchsorted(n, n[i]), stop)
-            other = other[(root[a:b][other] != root[a + i]) & ((other > i) | (n[other] > n[i]) | (size[a:b][other] & 1 == 0))]
+        n = rows.n[a:b]
+        for i in np.flatnonzero(rows.small[a:b]):
+            other = np.arange(np.searchsorted(n, n[i]), np.searchsorted(n, 100 * n[i] // percent, side="right"))
+            other = other[(other > i) | (rows.small[a:b][other] == 0)] + a
+            other = other[rows.may_link(np.full(len(other), a + i), other, percent)]
             if len(other):
-                found.append(np.column_stack([np.full(len(other), rk[a + i]), rk[a:b][other]]))
+                found.append(np.column_stack([np.full(len(other), rows.rk[a + i]), rows.rk[other]]))
                 held += len(other)
         if held > 1_000_000:
             out.append(np.unique(np.concatenate(found), axis=0))
