@@ -79,7 +79,8 @@ def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """dk, rk and marks: starts of the windows of each row whose words also start anywhere else."""
     rows = named(df, id_col, text_col)
     anchors = repeated(rows, anchor_kernel(window, period, cover), key_bytes=4)
-    near = rows.join(anchors.groupBy("dk", "rk").agg(F.first("marks").alias("marks")), ["dk", "rk"]).select("dk", "rk", "text", "marks")
+    # The id is carried along so that this exchange of the texts and the one of remove_repeats are the same, done once.
+    near = rows.join(anchors.groupBy("dk", "rk").agg(F.first("marks").alias("marks")), ["dk", "rk"]).select("dk", "rk", "doc_id", "text", "marks")
     found = repeated(near, window_kernel(window, period))
     return found.groupBy("dk", "rk").agg(F.first("marks").alias("marks"))
 
