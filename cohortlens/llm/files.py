@@ -19,7 +19,7 @@ class Committed:
         self.system, path = opened(folder)
         self.system.create_dir(path, recursive=True)
         self.final, self.temporary = f"{path}/{name}", f"{path}/_{name}.{uuid.uuid4().hex}"
-        self.stream = self.system.open_output_stream(self.temporary)
+        self.stream = self.system.open_output_stream(self.temporary, compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -39,5 +39,5 @@ def put(folder: str, name: str, data: bytes) -> None:
 
 def get(folder: str, name: str) -> bytes:
     system, path = opened(folder)
-    with system.open_input_stream(f"{path}/{name}") as stream:
+    with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
         return stream.read()

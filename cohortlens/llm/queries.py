@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, decontaminate, ngram_join, quality, secrets, substring, tokenfiles
+from cohortlens.llm import ann, bpe, decontaminate, ngram_join, quality, secrets, substring, tokenfiles, warc
 from cohortlens.storage import new_path
 
 
@@ -47,6 +47,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), folder)
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_nearest": op8_nearest,
     "op9_substring_dedup": op9_substring_dedup,
@@ -104,4 +111,14 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN a USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (SELECT page_id, html, strlen(html) AS payload_bytes FROM p),
+m AS (SELECT page_id, html, payload_bytes, max(page_id) OVER (PARTITION BY html) AS last_id FROM s)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND last_id <> page_id THEN last_id END AS refers_to
+FROM m
+"""
+
+SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_substring_dedup": OP9_SQL}
