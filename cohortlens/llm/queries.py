@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, decontaminate, ngram_join, quality, secrets, substring, tokenfiles, warc
+from cohortlens.llm import ann, bpe, decontaminate, html, ngram_join, quality, secrets, substring, tokenfiles, warc
 from cohortlens.storage import new_path
 
 
@@ -47,6 +47,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), folder)
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_html_text": op5_html_text,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_nearest": op8_nearest,
