@@ -1,6 +1,8 @@
-"""Registry of the library's queries and their SQL."""
+"""All registered queries of the library, by name, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from cohortlens.plans import evaluation
+from cohortlens.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "evaluation"]
