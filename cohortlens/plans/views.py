@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import hashed
@@ -45,25 +45,15 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _slot_counts(text: Column) -> list[Column]:
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-    slots = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % 64)
-    return [slots]
-
-
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, hash): a 64-bit sketch of each document's tokens, as a long; and source, group and split as in the manifest."""
+    """(path, hash): a 64-bit sketch of each document's tokens as a long. A token belongs to one of 64 slots; bit s is set if
+    slot s holds more tokens than the median slot. Slots 16b to 16b + 15 are band b, the first in its top bit."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    (slots,) = _slot_counts(F.col("text"))
-    counts = rows.select("path", F.explode_outer(slots).alias("slot")).groupBy("path", "slot").agg(F.count("slot").alias("n"))
-    per = counts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "n")))).alias("m"))  # 64 entries at most
-    full = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0)))
-    per = per.select("path", full.alias("n"))
-    ordered = F.array_sort("n")
-    twice_median = F.element_at(ordered, 32) + F.element_at(ordered, 33)
-    bits = F.transform(F.col("n"), lambda n, i: F.when(2 * n > twice_median, F.expr("bigint(1)")).otherwise(F.lit(0)).cast("bigint"))
-    # slot s is bit s % 16 of band s / 16
-    bands = [F.aggregate(F.slice(bits, 16 * b + 1, 16), F.lit(0).cast("bigint"), lambda a, x: a * 2 + x) for b in range(4)]
-    joined = per.select("path", *(c.alias(f"band{b}") for b, c in enumerate(bands)))
-    whole = F.shiftleft("band0", 48).bitwiseOR(F.shiftleft("band1", 32)).bitwiseOR(F.shiftleft("band2", 16)).bitwiseOR(F.col("band3"))
-    return joined.select("path", whole.alias("hash"))
+    tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")
+    slots = rows.select("path", F.explode(tokens).alias("t")).select("path", (F.conv(F.substring(F.md5("t"), 1, 4), 16, 10).cast("int") % 64).alias("slot"), F.lit(1).alias("n"))
+    zeros = rows.select("path", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"), F.lit(0).alias("n"))
+    counts = slots.unionByName(zeros).groupBy("path", "slot").agg(F.sum("n").alias("n"))
+    per = counts.groupBy("path").agg(F.collect_list(F.struct("slot", "n")).alias("slots"), F.expr("percentile(n, 0.5)").alias("median"))  # 64 slots
+    over = F.filter("slots", lambda s: s["n"] > F.col("median"))
+    place = lambda s: (63 - s["slot"]).cast("int")
+    return per.select("path", F.aggregate(over, F.lit(0).cast("bigint"), lambda a, s: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place(s)))).alias("hash"))
