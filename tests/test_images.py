@@ -1,0 +1,139 @@
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.operators import images
+
+
+def png(array):
+    """A PNG file of a gray or RGB array."""
+    height, width = array.shape[:2]
+    kind = 0 if array.ndim == 2 else 2
+    raw = b"".join(b"\0" + row.tobytes() for row in array.astype(np.uint8))
+
+    def chunk(name, data):
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def speckle(height=100, width=120, seed=0):
+    return np.repeat(np.random.default_rng(seed).integers(20, 120, (height, width, 1)), 3, axis=2).astype(np.uint8)
+
+
+def test_components():
+    mask = np.array([[1, 0, 1, 1], [1, 0, 0, 1], [1, 1, 0, 0], [0, 0, 1, 0], [1, 1, 1, 0]], bool)
+    labels, n = images.components(mask)
+    assert n == 3 and labels[0, 0] == labels[2, 1] == 1 and labels[0, 2] == labels[1, 3] == 2 and labels[3, 2] == labels[4, 0] == 3
+    ring = np.ones((5, 5), bool)
+    ring[1:4, 1:4] = False
+    assert images.components(ring)[1] == 1
+
+
+def test_features_of_fill():
+    rgb = speckle()
+    rgb[:20] = 255
+    got = images.features(rgb)
+    assert got["white_top"] == 20 and got["white_bottom"] == 0 and got["white_frac"] == pytest.approx(0.2)
+    assert got["white_touch_top"] and got["white_touch_left"] and not got["white_touch_bottom"] and got["black_frac"] == 0
+    rgb[50:52, 50:52] = 255  # small and inside
+    assert images.features(rgb)["white_frac"] == pytest.approx(0.2)
+
+
+def test_white_fill_and_repair():
+    rgb = speckle()
+    assert not images.white_fill(rgb).any()
+    assert (images.redrawn(rgb, images.white_fill(rgb)) == rgb).all()
+    rgb[:20], rgb[20] = 255, 200
+    fill = images.white_fill(rgb)
+    assert fill[:21].all() and not fill[22:].any()
+    out = images.redrawn(rgb, fill)
+    assert out[:21].max() < 150 and (out[30:] == rgb[30:]).all()
+    rgb[:80] = 255
+    assert not images.white_fill(rgb).any()
+
+
+def test_padding_modes():
+    rgb = speckle(40, 80)
+    assert (images.preprocessed(rgb, images.Scaling(32, padding="fill_aware")) == images.preprocessed(rgb, images.Scaling(32, padding="median"))).all()
+    black = images.preprocessed(rgb, images.Scaling(32))
+    assert black.shape == (32, 32, 3) and black.dtype == np.float32 and (black[:8] == 0).all()
+    assert (images.preprocessed(np.full((8, 8, 3), 7, np.uint8), images.Scaling(4)) == 0).all()
+    with pytest.raises(ValueError):
+        images.Scaling(padding="other")
+
+
+def test_geometry_and_masses():
+    assert images.box(400, 200, 64) == (0, 16, 64, 32)
+    content = images.content_mask(400, 200, 64)
+    assert content.sum() == 64 * 32
+    top = np.zeros((4, 4), bool)
+    top[:2] = True
+    assert images.mass_inside(np.ones((4, 4)), top) == 0.5 and images.mass_inside(np.zeros((4, 4)), top) is None
+    assert images.plausible(top, np.ones((4, 4), bool)) and not images.plausible(np.ones((4, 4), bool), np.ones((4, 4), bool))
+
+
+def test_otsu_splits_two_modes():
+    values = np.concatenate([np.full(100, 0.2), np.full(100, 0.8)])
+    assert 0.19 < images.otsu(values) < 0.8
+
+
+def test_retina_band():
+    rnd = np.random.default_rng(1)
+    image = rnd.uniform(0, 0.1, (96, 96))
+    image[40:60] = 0.5 + rnd.uniform(0, 0.1, (20, 96))
+    image[54:58] = 0.95
+    content = np.ones((96, 96), bool)
+    band = images.retina_band(image, content)
+    assert band[45:55].all() and not band[:30].any() and not band[75:].any()
+    assert images.plausible(band, content)
+    assert not images.retina_band(image, np.zeros_like(content)).any()
+    with pytest.raises(ValueError):
+        images.retina_band(image, content[:4])
+
+
+def test_wedge_fill():
+    rnd = np.random.default_rng(2)
+    image, content = rnd.uniform(0.2, 0.8, (64, 64)), np.ones((64, 64), bool)
+    assert not images.wedge_fill(image, content).any()
+    image[:8] = 1.0
+    fill = images.wedge_fill(image, content)
+    assert fill[:8].all() and not fill[12:].any()
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    root = tmp_path_factory.mktemp("images")
+    gray = np.arange(32, dtype=np.uint8).reshape(4, 8)
+    for name, data in {"a.png": png(gray), "b.png": png(gray + 1), "c.png": png(speckle()), "d.png": png(speckle()), "bad.png": b"nothing"}.items():
+        (root / name).write_bytes(data)
+    return str(root)
+
+
+def test_decoding_and_profiles(spark, folder):
+    found = images.decoded(spark, folder)
+    assert found.where("width < 0").count() == 1
+    rows = {r.origin.rsplit("/", 1)[1]: r for r in images.image_profiles(found).collect()}
+    assert set(rows) == {"a.png", "b.png", "c.png", "d.png"}
+    assert (rows["a.png"].width, rows["a.png"].height, rows["a.png"].mode) == (8, 4, "L")
+    assert rows["c.png"].digest == rows["d.png"].digest != rows["a.png"].digest
+    assert rows["c.png"].hash == rows["d.png"].hash and rows["a.png"].mean == pytest.approx(15.5)
+    assert images.image_features(found).count() == 4
+
+
+def test_channel_moments(spark):
+    parts = [dict(zip(("n", "s0", "s1", "s2", "q0", "q1", "q2"), images.channel_sums(np.full((1, 1, 3), v)).tolist(), strict=True)) for v in (0.0, 1.0)]
+    got = images.channel_statistics(spark.createDataFrame(parts)).collect()
+    assert [(r["mean"], r["std"]) for r in got] == [(0.5, 0.5)] * 3
+
+
+def test_normalisation_and_overlays(spark, folder):
+    found = images.decoded(spark, folder)
+    assert images.normalisation(found, images.Scaling(16)).count() == 3
+    maps = images.overlay_maps(found, bright=10).where("width = 8").orderBy("y", "x").collect()
+    assert len(maps) == 32 and maps[0].frequency == 0 and maps[9].frequency == 0.5 and maps[31].frequency == 1
+    assert all(r["std"] == pytest.approx(0.5, abs=0.01) for r in maps)
+    assert {r.has_bar for r in images.scale_bars(found.where(F.col("width") == 8), 0, 4, 0, 8, 10, 20).collect()} == {True}
