@@ -24,8 +24,9 @@ component null and links nothing; repeated rows are one class; rows of one id wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ RARE = 48
 #: Signatures of a document in an early round, and the number of such rounds.
 FEW, EARLY = 8, 2
 EXTEND = 20
+#: Pairs that a worker holds before it sends them on.
+HELD = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +248,9 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
             yield from _batches(_entries(keys, [c.astype("<i8") for c in rows.columns()], buckets, chunk))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((0, 2), np.int64)
         for _, rows in _runs(batches, "bucket"):
-            found = [np.frombuffer(r[4], "<i8").reshape(-1, 2) for r in rows if r[2] == REPEATS]
+            found: Iterable[np.ndarray] = [np.frombuffer(r[4], "<i8").reshape(-1, 2) for r in rows if r[2] == REPEATS]
             rows = [r for r in rows if r[2] == ENTRIES]
             if rows:
                 keys = np.frombuffer(b"".join(r[3] for r in rows), "<u8")
@@ -255,18 +259,34 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
                 keys, table = keys[order], table.take(order)
                 first = np.ones(len(keys), bool)
                 first[1:] = keys[1:] != keys[:-1]
-                if few is not None:
-                    found.append(_star(first, table, percent))
-                else:
-                    found += _all_pairs(np.flatnonzero(first), table, percent)
+                more = _all_pairs(np.flatnonzero(first), table, percent) if few is None else [_star(first, table, percent)]
+                found = chain(found, more)
+            # A pair meets under several signatures: pairs are made distinct here, and again where they are dealt to.
             for part in found:
-                part = np.unique(np.sort(part, axis=1), axis=0)
-                for a in range(0, len(part), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 100_000, c], pa.int64()) for c in (0, 1)], ["a", "b"])
+                kept = _distinct(np.concatenate([kept, part]))
+                if len(kept) > HELD:
+                    yield from _dealt(kept, buckets)
+                    kept = kept[:0]
+        yield from _dealt(kept, buckets)
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, "bucket"):
+            part = _distinct(np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(-1, 2))
+            for a in range(0, len(part), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 100_000, c], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     out = sets.select("rk", "root", "n", "tokens").mapInArrow(gather, PACKED).repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind")
     out = out.mapInArrow(spread, PACKED).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(sign, PACKED)
-    return out.repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind").mapInArrow(pair, "a long, b long").distinct()
+    out = out.repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind").mapInArrow(pair, PACKED)
+    return out.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(distinct, "a long, b long")
+
+
+def _dealt(pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs in packed rows by their hash."""
+    home = (splitmix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64) * np.uint64(3) + np.ascontiguousarray(pairs[:, 1]).view(np.uint64)) % np.uint64(max(1, buckets // 4))).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(home[order])) + 1), len(order)]
+    yield from _batches([(int(home[order[a]]), 0, ENTRIES, None, pairs[order[a:b]].astype("<i8").tobytes()) for a, b in zip(edges, edges[1:], strict=False) if b > a])
 
 
 @dataclass
@@ -298,16 +318,26 @@ def _star(first: np.ndarray, rows: Rows, percent: int) -> np.ndarray:
     fewest tokens of its own: the most central one of a group of copies."""
     head, own = np.flatnonzero(first)[np.cumsum(first) - 1], np.arange(len(first))
     keep = ~first & rows.may_link(head, own, percent)
-    return np.unique(np.column_stack([rows.rk[head[keep]], rows.rk[keep]]), axis=0).astype("<i8").reshape(-1, 2)
+    return _distinct(np.column_stack([rows.rk[head[keep]], rows.rk[keep]])).astype("<i8")
 
 
-def _all_pairs(starts: np.ndarray, rows: Rows, percent: int) -> list[np.ndarray]:
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Distinct pairs, each with the lesser member first."""
+    a, b = pairs.min(1, initial=np.iinfo(np.int64).max), pairs.max(1, initial=np.iinfo(np.int64).min)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.column_stack([a[new], b[new]])
+
+
+def _all_pairs(starts: np.ndarray, rows: Rows, percent: int) -> Iterator[np.ndarray]:
     """Pairs inside each run (ascending by size) that may link: one as the smaller set, and one not smaller."""
     if not len(rows.rk):
-        return []
+        return
     ends = np.append(starts[1:], len(rows.rk))
     differ = np.minimum.reduceat(rows.root, starts) != np.maximum.reduceat(rows.root, starts)
-    found, held, out = [], 0, []
+    found, held = [], 0
     for a, b in zip(starts[differ], ends[differ], strict=True):
         n = rows.n[a:b]
         for i in np.flatnonzero(rows.small[a:b]):
@@ -317,10 +347,11 @@ def _all_pairs(starts: np.ndarray, rows: Rows, percent: int) -> list[np.ndarray]
             if len(other):
                 found.append(np.column_stack([np.full(len(other), rows.rk[a + i]), rows.rk[other]]))
                 held += len(other)
-        if held > 1_000_000:
-            out.append(np.unique(np.concatenate(found), axis=0))
-            found, held = [], 0
-    return [*out, np.concatenate(found)] if found else out
+            if held > HELD:
+                yield np.concatenate(found)
+                found, held = [], 0
+    if found:
+        yield np.concatenate(found)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
