@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.plans import campaigns, evaluation, records
+from cohortlens.plans import campaigns, evaluation, more, records
 from cohortlens.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "campaigns", "evaluation", "records"]
+__all__ = ["QUERIES", "SQL", "campaigns", "evaluation", "more", "records"]
