@@ -164,7 +164,7 @@ def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int |
 def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame:
     """Pairs (a, b) of rows of sets (rk, root, n, tokens) of different roots that may link: of each signature all of
     them, or with ``few`` those of one member with the others, over the first signatures of a row."""
-    buckets = 4 * shuffle_width(sets.sparkSession)
+    buckets = 2 * shuffle_width(sets.sparkSession)
 
     def send(parts: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
         rk, root, n = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("rk", "root", "n"))
@@ -283,7 +283,7 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
 
 def _dealt(pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Pairs in packed rows by their hash."""
-    home = (splitmix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64) * np.uint64(3) + np.ascontiguousarray(pairs[:, 1]).view(np.uint64)) % np.uint64(max(1, buckets // 4))).astype(np.int64)
+    home = (splitmix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64) * np.uint64(3) + np.ascontiguousarray(pairs[:, 1]).view(np.uint64)) % np.uint64(max(1, buckets // 2))).astype(np.int64)
     order = np.argsort(home, kind="stable")
     edges = [0, *(np.flatnonzero(np.diff(home[order])) + 1), len(order)]
     yield from _batches([(int(home[order[a]]), 0, ENTRIES, None, pairs[order[a:b]].astype("<i8").tobytes()) for a, b in zip(edges, edges[1:], strict=False) if b > a])
