@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlens.llm.common import Windows, Words, slices, text_bytes, window_starts
 
@@ -136,6 +137,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     tile = T.StructType([T.StructField(c, T.IntegerType()) for c in ("item_start", "doc_start", "words")])
     out = T.StructType([given.schema[0], T.StructField(item_col, kind), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()), T.StructField("tiles", T.ArrayType(tile))])
 
+    item_type = to_arrow_type(kind)
+
     def scan(rows: list[tuple]) -> DataFrame:
         block = spark.sparkContext.broadcast(Block(rows, least))
 
@@ -151,7 +154,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             found.append((row, own.ids[item], part, len(cut), [dict(zip(("item_start", "doc_start", "words"), t, strict=True)) for t in cut]))
                     if found:
                         rows_, items, parts, counts, cuts = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), pa.array(items), pa.array(parts, pa.float64()), pa.array(counts, pa.int32()), pa.array(cuts, _TILES)], [f.name for f in out.fields])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), pa.array(items, item_type), pa.array(parts, pa.float64()), pa.array(counts, pa.int32()), pa.array(cuts, _TILES)], [f.name for f in out.fields])
 
         return given.mapInArrow(run, out)
 

@@ -99,3 +99,9 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert decontaminate.contaminated(one, bench.limit(0)).collect() == []
     assert decontaminate.decontaminated(one, bench.limit(0)).count() == 1
+
+
+def test_items_without_ids(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f")], "item_id long, text string")
+    rows = decontaminate.contaminated(spark.createDataFrame([(1, "x a b c d e f")], "doc_id long, text string"), bench).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in rows] == [(1, None, 1.0)]
