@@ -25,6 +25,7 @@ from cohortlens.plans.reports import analysis_report, audit_report
 from cohortlens.schema import IMAGE_SUFFIXES
 from cohortlens.sources import datasets, manifests, sinks
 from cohortlens.sources.listing import image_files, qualified
+from cohortlens.storage import ship
 
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 RATIOS_WITH_TEST = {"train": 0.85, "val": 0.15}
@@ -197,6 +198,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     session = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(session)
     return a.run_command(session, a)
 
 

@@ -1,9 +1,13 @@
-"""Where intermediate tables are kept."""
+"""Where intermediate tables are kept, and how the package reaches the executors."""
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +31,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each application: Python functions in plans are sent by name."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder, out = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(folder.rglob("*.py")):
+            archive.writestr(zipfile.ZipInfo(f"{folder.name}/{file.relative_to(folder).as_posix()}"), file.read_bytes())
+    data = out.getvalue()
+    place = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{folder.name}/{folder.name}-{hashlib.sha256(data).hexdigest()[:16]}.zip")
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        part = place.suffix(f".{uuid.uuid4().hex}")
+        stream = system.create(part, True)
+        stream.write(bytearray(data))
+        stream.close()
+        system.rename(part, place)
+    context.addPyFile(place.toString())
+    _SHIPPED.add(context.applicationId)
