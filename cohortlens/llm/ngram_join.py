@@ -135,7 +135,7 @@ def _entries(keys: np.ndarray, refs: list[np.ndarray], buckets: int, chunk: int)
     return [(int(bucket[a]), chunk, ENTRIES, keys[a:b].tobytes(), b"".join(r[a:b].tobytes() for r in refs)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int | None, most_rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of a set; whether each is one of it as the smaller set; and the most that it can share with a set that
     has its first common tokens under that signature. ``spread``: components that hold a token."""
     n = len(tokens)
@@ -150,7 +150,7 @@ def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int |
     tokens, spread = tokens[order], spread[order]
     if few is not None:
         return splitmix(tokens[:few]), np.ones(min(few, large), bool), np.full(min(few, large), m)
-    rare = int((spread <= RARE).sum())
+    rare = int((spread <= most_rare).sum())
     keys, is_small, left = [splitmix(tokens[:rare])], [np.arange(rare) < small], [m - np.arange(rare)]
     if large - rare > 1:
         i, j = np.triu_indices(large - rare, 1)
@@ -161,7 +161,7 @@ def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int |
     return np.concatenate(keys), np.concatenate(is_small), np.concatenate(left)
 
 
-def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame:
+def candidate_pairs(sets: DataFrame, percent: int, few: int | None, rare: int = RARE) -> DataFrame:
     """Pairs (a, b) of rows of sets (rk, root, n, tokens) of different roots that may link: of each signature all of
     them, or with ``few`` those of one member with the others, over the first signatures of a row."""
     buckets = 2 * shuffle_width(sets.sparkSession)
@@ -229,7 +229,7 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None) -> DataFrame
             count = count[inverse]
             ends, keys, small, left = np.cumsum(table[:, 2]), [], [], []
             for b, n in zip(ends, table[:, 2], strict=True):
-                k, s, most = signatures(tokens[b - n : b], count[b - n : b], percent, few)
+                k, s, most = signatures(tokens[b - n : b], count[b - n : b], percent, few, rare)
                 keys.append(k)
                 small.append(s)
                 left.append(most)
@@ -375,7 +375,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, shared long, total long")
 
 
-def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, rare: int = RARE, early: int = EARLY) -> DataFrame:
     """One row per input row: the id column, n_shingles (set size) and component_id (the least id reachable by links).
 
     Two rows link when 100 * intersection >= percent * union of their n-gram sets."""
@@ -388,9 +388,9 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     sets = written(candidate_sets(rows, wanted, words), "tokens")
     links = None
     root = None
-    for few in [*[FEW] * EARLY, None]:
+    for few in [*[FEW] * early, None]:
         labelled = sets.withColumn("root", F.col("rk")) if root is None else sets.join(root, sets.rk == root.node, "left").withColumn("root", F.coalesce("component", "rk"))
-        found = written(verified(candidate_pairs(labelled, percent, few), sets, percent), "links")
+        found = written(verified(candidate_pairs(labelled, percent, few, rare), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         root = connected_components(links, "a", "b")
     names = sets.select("rk", "dk").join(root, sets.rk == root.node).groupBy("component").agg(F.min("dk").alias("least"))

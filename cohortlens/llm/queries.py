@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import ann, bpe, decontaminate, html, ngram_join, quality, secrets, substring, tokenfiles, warc
-from cohortlens.storage import new_path
+from cohortlens.storage import new_path, ship
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +23,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bpe, decontaminate, ngram_join, quality, queries, secrets
-from cohortlens.storage import written
+from cohortlens.storage import ship, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     linked = ngram_join.linked(docs, words=5, percent=80)
     copies = linked.where("component_id <> doc_id").select("doc_id").distinct()
     repeated = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -35,11 +36,13 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     out = secrets.redacted(docs, secrets.trained())
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.encode_documents(docs, queries.vocabulary("byte_bpe_50k.json"))
 
 

@@ -59,11 +59,10 @@ def test_same_as_brute_force(spark, seed, words, percent):
     assert sorted(got, key=key) == sorted(brute(rows, words, percent), key=key)
 
 
-def test_pairs_of_frequent_tokens(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "RARE", 2)
-    monkeypatch.setattr(ngram_join, "EARLY", 0)
+@pytest.mark.parametrize("early", [0, 2])
+def test_pairs_of_frequent_tokens(spark, early):
     rows = corpus(9, 60)
-    got = [tuple(r) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [tuple(r) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), rare=2, early=early).collect()]
     assert sorted(got, key=key) == sorted(brute(rows, 4, 85), key=key)
 
 
