@@ -27,12 +27,17 @@ from pyspark.sql import functions as F
 from cohortlens.llm import files, mixcoder
 from cohortlens.llm.common import slices
 
-FILE_TOKENS, CACHE = 6_000_000, 500_000
+FILE_TOKENS, CACHE = 6_000_000, 350_000
 MAGIC = b"TOKFILE1"
 
 
 class WordEncoder:
-    """Ids of texts by a library tokenizer that drops white space, word by word."""
+    """Ids of texts by a library tokenizer that drops white space, word by word.
+
+    Words are remembered in two generations: when the young one is full it becomes the old one, from which words that
+    occur again come back. New words go to the library many at a time, with one of its special tokens between them. A
+    letter followed by a last full stop or comma ends a word for the splitter, so these two are looked up apart. Case is
+    folded first where the vocabulary does so anyway."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,22 +46,50 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.marks = [(t.content.encode(), i) for i, t in self.library.get_added_tokens_decoder().items()]
+        self.folds = self.library.encode("Ab", add_special_tokens=False).ids == self.library.encode("ab", add_special_tokens=False).ids
         self.end = b"" if end_id is None else struct.pack("<i", end_id)
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        if not self.marks:
+            return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        mark, number = self.marks[0]
+        ids = np.array(self.library.encode_batch_fast([mark.join(words).decode()], add_special_tokens=False)[0].ids, "<i4")
+        cut, raw = np.flatnonzero(ids == number), ids.tobytes()
+        starts, ends = 4 * np.concatenate([[0], cut + 1]), 4 * np.append(cut, len(ids))
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Adds words to the young generation."""
+        get, fresh, split = self.old.get, [], []
+        for w in words:
+            found = get(w)
+            if found is not None:
+                self.young[w] = found
+            elif w[-1] in b".," and len(w) > 1 and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90):
+                split.append(w)
+            else:
+                fresh.append(w)
+        fresh += {x for w in split for x in (w[:-1], w[-1:]) if x not in self.young and x not in words}
+        for a in range(0, len(fresh), 5000):
+            some = [w for w in fresh[a : a + 5000] if not any(m in w for m, _ in self.marks)]
+            self.young.update(zip(some, self._ids(some) if some else [], strict=True))
+        for w in fresh:
+            if w not in self.young:  # it holds a special token
+                self.young[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<i4").tobytes()
+        for w in split:
+            self.young[w] = self.young[w[:-1]] + self.young[w[-1:]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text, with the end id, as little-endian 32-bit numbers."""
-        split = [(t or b"").split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*split)
-        words = list(new)
-        for a in range(0, len(words), 20_000):
-            some = words[a : a + 20_000]
-            for word, coded in zip(some, self.library.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(coded.ids, "<i4").tobytes()
-        get = self.known.__getitem__
+        split = [(t.lower() if self.folds and not any(m[:2] in t for m, _ in self.marks) else t).split() if t else [] for t in texts]
+        words = set().union(*split)
+        if len(self.young) + len(words - self.young.keys()) > CACHE:
+            self.old, self.young = self.young, {}
+        self._learn(words - self.young.keys())
+        get = self.young.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in split]
 
 
