@@ -232,7 +232,7 @@ class Renderer:
     def __init__(self, sheets: list[str]):
         self.visibility = Visibility(sheets)
 
-    def inside(self, node: Node, seen: bool, kept: bool, gaps: bool = True) -> list[str]:
+    def inside(self, node: Node, seen: bool, kept: bool) -> list[str]:
         out = Lines()
         self.children(node, out, seen, kept)
         return out.done()
