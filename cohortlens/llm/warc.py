@@ -9,7 +9,7 @@ files that aren't in the manifest, which is written last, don't belong to the ar
 
 Which records are revisits is settled by grouping (length, SHA-1, SHA-256) digests, so a hot payload is a sum of partial
 maxima, never a gathered group. Results for odd input: a null payload is empty; records without an id are left out;
-rows of one id keep one record, of the greatest url and payload; a null url is ``urn:record:<id>``.
+rows of one id keep one record, of the greatest url and then SHA-1; a null url is ``urn:record:<id>``.
 """
 
 from __future__ import annotations
@@ -64,33 +64,48 @@ def record(key: int, url: str | None, payload: bytes, refers_to: int | None, ref
     return _member([*headers, ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def judged(df: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
-    """key, url, payload, and of revisits refers_to and refers_url."""
-    payload = F.coalesce(F.encode(F.col(payload_col).cast("string"), "utf-8") if dict(df.dtypes)[payload_col] != "binary" else F.col(payload_col), F.lit(b""))
-    rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).where("key is not null")
-    rows = rows.groupBy("key").agg(F.max(F.struct("url", "payload")).alias("r")).select("key", "r.url", "r.payload")
-    rows = rows.withColumns({"size": F.octet_length("payload"), "one": F.sha1("payload"), "two": F.sha2("payload", 256)})
-    by = ["size", "one", "two"]
-    groups = rows.where(F.col("size") >= least).groupBy(by).agg(F.max(F.struct("key", "url")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    found = rows.join(groups.select(*by, "last"), by, "left")
+def _rows(df: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+    payload = F.col(payload_col) if dict(df.dtypes)[payload_col] == "binary" else F.encode(F.col(payload_col).cast("string"), "utf-8")
+    return df.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload")).where("key is not null")
+
+
+def judged(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """key, url, sha1, and of revisits refers_to and refers_url: one row for each key, without payloads."""
+    told = rows.select("key", "url", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha2"))
+    told = told.groupBy("key").agg(F.max(F.struct("url", "sha1", "size", "sha2")).alias("r")).select("key", "r.*")
+    by = ["size", "sha1", "sha2"]
+    groups = told.where(F.col("size") >= least).groupBy(by).agg(F.max(F.struct("key", "url")).alias("last"), F.count("*").alias("n")).where("n > 1")
+    found = told.join(groups.select(*by, "last"), by, "left")
     revisit = F.col("last.key") > F.col("key")
-    return found.select("key", "url", "payload", F.when(revisit, F.col("last.key")).alias("refers_to"), F.when(revisit, F.col("last.url")).alias("refers_url"))
+    return found.select("key", "url", "sha1", F.when(revisit, F.col("last.key")).alias("refers_to"), F.when(revisit, F.col("last.url")).alias("refers_url"))
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES, least: int = LEAST) -> list[tuple[str, int, int]]:
-    """Writes the shard files and returns the manifest: (file, records, bytes), in the order of the ids."""
-    ordered = judged(df, id_col, url_col, payload_col, least).repartitionByRange("key").sortWithinPartitions("key")
+    """Writes the shard files and returns the manifest: (file, records, bytes), in the order of the ids.
+
+    Payloads move once: the small table of verdicts takes part in the range sort, each verdict before its payload."""
+    rows = _rows(df, id_col, url_col, payload_col)
+    verdicts = judged(rows, least).select("key", F.lit(0).alias("kind"), "url", "sha1", "refers_to", "refers_url", F.lit(None).cast("binary").alias("payload"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("sha1", "string"), ("refers_to", "long"), ("refers_url", "string"))]
+    both = verdicts.unionByName(rows.select("key", F.lit(1).alias("kind"), "url", *nothing, "payload"))
+    ordered = both.repartitionByRange("key").sortWithinPartitions("key", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, out, done, count = TaskContext.get().partitionId(), None, [], 0
+        task, out, done, count, verdict = TaskContext.get().partitionId(), None, [], 0, None
         for whole in batches:
             for batch in slices(whole, "payload", 8 << 20):
-                for key, url, payload, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, kind, url, sha1, refers_to, refers_url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind == 0:
+                        verdict = (key, url, sha1, refers_to, refers_url)
+                        continue
+                    if verdict is None or verdict[:2] != (key, url) or verdict[2] != hashlib.sha1(payload).hexdigest():
+                        continue  # another row of this key has been kept
                     if out is None:
                         name = f"shard-{task:06d}-{len(done):05d}.warc.gz"
                         out, count = files.Committed(folder, name), 0
                         out.write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                    out.write(record(key, url, payload, refers_to, refers_url))
+                    out.write(record(key, url, payload, *verdict[3:]))
+                    verdict = None
                     count += 1
                     if out.size >= roll_bytes:
                         out.commit()

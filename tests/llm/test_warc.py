@@ -11,8 +11,9 @@ def brute(rows, least=1000):
     kept = {}
     for key, url, html in rows:
         if key is not None:
-            kept[key] = max(kept.get(key, ((), "", ())), ((url is not None, url or ""), "", (html is not None, html or "")))
-    pay = {k: v[2][1].encode() for k, v in kept.items()}
+            data = (html or "").encode()
+            kept[key] = max(kept.get(key, ((False, ""), "", b"")), ((url is not None, url or ""), hashlib.sha1(data).hexdigest(), data))
+    pay = {k: v[2] for k, v in kept.items()}
     last = {}
     for k, p in pay.items():
         last[p] = max(last.get(p, k), k)
@@ -23,7 +24,7 @@ def brute(rows, least=1000):
     return sorted(out)
 
 
-ROWS = [(i, f"http://a/{i}", t) for i, t in enumerate(["x" * 1000, "x" * 999, "x" * 1000, None, "", "x" * 999, "é" * 500, "é" * 500, "é" * 499, "\r\n\r\nWARC/1.1\r\n" * 100])] + [(20, None, "x" * 1000), (21, "http://b c/\r\n", "y"), (None, "u", "z"), (4, "http://a/4", "")]
+ROWS = [(i, f"http://a/{i}", t) for i, t in enumerate(["x" * 1000, "x" * 999, "x" * 1000, None, "", "x" * 999, "é" * 500, "é" * 500, "é" * 499, "\r\n\r\nWARC/1.1\r\n" * 100])] + [(20, None, "x" * 1000), (21, "http://b c/\r\n", "y"), (None, "u", "z"), (4, "http://a/4", ""), (4, "http://a/4", "other"), (4, None, "third")]
 
 
 def got(df):
