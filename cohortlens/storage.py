@@ -34,10 +34,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application: Python functions in plans are sent by name."""
+    """Gives the executors this package, once for each application: Python functions in plans are sent by name. Arrow
+    batches of rows become smaller, unless the session has chosen a size."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -55,4 +57,6 @@ def ship(spark: SparkSession) -> None:
         stream.close()
         system.rename(part, place)
     context.addPyFile(place.toString())
+    if spark.conf.get(BATCH) == "10000":  # Spark's own value: long texts then fill tens of MB on both sides of each worker
+        spark.conf.set(BATCH, "1500")
     _SHIPPED.add(context.applicationId)
