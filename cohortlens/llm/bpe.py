@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import slices
+from cohortlens.llm.common import CACHES, slices
 
 NONE = 1 << 62
 #: Parts from which the heap is used.
@@ -196,6 +196,9 @@ def encoder(path: str) -> BytePairEncoder:
     return BytePairEncoder(path)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 ENCODED = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType())])
 
 

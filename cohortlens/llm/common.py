@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-MASK64 = (1 << 64) - 1
+#: What empties the caches that operators keep in a Python worker. Workers are used again by other operators, so those
+#: that need memory empty them first.
+CACHES: list[Callable[[], None]] = []
+
+
+def release_caches() -> None:
+    for clear in CACHES:
+        clear()
+
+
 #: Bytes that end a word: space and \x09-\x0D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -140,7 +149,7 @@ def ragged_arange(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - where, count)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = np.cumsum(sizes) // limit

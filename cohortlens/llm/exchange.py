@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import shuffle_width, slices
+from cohortlens.llm.common import release_caches, shuffle_width, slices
 
 ENTRIES, ROWS, REPEATS = 1, 0, 2
 #: A reference that asks for no answer: its key repeats inside its own chunk, which is settled there.
 SETTLED = np.uint32(0xFFFFFFFF)
 #: Positions of a chunk, at about which it is sent.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 PACKED = "bucket long, chunk long, kind int, keys binary, refs binary"
 
 
@@ -78,6 +78,7 @@ def repeated(df: DataFrame, kernel: Callable[[pa.RecordBatch], Keys], extras: tu
         yield from _batches(out)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         task, serial, held, parts, ids = TaskContext.get().partitionId(), 0, 0, [], []
         for whole in batches:
             for batch in slices(whole, "text"):

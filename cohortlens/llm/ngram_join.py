@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import Windows, Words, shuffle_width, slices, splitmix, text_bytes, window_starts
+from cohortlens.llm.common import Windows, Words, release_caches, shuffle_width, slices, splitmix, text_bytes, window_starts
 from cohortlens.llm.exchange import CHUNK, ENTRIES, PACKED, REPEATS, ROWS, Keys, _batches, _runs, named, repeated
 from cohortlens.operators.components import connected_components
 from cohortlens.storage import written
@@ -180,6 +180,7 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None, rare: int =
         yield from _batches(out + _entries(unique[index], [index.astype("<u4"), holder.astype("<i8")], buckets, chunk))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         task, serial, held, parts = TaskContext.get().partitionId(), 0, 0, []
         for whole in batches:
             for batch in slices(whole, "tokens"):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import files, mixcoder
-from cohortlens.llm.common import slices
+from cohortlens.llm.common import CACHES, slices
 
 FILE_TOKENS, CACHE = 6_000_000, 350_000
 MAGIC = b"TOKFILE1"
@@ -98,6 +98,9 @@ def encoder(path: str, end_id: int | None) -> WordEncoder:
     return WordEncoder(path, end_id)
 
 
+CACHES.append(encoder.cache_clear)
+
+
 def section(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
     """One file: directory of documents, then coded ids."""
     rows = np.array([(d or 0, d is None, n) for d, n in zip(doc_ids, counts, strict=True)], "<i8")
