@@ -138,6 +138,16 @@ def test_supplied_test_is_kept(spark):
         splits.derived_splits(df, clusters(spark, [(["s:a", "s:b"], False, 0)]), {"train": 1.0}, 1, keep_supplied_test=True)
 
 
+def test_units_with_several_labels_are_read_whole(spark, monkeypatch):
+    df = manifest(spark, [(f"{g}{t}{i}", t, g, "test" if t == "dme" else None) for g in "123" for t in ("amd", "dme", "normal") for i in range(2)])
+    monkeypatch.setattr(splits, "MOST_UNITS", 3)
+    units = splits._units(df, splits.group_components(df, clusters(spark, [])))
+    assert units == [((f"s:{g}",), {"amd": 2, "dme": 2, "normal": 2}, {"test"}) for g in "123"]
+    monkeypatch.setattr(splits, "MOST_UNITS", 2)
+    with pytest.raises(ValueError, match="more than 2 units"):
+        splits._units(df, splits.group_components(df, clusters(spark, [])))
+
+
 def test_greedy_assignment_balances_labels():
     units = [((f"g{i}",), {"amd": 1 + i % 4, "dme": i % 3}) for i in range(60)]
     got = splits.greedy_assignment(units, {"train": 0.7, "val": 0.15, "test": 0.15}, 3)
