@@ -2,7 +2,8 @@
 
 A tree builder closes what HTML leaves open (paragraphs before blocks, items, cells, rows, options, head before body) and
 ignores end tags that match nothing. Rules of visibility then leave out scripts, styles, templates, hidden elements,
-closed details and dialogs, and what inline or simple stylesheet rules (by tag, class or id) don't display; an element
+closed details and dialogs, and what inline or simple stylesheet rules (by tag, class or id) don't display; rules inside
+at-rules count where these hold for a screen of ``SCREEN`` pixels, and not where that can't be told; an element
 with ``visibility: visible`` inside a hidden one shows again. The rest is rendered: blocks on lines of their own with one
 empty line around paragraphs, headings, lists and tables; items with bullets or numbers and indented; preformatted text as
 it is; table cells in aligned columns, with spans.
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from cohortlens.llm.common import slices
 
 DEEP = 150
+SCREEN = {"width": 1280, "height": 720}
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr td th".split())
@@ -37,7 +39,9 @@ ROWS, CELLS = frozenset("thead tbody tfoot".split()), frozenset("td th".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), **{k: ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot", "caption", "colgroup")}}
 SCOPE = frozenset("table td th caption html body".split())
 _WHITE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_MARK = re.compile(r"[{};]")
+_LENGTH = re.compile(r"(\d*\.?\d+)(px|em|rem)?")
+_RANGE = re.compile(r"(?:([^<>=]+?)\s*([<>]=?|=)\s*)?(width|height)(?:\s*([<>]=?|=)\s*([^<>=]+))?")
 _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?")
 
 
@@ -147,12 +151,87 @@ def declared(style: str) -> dict[str, str]:
     return out
 
 
+def _pixels(value: str) -> float | None:
+    found = _LENGTH.fullmatch(value.strip())
+    return float(found[1]) * (1 if found[2] in (None, "px") else 16) if found else None
+
+
+def _feature(text: str) -> bool | None:
+    """Whether a media feature holds for the screen; None if that can't be told."""
+    name, colon, value = (x.strip() for x in text.partition(":"))
+    # What a desktop browser without preferences answers.
+    usual = {"orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference", "forced-colors": "none", "scripting": "enabled"}
+    if colon and name in usual:
+        return usual[name] == value
+    bound = re.fullmatch(r"(min-|max-)?(?:device-)?(width|height)", name)
+    if colon:
+        limit = _pixels(value) if bound else None
+        if limit is None:
+            return None
+        has = SCREEN[bound[2]]
+        return has >= limit if bound[1] == "min-" else has <= limit if bound[1] == "max-" else has == limit
+    found = _RANGE.fullmatch(text.strip())
+    if not found or not (found[2] or found[4]):
+        return None
+    compare = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "=": lambda a, b: a == b}
+    has, out = SCREEN[found[3]], True
+    for low, sign, high in ((_pixels(found[1]) if found[2] else None, found[2], has), (has, found[4], _pixels(found[5]) if found[4] else None)):
+        if sign:
+            if low is None or high is None:
+                return None
+            out = out and compare[sign](low, high)
+    return out
+
+
+def holds(query: str) -> bool:
+    """Whether a list of media queries holds for the screen; what can't be told doesn't."""
+    for one in query.lower().split(","):
+        words = re.fullmatch(r"\s*(?:(not|only)\s+)?(?:([a-z-]+)(?:\s+and\s+|\s*$))?((?:\([^()]*\)(?:\s*and\s*)?)*)\s*", one)
+        if not words:
+            continue
+        known = [words[2] in (None, "all", "screen"), *(_feature(x) for x in re.findall(r"\(([^()]*)\)", words[3]))]
+        state = False if False in known else None if None in known else True
+        if state is not None and state != (words[1] == "not"):
+            return True
+    return False
+
+
+def plain_rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that apply on the screen, those of layers first, as they yield to others."""
+    layered: list[tuple[str, str]] = []
+    plain: list[tuple[str, str]] = []
+    blocks: list[tuple[str, bool, bool, list[str]]] = []  # prelude, whether rules in it apply, in a layer, own declarations
+    at = 0
+    for mark in _MARK.finditer(css):
+        text, at = css[at : mark.start()].strip(), mark.end()
+        if mark[0] == "{":
+            apply, layer = (blocks[-1][1], blocks[-1][2]) if blocks else (True, False)
+            if blocks and not blocks[-1][0].startswith("@"):
+                apply = False  # a rule inside a rule is no rule by tag, class or id
+            if text.startswith("@"):
+                name, _, rest = text.partition(" ") if " " in text else text.partition("(")
+                name, rest = name.lower(), text[len(name) :]
+                apply = apply and (name == "@layer" or (name == "@media" and holds(rest)) or (name == "@supports" and not rest.lower().lstrip().startswith("not")))
+                layer = layer or name == "@layer"
+            blocks.append((text, apply, layer, []))
+        elif blocks:
+            blocks[-1][3].append(text)
+            if mark[0] == "}":
+                selectors, apply, layer, body = blocks.pop()
+                if apply and not selectors.startswith("@"):
+                    (layered if layer else plain).append((selectors, ";".join(body)))
+    if blocks and blocks[-1][1] and not blocks[-1][0].startswith("@"):  # the end of a sheet closes what it left open
+        (layered if blocks[-1][2] else plain).append((blocks[-1][0], ";".join([*blocks[-1][3], css[at:]])))
+    yield from layered
+    yield from plain
+
+
 class Visibility:
     """Rules of display and visibility; ``state`` is whether the surroundings are visible."""
 
     def __init__(self, sheets: list[str]):
         self.rules: dict[str, dict[str, str]] = {}
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", " ".join(sheets), flags=re.DOTALL)):
+        for selectors, body in plain_rules(re.sub(r"/\*.*?\*/", "", " ".join(sheets), flags=re.DOTALL)):
             found = {k: v for k, v in declared(body).items() if k in ("display", "visibility")}
             for one in selectors.split(",") if found else []:
                 if one.strip() and _SIMPLE.fullmatch(one.strip()):

@@ -72,3 +72,22 @@ def test_query(spark, sf_dir):
         assert not re.search(r"track\(|margin:0|<p>", out[r.page_id])
         for word in re.findall(r"<p>([^<>&]+)</p>", r.html)[:3]:
             assert " ".join(word.split()) in out[r.page_id]
+
+
+AT_RULES = {
+    "@media print{.content{display:none}} @media (max-width:600px){nav{display:none}}": "nav\ncontent",
+    "@media screen{nav{display:none}}": "content",
+    "@media only screen and (min-width: 40em){nav{display:none}}": "content",
+    "@media (400px <= width <= 700px){nav{display:none}}": "nav\ncontent",
+    "@media (unknown: thing){nav{display:none}}": "nav\ncontent",
+    "@media print{@media screen{nav{display:none}}} .content{display:none}": "nav",
+    "@import url(x.css); nav{display:none}": "content",
+    "@layer a{nav{display:none}} nav{display:block}": "nav\ncontent",
+    "@supports not (display:grid){nav{display:none}}": "nav\ncontent",
+    "nav{display:none; a{color:red}}": "content",
+}
+
+
+@pytest.mark.parametrize("css", AT_RULES)
+def test_at_rules(css):
+    assert html.visible_text(f"<style>{css}</style><nav>nav</nav><div class=content>content</div>") == AT_RULES[css]
