@@ -6,7 +6,9 @@ closed details and dialogs, and what inline or simple stylesheet rules (by tag,
 at-rules count where these hold for a screen of ``SCREEN`` pixels, and not where that can't be told; an element
 with ``visibility: visible`` inside a hidden one shows again. The rest is rendered: blocks on lines of their own with one
 empty line around paragraphs, headings, lists and tables; items with bullets or numbers and indented; preformatted text as
-it is; table cells in aligned columns, with spans.
+it is; table cells in aligned columns, with spans; of drawings the texts, each on a line; of formulas the characters; of
+text fields what they hold; of selects the options marked as selected, or all where the select is a list box. A drop-down
+without a marked option gives nothing.
 
 Results for odd input: null or empty markup gives empty text; plain text gives itself with white space collapsed; markup
 nested deeper than ``DEEP`` levels is flattened, its text kept; repeated rows are rendered row by row.
@@ -15,7 +17,9 @@ nested deeper than ``DEEP`` levels is flattened, its text kept; repeated rows ar
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -32,7 +36,10 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr td th".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 ENDS_P = BLOCK - frozenset("body html dd dt li option optgroup caption tbody thead tfoot tr td th legend summary".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist map math svg title meta link base param source track textarea select".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link base param source track".split())
+# Parts of drawings and formulas that aren't shown, and those that hold the texts of a drawing.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+DRAWN_TEXT, DRAWN = frozenset("text foreignobject".split()), frozenset("svg g switch text tspan textpath foreignobject".split())
 HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 ROWS, CELLS = frozenset("thead tbody tfoot".split()), frozenset("td th".split())
 # What a start tag closes if it is open, and the elements at which looking for it stops.
@@ -84,14 +91,21 @@ class TreeBuilder(HTMLParser):
             self._push(Node("tr", {}))
         if tag == "head" and len(self.open) > 1:
             return
+        if tag in UNDRAWN and self._foreign():
+            given["hidden"] = ""
         node = Node(tag, given)
+        if tag == "textarea":
+            self.set_cdata_mode(tag)  # what looks like tags in it is text
         if tag in VOID:
             self.open[-1].children.append(node)
         else:
             self._push(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
+        held = len(self.open)
+        self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML, but it does in drawings and formulas
+        if len(self.open) > held and self.open[-1].tag == tag and (tag in ("svg", "math") or self._foreign()):
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -113,15 +127,26 @@ class TreeBuilder(HTMLParser):
         elif at.tag == "head" and data.strip():
             self._pop("head")
             at = self.open[-1]
-        at.children.append(data)
+        at.children.append(unescape(data) if at.tag == "textarea" else data)
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
         if len(self.open) < DEEP:
             self.open.append(node)
-        elif node.tag in UNSEEN:  # its text must not show
+        elif node.tag in UNSEEN or node.tag in ("textarea", "select"):  # its text must not show, or not all of it
+            self.open.append(node)
+        elif node.tag in DRAWN_TEXT and self.open[-1].tag not in DRAWN_TEXT:
             self.open.append(node)
 
+    def _foreign(self) -> bool:
+        """Whether the open element is part of a drawing or formula."""
+        for node in reversed(self.open):
+            if node.tag in ("svg", "math"):
+                return True
+            if node.tag == "foreignobject":
+                return False
+        return False
+
     def _body(self) -> Node:
         self._pop("head")
         return self.root
@@ -242,7 +267,7 @@ class Visibility:
         attrs = node.attrs
         if node.tag in UNSEEN or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
             return None
-        style: dict[str, str] = {}
+        style: dict[str, str] = {k: attrs[k].strip().lower() for k in ("display", "visibility") if k in attrs} if node.tag in DRAWN else {}
         if self.rules:
             names = ["." + c for c in attrs.get("class", "").split()] + (["#" + attrs["id"]] if attrs.get("id") else [])
             for key in [node.tag, *names, *(node.tag + n for n in names)]:
@@ -255,6 +280,18 @@ class Visibility:
         return state if seen is None else seen not in ("hidden", "collapse")
 
 
+def _text(node: Node) -> str:
+    """All text inside a node."""
+    out, waiting = [], deque([node])
+    while waiting:
+        at = waiting.popleft()
+        if isinstance(at, str):
+            out.append(at)
+        elif at.tag not in UNSEEN:
+            waiting.extendleft(reversed(at.children))
+    return "".join(out)
+
+
 class Lines:
     """Finished lines, and the one being written."""
 
@@ -335,6 +372,14 @@ class Renderer:
             elif tag == "input":
                 if shown and child.attrs.get("type", "text").lower() in ("submit", "reset", "button"):
                     out.text(child.attrs.get("value", ""), kept)
+            elif tag == "svg":
+                self.drawing(child, out, shown, kept)
+            elif tag == "textarea":
+                held = "".join(x for x in child.children if isinstance(x, str)).replace("\r\n", "\n").removeprefix("\n")
+                if shown and held:
+                    out.text(held, True)
+            elif tag == "select":
+                self.options(child, out, shown)
             elif tag == "li":
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
@@ -358,6 +403,45 @@ class Renderer:
             else:
                 self.children(child, out, shown, kept)
 
+    def drawing(self, node: Node, out: Lines, seen: bool, kept: bool) -> None:
+        """The texts of a drawing. Of a switch the first part without conditions shows."""
+        for child in node.children:
+            if isinstance(child, str):
+                continue  # only what stands in a text is drawn
+            if node.tag == "switch" and "systemlanguage" in child.attrs:
+                continue
+            shown = self.visibility.of(child, seen)
+            if shown is not None and child.tag in DRAWN_TEXT:
+                out.apart(0)
+                self.children(child, out, shown, kept)
+                out.apart(0)
+            elif shown is not None:
+                self.drawing(child, out, shown, kept)
+            if node.tag == "switch":
+                break
+
+    def options(self, node: Node, out: Lines, seen: bool) -> None:
+        """All options of a list box, with the labels of their groups; of a drop-down the last one marked as selected."""
+        listed = "multiple" in node.attrs or bool(re.fullmatch(r"\s*0*(?:[2-9]|[1-9][0-9]+)\s*", node.attrs.get("size", "")))
+        lines: list[str] = []
+        waiting = deque([(node, seen)])
+        while waiting:
+            at, state = waiting.popleft()
+            if at.tag == "option":
+                text = at.attrs.get("label") or _text(at)
+                if state and (listed or "selected" in at.attrs):
+                    lines.append(_WHITE.sub(" ", text).strip())
+                continue
+            if at.tag == "optgroup" and listed and state:
+                lines.append(_WHITE.sub(" ", at.attrs.get("label", "")).strip())
+            inner = [(c, self.visibility.of(c, state)) for c in at.children if not isinstance(c, str)]
+            waiting.extendleft(reversed([(c, s) for c, s in inner if s is not None]))
+        if listed:
+            out.apart(0)
+            out.put([x for x in lines if x])
+        elif lines:
+            out.text(lines[-1], False)
+
     def table(self, node: Node, seen: bool, kept: bool) -> list[str]:
         """Caption, then rows of cells in columns as wide as their widest line; columns are two spaces apart."""
         above: list[str] = []

@@ -91,3 +91,25 @@ AT_RULES = {
 @pytest.mark.parametrize("css", AT_RULES)
 def test_at_rules(css):
     assert html.visible_text(f"<style>{css}</style><nav>nav</nav><div class=content>content</div>") == AT_RULES[css]
+
+
+SHOWN = {
+    "<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn><semantics><mi>y</mi><annotation>no</annotation></semantics></math> holds": "where x=1y holds",
+    "<textarea>\n a <b>x</b> &amp;\n  c</textarea>z": " a <b>x</b> &\n  cz",
+    "<select><option>no<option selected>yes<option>no</select> after": "yes after",
+    "<select multiple><optgroup label=g><option>a<option label=b>no</optgroup><option hidden>no</select>": "g\na\nb",
+    "<select size=2><option>a<option>b</select>": "a\nb",
+    "<svg><title>no</title><defs><text>no</text></defs><path d=x/><g><text>one <tspan>two</tspan></text></g>no<text display=none>no</text><text>three<desc>no</desc></text></svg>end": "one two\nthree\nend",
+    "<svg>" + "<path d=x/>" * 400 + "<text>yes</text></svg>": "yes",
+    "<svg><switch><foreignObject><p>yes</p></foreignObject><text>no</text></switch></svg>": "yes",
+    "<map name=m><p>inside</p><area href=x></map>": "inside",
+    "<desc>yes</desc>": "yes",
+    "<div>" * 500 + "<svg><text>yes</text></svg><textarea>a&lt;</textarea><select><option>no</select>": "yesa<",
+    "<div>" * 147 + "<svg><g><g><g><text>yes</text></g></g></g></svg>": "yes",
+    "<svg>" * 5000 + "<text>yes": "yes",
+}
+
+
+@pytest.mark.parametrize("markup", SHOWN, ids=range(len(SHOWN)))
+def test_formulas_drawings_and_fields(markup):
+    assert html.visible_text(markup).strip("\n") == SHOWN[markup]
