@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,7 +153,12 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, lis
         yield at, run
 
 
+def row_name(id_col: str, text_col: str) -> dict[str, Column]:
+    """The two longs that name a row: rows that agree in both are equal in id and text."""
+    return {"dk": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "rk": F.xxhash64(id_col, text_col)}
+
+
 def named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text and the two longs that name a row: rows that agree in both are equal in id and text."""
+    """id, text and the two longs that name a row."""
     out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return out.withColumns({"dk": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "rk": F.xxhash64("doc_id", "text")})
+    return out.withColumns(row_name("doc_id", "text"))

@@ -380,9 +380,23 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     """One row per input row: the id column, n_shingles (set size) and component_id (the least id reachable by links).
 
     Two rows link when 100 * intersection >= percent * union of their n-gram sets."""
+    rows = named(df, id_col, text_col)
+    out = _components(rows, words, percent, rare, early)
+    kind = rows.schema["doc_id"].dataType
+    whole = out.select(F.col("dk").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
+    return whole.unionByName(_without_id(rows, id_col, words))
+
+
+def linked_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, rare: int = RARE, early: int = EARLY) -> DataFrame:
+    """(dk, rk, component): the name of each row with an id, and of its component, which two rows of one id share only if
+    they are linked."""
+    return _components(named(df, id_col, text_col), words, percent, rare, early).select("dk", "rk", "component")
+
+
+def _components(rows: DataFrame, words: int, percent: int, rare: int, early: int) -> DataFrame:
+    """dk, rk, n, component (the name of one of its rows) and component_id (its least id) of each row with an id."""
     if not 60 <= percent <= 100:
         raise ValueError("percent must be from 60 to 100")
-    rows = named(df, id_col, text_col)
     marks = repeated(rows.where("doc_id is not null"), prefix_kernel(words, percent), ("n", "fp1", "fp2"), key_bytes=4, all_rows=True)
     info = written(marks.select("dk", "rk", "n", "fp1", "fp2", F.expr("length(marks) div 4").alias("hits")), "sets")
     wanted = classes(info).where(f"n > 0 and hits >= ceil(n / {EXTEND})")
@@ -396,11 +410,9 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         root = connected_components(links, "a", "b")
     names = sets.select("rk", "dk").join(root, sets.rk == root.node).groupBy("component").agg(F.min("dk").alias("least"))
     of_class = classes(info).alias("c").join(root, F.col("c.rk") == root.node, "left").join(names, "component", "left")
-    of_class = of_class.select("n", "fp1", "fp2", F.coalesce("least", "dk").alias("component_id"))
-    out = info.join(of_class, ["n", "fp1", "fp2"]).select("dk", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("dk")).alias("component_id"))
-    kind = rows.schema["doc_id"].dataType
-    whole = out.select(F.col("dk").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
-    return whole.unionByName(_without_id(rows, id_col, words))
+    of_class = of_class.select("n", "fp1", "fp2", F.coalesce("least", "dk").alias("component_id"), F.coalesce("component", "rk").alias("component"))
+    own = lambda of, alone: F.when(F.col("n") > 0, F.col(of)).otherwise(F.col(alone)).alias(of)
+    return info.join(of_class, ["n", "fp1", "fp2"]).select("dk", "rk", "n", own("component", "rk"), own("component_id", "dk"))
 
 
 def _without_id(rows: DataFrame, id_col: str, words: int) -> DataFrame:

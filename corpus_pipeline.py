@@ -1,8 +1,8 @@
 """From documents to token ids in five stages, each written as Parquet and reread as the next one's documents.
 
 1. quality: documents that the classifier scores under 0.5 go.
-2. near_duplicates: of each group of documents linked by a Jaccard similarity of at least 0.8 on word 5-grams, the one of
-   least id stays (of equal rows of one id, one).
+2. near_duplicates: of each group of rows linked by a Jaccard similarity of at least 0.8 on word 5-grams, the one of least
+   id stays (of several rows of that id, one). Rows of one id with different texts are judged apart; rows without an id stay.
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets in texts are replaced by ``[SECRET:<kind>]``, and n_chars follows the text.
 5. bpe: the texts as token ids.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, decontaminate, ngram_join, quality, queries, secrets
+from cohortlens.llm import bpe, decontaminate, exchange, ngram_join, quality, queries, secrets
 from cohortlens.storage import ship, written
 
 
@@ -24,11 +24,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    linked = ngram_join.linked(docs, words=5, percent=80)
-    copies = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = docs.join(copies.unionByName(repeated).distinct(), "doc_id", "left_anti")
-    return single.unionByName(docs.join(repeated, "doc_id", "left_semi").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+    rows = written(ngram_join.linked_rows(docs, words=5, percent=80), "rows")
+    several = rows.groupBy("component").agg(F.min(F.struct("dk", "rk")).alias("first"), F.max(F.struct("dk", "rk")).alias("last")).where("first <> last")
+    copies = rows.join(several, "component").where("dk <> first.dk or rk <> first.rk").select("dk", "rk").distinct()
+    repeated = rows.groupBy("dk", "rk").count().where("count > 1").select("dk", "rk")
+    given = docs.withColumns(exchange.row_name("doc_id", "text"))
+    single = given.join(copies.unionByName(repeated).distinct(), ["dk", "rk"], "left_anti")
+    again = given.join(repeated, ["dk", "rk"], "left_semi").join(copies, ["dk", "rk"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(again).select(docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

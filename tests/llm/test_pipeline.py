@@ -42,3 +42,14 @@ def test_stages_keep_the_columns(spark, sf_dir):
     assert docs.count() > 10
     ids = [r.doc_id for r in docs.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids))
+
+
+def test_rows_of_one_id_are_judged_apart(spark, sf_dir):
+    long = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    a, b, c = long("a"), long("b"), long("c")
+    rows = [(3, a), (7, f"{a} more"), (7, b), (8, c), (8, f"{c} more"), (8, f"{c} more"), (9, ""), (9, ""), (9, None), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, sf_dir).collect()]
+    of_8 = [t for k, t in got if k == 8]
+    assert len(of_8) == 1 and of_8[0] in (c, f"{c} more")
+    assert sorted((r for r in got if r[0] != 8), key=str) == sorted([(3, a), (7, b), (9, ""), (9, None), (None, a), (None, a)], key=str)
