@@ -54,7 +54,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), folder)
+    warc.write(table(spark, sf_dir, "pages"), folder, every=True)
     return warc.read(spark, folder).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

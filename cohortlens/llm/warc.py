@@ -8,8 +8,10 @@ largest id; the others become revisit records that refer to it. A file is writte
 files that aren't in the manifest, which is written last, don't belong to the archive.
 
 Which records are revisits is settled by grouping (length, SHA-1, SHA-256) digests, so a hot payload is a sum of partial
-maxima, never a gathered group. Results for odd input: a null payload is empty; records without an id are left out;
-rows of one id keep one record, of the greatest url and then SHA-1; a null url is ``urn:record:<id>``.
+maxima, never a gathered group. Results for odd input: a null payload is empty; a null url is ``urn:record:<id>``. With
+``every`` each row has a record: those of one id differ by url, digest and a number in their record ids, and rows without
+an id are full records without a key. Otherwise rows of one id keep one record, of the greatest url and then SHA-1, and
+rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -37,10 +39,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:record")
 
 
-def record_id(key: int) -> str:
+def record_id(key: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, str(key))}>"
 
 
+def occurrence(key: int | None, url: str | None, sha1: str, number: int = 0) -> str:
+    """Names one of several records of a key, or of none."""
+    return f"{'' if key is None else key}/{sha1}/{number}/{'' if url is None else 'u' + url}"
+
+
 def _sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -50,29 +57,32 @@ def _member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def target(key: int, url: str | None) -> str:
+def target(key: int | str, url: str | None) -> str:
     return "".join(c for c in url if c > " ") if url and url.strip() else f"urn:record:{key}"
 
 
-def record(key: int, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None) -> bytes:
-    """A response record, or with ``refers_to`` a revisit record."""
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, number: int | None = None) -> bytes:
+    """A response record, or with ``refers_to`` a revisit record. ``number`` counts equal rows where each has a record."""
+    sha1 = hashlib.sha1(payload).hexdigest() if number is not None else ""
+    name, referred = (key, refers_to) if number is None else (occurrence(key, url, sha1, number), occurrence(refers_to, refers_url, sha1))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", DATE), ("WARC-Target-URI", target(key, url)), ("WARC-Payload-Digest", _sha1(payload)), ("WARC-Block-Digest", _sha1(block)), ("X-Record-Key", str(key)), ("X-Payload-Length", str(len(payload)))]
+    headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", DATE), ("WARC-Target-URI", target(sha1 if key is None else key, url)), ("WARC-Payload-Digest", _sha1(payload)), ("WARC-Block-Digest", _sha1(block)), *([] if key is None else [("X-Record-Key", str(key))]), ("X-Payload-Length", str(len(payload)))]
     if refers_to is not None:
-        headers += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Target-URI", target(refers_to, refers_url)), ("WARC-Refers-To-Date", DATE), ("WARC-Profile", PROFILE), ("X-Refers-To-Key", str(refers_to))]
+        headers += [("WARC-Refers-To", record_id(referred)), ("WARC-Refers-To-Target-URI", target(refers_to, refers_url)), ("WARC-Refers-To-Date", DATE), ("WARC-Profile", PROFILE), ("X-Refers-To-Key", str(refers_to))]
     return _member([*headers, ("Content-Type", "application/http; msgtype=response")], block)
 
 
 def _rows(df: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     payload = F.col(payload_col) if dict(df.dtypes)[payload_col] == "binary" else F.encode(F.col(payload_col).cast("string"), "utf-8")
-    return df.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload")).where("key is not null")
+    return df.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload"))
 
 
-def judged(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, url, sha1, and of revisits refers_to and refers_url: one row for each key, without payloads."""
+def judged(rows: DataFrame, least: int = LEAST, every: bool = False) -> DataFrame:
+    """key, url, sha1, and of revisits refers_to and refers_url: one row for each key, without payloads; with ``every`` one
+    for all equal rows."""
     told = rows.select("key", "url", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha2"))
-    told = told.groupBy("key").agg(F.max(F.struct("url", "sha1", "size", "sha2")).alias("r")).select("key", "r.*")
+    told = told.distinct() if every else told.groupBy("key").agg(F.max(F.struct("url", "sha1", "size", "sha2")).alias("r")).select("key", "r.*")
     by = ["size", "sha1", "sha2"]
     groups = told.where(F.col("size") >= least).groupBy(by).agg(F.max(F.struct("key", "url")).alias("last"), F.count("*").alias("n")).where("n > 1")
     found = told.join(groups.select(*by, "last"), by, "left")
@@ -80,32 +90,38 @@ def judged(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return found.select("key", "url", "sha1", F.when(revisit, F.col("last.key")).alias("refers_to"), F.when(revisit, F.col("last.url")).alias("refers_url"))
 
 
-def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES, least: int = LEAST) -> list[tuple[str, int, int]]:
+def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES, least: int = LEAST, every: bool = False) -> list[tuple[str, int, int]]:
     """Writes the shard files and returns the manifest: (file, records, bytes), in the order of the ids.
 
     Payloads move once: the small table of verdicts takes part in the range sort, each verdict before its payload."""
     rows = _rows(df, id_col, url_col, payload_col)
-    verdicts = judged(rows, least).select("key", F.lit(0).alias("kind"), "url", "sha1", "refers_to", "refers_url", F.lit(None).cast("binary").alias("payload"))
+    rows = rows if every else rows.where("key is not null")
+    verdicts = judged(rows, least, every).select("key", F.lit(0).alias("kind"), "url", "sha1", "refers_to", "refers_url", F.lit(None).cast("binary").alias("payload"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("sha1", "string"), ("refers_to", "long"), ("refers_url", "string"))]
+    nothing[0] = F.sha1("payload").alias("sha1") if every else nothing[0]
+    by = ["key", "url", "sha1"] if every else ["key"]
     both = verdicts.unionByName(rows.select("key", F.lit(1).alias("kind"), "url", *nothing, "payload"))
-    ordered = both.repartitionByRange("key").sortWithinPartitions("key", "kind")
+    ordered = both.repartitionByRange(*by).sortWithinPartitions(*by, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, out, done, count, verdict = TaskContext.get().partitionId(), None, [], 0, None
+        task, out, done, count, verdict, number = TaskContext.get().partitionId(), None, [], 0, None, 0
         for whole in batches:
             for batch in slices(whole, "payload", 8 << 20):
                 for key, kind, url, sha1, refers_to, refers_url, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if kind == 0:
-                        verdict = (key, url, sha1, refers_to, refers_url)
+                        verdict, number = (key, url, sha1, refers_to, refers_url), 0
                         continue
-                    if verdict is None or verdict[:2] != (key, url) or verdict[2] != hashlib.sha1(payload).hexdigest():
+                    if every:
+                        if verdict[:3] != (key, url, sha1):
+                            raise RuntimeError(f"no verdict for a row of {key}")
+                    elif verdict is None or verdict[:2] != (key, url) or verdict[2] != hashlib.sha1(payload).hexdigest():
                         continue  # another row of this key has been kept
                     if out is None:
                         name = f"shard-{task:06d}-{len(done):05d}.warc.gz"
                         out, count = files.Committed(folder, name), 0
                         out.write(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_SPACE, name)}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                    out.write(record(key, url, payload, *verdict[3:]))
-                    verdict = None
+                    out.write(record(key, url, payload, *verdict[3:], number if every else None))
+                    verdict, number = verdict if every else None, number + 1
                     count += 1
                     if out.size >= roll_bytes:
                         out.commit()
@@ -173,8 +189,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         raise Malformed(f"{name}: a payload was changed")
                     digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
                     size = len(payload) if payload is not None else int(headers["x-payload-length"])
-                    refers = headers.get("x-refers-to-key")
-                    rows.append((int(headers["x-record-key"]), headers["warc-target-uri"], kind, size, digest, int(refers) if refers else None, payload))
+                    key, refers = headers.get("x-record-key"), headers.get("x-refers-to-key")
+                    rows.append((int(key) if key else None, headers["warc-target-uri"], kind, size, digest, int(refers) if refers else None, payload))
                     held += len(block)
                     if held > 4 << 20:
                         yield full(rows)

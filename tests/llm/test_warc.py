@@ -65,3 +65,24 @@ def test_query(spark, sf_dir):
     out = sorted(tuple(r) for r in queries.op6_warc(spark, sf_dir).collect())
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert out == brute(rows)
+
+
+def test_query_writes_every_row(spark, tmp_path):
+    """By the rules of OP6_SQL: ids that repeat or are null have a record for each row."""
+    rows = [*ROWS, (4, "http://a/4", "other"), (5, "u", "x" * 1000), (20, "v", "x" * 1000), (None, None, "x" * 1000), (None, None, "x" * 1000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(str(tmp_path / "pages.parquet"))
+    last, want = {}, []
+    for k, _, t in rows:
+        last[t or ""] = max(last.get(t or "", -1), -1 if k is None else k)
+    for k, _, t in rows:
+        data = (t or "").encode()
+        again = k is not None and len(data) >= 1000 and last[t or ""] != k
+        want.append((k, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", last[t or ""] if again else None))
+    out = [tuple(r) for r in queries.op6_warc(spark, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted(want, key=str)
+    folder = new_path(spark, "warc")
+    manifest = warc.write(spark.read.parquet(str(tmp_path / "pages.parquet")), folder, every=True)
+    heads = [h for name, _, _ in manifest for h, _ in warc.records(files.get(folder, name)) if h["warc-type"] != "warcinfo"]
+    full = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
+    assert len({h["warc-record-id"] for h in heads}) == len(rows)
+    assert {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"} <= full
