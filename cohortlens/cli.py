@@ -25,7 +25,7 @@ from cohortlens.plans.reports import analysis_report, audit_report
 from cohortlens.schema import IMAGE_SUFFIXES
 from cohortlens.sources import datasets, manifests, sinks
 from cohortlens.sources.listing import image_files, qualified
-from cohortlens.storage import ship
+from cohortlens.storage import ship, written
 
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 RATIOS_WITH_TEST = {"train": 0.85, "val": 0.15}
@@ -53,12 +53,18 @@ def _written(tables: dict[str, DataFrame], folder: str) -> None:
 
 
 def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
-    failures = []
+    failures, parts = [], []
     for d in _enabled(spark, a.config):
-        report = _audited(spark, d, a.max_hash_distance)
-        _written(report, f"{a.output}/{d.name}")
+        rows, profiles = datasets.records(spark, d), written(_profiles(spark, d), "profiles")
+        parts.append(rows.drop("digest", "hash").join(profiles, "path", "left"))
+        report = audit_report(rows, profiles, image_files(spark, d.root, IMAGE_SUFFIXES).select("path"), a.max_hash_distance)
+        _written({k: v for k, v in report.items() if not k.startswith("cross_source_")}, f"{a.output}/{d.name}")
         invalid = report["invalid_images"].count()
         failures += [f"{d.name}: {r.message}" for r in audit.integrity_failures(invalid, report["exact_duplicates"], report["near_duplicates"]).orderBy("position").collect()]
+    if parts:
+        both = reduce(DataFrame.unionByName, parts)
+        across = {"cross_source_exact": audit.exact_clusters(both, across=True), "cross_source_near": audit.near_clusters(both, a.max_hash_distance, across=True)}
+        _written(across, f"{a.output}/cross-source")
     print("\n".join(failures))
     return int(bool(failures))
 

@@ -40,6 +40,19 @@ def test_from_images_to_splits(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "features"), header=True).count() == 19
 
 
+def test_audit_finds_duplicates_across_sources(spark, tmp_path):
+    same, text = png(speckle(24, 20, seed=1)), ""
+    for name in ("one", "two"):
+        (tmp_path / name / "AMD0").mkdir(parents=True)
+        (tmp_path / name / "AMD0/0.png").write_bytes(same)
+        text += f'[[datasets]]\nname = "{name}"\nsource = "duke"\nroot = "{tmp_path / name}"\navailable_labels = ["normal", "amd", "dme"]\n'
+    (tmp_path / "datasets.toml").write_text(text)
+    cli.main(["audit", str(tmp_path / "datasets.toml"), "--output", str(tmp_path / "audit")], spark)
+    for table in ("cross_source_exact", "cross_source_near"):
+        (row,) = rows_of(spark, tmp_path / "audit/cross-source" / table)
+        assert row["crosses_sources"] and len(row["paths"]) == 2
+
+
 def test_analysis_and_campaign(spark, tmp_path):
     rnd = random.Random(1)
     (tmp_path / "manifests").mkdir()
