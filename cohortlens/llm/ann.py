@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import in_arrow
 from cohortlens.storage import written
 
 SAMPLE, PART, MOST_PARTS, NEIGHBOURS, WANTED = 12_000, 1000, 256, 10, 0.97
@@ -191,8 +192,8 @@ def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0).take(again), pa.array([r.tobytes() for r in v], pa.binary()).take(again)], ["part", "vec_id", "v"])
 
     shape = "part int, vec_id long, v binary"
-    indexed = written(rows.mapInArrow(assign, shape), "index")
-    asked = rows.where(is_query).mapInArrow(visit, shape)
+    indexed = written(in_arrow(rows, assign, shape), "index")
+    asked = in_arrow(rows.where(is_query), visit, shape)
     pairs = _packed(indexed, BLOCK).join(_packed(asked, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries"}), "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +219,8 @@ def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_co
         if at is not None:
             yield _ranked(at, ids, scores, k)
 
-    partial = pairs.select("part", "ids", "vectors", "query_ids", "queries").mapInArrow(search, "query_id long, ids binary, scores binary")
-    return partial.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, empty.schema)
+    partial = in_arrow(pairs.select("part", "ids", "vectors", "query_ids", "queries"), search, "query_id long, ids binary, scores binary")
+    return in_arrow(partial.repartition("query_id").sortWithinPartitions("query_id"), merge, empty.schema)
 
 
 def _packed(rows: DataFrame, block: int) -> DataFrame:
@@ -244,7 +245,7 @@ def _packed(rows: DataFrame, block: int) -> DataFrame:
         if ids:
             yield full()
 
-    return salted.repartition("part", "salt").sortWithinPartitions("part", "salt", "vec_id").mapInArrow(pack, "part int, ids binary, vectors binary")
+    return in_arrow(salted.repartition("part", "salt").sortWithinPartitions("part", "salt", "vec_id"), pack, "part int, ids binary, vectors binary")
 
 
 def _top(ids: np.ndarray, c: np.ndarray, query: np.ndarray, own: int, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import CACHES, slices
+from cohortlens.llm.common import CACHES, in_arrow, slices
 
 NONE = 1 << 62
 #: Parts from which the heap is used.
@@ -218,7 +218,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                     arrays.append(pa.array([own.decode(np.frombuffer(x, "<u4").tolist()) for x in coded], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in out.fields])
 
-    return given.mapInArrow(run, out)
+    return in_arrow(given, run, out)
 
 
 def decode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids_le") -> DataFrame:
@@ -233,4 +233,4 @@ def decode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids
                 texts = [own.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [f.name for f in out.fields])
 
-    return given.mapInArrow(run, out)
+    return in_arrow(given, run, out)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: What empties the caches that operators keep in a Python worker. Workers are used again by other operators, so those
 #: that need memory empty them first.
@@ -19,6 +21,36 @@ def release_caches() -> None:
         clear()
 
 
+def _libc():
+    try:
+        return ctypes.CDLL(None)
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed but still holds to the machine: a worker waits for its next task, maybe
+    of another operator, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow``, after which a worker gives back its free memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 #: Bytes that end a word: space and \x09-\x0D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -27,6 +59,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Stored bytes of the tables that df reads, as far as the plan knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)  # a table of unknown size counts as the session's default, which is larger
+
+
 # ---- texts as bytes -------------------------------------------------------------------------------------
 
 
@@ -149,7 +188,7 @@ def ragged_arange(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - where, count)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold about ``limit`` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = np.cumsum(sizes) // limit

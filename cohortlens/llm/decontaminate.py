@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortlens.llm.common import Windows, Words, slices, text_bytes, window_starts
+from cohortlens.llm.common import Windows, Words, in_arrow, slices, text_bytes, window_starts
 
 SEED, COVERAGE = 5, 0.8
 #: Words of the benchmark that are sent to the workers at once.
@@ -156,7 +156,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         rows_, items, parts, counts, cuts = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_)), pa.array(items, item_type), pa.array(parts, pa.float64()), pa.array(counts, pa.int32()), pa.array(cuts, _TILES)], [f.name for f in out.fields])
 
-        return given.mapInArrow(run, out)
+        return in_arrow(given, run, out)
 
     return reduce(DataFrame.unionByName, [scan(rows) for rows in blocks(benchmark, item_col, item_text) if rows], spark.createDataFrame([], out))
 
@@ -186,4 +186,4 @@ def _without(given: DataFrame, rows: list[tuple], coverage: float, least: int) -
                         keep[row] = sum(n for _, _, n in cut) < coverage * int(own.size[item])
                 yield batch.filter(pa.array(keep))
 
-    return given.mapInArrow(run, given.schema)
+    return in_arrow(given, run, given.schema)

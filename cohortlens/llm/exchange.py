@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import release_caches, shuffle_width, slices
+from cohortlens.llm.common import in_arrow, input_bytes, release_caches, shuffle_width, slices
 
 ENTRIES, ROWS, REPEATS = 1, 0, 2
 #: A reference that asks for no answer: its key repeats inside its own chunk, which is settled there.
 SETTLED = np.uint32(0xFFFFFFFF)
 #: Positions of a chunk, at about which it is sent.
-CHUNK = 1_000_000
+CHUNK = 500_000
+#: Bytes of stored input for each key range at most: what a worker holds of a range doesn't grow with the table.
+RANGE_BYTES = 32 << 20
 PACKED = "bucket long, chunk long, kind int, keys binary, refs binary"
 
 
@@ -41,6 +43,19 @@ class Keys:
     extra: np.ndarray
 
 
+def key_ranges(df: DataFrame) -> int:
+    """Number of ranges that keys are dealt to: four for each shuffle partition of the session, and more where the tables
+    that df reads are large."""
+    return max(4 * shuffle_width(df.sparkSession), -(-input_bytes(df) // RANGE_BYTES))
+
+
+def dealt(df: DataFrame, by: str, ranges: int) -> DataFrame:
+    """df by a column of up to so many values a quarter of which come to each partition of the session; more ranges get
+    more partitions."""
+    wide = -(-ranges // 4)
+    return df.repartition(by) if wide <= shuffle_width(df.sparkSession) else df.repartition(wide, by)
+
+
 def repeated(df: DataFrame, kernel: Callable[[pa.RecordBatch], Keys], extras: tuple[str, ...] = (), key_bytes: int = 8, all_rows: bool = False) -> DataFrame:
     """Rows of df with the positions whose key occurs again in df, in the same row or another one.
 
@@ -48,7 +63,7 @@ def repeated(df: DataFrame, kernel: Callable[[pa.RecordBatch], Keys], extras: tu
     ``marks`` (positions as little-endian unsigned 32-bit numbers, ascending). Rows without any are left out unless
     ``all_rows``. With ``key_bytes`` 4 keys are cut to 32 bits inside their range: less to move, and a rare false mark.
     """
-    buckets = 4 * shuffle_width(df.sparkSession)
+    buckets = key_ranges(df)
     kind = "<u4" if key_bytes == 4 else "<u8"
 
     def packed(parts: list[Keys], ids: list[np.ndarray], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -125,9 +140,9 @@ def repeated(df: DataFrame, kernel: Callable[[pa.RecordBatch], Keys], extras: tu
             columns = [pa.array(own[keep, c], pa.int64()) for c in (0, 1, *range(3, width))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.binary())], [f.name for f in result.fields])
 
-    sent = df.mapInArrow(gather, PACKED).repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind")
-    back = sent.mapInArrow(compare, PACKED).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return back.mapInArrow(answer, result)
+    sent = dealt(in_arrow(df, gather, PACKED), "bucket", buckets).sortWithinPartitions("bucket", "chunk", "kind")
+    back = dealt(in_arrow(sent, compare, PACKED), "chunk", buckets).sortWithinPartitions("chunk", "kind")
+    return in_arrow(back, answer, result)
 
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary())])

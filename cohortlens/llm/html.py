@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import slices
+from cohortlens.llm.common import in_arrow, slices
 
 DEEP = 150
 SCREEN = {"width": 1280, "height": 720}
@@ -536,4 +536,4 @@ def extracted(df: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
             for batch in slices(whole, "__html"):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(visible_text, batch.column(1).to_pylist()), pa.string())], [f.name for f in out.fields])
 
-    return given.mapInArrow(run, out)
+    return in_arrow(given, run, out)

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import Windows, Words, release_caches, shuffle_width, slices, splitmix, text_bytes, window_starts
-from cohortlens.llm.exchange import CHUNK, ENTRIES, PACKED, REPEATS, ROWS, Keys, _batches, _runs, named, repeated
+from cohortlens.llm.common import Windows, Words, in_arrow, release_caches, slices, splitmix, text_bytes, window_starts
+from cohortlens.llm.exchange import CHUNK, ENTRIES, PACKED, REPEATS, ROWS, Keys, _batches, _runs, dealt, key_ranges, named, repeated
 from cohortlens.operators.components import connected_components
 from cohortlens.storage import written
 
@@ -123,7 +123,7 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("dk"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["rk", "dk", "n", "tokens"])
 
     rows = df.join(wanted.select("dk", "rk"), ["dk", "rk"]).select("rk", "dk", "text")
-    return rows.mapInArrow(run, SETS).groupBy("rk").agg(F.first("dk").alias("dk"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return in_arrow(rows, run, SETS).groupBy("rk").agg(F.first("dk").alias("dk"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def _entries(keys: np.ndarray, refs: list[np.ndarray], buckets: int, chunk: int) -> list[tuple]:
@@ -164,7 +164,7 @@ def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int |
 def candidate_pairs(sets: DataFrame, percent: int, few: int | None, rare: int = RARE) -> DataFrame:
     """Pairs (a, b) of rows of sets (rk, root, n, tokens) of different roots that may link: of each signature all of
     them, or with ``few`` those of one member with the others, over the first signatures of a row."""
-    buckets = 2 * shuffle_width(sets.sparkSession)
+    buckets = key_ranges(sets) // 2
 
     def send(parts: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
         rk, root, n = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("rk", "root", "n"))
@@ -276,10 +276,11 @@ def candidate_pairs(sets: DataFrame, percent: int, few: int | None, rare: int =
             for a in range(0, len(part), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 100_000, c], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    out = sets.select("rk", "root", "n", "tokens").mapInArrow(gather, PACKED).repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind")
-    out = out.mapInArrow(spread, PACKED).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(sign, PACKED)
-    out = out.repartition("bucket").sortWithinPartitions("bucket", "chunk", "kind").mapInArrow(pair, PACKED)
-    return out.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(distinct, "a long, b long")
+    out = in_arrow(sets.select("rk", "root", "n", "tokens"), gather, PACKED)
+    out = in_arrow(dealt(out, "bucket", buckets).sortWithinPartitions("bucket", "chunk", "kind"), spread, PACKED)
+    out = in_arrow(out.repartition("chunk").sortWithinPartitions("chunk", "kind"), sign, PACKED)
+    out = in_arrow(dealt(out, "bucket", buckets).sortWithinPartitions("bucket", "chunk", "kind"), pair, PACKED)
+    return in_arrow(dealt(out, "bucket", buckets).sortWithinPartitions("bucket"), distinct, "a long, b long")
 
 
 def _dealt(pairs: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -373,7 +374,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(union)], ["a", "b", "shared", "total"]).filter(keep)
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return joined.mapInArrow(run, "a long, b long, shared long, total long")
+    return in_arrow(joined, run, "a long, b long, shared long, total long")
 
 
 def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, rare: int = RARE, early: int = EARLY) -> DataFrame:
@@ -423,4 +424,4 @@ def _without_id(rows: DataFrame, id_col: str, words: int) -> DataFrame:
             n = shingle_sets(*text_bytes(batch.column("text")), words)[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), batch.column("doc_id")], [f.name for f in out.fields])
 
-    return rows.where("doc_id is null").select("doc_id", "text").mapInArrow(run, out)
+    return in_arrow(rows.where("doc_id is null").select("doc_id", "text"), run, out)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import Words, slices, text_bytes
+from cohortlens.llm.common import Words, in_arrow, slices, text_bytes
 
 PASSAGE, SAMPLE, HASHED = 64, 6000, 16
 LOWER, UPPER, DIGIT, WIDE, STOP, MARK, SPACE, OTHER = range(8)
@@ -183,7 +183,7 @@ def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("good"), pa.array([x[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())], ["id", "good", "x"])
 
-    found = rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("good", T.DoubleType()), T.StructField("x", T.BinaryType())])).collect()
+    found = in_arrow(rows, run, T.StructType([rows.schema["id"], T.StructField("good", T.DoubleType()), T.StructField("x", T.BinaryType())])).collect()
     found.sort(key=lambda r: (r.id, bytes(r.x)))
     width = passages(pa.array(["a"]))[0].shape[1]
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, width) for r in found]
@@ -203,4 +203,4 @@ def scored(df: DataFrame, model: GatedAttention, text_col: str = "text", name: s
                 score = sent.value.score(*passages(batch.column(text_col)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
-    return given.mapInArrow(run, out)
+    return in_arrow(given, run, out)

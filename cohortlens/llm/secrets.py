@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import slices
+from cohortlens.llm.common import in_arrow, slices
 from cohortlens.llm.forest import RandomForest
 
 FINDINGS, THRESHOLD, NEAR = 6000, 0.5, 4
@@ -212,7 +212,7 @@ def findings(df: DataFrame, forest: RandomForest, id_col: str = "doc_id", text_c
                     types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [f.name for f in out.fields])
 
-    return given.mapInArrow(run, out)
+    return in_arrow(given, run, out)
 
 
 def redacted(df: DataFrame, forest: RandomForest, text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -231,4 +231,4 @@ def redacted(df: DataFrame, forest: RandomForest, text_col: str = "text", path_c
                             texts[r] = f"{texts[r][:a]}[SECRET:{kind}]{texts[r][b:]}"
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "__text" else batch.column(f.name) for f in out.fields], [f.name for f in out.fields])
 
-    return given.mapInArrow(run, out).withColumnRenamed("__text", text_col).select(*df.columns)
+    return in_arrow(given, run, out).withColumnRenamed("__text", text_col).select(*df.columns)

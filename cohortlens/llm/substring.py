@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import Windows, Words, slices, text_bytes, window_starts
+from cohortlens.llm.common import Windows, Words, in_arrow, slices, text_bytes, window_starts
 from cohortlens.llm.exchange import Keys, named, repeated
 
 WINDOW, PERIOD, COVER = 35, 21, (0, 1, 4, 14, 16)
@@ -94,7 +94,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 total, removed, kept = [], [], []
                 for text, starts in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     words = (text or b"").split()
@@ -110,4 +110,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [f.name for f in out.fields])
 
-    return rows.mapInArrow(run, out)
+    return in_arrow(rows, run, out)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import files, mixcoder
-from cohortlens.llm.common import CACHES, slices
+from cohortlens.llm.common import CACHES, in_arrow, slices
 
 FILE_TOKENS, CACHE = 6_000_000, 350_000
 MAGIC = b"TOKFILE1"
@@ -148,7 +148,7 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 2, i
             names, n, tokens = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], ["file", "docs", "tokens"])
 
-    rows = ordered.mapInArrow(run, "file string, docs long, tokens long").collect()
+    rows = in_arrow(ordered, run, "file string, docs long, tokens long").collect()
     manifest = sorted(tuple(r) for r in rows)
     files.put(folder, "manifest.tsv", "".join(f"{a}\t{b}\t{c}\n" for a, b, c in manifest).encode())
     return manifest
@@ -176,4 +176,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     some = range(a, min(a + 500, len(docs)))
                     yield pa.RecordBatch.from_arrays([pa.array(docs[a : a + 500], pa.int64()), pa.array(begin[a : a + 500]), pa.array(counts[a : a + 500]), pa.array([raw[ends[i] - counts[i] : ends[i]].tobytes() for i in some], pa.binary())], ["doc_id", "start", "n_tokens", "ids_le"])
 
-    return spark.createDataFrame(listed, "file string, first long").repartition(len(listed)).mapInArrow(run, result)
+    return in_arrow(spark.createDataFrame(listed, "file string, first long").repartition(len(listed)), run, result)

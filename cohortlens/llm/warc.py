@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import files
-from cohortlens.llm.common import slices
+from cohortlens.llm.common import in_arrow, slices
 
 LEAST, ROLL_BYTES = 1000, 64 << 20
 #: Records have no capture time of their own, and the writer's clock would make files differ.
@@ -133,7 +133,7 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["file", "records", "bytes"])
 
-    manifest = sorted(tuple(r) for r in ordered.mapInArrow(run, "file string, records long, bytes long").collect())
+    manifest = sorted(tuple(r) for r in in_arrow(ordered, run, "file string, records long, bytes long").collect())
     files.put(folder, "manifest.tsv", "".join(f"{a}\t{b}\t{c}\n" for a, b, c in manifest).encode())
     return manifest
 
@@ -198,4 +198,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield full(rows)
 
-    return spark.createDataFrame(names, "file string").repartition(len(names)).mapInArrow(run, RECORD)
+    return in_arrow(spark.createDataFrame(names, "file string").repartition(len(names)), run, RECORD)
