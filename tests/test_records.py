@@ -220,3 +220,36 @@ def test_exploration(spark):
     hist = {r.bin: r.n for r in eda.fixed_histogram(df, "v", 1.0, 2.0, 2, ("k",)).collect()}
     assert hist == {0: 1, 1: 1}
     assert [tuple(r) for r in eda.rate(df, F.col("v") > 1, ("k",)).orderBy("k").collect()] == [("a", 3, pytest.approx(2 / 3)), ("b", 1, 0.0)]
+
+
+def test_greedy_assignment_by_hand():
+    """The cost in full, unit by unit, against the table form."""
+    rnd = random.Random(4)
+    units = [((f"g{i}",), {k: rnd.randrange(1, 6) for k in rnd.sample(["amd", "dme", "cnv"], 2)}) for i in range(40)]
+    ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
+    order = list(range(40))
+    random.Random(9).shuffle(order)
+    goal = {s: {k: r * sum(c.get(k, 0) for _, c in units) for k in ("amd", "dme", "cnv")} for s, r in ratios.items()}
+    have = {s: dict.fromkeys(("amd", "dme", "cnv"), 0) for s in ratios}
+    want = {}
+    for i in sorted(order, key=lambda i: (-sum(units[i][1].values()), order.index(i))):
+        grows = {s: sum(((have[s][k] + units[i][1].get(k, 0) - t) ** 2 - (have[s][k] - t) ** 2) / max(t, 1) for k, t in goal[s].items()) for s in ratios}
+        least = min(grows.values())
+        want[f"g{i}"] = next(s for s in ratios if grows[s] <= least + 1e-9)
+        for k, n in units[i][1].items():
+            have[want[f"g{i}"]][k] += n
+    assert splits.greedy_assignment(units, ratios, 9) == want
+
+
+def test_balanced_batches(spark):
+    rows = [("a", "x", i) for i in range(50)] + [("a", "y", 100 + i) for i in range(3)] + [("b", "x", 200)] + [(None, "x", 1), ("b", None, 2)]
+    df = spark.createDataFrame(rows, "source string, target string, n int").repartition(4)
+    got = splits.balanced_batches(df, 8, 200, seed=1).collect()
+    assert len(got) == 1600 and Counter(r.batch for r in got) == dict.fromkeys(range(200), 8)
+    by = Counter((r.source, r.target) for r in got)
+    assert by["b", "x"] == 800 and abs(by["a", "x"] - 400) < 80 and set(by) == {("a", "x"), ("a", "y"), ("b", "x")}
+    assert len({r.n for r in got if r.target == "x" and r.source == "a"}) == 50
+    again = splits.balanced_batches(df, 8, 200, seed=1).select("batch", "position", "source", "target")
+    assert sorted(map(tuple, again.collect())) == sorted((r.batch, r.position, r.source, r.target) for r in got)
+    assert splits.balanced_batches(df, 8, 200, seed=1, epoch=1).select("batch", "position", "target").exceptAll(again.select("batch", "position", "target")).count() > 0
+    assert splits.balanced_batches(df.limit(0), 8, 2, seed=1).collect() == []
