@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.storage import written
+from cohortlens.storage import erase, stored
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -17,10 +17,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Null ends and loops are ignored; ids may be numbers or strings.
     """
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    now = written(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    now, path = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     seen = _mark(now)
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        before = path
+        now, path = stored(_small_star(_large_star(now)), "edges")
+        erase(now.sparkSession, before)
         mark = _mark(now)
         if mark == seen:
             break

@@ -27,14 +27,25 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df, computed once into the shared folder and reread; this cuts the lineage and survives lost executors."""
+    return stored(df, label)[0]
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``written``, and where the table is, for ``erase`` once nothing reads it any more."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _SHIPPED: set[str] = set()
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Sizes of Arrow batches: Spark's own value, with which long texts fill tens of MB on both sides of each worker, and ours.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"))
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,6 +68,7 @@ def ship(spark: SparkSession) -> None:
         stream.close()
         system.rename(part, place)
     context.addPyFile(place.toString())
-    if spark.conf.get(BATCH) == "10000":  # Spark's own value: long texts then fill tens of MB on both sides of each worker
-        spark.conf.set(BATCH, "1500")
+    for name, own, less in BATCHES:
+        if spark.conf.get(name) == own:
+            spark.conf.set(name, less)
     _SHIPPED.add(context.applicationId)
