@@ -4,22 +4,29 @@
    along main directions first, then moves of vertices to the part of most neighbours while parts stay within 5 %.
 2. A small network learns, for a vector, how its neighbours spread over the parts (soft labels).
 3. Every vector of the table is indexed under its most probable part. How many parts a query visits is set on the
-   sample: the least number that holds ``WANTED`` of its true neighbours.
-4. Vectors and queries of a part are packed into blocks of bounded size (a part with many vectors has many blocks),
-   blocks are joined on the part, and each pair of blocks returns the best of each query, ranked by the exact measure.
+   sample: the least number that holds ``WANTED`` of its true neighbours. A query whose parts hold fewer vectors than it
+   asks for visits further ones, in the order of their probability, until they do.
+4. The number of parts follows the table. Beyond ``MOST_PARTS`` there are two levels: each part is cut again, by steps 1
+   and 2 on a bounded sample of it, in tasks of their own, and a query visits so many parts of each part it visits.
+5. Vectors and queries of a part are packed into blocks of bounded size, and groups of ``GROUP`` blocks of a part are
+   joined with its query blocks, so a part of many vectors is many tasks. Each pair of blocks returns the best of each
+   query, ranked by the exact measure.
 
 Nearness is the largest inner product in double precision, summed in the order of the components; ties go to the
 smaller id. Results for odd input: vectors that are null, zero, of another length than the sample's most common one, or
 that hold null or non-finite numbers take no part, nor do rows without an id; rows of one id are one vector, the least;
-a query with fewer candidates gets all of them; an empty table gives no rows.
+equal vectors of several ids are several candidates; a query with fewer candidates gets all of them; an empty table gives
+no rows; vectors have no texts, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +35,9 @@ from cohortlens.llm.common import in_arrow
 from cohortlens.storage import written
 
 SAMPLE, PART, MOST_PARTS, NEIGHBOURS, WANTED = 12_000, 1000, 256, 10, 0.97
-BLOCK, QUERY_BLOCK = 2048, 512
+#: Small tables have up to so many parts, of so many vectors at least.
+FEW_PARTS, LEAST_PART = 8, 128
+BLOCK, QUERY_BLOCK, GROUP = 2048, 512, 8
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -94,6 +103,10 @@ class Router:
     scale: float
     visits: int = 1
 
+    @property
+    def parts(self) -> int:
+        return len(self.weights["b"])
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum(x / self.scale @ self.weights["A"] + self.weights["a"], 0)
         s = h @ self.weights["B"] + self.weights["b"]
@@ -131,9 +144,13 @@ class Router:
         return own
 
 
-def fit_router(x: np.ndarray, total: int, seed: int = 3) -> Router:
+def wanted_parts(total: int) -> int:
+    return max(1, -(-total // PART), min(FEW_PARTS, total // LEAST_PART))
+
+
+def fit_router(x: np.ndarray, total: int, seed: int = 3, most_parts: int = MOST_PARTS, wanted: float = WANTED) -> Router:
     """Partitions a sample x of ``total`` vectors and learns to route."""
-    parts = int(min(MOST_PARTS, max(1, -(-total // PART)), max(1, len(x) // 16)))
+    parts = int(min(most_parts, wanted_parts(total), max(1, len(x) // 16)))
     graph = neighbour_graph(x, NEIGHBOURS)
     part = balanced_parts(x, graph, parts, seed=seed)
     soft = np.zeros((len(x), parts))
@@ -146,10 +163,56 @@ def fit_router(x: np.ndarray, total: int, seed: int = 3) -> Router:
     np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(x), 0), axis=1)
     if graph.shape[1]:
         need = place[np.repeat(np.arange(len(x)), graph.shape[1]), order[graph.reshape(-1), 0]]
-        router.visits = int(min(parts, np.searchsorted(np.cumsum(np.bincount(need, minlength=parts)) / len(need), WANTED) + 1))
+        router.visits = int(min(parts, np.searchsorted(np.cumsum(np.bincount(need, minlength=parts)) / len(need), wanted) + 1))
     return router
 
 
+@dataclass
+class Tree:
+    """A router, and one for each of its parts that is cut again; leaves have running numbers."""
+
+    root: Router
+    below: dict[int, Router]
+    sizes: np.ndarray | None = None
+
+    def __post_init__(self):
+        parts = self.root.parts
+        self.first = np.concatenate([[0], np.cumsum([self.below[p].parts if p in self.below else 1 for p in range(parts)])])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that a vector is indexed under."""
+        part = self.root.best(x, 1)[:, 0]
+        out = self.first[part]
+        for p in np.unique(part):
+            if p in self.below:
+                rows = np.flatnonzero(part == p)
+                out[rows] += self.below[p].best(x[rows], 1)[:, 0]
+        return out
+
+    def visited(self, x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of x, leaf) of the leaves that a query visits: they hold ``least`` vectors, if all leaves do."""
+        rows, leaves = [], []
+        order = self.root.best(x, self.root.parts)
+        held = np.zeros(len(x), np.int64)
+        for turn in range(self.root.parts):
+            open_ = np.flatnonzero((held < least) | (turn < self.root.visits))
+            if not len(open_):
+                break
+            for p in np.unique(order[open_, turn]):
+                here = open_[order[open_, turn] == p]
+                child = self.below.get(int(p))
+                inner = child.best(x[here], child.parts) if child else np.zeros((len(here), 1), np.int64)
+                for k in range(inner.shape[1]):
+                    more = np.flatnonzero((held[here] < least) | (k < (child.visits if child else 1)))
+                    if not len(more):
+                        break
+                    found = self.first[p] + inner[more, k]
+                    rows.append(here[more])
+                    leaves.append(found)
+                    held[here[more]] += self.sizes[found]
+        return np.concatenate(rows), np.concatenate(leaves)
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id and v (array of doubles) of the vectors that take part."""
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -162,7 +225,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def fitted(rows: DataFrame, x: np.ndarray, total: int, sample: int, most_parts: int) -> Tree:
+    """Routers for the vectors (vec_id, v), of which x is a sample."""
+    if wanted_parts(total) <= most_parts:
+        return Tree(fit_router(x, total, most_parts=most_parts), {})
+    wanted = WANTED**0.5  # at each of two levels
+    top = fit_router(x, total, most_parts=most_parts, wanted=wanted)
+    sent = rows.sparkSession.sparkContext.broadcast(top)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value.best(_matrix(batch.column(1)), 1)[:, 0], pa.int32()), *batch.columns], ["part", "vec_id", "v"])
+
+    placed = written(in_arrow(rows, assign, "part int, vec_id long, v array<double>"), "parts")
+    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}  # most_parts rows at most
+    share = F.create_map(*(F.lit(v) for p, n in sizes.items() for v in (p, sample / n)))
+    few = placed.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) < share[F.col("part")] * (1 << 30))  # some ``sample`` of each part
+
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(key[0])
+        own = fit_router(np.stack(frame.sort_values("vec_id")["v"].to_numpy()), sizes[part], most_parts=most_parts, wanted=wanted)
+        return pd.DataFrame({"part": [part], "router": [pickle.dumps(own)]})
+
+    below = few.groupBy("part").applyInPandas(fit, "part int, router binary").collect()
+    return Tree(top, {r.part: pickle.loads(r.router) for r in below})
+
+
+def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, most_parts: int = MOST_PARTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (the rows for which the SQL condition holds,
     over ``vec_id``), among all other rows."""
     spark = df.sparkSession
@@ -175,26 +264,36 @@ def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_co
     width = int(sizes.argmax())
     rows = rows.where(F.size("v") == width)
     x = np.array([r.v for r in few if len(r.v) == width])
-    router = fit_router(x, rows.count())
-    sent = spark.sparkContext.broadcast(router)
+    tree = fitted(rows, x, rows.count(), sample, most_parts)
+    router = spark.sparkContext.broadcast(tree)
+    shape = "part int, vec_id long, v binary"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.best(v, 1)[:, 0], pa.int32()), batch.column(0), pa.array([r.tobytes() for r in v], pa.binary())], ["part", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(router.value.leaf(v), pa.int32()), batch.column(0), pa.array([r.tobytes() for r in v], pa.binary())], ["part", "vec_id", "v"])
+
+    indexed = written(in_arrow(rows, assign, shape), "index")
+    counts = indexed.groupBy("part").agg(F.count("*").alias("n")).collect()  # a number for each leaf
+    tree.sizes = np.zeros(int(tree.first[-1]), np.int64)
+    for r in counts:
+        tree.sizes[r.part] = r.n
+    sent = spark.sparkContext.broadcast(tree)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                v, n = _matrix(batch.column(1)), sent.value.visits
-                parts = sent.value.best(v, n).reshape(-1)
-                again = pa.array(np.repeat(np.arange(len(v)), n))
+        for whole in batches:
+            for a in range(0, len(whole), 256):
+                batch = whole.slice(a, 256)
+                v = _matrix(batch.column(1))
+                again, parts = sent.value.visited(v, k + 1)
+                again = pa.array(again)
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0).take(again), pa.array([r.tobytes() for r in v], pa.binary()).take(again)], ["part", "vec_id", "v"])
 
-    shape = "part int, vec_id long, v binary"
-    indexed = written(in_arrow(rows, assign, shape), "index")
-    asked = in_arrow(rows.where(is_query), visit, shape)
-    pairs = _packed(indexed, BLOCK).join(_packed(asked, QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "queries"}), "part")
+    asked = _packed(in_arrow(rows.where(is_query), visit, shape), QUERY_BLOCK).select("part", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    groups = spark.createDataFrame([(r.part, -(-_blocks(r.n, BLOCK) // GROUP)) for r in counts], "part int, groups int")
+    spread = asked.join(F.broadcast(groups), "part").withColumn("grp", F.explode(F.expr("sequence(0, groups - 1)")))  # a row for each leaf
+    packed = _packed(indexed, BLOCK).withColumn("grp", (F.col("salt") / GROUP).cast("int"))
+    pairs = packed.join(spread, ["part", "grp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,16 +322,20 @@ def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_co
     return in_arrow(partial.repartition("query_id").sortWithinPartitions("query_id"), merge, empty.schema)
 
 
+def _blocks(n: int, block: int) -> int:
+    return -(-n // block)
+
+
 def _packed(rows: DataFrame, block: int) -> DataFrame:
-    """(part, ids, vectors): the rows of a part in blocks of about ``block`` rows."""
-    sizes = F.broadcast(rows.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # MOST_PARTS rows at most
-    salted = rows.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "blocks")).select("part", "salt", "vec_id", "v")
+    """(part, salt, ids, vectors): the rows of a part in blocks of about ``block`` rows."""
+    sizes = F.broadcast(rows.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # a row for each leaf
+    salted = rows.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).select("part", "salt", "vec_id", "v")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors = None, [], []
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vectors)], pa.binary())], ["part", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vectors)], pa.binary())], ["part", "salt", "ids", "vectors"])
 
         for batch in batches:
             for part, salt, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -245,7 +348,7 @@ def _packed(rows: DataFrame, block: int) -> DataFrame:
         if ids:
             yield full()
 
-    return in_arrow(salted.repartition("part", "salt").sortWithinPartitions("part", "salt", "vec_id"), pack, "part int, ids binary, vectors binary")
+    return in_arrow(salted.repartition("part", "salt").sortWithinPartitions("part", "salt", "vec_id"), pack, "part int, salt int, ids binary, vectors binary")
 
 
 def _top(ids: np.ndarray, c: np.ndarray, query: np.ndarray, own: int, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -59,6 +59,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if a column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """Stored bytes of the tables that df reads, as far as the plan knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -124,6 +132,21 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and of each row the first word: first[r]:first[r + 1] are those of row r."""
+    space, n = (_IS_SPACE if breaks is None else breaks)[data], len(data)
+    solid = ~space
+    begins, ends = solid.copy(), solid.copy()
+    if n:
+        begins[1:] &= space[:-1]
+        ends[:-1] &= space[1:]
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        begins[inner] |= solid[inner]
+        ends[inner - 1] |= solid[inner - 1]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets).astype(np.int64)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts: start, end, 64-bit hash, and first word of each row.
 
@@ -132,28 +155,14 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray | None = None):
-        space = (_IS_SPACE if breaks is None else breaks)[data]
         n = len(data)
-        solid = ~space
-        begins = solid.copy()
-        if n:
-            begins[1:] &= space[:-1]
-            inner = offsets[(offsets > 0) & (offsets < n)]
-            begins[inner] |= solid[inner]
-            ends = solid.copy()
-            ends[:-1] &= space[1:]
-            ends[inner - 1] |= solid[inner - 1]
-        else:
-            ends = solid
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
+        self.start, self.end, self.first = word_spans(data, offsets, breaks)
         values = _BYTE_VALUES[_LOWER] if lower else _BYTE_VALUES
         up, down = _BYTE_POWERS.upto(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values[data] * up[:n], out=sums[1:])
         raw = (sums[self.end] - sums[self.start]) * down[self.start]
         self.hash = splitmix(raw + (self.end - self.start).astype(np.uint64))
-        self.first = np.searchsorted(self.start, offsets).astype(np.int64)  # first[r]:first[r + 1] are the words of row r
 
     @property
     def counts(self) -> np.ndarray:

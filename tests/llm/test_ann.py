@@ -55,20 +55,52 @@ def test_parts_are_balanced():
     assert np.bincount(part, minlength=6).max() <= math.ceil(150 * 1.05)
 
 
-def test_recall_with_many_parts(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'check_s')}/embeddings.parquet")
-    got = as_map(ann.nearest(df))
-    rows = df.collect()
-    ids = np.array([r.vec_id for r in rows])
-    x = np.array([r.embedding for r in rows], float)
+def recall(rows, got, some):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
     assert set(got) == {int(i) for i in ids if i % 20 == 0}
     hits = []
-    for q in np.flatnonzero(ids % 20 == 0)[:200]:
+    for q in np.flatnonzero(ids % 20 == 0)[:some]:
         s = ann.exact(x[q], x)
         order = [int(i) for i in ids[np.lexsort((ids, -s))] if i != ids[q]][:20]
-        hits.append(len(set(order) & {i for i, _ in got[int(ids[q])]}) / 20)
-        assert all(v == s[np.flatnonzero(ids == i)[0]] for i, v in got[int(ids[q])])
-    assert np.mean(hits) >= 0.9
+        found = got[int(ids[q])]
+        assert len(found) == 20 and all(v == s[np.flatnonzero(ids == i)[0]] for i, v in found)
+        hits.append(len(set(order) & {i for i, _ in found}) / 20)
+    return np.mean(hits)
+
+
+def test_recall_with_many_parts(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    assert ann.wanted_parts(len(rows)) > 4
+    assert recall(rows, as_map(ann.nearest(df)), 100) >= 0.9
+
+
+def grouped(n, groups, seed):
+    rnd = np.random.default_rng(seed)
+    centre = rnd.normal(size=(groups, 24))
+    x = centre[rnd.integers(0, groups, n)] + 0.35 * rnd.normal(size=(n, 24))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_vectors_in_groups_need_few_parts():
+    x = grouped(12_000, 150, 3)
+    router = ann.fit_router(x, 40_000)
+    assert router.parts == 40 and router.visits < 40 / 3
+
+
+def test_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 150)
+    rows = list(enumerate(grouped(3000, 60, 4).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert ann.wanted_parts(3000) == 20
+    assert recall(rows, as_map(ann.nearest(df, most_parts=6)), 60) >= 0.9
+
+
+def test_parts_that_hold_too_few(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(600)] + [(1000 + i, rnd.normal(size=4).tolist()) for i in range(500)]
+    got = as_map(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=400))
+    assert all(len(v) == 400 for v in got.values())
 
 
 def test_query(spark, sf_dir):
