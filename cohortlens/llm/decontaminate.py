@@ -6,11 +6,13 @@ longest common run of unmarked words is found by running Karp-Rabin at a search
 with ever shorter search lengths down to five words. Tiles don't overlap, and their order doesn't matter, so passages
 with reordered parts count in full. A document holds an item if tiles cover at least 80 % of the item's words.
 
-The benchmark is a query set: it is read in blocks of at most ``BLOCK_WORDS`` words, each sent to the workers once, and
-the documents are scanned once for each block. Nothing else moves.
+The benchmark is a query set: it is read in blocks of about ``BLOCK_WORDS`` words, one at a time, each sent to the
+workers once, and the documents are scanned once for each block. Nothing else moves.
 
 Results for odd input: null or empty texts and items match nothing; items under five words are never reported; repeated
-items and repeated documents are each reported; an item id or doc id may be null.
+items and repeated documents are each reported; an item id or doc id may be null; very long texts are read whole, a batch
+of at least one row at a time; of equally long tiles the first counts; empty tables give no rows, and an empty benchmark
+leaves all documents; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortlens.llm.common import Windows, Words, in_arrow, slices, text_bytes, window_starts
+from cohortlens.llm.common import Windows, Words, free_name, in_arrow, slices, text_bytes, window_starts
+from cohortlens.storage import written
 
 SEED, COVERAGE = 5, 0.8
 #: Words of the benchmark that are sent to the workers at once.
@@ -120,22 +123,26 @@ class Block:
         yield from map(tuple, pair[enough].tolist())
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The items, in blocks by the hash of their text, read one block at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """The items in blocks of about ``BLOCK_WORDS``, read one block at a time. Where there are several, items are dealt to
+    them row by row, so that repeated ones don't share a block."""
     rows = benchmark.select(F.col(id_col).alias("item"), F.lower(F.col(text_col).cast("string")).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[a-z0-9[^\x00-\x7F]]+")))).first()[0] or 0
     n = -(-total // BLOCK_WORDS)
-    return [[tuple(r) for r in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)).collect()] for k in range(n)]
+    if n > 1:
+        rows = written(rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))), "benchmark")
+    for k in range(n):
+        yield [tuple(r) for r in (rows if n == 1 else rows.where(F.col("block") == k).drop("block")).collect()]
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, least: int = SEED) -> DataFrame:
     """One row per document and item that it holds: the id columns, coverage (of the item's words), n_tiles, and tiles
     (start in the item, start in the document, words). Starts count words as above."""
     spark = df.sparkSession
-    given = df.select(F.col(id_col), F.lower(F.col(text_col).cast("string")).alias("text"))
+    given = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     kind = benchmark.schema[item_col].dataType
     tile = T.StructType([T.StructField(c, T.IntegerType()) for c in ("item_start", "doc_start", "words")])
-    out = T.StructType([given.schema[0], T.StructField(item_col, kind), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()), T.StructField("tiles", T.ArrayType(tile))])
+    out = T.StructType([T.StructField(id_col, given.schema[0].dataType), T.StructField(item_col, kind), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.IntegerType()), T.StructField("tiles", T.ArrayType(tile))])
 
     item_type = to_arrow_type(kind)
 
@@ -158,7 +165,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return in_arrow(given, run, out)
 
-    return reduce(DataFrame.unionByName, [scan(rows) for rows in blocks(benchmark, item_col, item_text) if rows], spark.createDataFrame([], out))
+    return reduce(DataFrame.unionByName, (scan(rows) for rows in blocks(benchmark, item_col, item_text) if rows), spark.createDataFrame([], out))
 
 
 _TILES = pa.list_(pa.struct([(c, pa.int32()) for c in ("item_start", "doc_start", "words")]))
@@ -166,20 +173,23 @@ _TILES = pa.list_(pa.struct([(c, pa.int32()) for c in ("item_start", "doc_start"
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of df that hold no item, with all their columns, judged row by row where they are read."""
-    given = df.withColumn("__text", F.lower(F.col(text_col).cast("string")))
+    text = free_name(df, "lower_text")
+    given, passes = df.withColumn(text, F.lower(F.col(text_col).cast("string"))), 0
     for rows in blocks(benchmark, options.get("item_col", "item_id"), options.get("item_text", "text")):
-        given = _without(given, rows, options.get("coverage", COVERAGE), options.get("least", SEED))
-    return given.drop("__text")
+        if rows:
+            given = _without(given if passes == 0 else written(given, "rest"), text, rows, options.get("coverage", COVERAGE), options.get("least", SEED))
+            passes += 1
+    return given.drop(text)
 
 
-def _without(given: DataFrame, rows: list[tuple], coverage: float, least: int) -> DataFrame:
+def _without(given: DataFrame, text: str, rows: list[tuple], coverage: float, least: int) -> DataFrame:
     block = given.sparkSession.sparkContext.broadcast(Block(rows, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = block.value
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                words, keep = word_hashes(batch.column("__text")), np.ones(len(batch), bool)
+            for batch in slices(whole, text):
+                words, keep = word_hashes(batch.column(text)), np.ones(len(batch), bool)
                 for row, item in own.candidates(words, least, coverage):
                     if keep[row]:
                         cut = tiles(own.words[item], words.hash[words.first[row] : words.first[row + 1]], least)

@@ -1,7 +1,7 @@
 import random
 import re
 
-from cohortlens.llm import decontaminate
+from cohortlens.llm import decontaminate, queries
 
 
 def brute_tiles(item, doc, least):
@@ -105,3 +105,22 @@ def test_items_without_ids(spark):
     bench = spark.createDataFrame([(None, "a b c d e f")], "item_id long, text string")
     rows = decontaminate.contaminated(spark.createDataFrame([(1, "x a b c d e f")], "doc_id long, text string"), bench).collect()
     assert [(r.doc_id, r.item_id, r.coverage) for r in rows] == [(1, None, 1.0)]
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    rows, items = corpus(5)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).select("doc_id", "item_id").collect()), key=str)
+    kept = sorted(map(tuple, decontaminate.decontaminated(docs, bench).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", sum(len(words(t)) for _, t in items) // 3)
+    parts = list(decontaminate.blocks(bench, "item_id", "text"))
+    assert len(parts) > 2 and sum(map(len, parts)) == sum(t is not None for _, t in items)
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).select("doc_id", "item_id").collect()), key=str) == whole
+    assert sorted(map(tuple, decontaminate.decontaminated(docs, bench).collect()), key=str) == kept
+
+
+def test_query(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in queries.op3_decontamination(spark, sf_dir).collect())
+    assert got and got == sorted(brute(docs, items))
