@@ -8,7 +8,9 @@ drawn up by rule (``drawn_findings``): keys, passwords and tokens in text, again
 words, versions and paths.
 
 Texts are scanned whole where they are read; nothing moves. Results for odd input: null or empty text has no findings; a
-null path is an empty one; overlapping candidates give the first and longest; repeated rows are scanned row by row.
+null path is an empty one, a null id is kept; overlapping candidates give the first and longest; repeated rows are scanned
+row by row; very long texts are scanned whole, a batch of at least one row at a time; an empty table gives no rows, and
+without findings to learn from every candidate scores one half; other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import in_arrow, slices
+from cohortlens.llm.common import free_name, in_arrow, slices
 from cohortlens.llm.forest import RandomForest
 
 FINDINGS, THRESHOLD, NEAR = 6000, 0.5, 4
@@ -192,19 +194,20 @@ def _judged(forest: RandomForest, texts: list[str | None], paths: list[str | Non
     return [[(a, b, kind, next(scores)) for a, b, kind in spots] for spots, _ in each]
 
 
-def _inputs(df: DataFrame, text_col: str, path_col: str | None) -> DataFrame:
-    return df.withColumns({"__text": F.col(text_col).cast("string"), "__path": F.col(path_col).cast("string") if path_col else F.lit("")})
+def _inputs(text_col: str, path_col: str | None) -> tuple[Column, Column]:
+    return F.col(text_col).cast("string"), F.col(path_col).cast("string") if path_col else F.lit("")
 
 
 def findings(df: DataFrame, forest: RandomForest, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row per secret: the id column, kind, start and end (characters of the text), secret and score."""
-    given = _inputs(df, text_col, path_col).select(F.col(id_col), "__text", "__path")
+    text, path = _inputs(text_col, path_col)
+    given = df.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path"))
     sent = df.sparkSession.sparkContext.broadcast(forest)
-    out = T.StructType([given.schema[0], T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("secret", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([T.StructField(id_col, given.schema[0].dataType), T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("secret", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
+            for batch in slices(whole, "text"):
                 texts = batch.column(1).to_pylist()
                 found = [(r, k, a, b, texts[r][a:b], s) for r, spots in enumerate(_judged(sent.value, texts, batch.column(2).to_pylist())) for a, b, k, s in spots if s >= threshold]
                 if found:
@@ -217,18 +220,20 @@ def findings(df: DataFrame, forest: RandomForest, id_col: str = "doc_id", text_c
 
 def redacted(df: DataFrame, forest: RandomForest, text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """df with each secret in its texts replaced by ``[SECRET:<kind>]``; all columns and rows stay."""
-    given = _inputs(df, text_col, path_col).drop(text_col)
+    text, path = _inputs(text_col, path_col)
+    at = free_name(df, "path")
+    given = df.withColumns({text_col: text, at: path})
     sent = df.sparkSession.sparkContext.broadcast(forest)
-    out = T.StructType([f for f in given.schema.fields if f.name != "__path"])
+    out = T.StructType([f for f in given.schema.fields if f.name != at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "__text"):
-                texts = batch.column("__text").to_pylist()
-                for r, spots in enumerate(_judged(sent.value, texts, batch.column("__path").to_pylist())):
+            for batch in slices(whole, text_col):
+                texts = batch.column(text_col).to_pylist()
+                for r, spots in enumerate(_judged(sent.value, texts, batch.column(at).to_pylist())):
                     for a, b, kind, score in reversed(spots):
                         if score >= threshold:
                             texts[r] = f"{texts[r][:a]}[SECRET:{kind}]{texts[r][b:]}"
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "__text" else batch.column(f.name) for f in out.fields], [f.name for f in out.fields])
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in out.fields], [f.name for f in out.fields])
 
-    return in_arrow(given, run, out).withColumnRenamed("__text", text_col).select(*df.columns)
+    return in_arrow(given, run, out)

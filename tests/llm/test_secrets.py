@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cohortlens.llm import secrets
+from cohortlens.llm import queries, secrets
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,45 @@ def test_labelled_table(spark):
     forest = secrets.trained(table, limit=500)
     x = np.array([secrets.measures(v, b, a, p, secrets._kind(v, b)) for v, b, a, p, _ in secrets.drawn_findings(400, 9)])
     assert ((forest.score(x) >= 0.5) == np.array([r[4] for r in secrets.drawn_findings(400, 9)])).mean() > 0.9
+
+
+def slow_score(forest, row):
+    """Each tree walked from its root, one node after another."""
+    total = 0.0
+    for at in forest.roots:
+        while forest.feature[at] >= 0:
+            at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+        total += forest.share[at]
+    return total / len(forest.roots)
+
+
+def slow_candidates(text):
+    """Every pattern tried at every place, patterns in order of precedence."""
+    taken = [False] * len(text)
+    found = []
+    for kind, pattern, group, _ in secrets.PATTERNS:
+        at, free = 0, list(taken)
+        while at < len(text):
+            m = pattern.match(text, at)
+            if m is None or m.end() == m.start():
+                at += 1
+                continue
+            a, b = m.span(group)
+            if not any(free[a:b]):
+                found.append((a, b, kind))
+                taken[a:b] = [True] * (b - a)
+            at = m.end()
+    return sorted(found)
+
+
+def test_query(spark, sf_dir, forest):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").collect()
+    want = []
+    for k, text, source in rows:
+        for a, b, kind in slow_candidates(text or ""):
+            score = slow_score(forest, secrets.described(text, source or "")[1][[x[:2] for x in secrets.candidates(text)].index((a, b))])
+            if score >= secrets.THRESHOLD:
+                want.append((k, kind, a, b, round(score, 9)))
+    got = [(r.doc_id, r.kind, r.start, r.end, r.score) for r in queries.op10_secret_scan(spark, sf_dir).collect()]
+    assert got and sorted(got) == sorted(want)
