@@ -168,12 +168,18 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, lis
         yield at, run
 
 
-def row_name(id_col: str, text_col: str) -> dict[str, Column]:
-    """The two longs that name a row: rows that agree in both are equal in id and text."""
-    return {"dk": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "rk": F.xxhash64(id_col, text_col)}
+def row_name(df: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """The two longs that name a row: rows that agree in both are equal in id and text. The first is a whole-number id
+    itself, or the hash of another one."""
+    own = F.col(id_col).cast("long") if whole_number(df, id_col) else F.xxhash64(id_col)
+    return {"dk": F.coalesce(own, F.lit(0)), "rk": F.xxhash64(id_col, text_col)}
+
+
+def whole_number(df: DataFrame, id_col: str) -> bool:
+    return isinstance(df.schema[id_col].dataType, (T.IntegralType, T.NullType))
 
 
 def named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the two longs that name a row."""
     out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return out.withColumns(row_name("doc_id", "text"))
+    return out.withColumns(row_name(out, "doc_id", "text"))

@@ -9,7 +9,9 @@ overlap). The larger of two linked sets has an overlap of at least t of its size
 2. *Equal sets* become one class; what follows sees one document of each class, and of those only the ones left by 1.
 3. *Signatures, in order of frequency.* Tokens of up to ``RARE`` documents are indexed alone, more frequent ones by
    pairs (k = 2). So a document that shares two tokens of its prefix with a partner meets it: under a rare one, or under
-   a pair of frequent ones. Candidates are verified on the whole sets.
+   a pair of frequent ones. Sets of more than ``LONG`` tokens, and those that can link to such a set, index frequent
+   tokens alone (k = 1) up to the shorter prefix, so that a very long text has no more signatures than tokens. Candidates
+   are verified on the whole sets.
 
 Links decide components only, so a large group of copies need not become all its pairs. Two early rounds take the first
 few tokens of each prefix as signatures and verify the most central member of a signature against the others. Then
@@ -19,7 +21,9 @@ each with the most that can be shared from its place in the order on, and verifi
 this bound leaves. A linked pair always passes under its first common tokens, so no link between components is missed.
 
 Results for odd input: null or empty text has no tokens and stays alone; fewer words than n are one token; a null id has
-component null and links nothing; repeated rows are one class; rows of one id with different texts are judged apart.
+component null and links nothing; repeated rows are one class; rows of one id with different texts are judged apart; ids
+may be numbers or texts; very long texts are whole sets; an empty table gives no rows; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.common import Windows, Words, in_arrow, release_caches, slices, splitmix, text_bytes, window_starts
-from cohortlens.llm.exchange import CHUNK, ENTRIES, PACKED, REPEATS, ROWS, Keys, _batches, _runs, dealt, key_ranges, named, repeated
+from cohortlens.llm.exchange import CHUNK, ENTRIES, PACKED, REPEATS, ROWS, Keys, _batches, _runs, dealt, key_ranges, named, repeated, whole_number
 from cohortlens.operators.components import connected_components
 from cohortlens.storage import written
 
 #: Components up to which a token is rare.
 RARE = 48
+#: Tokens of a set beyond which frequent tokens are indexed alone too, as their pairs would grow with its square.
+LONG = 4096
 #: Signatures of a document in an early round, and the number of such rounds.
 FEW, EARLY = 8, 2
 EXTEND = 20
@@ -152,7 +158,13 @@ def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int |
         return splitmix(tokens[:few]), np.ones(min(few, large), bool), np.full(min(few, large), m)
     rare = int((spread <= most_rare).sum())
     keys, is_small, left = [splitmix(tokens[:rare])], [np.arange(rare) < small], [m - np.arange(rare)]
-    if large - rare > 1:
+    if 100 * n > percent * LONG:
+        one = min(m, m - least_overlap(n, percent) + 1)
+        alone = np.arange(rare, max(rare, one))
+        keys.append(splitmix(tokens[alone]))
+        is_small.append(alone < small - 1)
+        left.append(m - alone)
+    if n <= LONG and large - rare > 1:
         i, j = np.triu_indices(large - rare, 1)
         rest = tokens[rare:]
         keys.append(splitmix(rest[i] * np.uint64(0x9E3779B97F4A7C15) + splitmix(rest[j])))
@@ -384,6 +396,12 @@ def linked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     rows = named(df, id_col, text_col)
     out = _components(rows, words, percent, rare, early)
     kind = rows.schema["doc_id"].dataType
+    if not whole_number(rows, "doc_id"):  # names are hashes: the least id is found among the ids themselves
+        out = rows.where("doc_id is not null").select("dk", "rk", "doc_id").join(out.select("dk", "rk", "n", "component").distinct(), ["dk", "rk"])
+        least = out.groupBy("component").agg(F.min("doc_id").alias("least"))
+        alone = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+        whole = out.join(least, "component").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+        return whole.unionByName(_without_id(rows, id_col, words))
     whole = out.select(F.col("dk").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
     return whole.unionByName(_without_id(rows, id_col, words))
 

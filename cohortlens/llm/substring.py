@@ -10,7 +10,9 @@ Anchor keys are cut to 32 bits inside their key range, which only adds windows t
 whole 64-bit hash.
 
 Results for odd input: null or empty text has no words, nothing removed and empty kept text; texts under 35 words
-keep everything; repeated rows are copies of one another, so each loses its windows; a null id is kept as null.
+keep everything; repeated rows are copies of one another, so each loses its windows; a null id is kept as null, and ids
+may be texts; very long texts are cut whole, a batch of at least one row at a time; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cohortlens.llm import ngram_join
@@ -68,3 +69,26 @@ def test_pairs_of_frequent_tokens(spark, early):
 
 def test_empty_table(spark):
     assert ngram_join.linked(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_text_ids(spark):
+    rows = corpus(3, 60)
+    df = spark.createDataFrame([(None if k is None else f"id-{k:05d}", t) for k, t in rows], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked(df).collect()), key=str)
+    name = lambda k: None if k is None else f"id-{k:05d}"
+    assert got == sorted(((name(k), n, name(c)) for k, n, c in brute(rows, 4, 85)), key=str)
+
+
+@pytest.mark.parametrize("long", [30, 60, 150])
+def test_long_sets_index_frequent_tokens_alone(spark, monkeypatch, long):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    rows = corpus(10, 90)
+    got = [tuple(r) for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), rare=2, early=0).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows, 4, 85), key=key)
+
+
+def test_signatures_of_a_very_long_text():
+    n = 200_000
+    tokens = np.arange(n, dtype=np.uint64)
+    keys, small, left = ngram_join.signatures(tokens, np.full(n, 1000), 85, None)
+    assert len(keys) == len(small) == len(left) <= n

@@ -53,3 +53,15 @@ def test_rows_of_one_id_are_judged_apart(spark, sf_dir):
     of_8 = [t for k, t in got if k == 8]
     assert len(of_8) == 1 and of_8[0] in (c, f"{c} more")
     assert sorted((r for r in got if r[0] != 8), key=str) == sorted([(3, a), (7, b), (9, ""), (9, None), (None, a), (None, a)], key=str)
+
+
+def test_columns_with_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    names = ["score", "lower_text", "path", "dk", "rk", "component", "n", "__text", "__path", "__score", "block"]
+    extra = docs.selectExpr("*", *(f"concat('{n}', doc_id) AS {n}" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, sf_dir), stage(spark, extra, sf_dir)
+        assert out.columns == extra.columns
+        rows = out.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        assert sorted(r[:5] for r in map(tuple, rows)) == sorted(map(tuple, plain.collect()))

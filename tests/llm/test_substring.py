@@ -70,3 +70,13 @@ def test_query(spark, sf_dir):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op9_substring_dedup(spark, sf_dir).collect()}
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert got == {i: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute(rows, 35)}
+
+
+def test_text_ids_and_a_very_long_text(spark):
+    rnd = random.Random(12)
+    long = [f"w{rnd.randrange(5000)}" for _ in range(120_000)]
+    rows = [("a", " ".join(long)), ("b", " ".join(long[70_000:70_060])), (None, "x y")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id string, text string, dk string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()}
+    assert got == {"a": (120_000, 60), "b": (60, 60), None: (2, 0)}
+    assert substring.remove_repeats(df.limit(0)).collect() == []
