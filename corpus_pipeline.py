@@ -6,6 +6,12 @@
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: secrets in texts are replaced by ``[SECRET:<kind>]``, and n_chars follows the text.
 5. bpe: the texts as token ids.
+
+Odd input, stage by stage. Null or empty texts: scored like any other, no copies of one another, hold no item and no
+secret, and have no ids. Null ids: judged like others, but never as copies. Very long texts are read whole everywhere. Ties:
+a score of exactly 0.5 stays; of copies of one least id one row stays. Repeated rows are scored alike, and one of them stays.
+Empty tables give empty tables; without labels every score is 0.5, and without items every document stays. Other columns are
+kept through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,13 +19,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, decontaminate, exchange, ngram_join, quality, queries, secrets
-from cohortlens.storage import ship, written
+from cohortlens.llm import bpe, common, decontaminate, exchange, ngram_join, quality, queries, secrets
+from cohortlens.storage import erase, ship, stored, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fitted(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, name="__score").where("__score >= 0.5").drop("__score")
+    score = common.free_name(docs, "score")
+    return quality.scored(docs, model, name=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +35,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     several = rows.groupBy("component").agg(F.min(F.struct("dk", "rk")).alias("first"), F.max(F.struct("dk", "rk")).alias("last")).where("first <> last")
     copies = rows.join(several, "component").where("dk <> first.dk or rk <> first.rk").select("dk", "rk").distinct()
     repeated = rows.groupBy("dk", "rk").count().where("count > 1").select("dk", "rk")
-    given = docs.withColumns(exchange.row_name("doc_id", "text"))
+    names = exchange.row_name(docs, "doc_id", "text")
+    given = docs.select(F.struct("*").alias("doc"), *(c.alias(k) for k, c in names.items()))
     single = given.join(copies.unionByName(repeated).distinct(), ["dk", "rk"], "left_anti")
-    again = given.join(repeated, ["dk", "rk"], "left_semi").join(copies, ["dk", "rk"], "left_anti").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(again).select(docs.columns)
+    again = given.join(repeated, ["dk", "rk"], "left_semi").join(copies, ["dk", "rk"], "left_anti").dropDuplicates(["dk", "rk"])
+    return single.unionByName(again).select("doc.*")
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, path = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before = path
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if before:
+            erase(spark, before)
     return docs
