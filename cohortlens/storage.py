@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
 import tempfile
@@ -38,6 +39,14 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets the session delete the shuffle files of plans that nothing refers to any more: it does so when the driver
+    collects garbage, which between large steps may be long after."""
+    for _ in range(2):  # the first one finds the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def erase(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
