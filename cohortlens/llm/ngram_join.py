@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from cohortlens.llm.common import Windows, Words, in_arrow, release_caches, slices, splitmix, text_bytes, window_starts
 from cohortlens.llm.exchange import CHUNK, ENTRIES, PACKED, REPEATS, ROWS, Keys, _batches, _runs, dealt, key_ranges, named, repeated, whole_number
 from cohortlens.operators.components import connected_components
-from cohortlens.storage import written
+from cohortlens.storage import let_go, written
 
 #: Components up to which a token is rare.
 RARE = 48
@@ -128,8 +128,8 @@ def candidate_sets(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 packed = [tokens[b - c : b].tobytes() for b, c in zip(ends, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("rk"), batch.column("dk"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["rk", "dk", "n", "tokens"])
 
-    rows = df.join(wanted.select("dk", "rk"), ["dk", "rk"]).select("rk", "dk", "text")
-    return in_arrow(rows, run, SETS).groupBy("rk").agg(F.first("dk").alias("dk"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    rows = df.join(wanted.select("dk", "rk"), ["dk", "rk"]).groupBy("dk", "rk").agg(F.first("text").alias("text"))  # repeated rows, where the join has them
+    return in_arrow(rows.select("rk", "dk", "text"), run, SETS)
 
 
 def _entries(keys: np.ndarray, refs: list[np.ndarray], buckets: int, chunk: int) -> list[tuple]:
@@ -420,13 +420,17 @@ def _components(rows: DataFrame, words: int, percent: int, rare: int, early: int
     info = written(marks.select("dk", "rk", "n", "fp1", "fp2", F.expr("length(marks) div 4").alias("hits")), "sets")
     wanted = classes(info).where(f"n > 0 and hits >= ceil(n / {EXTEND})")
     sets = written(candidate_sets(rows, wanted, words), "tokens")
+    let_go(rows.sparkSession)  # the marks and the joins of whole texts are in tables now
     links = None
     root = None
     for few in [*[FEW] * early, None]:
         labelled = sets.withColumn("root", F.col("rk")) if root is None else sets.join(root, sets.rk == root.node, "left").withColumn("root", F.coalesce("component", "rk"))
-        found = written(verified(candidate_pairs(labelled, percent, few, rare), sets, percent), "links")
+        pairs = written(candidate_pairs(labelled, percent, few, rare), "pairs")
+        let_go(rows.sparkSession)  # what it took to find them goes before whole sets are moved to verify them
+        found = written(verified(pairs, sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         root = connected_components(links, "a", "b")
+        let_go(rows.sparkSession)
     names = sets.select("rk", "dk").join(root, sets.rk == root.node).groupBy("component").agg(F.min("dk").alias("least"))
     of_class = classes(info).alias("c").join(root, F.col("c.rk") == root.node, "left").join(names, "component", "left")
     of_class = of_class.select("n", "fp1", "fp2", F.coalesce("least", "dk").alias("component_id"), F.coalesce("component", "rk").alias("component"))
