@@ -2,12 +2,15 @@
 
 A block of ``BLOCK`` ids is coded on its own: its models start afresh. For each id the order-2 context (the two ids before
 it) and the order-1 context predict one id each, and order 0 predicts the ids lately seen, one for each low byte. The
-outcome is order-2 hit, order-1 hit, order-0 hit or none. Its distribution is mixed from three adaptive ones, kept for the
-order-2 confidence, for the order-1 confidence and overall, the more confident ones weighing more. After an order-0 hit
-the low byte follows, after none the id, by order-0 counts that are the start of every block's model and stand in the
-header. All blocks of a file advance in step, one id of each at a time, as array operations.
-
-The coder keeps a range of 36 to 60 bits, emits words of 24 bits, and settles carries at the end of a block.
+outcome is order-2 hit, order-1 hit, order-0 hit or none. Its distribution is mixed from three adaptive ones: those kept
+for the order-2 confidence, for the order-1 confidence and overall. The weights of the mixture, kept for each pair of
+confidences, learn in the block: every ``LEARN`` ids they move along the gradient of the coding cost of the outcome.
+After an order-0 hit the low byte follows, after none the id, by order-0 counts that are the start of every block's model
+and stand in the header of the section. All blocks of a section advance in step, one id of each at a time, as array
+operations.
+
+The coder keeps a range of 36 to 60 bits, emits words of 24 bits, and settles carries at the end of a block. Ids are below
+2**20; others are an error.
 """
 
 from __future__ import annotations
@@ -19,33 +22,44 @@ import numpy as np
 
 BLOCK = 2048
 #: Bits of a coder word, least and whole bits of the range; bits of the totals of outcomes, and of ids and low bytes.
-WORD, LEAST, STATE, FEW_BITS, ID_BITS = 24, 36, 60, 13, 20
+WORD, LEAST, STATE, FEW_BITS, ID_BITS = 24, 36, 60, 12, 20
 SLOTS_2, SLOTS_1, SLOTS_0, CONFIDENCE = 1024, 512, 256, 4
-RATE, FIELD = 5, 21
-MAGIC = b"CTXMIX01"
+RATE, FIELD, LEARN = 5, 21, 8
+#: Bits of a weight, and how far the cost of one outcome moves it.
+WEIGHT_BITS, STEP = 14, 600
+MAGIC = b"CTXMIX02"
 
 
-def _fields(values) -> int:
+def _fields(values) -> np.uint64:
     """Three numbers in one, of which weighted sums can be taken at once."""
-    return sum(int(v) << FIELD * i for i, v in enumerate(values))
+    return np.uint64(sum(int(v) << FIELD * i for i, v in enumerate(values)))
 
 
 #: Three cumulative counts of the four outcomes are packed in one number: what stays of each after a step, at even odds at
 #: first, and what each outcome adds.
-_EVEN = np.uint64(_fields((1 << FEW_BITS - 2) * i for i in (1, 2, 3)))
-_STAY = np.uint64(_fields([(1 << FEW_BITS - RATE) - 1] * 3))
+_EVEN = _fields((1 << FEW_BITS - 2) * i for i in (1, 2, 3))
+_STAY = _fields([(1 << FEW_BITS - RATE) - 1] * 3)
 _ADD = np.array([_fields(((1 << FEW_BITS) - 1 >> RATE) * (i >= s) for i in range(3)) for s in range(4)], np.uint64)
-
-
-def _weights() -> np.ndarray:
-    """Weights of the order-2, order-1 and overall distributions, in 256ths, by both confidences."""
+#: Of a mixture: its counts, the share that makes room for a count of each outcome, and that count.
+_COUNTS, _ROOM, _ONES = _fields([(1 << FEW_BITS) - 1] * 3), _fields([(1 << FEW_BITS - 6) - 1] * 3), _fields([1, 2, 3])
+_FIELD = np.uint64((1 << FIELD) - 1)
+#: Where the count at which an outcome starts, and at which it ends, stand among the fields.
+_START, _END = np.array([63, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, FIELD, 2 * FIELD, 2 * FIELD], np.uint64)
+#: By twice the confidence and whether a prediction came true: the change of its confidence.
+_CHANGE = np.array([0, 1, -1, 1, -1, 1, -1, 0], np.int32) << 20
+#: By order-2, order-1 and order-0 hits, as bits: the outcome.
+_OUTCOME = np.array([3, 2, 1, 1, 0, 0, 0, 0])
+
+
+def _first_weights() -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the order-2 and the order-1 distribution, by both confidences, where a block begins."""
     two, one = np.array([40, 96, 136, 168]), np.array([48, 80, 104, 128])
     a = np.repeat(two, CONFIDENCE)
     b = (256 - a) * np.tile(one, CONFIDENCE) // 192
-    return np.stack([a, b, 256 - a - b]).astype(np.uint64)
+    return tuple((x << WEIGHT_BITS - 8).astype(np.int32) for x in (a, b))
 
 
-_WEIGHTS = _weights()
+_FIRST_2, _FIRST_1 = _first_weights()
 
 
 def counts_to(total_bits: int, counts: np.ndarray) -> np.ndarray:
@@ -63,54 +77,78 @@ class _Model:
     """The models of all lanes. A prediction is held with its confidence: id + confidence << 20."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int32)
-        self.lanes = lanes
+        lane = np.arange(lanes)
         self.of2, self.of1, self.id0 = np.zeros(lanes * SLOTS_2, np.int32), np.zeros(lanes * SLOTS_1, np.int32), np.full(lanes * SLOTS_0, -1, np.int32)
         self.cut2, self.cut1, self.cut0 = np.full(lanes * CONFIDENCE, _EVEN), np.full(lanes * CONFIDENCE, _EVEN), np.full(lanes, _EVEN)
+        self.weight2, self.weight1 = np.tile(_FIRST_2, lanes), np.tile(_FIRST_1, lanes)
         self.base2, self.base1, self.base0, self.base_c = lane * SLOTS_2, lane * SLOTS_1, lane * SLOTS_0, lane * CONFIDENCE
-        self.before = self.last = np.zeros(lanes, np.int32)
-        #: Cumulative counts of the outcomes: row i of 0 to 4 where outcome i starts.
-        self.cuts = np.zeros((5, lanes), np.uint64)
-        self.cuts[4] = 1 << FEW_BITS
-        self.flat, self.lane = self.cuts.reshape(-1), lane.astype(np.int64)
+        self.hash1 = self.hash2 = self.older = np.zeros(lanes, np.int32)
+        self.steps = 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids that order 2 and order 1 predict; sets the cumulative counts of the outcomes."""
-        last = self.last * 0x9E3B
-        self.at1 = self.base1 + (last >> 2 & SLOTS_1 - 1)
-        last += self.before * 0x3D4D
-        self.at2 = self.base2 + (last >> 3 & SLOTS_2 - 1)
-        self.now2, self.now1 = self.of2.take(self.at2), self.of1.take(self.at1)
+        self.at1 = self.base1 + (self.hash1 >> 2 & SLOTS_1 - 1)
+        self.at2 = self.base2 + (self.hash2 >> 3 & SLOTS_2 - 1)
+        self.now2, self.now1 = self.of2[self.at2], self.of1[self.at1]
         self.k2, self.k1 = self.now2 >> 20, self.now1 >> 20
         self.row2, self.row1 = self.base_c + self.k2, self.base_c + self.k1
         self.odds2, self.odds1 = self.cut2.take(self.row2), self.cut1.take(self.row1)
-        w = self.k2 * CONFIDENCE + self.k1
-        mixed = self.odds2 * _WEIGHTS[0].take(w)
-        mixed += self.odds1 * _WEIGHTS[1].take(w)
-        mixed += self.cut0 * _WEIGHTS[2].take(w)
-        for i in range(3):
-            f = mixed >> np.uint64(FIELD * i + 8)
-            f &= np.uint64((1 << FEW_BITS) - 1)
-            f -= f >> np.uint64(6)
-            np.add(f, np.uint64(i + 1), out=self.cuts[i + 1])
-        self.two, self.one = self.now2 & 0xFFFFF, self.now1 & 0xFFFFF
-        return self.two, self.one
+        self.pair = self.row2 * CONFIDENCE + self.k1
+        a, b = (w.take(self.pair) >> WEIGHT_BITS - 8 for w in (self.weight2, self.weight1))
+        mixed = self.odds2 * a.astype(np.uint64)
+        mixed += self.odds1 * b.astype(np.uint64)
+        mixed += self.cut0 * (256 - a - b).astype(np.uint64)
+        mixed >>= np.uint64(8)
+        mixed &= _COUNTS
+        mixed -= mixed >> np.uint64(6) & _ROOM
+        mixed += _ONES
+        self.mixed = mixed
+        return self.now2 & 0xFFFFF, self.now1 & 0xFFFFF
 
     def bounds(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of an outcome."""
-        at = outcome * self.lanes + self.lane
-        start = self.flat.take(at)
-        return start, self.flat.take(at + self.lanes) - start
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        start = self.mixed >> _START.take(outcome)
+        start &= _FIELD
+        end = self.mixed >> _END.take(outcome)
+        end &= _FIELD
+        end[outcome == 3] = 1 << FEW_BITS
+        end -= start
+        return start, end
+
+    def update(self, ids: np.ndarray, outcome: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, width: np.ndarray) -> None:
+        self.steps += 1
+        if self.steps % LEARN == 0:
+            self._learn(outcome, width)
         add, rate = _ADD.take(outcome), np.uint64(RATE)
-        for odds, row, table in ((self.odds2, self.row2, self.cut2), (self.odds1, self.row1, self.cut1)):
-            table[row] = odds - (odds >> rate & _STAY) + add
-        self.cut0 += add - (self.cut0 >> rate & _STAY)
+        for odds, row, table in ((self.odds2, self.row2, self.cut2), (self.odds1, self.row1, self.cut1), (self.cut0, None, self.cut0)):
+            less = odds >> rate
+            less &= _STAY
+            odds = odds - less
+            odds += add
+            table[slice(None) if row is None else row] = odds
         for at, table, now, k, hit in ((self.at2, self.of2, self.now2, self.k2, hit2), (self.at1, self.of1, self.now1, self.k1, hit1)):
-            table[at] = np.where(hit, now + ((k < CONFIDENCE - 1).astype(np.int32) << 20), np.where(k > 0, now - (1 << 20), ids))
+            k += k
+            k += hit
+            now += _CHANGE.take(k)
+            table[at] = np.where(k == 0, ids, now)
         self.id0[self.base0 + (ids & SLOTS_0 - 1)] = ids
-        self.before, self.last = self.last, ids
+        self.hash1 = ids * 0x9E3B
+        self.hash2 = self.hash1 + self.older
+        self.older = ids * 0x3D4D
+
+    def _learn(self, outcome: np.ndarray, width: np.ndarray) -> None:
+        """Moves the weights by what each distribution gave the outcome, over what the mixture gave it."""
+
+        def given(odds: np.ndarray) -> np.ndarray:
+            end = odds >> _END.take(outcome) & _FIELD
+            end[outcome == 3] = 1 << FEW_BITS
+            return (end - (odds >> _START.take(outcome) & _FIELD)).astype(np.int32)
+
+        overall, least, whole = given(self.cut0), 1 << WEIGHT_BITS - 6, 1 << WEIGHT_BITS
+        share = width.astype(np.int32)
+        a, b = (w.take(self.pair) + np.clip((given(odds) - overall) * STEP // share, -whole // 16, whole // 16) for w, odds in ((self.weight2, self.odds2), (self.weight1, self.odds1)))
+        a = np.clip(a, least, whole - 2 * least)
+        self.weight2[self.pair], self.weight1[self.pair] = a, np.clip(b, least, whole - least - a)
 
 
 def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +162,14 @@ def encode(ids: np.ndarray) -> bytes:
     n, lanes = len(ids), max(1, -(-len(ids) // BLOCK))
     if not n:
         return MAGIC + struct.pack("<QII", 0, 0, 0)
+    if int(ids.min()) < 0 or int(ids.max()) >= 1 << ID_BITS:
+        raise ValueError(f"ids must be from 0 to {(1 << ID_BITS) - 1}")
     freq = counts_to(ID_BITS, np.bincount(ids))
     size_of, begin_of, low_size, low_begin = _tables(freq)
     # What follows an outcome: nothing (the whole range) after a hit of order 2 or 1, the low byte, the id.
     slot, whole = np.arange(len(freq)) & SLOTS_0 - 1, np.full(len(freq), 1 << ID_BITS)
-    begins = np.concatenate([whole * 0, whole * 0, low_begin[slot], begin_of]).astype(np.uint64)
-    widths = np.concatenate([whole, whole, low_size[slot], size_of]).astype(np.uint64)
+    begins = np.concatenate([whole * 0, whole * 0, low_begin[slot], begin_of]).astype(np.uint32)
+    widths = np.concatenate([whole, whole, low_size[slot], size_of]).astype(np.uint32)
     padded = np.full(lanes * BLOCK, ids[-1], np.int32)
     padded[:n] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
@@ -139,18 +179,22 @@ def encode(ids: np.ndarray) -> bytes:
     out, size = np.zeros(lanes * room, np.int32), lane * room
     u = np.uint64
 
-    def code(start: np.ndarray, width: np.ndarray, bits) -> None:
+    def code(start: np.ndarray, width: np.ndarray) -> None:
         nonlocal low, span
-        unit = span >> bits
-        low += unit * start
-        span = unit * width
+        unit = span >> u(FEW_BITS + ID_BITS)
+        start *= unit
+        low += start
+        span = width
+        span *= unit
         less = np.flatnonzero(span < u(1 << LEAST))
-        if len(less):  # a carry stays above bit 60 and leaves with the next word
+        while len(less):  # a carry stays above bit 60 and leaves with the next word
             some, at = low.take(less), size.take(less)
             out[at] = some >> u(STATE - WORD)
             size[less] = at + 1
             low[less] = (some & u((1 << STATE - WORD) - 1)) << u(WORD)
-            span[less] = span.take(less) << u(WORD)
+            wide = span.take(less) << u(WORD)
+            span[less] = wide
+            less = less[wide < u(1 << LEAST)]
 
     for t, now in enumerate(steps):
         if t % 64 == 0 and int((size - lane * room).max()) + 140 > room:
@@ -160,11 +204,13 @@ def encode(ids: np.ndarray) -> bytes:
         two, one = model.predict()
         hit2, hit1 = now == two, now == one
         hit0 = model.id0.take(model.base0 + (now & SLOTS_0 - 1)) == now
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 3 - hit0))
-        code(*model.bounds(outcome), u(FEW_BITS))
+        outcome = _OUTCOME.take(hit2.view(np.uint8) << 2 | hit1.view(np.uint8) << 1 | hit0.view(np.uint8))
+        start, width = model.bounds(outcome)
         at = outcome * len(freq) + now
-        code(begins.take(at), widths.take(at), u(ID_BITS))
-        model.update(now, outcome, hit2, hit1)
+        begin = begins.take(at) * width
+        begin += start << u(ID_BITS)
+        code(begin, widths.take(at) * width)
+        model.update(now, outcome, hit2, hit1, width)
     out, size = out.reshape(lanes, room), size - lane * room
     for word in (low >> u(36), low >> u(12) & u((1 << WORD) - 1), (low << u(12)) & u((1 << WORD) - 1)):
         out[lane, size] = word
@@ -216,41 +262,44 @@ def decode(data: bytes) -> np.ndarray:
     read, words = np.arange(lanes) * width_of_row + 3, words.reshape(-1)
     steps = np.zeros((BLOCK, lanes), np.int32)
 
-    def taken(unit: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Leaves the interval of a symbol, and reads on where the range has become small."""
-        nonlocal left, span
-        left -= unit * start
-        span = unit * width
-        less = np.flatnonzero(span < u(1 << LEAST))
-        if len(less):
-            at = read.take(less)
-            word = words.take(at)
-            left[less] = left.take(less) << u(WORD) | tail.take(less) << u(12) | word >> u(12)
-            tail[less] = word & u(0xFFF)
-            read[less] = at + 1
-            span[less] = span.take(less) << u(WORD)
-
-    all_of_it = u(1 << ID_BITS)
+    whole, all_bits = u(1 << ID_BITS), u(FEW_BITS + ID_BITS)
     for t in range(BLOCK):
         two, one = model.predict()
-        unit = span >> u(FEW_BITS)
+        unit = span >> all_bits
         value = left // unit
-        cuts = model.cuts
-        outcome = (value >= cuts[1]).astype(np.int64)
-        outcome += value >= cuts[2]
-        outcome += value >= cuts[3]
-        taken(unit, *model.bounds(outcome))
+        few = value >> u(ID_BITS)
+        outcome = (few >= model.mixed & _FIELD).astype(np.int64)
+        outcome += few >= (model.mixed >> u(FIELD)) & _FIELD
+        outcome += few >= model.mixed >> u(2 * FIELD)
+        first, room = model.bounds(outcome)
+        first <<= u(ID_BITS)
         now = np.where(outcome == 0, two, one)
-        unit = span >> u(ID_BITS)
-        start, width = np.zeros(lanes, np.uint64), np.full(lanes, all_of_it)
+        begin, width = np.zeros(lanes, np.uint64), np.full(lanes, whole)
         a, b = np.flatnonzero(outcome == 3), np.flatnonzero(outcome == 2)
-        found = id_of.take((left.take(a) // unit.take(a)).astype(np.int64), mode="clip")
-        now[a], start[a], width[a] = found, begin_of.take(found), size_of.take(found)
-        slot = low_of.take((left.take(b) // unit.take(b)).astype(np.int64), mode="clip")
-        now[b], start[b], width[b] = model.id0.take(model.base0.take(b) + slot), low_begin.take(slot), low_size.take(slot)
-        taken(unit, start, width)
+        value -= first
+        found = id_of.take((value.take(a) // room.take(a)).astype(np.int64), mode="clip")
+        now[a], begin[a], width[a] = found, begin_of.take(found), size_of.take(found)
+        slot = low_of.take((value.take(b) // room.take(b)).astype(np.int64), mode="clip")
+        now[b], begin[b], width[b] = model.id0.take(model.base0.take(b) + slot), low_begin.take(slot), low_size.take(slot)
+        begin *= room
+        begin += first
+        begin *= unit
+        left -= begin
+        width *= room
+        width *= unit
+        span = width
+        less = np.flatnonzero(span < u(1 << LEAST))
+        while len(less):  # reads on where the range has become small
+            at = read.take(less)
+            word = words.take(at, mode="clip")
+            left[less] = left.take(less) << u(WORD) | tail.take(less) << u(12) | word >> u(12)
+            tail[less] = word & u(0xFFF)
+            read[less] = at + 1
+            wide = span.take(less) << u(WORD)
+            span[less] = wide
+            less = less[(wide < u(1 << LEAST)) & (wide > 0)]
         steps[t] = now
-        model.update(now, outcome, now == two, now == one)
+        model.update(now, outcome, now == two, now == one, room)
     ids = np.ascontiguousarray(steps.T).reshape(-1)[:n]
     for k in range(lanes):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != directory[k, 2]:

@@ -12,11 +12,14 @@ equal ids follow in the order of their texts; an empty table gives no file.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,72 +28,251 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import files, mixcoder
-from cohortlens.llm.common import CACHES, in_arrow, slices
+from cohortlens.llm.bpe import byte_alphabet
+from cohortlens.llm.common import CACHES, in_arrow, ragged_arange, slices, text_bytes, word_spans
 
-FILE_TOKENS, CACHE = 6_000_000, 350_000
+FILE_TOKENS = 6_000_000
+#: Words of the table beyond which those not used lately go, and the 8-byte parts of a word in it.
+CACHE, LANES = 1 << 20, 4
 MAGIC = b"TOKFILE1"
+_PRINTED = re.compile(rb"[!-~\n]+")
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class WordEncoder:
     """Ids of texts by a library tokenizer that drops white space, word by word.
 
-    Words are remembered in two generations: when the young one is full it becomes the old one, from which words that
-    occur again come back. New words go to the library many at a time, with one of its special tokens between them. A
-    letter followed by a last full stop or comma ends a word for the splitter, so these two are looked up apart. Case is
-    folded first where the vocabulary does so anyway."""
+    Words of up to ``LANES`` times 8 bytes are looked up many at a time in a hash table of arrays, by all their bytes. New
+    ones go to the library, many at a time: its normaliser and its own pattern cut them into pieces for its merge model,
+    which marks the ends of pieces. Longer words, texts that may hold special tokens, and words of other kinds of
+    vocabularies are encoded one by one. When the table is full, the words used since the last time stay. Case is folded
+    first where the vocabulary does so anyway."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        def opened(text: str) -> Tokenizer:
+            found = Tokenizer.from_str(text)
+            found.no_truncation()
+            found.no_padding()
+            if hasattr(found.model, "_resize_cache"):
+                found.model._resize_cache(0)  # words are remembered here
+            return found
+
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.library = opened(json.dumps(spec))
         self.marks = [(t.content.encode(), i) for i, t in self.library.get_added_tokens_decoder().items()]
-        self.folds = self.library.encode("Ab", add_special_tokens=False).ids == self.library.encode("ab", add_special_tokens=False).ids
-        self.end = b"" if end_id is None else struct.pack("<i", end_id)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        if not self.marks:
-            return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        mark, number = self.marks[0]
-        ids = np.array(self.library.encode_batch_fast([mark.join(words).decode()], add_special_tokens=False)[0].ids, "<i4")
-        cut, raw = np.flatnonzero(ids == number), ids.tobytes()
-        starts, ends = 4 * np.concatenate([[0], cut + 1]), 4 * np.append(cut, len(ids))
-        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Adds words to the young generation."""
-        get, fresh, split = self.old.get, [], []
-        for w in words:
-            found = get(w)
-            if found is not None:
-                self.young[w] = found
-            elif w[-1] in b".," and len(w) > 1 and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90):
-                split.append(w)
-            else:
-                fresh.append(w)
-        fresh += {x for w in split for x in (w[:-1], w[-1:]) if x not in self.young and x not in words}
-        for a in range(0, len(fresh), 5000):
-            some = [w for w in fresh[a : a + 5000] if not any(m in w for m, _ in self.marks)]
-            self.young.update(zip(some, self._ids(some) if some else [], strict=True))
-        for w in fresh:
-            if w not in self.young:  # it holds a special token
-                self.young[w] = np.array(self.library.encode(w.decode(), add_special_tokens=False).ids, "<i4").tobytes()
-        for w in split:
-            self.young[w] = self.young[w[:-1]] + self.young[w[-1:]]
+        self.folds = self._whole("Ab") == self._whole("ab")
+        self.ends = np.zeros(0, bool)
+        self.pieces, self.merges = self._piece_model(spec, opened)
+        self.mark_start = re.compile(b"|".join({re.escape(m[:2]) for m, _ in self.marks})) if self.marks else None
+        self._clear(1 << 18)
+        end = np.array([] if end_id is None else [end_id], np.int32)
+        self.end = self._add(np.zeros((1, LANES), np.uint64), np.zeros(1, np.int64), np.array([len(end)]), end, listed=False)[0]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _piece_model(self, spec: dict, opened):
+        """What cuts ASCII words into pieces, and the library's merge model over pieces between spaces; nothing where the
+        vocabulary doesn't mark the ends of pieces."""
+        model, suffix = spec["model"], spec["model"].get("end_of_word_suffix")
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        cut = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and s.get("invert") and s.get("behavior") == "Removed"]
+        if not suffix or len(cut) != 1 or [s["type"] for s in steps] != ["Split", "ByteLevel"] or not self.folds:
+            return None, None
+        import regex
+
+        merges = opened(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        #: Bytes as the merge model names them; spaces between pieces and line ends between words stay.
+        self.alphabet = byte_alphabet() | {10: "", 32: " "}
+        self.pieces_ascii = re.compile(cut[0].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9") + "|\n").findall
+        return regex.compile(cut[0] + "|\n").findall, merges
+
+    # -- the table
+
+    def _clear(self, room: int) -> None:
+        self.count, self.lanes, self.size = 0, np.zeros((room, LANES), np.uint64), np.zeros(room, np.uint8)
+        self.at, self.ids, self.used = np.zeros(room, np.int64), np.zeros(room, np.int32), np.zeros(room, bool)
+        self.pool, self.filled = np.zeros(8 * room, np.int32), 0
+        self.slots = np.full(4 * room, -1, np.int32)
+
+    def _slot(self, lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The slot of a word of so many bytes, where the table looks first."""
+        h = lanes[:, 0] * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+        for k in range(1, LANES):
+            more = np.flatnonzero(size > 8 * k)
+            h[more] = (h[more] ^ h[more] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + lanes[more, k]
+        h ^= h >> np.uint64(32)
+        return ((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _find(self, lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entries of words; -1 for unknown ones."""
+        slot = self._slot(lanes, size)
+        entry = self.slots.take(slot)
+        left = np.flatnonzero((entry >= 0) & ~self._same(entry, lanes, size))
+        while len(left):
+            slot[left] = slot[left] + 1 & len(self.slots) - 1
+            now = self.slots.take(slot[left])
+            entry[left] = now
+            left = left[(now >= 0) & ~self._same(now, lanes[left], size[left])]
+        return entry
+
+    def _same(self, entry: np.ndarray, lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        same = (self.lanes[:, 0].take(entry) == lanes[:, 0]) & (self.size.take(entry) == size)
+        long = np.flatnonzero(same & (size > 8))
+        same[long] = (self.lanes[entry[long], 1:] == lanes[long, 1:]).all(1)
+        return same
+
+    def _place(self, entries: np.ndarray) -> None:
+        slot = self._slot(self.lanes[entries], self.size[entries].astype(np.int64))
+        while len(entries):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entries[free]
+            left = self.slots[slot] != entries
+            entries, slot = entries[left], slot[left] + 1 & len(self.slots) - 1
+
+    def _add(self, lanes: np.ndarray, size: np.ndarray, counts: np.ndarray, ids: np.ndarray, listed: bool = True) -> np.ndarray:
+        """Entries of new words with their ids; the table grows to ``CACHE`` words, of which then only used ones stay."""
+        while self.count + len(size) > len(self.size):
+            self._resize()
+        entries = np.arange(self.count, self.count + len(size))
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.lanes[entries], self.size[entries], self.ids[entries] = lanes, size, counts
+        self.at[entries] = self.filled + np.cumsum(counts) - counts
+        self.count, self.filled = self.count + len(size), self.filled + len(ids)
+        if listed:
+            self._place(entries)
+        return entries
+
+    def _resize(self) -> None:
+        n, room = self.count, 2 * len(self.size)
+        keep = np.arange(n)
+        if room > CACHE and self.used[:n].sum() < n // 2:
+            keep, room = np.flatnonzero(self.used[:n] | (keep == 0)), len(self.size)
+        lanes, size, ids = self.lanes[keep], self.size[keep], self.ids[keep]
+        found = self.pool[ragged_arange(self.at[keep], ids.astype(np.int64))]
+        self._clear(room)
+        self._add(lanes[:1], size[:1], ids[:1], found[: ids[0]], listed=False)
+        self._add(lanes[1:], size[1:], ids[1:], found[ids[0] :])
+
+    # -- new words
+
+    def _coded(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of the text bytes in some order, with the numbers of their ids, and all their ids. ``plain`` ones are
+        ASCII."""
+        order, counts, found = [], [], []
+        for ascii_ in (True, False):
+            some = np.flatnonzero(plain == ascii_)
+            for a in range(0, len(some), 500):
+                part = some[a : a + 500]
+                edge = np.cumsum(size[part] + 1)
+                text = data[ragged_arange(start[part], size[part] + 1)]
+                text[edge - 1] = 10
+                coded = self._by_pieces(text[:-1].tobytes(), len(part), ascii_) if self.merges is not None else None
+                if coded is None:
+                    each = [np.array(self._whole(w.decode()), np.int32) for w in text[:-1].tobytes().split(b"\n")]
+                    coded = np.array([len(x) for x in each], np.int32), np.concatenate(each)
+                order.append(part)
+                counts.append(coded[0])
+                found.append(coded[1])
+        return np.concatenate(order), np.concatenate(counts), np.concatenate(found)
+
+    def _by_pieces(self, raw: bytes, words: int, plain: bool) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words through the merge model; None if control characters or the normaliser make other words of them."""
+        if plain and not _PRINTED.fullmatch(raw):
+            return None
+        text = raw.decode()
+        if not plain:  # the normaliser makes every white space a space
+            text = self.library.normalizer.normalize_str(text.replace("\n", " "))
+            if text.count(" ") != words - 1:
+                return None
+            text = text.replace(" ", "\n")
+        pieces = (self.pieces_ascii if plain else self.pieces)(text)
+        joined = " ".join(pieces)
+        if not plain:
+            joined = joined.encode().decode("latin-1").translate(self.alphabet)
+        ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        edges = np.array([i for i, x in enumerate(pieces) if x == "\n"], np.int64)
+        edges = np.concatenate([[0], edges - np.arange(len(edges)), [len(pieces) - len(edges)]])
+        return np.diff(np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[edges]).astype(np.int32), ids
+
+    def _entries(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Table entries of words of the text bytes (with 8 * LANES bytes more at the end), known or new."""
+        views = np.lib.stride_tricks.sliding_window_view(data, 8)
+        lanes = np.zeros((len(start), LANES), np.uint64)
+        for k in range(LANES):
+            some = np.flatnonzero(size > 8 * k) if k else slice(None)
+            lanes[some, k] = views[start[some] + 8 * k].view("<u8").ravel() & _MASKS.take(np.minimum(size[some] - 8 * k, 8))
+        entry = self._find(lanes, size)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            order = miss[np.lexsort((*lanes[miss].T[::-1], size[miss]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (lanes[order[1:]] != lanes[order[:-1]]).any(1) | (size[order[1:]] != size[order[:-1]])
+            first = order[new]
+            plain = ((lanes[first] & np.uint64(0x8080808080808080)) == 0).all(1)
+            shuffled, counts, ids = self._coded(data, start[first], size[first], plain)
+            before = len(self.size), self.count
+            added = np.empty(len(first), np.int64)
+            added[shuffled] = self._add(lanes[first[shuffled]], size[first[shuffled]], counts, ids)
+            if before != (len(self.size), self.count - len(first)):  # the table was made anew: entries have moved
+                return self._entries(data, start, size)
+            entry[order] = added[np.cumsum(new) - 1]
+        self.used[entry] = True
+        return entry
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text, with the end id, as little-endian 32-bit numbers."""
-        split = [(t.lower() if self.folds and not any(m[:2] in t for m, _ in self.marks) else t).split() if t else [] for t in texts]
-        words = set().union(*split)
-        if len(self.young) + len(words - self.young.keys()) > CACHE:
-            self.old, self.young = self.young, {}
-        self._learn(words - self.young.keys())
-        get = self.young.__getitem__
-        return [b"".join(map(get, ws)) + self.end for ws in split]
+        ids, n = self.encode_bytes(*text_bytes(pa.array(texts, pa.binary())))
+        return [x.astype("<i4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if texts else []
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, given as bytes and offsets, each with the end id; and how many each has."""
+        raw = data.tobytes()
+        n, apart = len(offsets) - 1, {}
+        if self.mark_start:
+            hits = np.array([m.start() for m in self.mark_start.finditer(raw)], np.int64)
+            for r in np.unique(np.searchsorted(offsets, hits, side="right") - 1).tolist():
+                apart[r] = np.array(self._whole(raw[offsets[r] : offsets[r + 1]].decode()), np.int32)
+        data = np.frombuffer((raw.lower() if self.folds else raw) + bytes(8 * LANES), np.uint8)
+        start, end, first = word_spans(data[: len(raw)], offsets)
+        size = end - start
+        row = np.repeat(np.arange(n), np.diff(first))
+        long = size > 8 * LANES
+        kept = ~long
+        for r in apart:
+            kept[first[r] : first[r + 1]] = long[first[r] : first[r + 1]] = False
+        extra = {int(i): np.array(self._whole(data[start[i] : end[i]].tobytes().decode()), np.int32) for i in np.flatnonzero(long)}
+        entry = np.full(len(start), -1, np.int64)
+        entry[kept] = self._entries(data, start[kept], size[kept])
+        count = np.where(entry >= 0, self.ids.take(entry), 0)
+        for i, ids in extra.items():
+            count[i] = len(ids)
+        # The end id follows the last word of each text; a text encoded apart is one piece before it.
+        each = np.bincount(row, weights=count, minlength=n).astype(np.int64)
+        for r, ids in apart.items():
+            each[r] = len(ids)
+        begin = np.cumsum(each + self.ids[self.end]) - each - self.ids[self.end]
+        out = np.zeros(int(each.sum()) + n * int(self.ids[self.end]), np.int32)
+        if self.ids[self.end]:
+            out[begin + each] = self.pool[self.at[self.end]]
+        some = np.flatnonzero(count * (entry >= 0))
+        n_some = count[some].astype(np.int64)
+        place = np.cumsum(count) - count  # in the text's run, if all words were in one run
+        head = np.concatenate([[0], np.cumsum(count)])[first[:-1]]
+        place = begin[row] + place - head[row]
+        out[ragged_arange(place[some], n_some)] = self.pool[ragged_arange(self.at[entry[some]], n_some)]
+        for i, ids in extra.items():
+            out[place[i] : place[i] + len(ids)] = ids
+        for r, ids in apart.items():
+            out[begin[r] : begin[r] + len(ids)] = ids
+        return out, each + self.ids[self.end]
 
 
 @lru_cache(maxsize=2)
@@ -129,19 +311,26 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 2, i
 
         def flush() -> None:
             name = f"part-{task:06d}-{len(done):05d}.tok"
-            files.put(folder, name, section(docs, counts, np.frombuffer(b"".join(coded), "<i4")))
+            files.put(folder, name, section(docs, counts, np.concatenate(coded)))
             done.append((name, len(docs), held))
 
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                    if held and held + len(ids) // 4 > file_tokens:
+                ids, n = own.encode_bytes(*text_bytes(batch.column(1)))
+                at, names = 0, batch.column(0).to_pylist()
+                sums = np.cumsum(n)
+                while at < len(names):  # as many documents as the file still has room for, one at least in an empty one
+                    done_ids = int(sums[at - 1]) if at else 0
+                    to = max(int(np.searchsorted(sums, done_ids + file_tokens - held, side="right")), at if held else at + 1)
+                    if to > at:
+                        docs += names[at:to]
+                        counts += n[at:to].tolist()
+                        coded.append(ids[done_ids : sums[to - 1]])
+                        held += len(coded[-1])
+                        at = to
+                    if at < len(names):
                         flush()
                         docs, counts, coded, held = [], [], [], 0
-                    docs.append(doc)
-                    counts.append(len(ids) // 4)
-                    coded.append(ids)
-                    held += counts[-1]
         if docs:
             flush()
         if done:
