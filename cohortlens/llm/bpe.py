@@ -6,7 +6,8 @@ order of merges (rank, then position) in a heap over a linked list, as scanning
 
 Results for odd input: null text is empty text; empty text has no ids and decodes to the empty string; invalid id
 sequences decode with U+FFFD as ``bytes.decode(errors="replace")`` does; repeated rows are encoded row by row; extra
-input columns are ignored, so their names can't clash.
+input columns are ignored, so their names can't clash; very long texts are encoded whole; of equal ranks the first pair is
+merged; an empty table gives no rows; a null id is kept.
 """
 
 from __future__ import annotations

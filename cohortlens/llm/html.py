@@ -11,7 +11,9 @@ text fields what they hold; of selects the options marked as selected, or all wh
 without a marked option gives nothing.
 
 Results for odd input: null or empty markup gives empty text; plain text gives itself with white space collapsed; markup
-nested deeper than ``DEEP`` levels is flattened, its text kept; repeated rows are rendered row by row.
+nested deeper than ``DEEP`` levels is flattened, its text kept; repeated rows are rendered row by row; very long pages are
+rendered whole; of rules of equal weight the last holds; an empty table gives no rows; a null id is kept; other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ never inputs of a score.
 
 Results for odd input: null or empty text is one passage without words and gets a score too; an id without a label is
 scored only; repeated labels of an id are averaged (a tie counts as good); null labels are ignored; without labels of
-both kinds in the sample every score is the share of good labels in it (0.5 if there is none).
+both kinds in the sample every score is the share of good labels in it (0.5 if there is none). Very long texts are scored
+over all their passages; of labels with equal hashes the lesser id counts first; repeated rows are scored row by row; an empty
+table gives no rows; other columns are kept, but for one that has the name of the score.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ task writes the same file again. The manifest has a row for each file; its order
 
 Words between ASCII white space are encoded apart and remembered: the vocabulary's normaliser and splitter never join
 characters over white space. Results for odd input: a null text is empty and has the end id only; null ids come first;
-equal ids follow in the order of their texts; an empty table gives no file.
+equal ids follow in the order of their texts, and repeated rows are all written; very long texts are whole documents of
+one file; an empty table gives no file; other columns, whatever their names, are not read; ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import files, mixcoder
 from cohortlens.llm.bpe import byte_alphabet
-from cohortlens.llm.common import CACHES, in_arrow, ragged_arange, slices, text_bytes, word_spans
+from cohortlens.llm.common import CACHES, in_arrow, ragged_arange, release_caches, slices, text_bytes, word_spans
 
 FILE_TOKENS = 6_000_000
 #: Words of the table beyond which those not used lately go, and the 8-byte parts of a word in it.
@@ -356,6 +357,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         return spark.createDataFrame([], result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             for name, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 docs, counts, ids = opened(files.get(folder, name))

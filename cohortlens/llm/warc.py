@@ -10,8 +10,9 @@ files that aren't in the manifest, which is written last, don't belong to the ar
 Which records are revisits is settled by grouping (length, SHA-1, SHA-256) digests, so a hot payload is a sum of partial
 maxima, never a gathered group. Results for odd input: a null payload is empty; a null url is ``urn:record:<id>``. With
 ``every`` each row has a record: those of one id differ by url, digest and a number in their record ids, and rows without
-an id are full records without a key. Otherwise rows of one id keep one record, of the greatest url and then SHA-1, and
-rows without an id are left out.
+an id are full records without a key; very long payloads are one record each; of equal payloads the one of the greatest id
+is stored; an empty table gives an archive without files; other columns, whatever their names, are not read. Otherwise rows
+of one id keep one record, of the greatest url and then SHA-1, and rows without an id are left out.
 """
 
 from __future__ import annotations
