@@ -148,16 +148,21 @@ def run_analyze(spark: SparkSession, a: argparse.Namespace) -> int:
 def run_campaign(spark: SparkSession, a: argparse.Namespace) -> int:
     by_set: dict[str, list[DataFrame]] = {}
     classes: dict[str, set[tuple[str, ...]]] = {}
+    units: dict[str, set[str]] = {}
     for i, run in enumerate(a.runs):
         for s in manifests.discover_predictions(spark, run, a.manifests):
             by_set.setdefault(s.name, []).append(metrics.with_prediction(s.rows).withColumn("run", F.lit(f"run{i}")))
             classes.setdefault(s.name, set()).add(s.classes)
+            units.setdefault(s.name, set()).add(s.label_unit)
     parts = []
     for name, rows in sorted(by_set.items()):
         if len(classes[name]) == 1:  # sets with other classes in another run are skipped
             both = reduce(DataFrame.unionByName, rows)
             weights = bootstrap.multinomial_weights(both, a.n_boot, a.seed)
-            parts.append(campaign.campaign_table(a.name, name, both, weights, next(iter(classes[name])), auroc_replicates=a.n_boot_auroc))
+            known = next(iter(classes[name]))
+            parts.append(campaign.campaign_table(a.name, name, both, weights, known, auroc_replicates=a.n_boot_auroc))
+            if a.eye_level and units[name] == {"eye"}:
+                parts.append(campaign.campaign_table(a.name, name, campaign.by_eye(both, len(known)), weights, known, "eye", a.n_boot_auroc))
     reduce(DataFrame.unionByName, parts).coalesce(1).write.csv(a.output, header=True)
     return 0
 
@@ -190,6 +195,7 @@ def parser() -> argparse.ArgumentParser:
     command("features", run_features, "config")
     analyze, many = command("analyze", run_analyze, "run"), command("campaign", run_campaign, "name")
     many.add_argument("--runs", nargs="+", required=True)
+    many.add_argument("--eye-level", action="store_true", help="also rows by eye, for sets that are labelled by eye")
     analyze.add_argument("--audits", required=True)
     analyze.add_argument("--gallery", type=int, default=24)
     analyze.add_argument("--max-per-group", type=int, default=3)

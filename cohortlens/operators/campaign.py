@@ -27,6 +27,11 @@ def per_run(df: DataFrame, classes: int, by: tuple[str, ...] = ("run",)) -> Data
     return points.join(metrics.macro_auroc(df, by), list(by)).join(ece, list(by))
 
 
+def by_eye(df: DataFrame, classes: int) -> DataFrame:
+    """A row for each run and eye, with its mean vector; the eye is its path. An eye belongs to one group."""
+    return metrics.grouped(df, "eye_id", classes, ("run", "group_key")).withColumn("path", F.col("eye_id"))
+
+
 def spread(runs: DataFrame, by: tuple[str, ...] = (), names: tuple[str, ...] = POINT) -> DataFrame:
     """(by, metric, mean, sd) over the runs where a metric is defined; sample SD, null for fewer than two."""
     long = metrics.long_metrics(runs, list(names), by)

@@ -81,3 +81,6 @@ def test_analysis_and_campaign(spark, tmp_path):
     table = spark.read.csv(str(tmp_path / "table"), header=True).collect()
     assert {r["mode"] for r in table} == {"shared"} and {r["rows"] for r in table} == {"18"} and {r["units"] for r in table} == {"6"}
     assert len(table) == 7
+    assert cli.main(["campaign", "demo", "--runs", str(tmp_path / "a"), str(tmp_path / "b"), "--eye-level", "--output", str(tmp_path / "both"), *common], spark) == 0
+    both = spark.read.csv(str(tmp_path / "both"), header=True).collect()
+    assert len(both) == 14 and {(r["level"], r["rows"], r["units"]) for r in both} == {("image", "18", "6"), ("eye", "6", "6")}
