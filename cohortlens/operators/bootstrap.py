@@ -1,8 +1,7 @@
 """Cluster bootstrap of metrics, and summaries over several runs.
 
-Groups are drawn once for all runs. Weights come as a (replicate, group_key, w) table: drawn by numpy on the driver for the
-exact multinomial (replicates x groups numbers of the groups only), or made by a hash where they are used, in which case
-nothing is sent. Counts are aggregated per group before they meet the replicates.
+Groups are drawn once for all runs. Weights come as a (replicate, group_key, w) table: drawn by numpy in pieces for the exact
+multinomial, or made by a hash where they are used, in which case nothing is sent. Counts are aggregated per group before they meet the replicates.
 """
 
 from __future__ import annotations
@@ -14,30 +13,54 @@ from pyspark.sql import functions as F
 from cohortlens.functions.scalars import hashed
 from cohortlens.operators import metrics
 
-#: Groups up to which the multinomial is drawn on the driver.
+#: Groups up to which the multinomial is drawn.
 MOST_GROUPS = 200_000
+#: Numbers that are drawn, and held, at a time.
+PIECE = 4_000_000
+
+
+def _states(groups: int, replicates: int, seed: int) -> list[tuple[int, int, dict]]:
+    """(first replicate, their number, state of the generator before them) of each piece of the draws."""
+    if not groups:
+        return []
+    size = max(1, PIECE // groups)
+    generator, even = np.random.default_rng(seed), np.full(groups, 1 / groups)
+    out = []
+    for first in range(0, replicates, size):
+        out.append((first, min(size, replicates - first), generator.bit_generator.state))
+        if first + size < replicates:
+            generator.multinomial(groups, even, size=size)  # only moves the generator on
+    return out
 
 
 def multinomial_weights(df: DataFrame, replicates: int = 2000, seed: int = 20260927) -> DataFrame:
-    """(replicate, group_key, w), w > 0: as many draws as groups, with replacement, over groups in the order of their keys."""
+    """(replicate, group_key, w), w > 0: as many draws as groups, with replacement, over groups in the order of their keys.
+
+    The driver goes through the draws piece by piece and keeps the generator's state before each; tasks draw the pieces
+    again from there. So neither holds more than a piece, and what is sent is the group keys and the states."""
     groups = [r.group_key for r in df.select("group_key").distinct().limit(MOST_GROUPS + 1).collect()]
     if len(groups) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups; use hash_weights")
     groups.sort()
-    counts = np.random.default_rng(seed).multinomial(len(groups), np.full(len(groups), 1 / len(groups)), size=replicates)
+    states = _states(len(groups), replicates, seed)
     spark = df.sparkSession
-    drawn = spark.sparkContext.broadcast((np.array(groups, object), counts.astype(np.int32)))  # MOST_GROUPS x replicates at most
+    sent = spark.sparkContext.broadcast((np.array(groups, object), states))  # MOST_GROUPS keys, replicates states at most
 
     def rows(batches):
         import pyarrow as pa
 
-        names, table = drawn.value
+        names, pieces = sent.value
+        even = np.full(len(names), 1 / len(names)) if len(names) else names
         for batch in batches:
-            for r in batch.column(0).to_pylist():
-                at = np.flatnonzero(table[r])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r), pa.int32()), pa.array(names[at], pa.string()), pa.array(table[r][at], pa.int32())], ["replicate", "group_key", "w"])
-
-    return spark.range(replicates).mapInArrow(rows, "replicate int, group_key string, w int")
+            for piece in batch.column(0).to_pylist():
+                first, size, state = pieces[piece]
+                generator = np.random.default_rng()
+                generator.bit_generator.state = state
+                for r, counts in enumerate(generator.multinomial(len(names), even, size=size), first):
+                    at = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r), pa.int32()), pa.array(names[at], pa.string()), pa.array(counts[at], pa.int32())], ["replicate", "group_key", "w"])
+
+    return spark.range(0, len(states), 1, max(1, len(states))).mapInArrow(rows, "replicate int, group_key string, w int")
 
 
 def hash_weights(df: DataFrame, replicates: int, most: int = 3) -> DataFrame:

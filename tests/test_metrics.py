@@ -149,6 +149,53 @@ def test_draws_are_numpys(spark):
     assert got == {(i, g): int(want[i][j]) for i in range(4) for j, g in enumerate("abc") if want[i][j]}
 
 
+def test_draws_in_pieces_are_the_same(spark, monkeypatch):
+    import numpy as np
+
+    df = spark.createDataFrame([(f"g{i:02d}",) for i in range(30)], "group_key string")
+    want = np.random.default_rng(5).multinomial(30, [1 / 30] * 30, size=11)
+    monkeypatch.setattr(bootstrap, "PIECE", 100)  # three replicates a piece, the last one smaller
+    assert [(a, n) for a, n, _ in bootstrap._states(30, 11, 5)] == [(0, 3), (3, 3), (6, 3), (9, 2)]
+    got = {(r.replicate, r.group_key): r.w for r in bootstrap.multinomial_weights(df, 11, 5).collect()}
+    assert got == {(i, f"g{j:02d}"): int(want[i][j]) for i in range(11) for j in range(30) if want[i][j]}
+
+
+def test_no_groups_give_no_draws(spark):
+    assert bootstrap.multinomial_weights(spark.createDataFrame([], "group_key string"), 5).count() == 0
+
+
+def test_bootstrap_query_equals_brute_force(spark, sf_dir):
+    import numpy as np
+
+    from cohortlens import catalog
+    from cohortlens.plans import views
+
+    rows = views.predictions(spark, sf_dir).select("group_key", "target", "probs").collect()
+    names = sorted({r.group_key for r in rows})
+    draws = np.random.default_rng(20260927).multinomial(len(names), np.full(len(names), 1 / len(names)), size=2000)
+    place = {g: i for i, g in enumerate(names)}
+    group = np.array([place[r.group_key] for r in rows])
+    target, probs = np.array([r.target for r in rows]), np.array([r.probs for r in rows])
+    right = probs.argmax(1) == target
+    accuracy, auroc = [], []
+    for k, draw in enumerate(draws):
+        w = draw[group].astype(float)
+        accuracy.append(w[right].sum() / w.sum())
+        if k < 500:
+            each = []
+            for c in range(3):
+                score, inverse = np.unique(probs[:, c], return_inverse=True)
+                pos = np.bincount(inverse, w * (target == c), len(score))
+                neg = np.bincount(inverse, w * (target != c), len(score))
+                each.append((pos * (neg.cumsum() - neg / 2)).sum() / (pos.sum() * neg.sum()) if pos.sum() * neg.sum() else None)
+            if None not in each:  # a draw without a class has no macro AUROC
+                auroc.append(np.mean(each))
+    got = {r.metric: r for r in catalog.QUERIES["q83_bootstrap"](spark, sf_dir).collect()}
+    for name, values in (("accuracy", accuracy), ("macro_auroc", auroc)):
+        assert got[name].n_valid == len(values) and got[name].mean == pytest.approx(np.mean(values), abs=1e-8)
+        assert (got[name].ci_low, got[name].ci_high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), abs=1e-8)
+
+
 def test_modes_and_spread(spark):
     rows = spark.createDataFrame([("a", "r1", "x"), ("a", "r2", "x"), ("b", "r1", "x"), ("b", "r2", "y"), ("c", "r1", "x"), ("c", "r1", "z"), ("c", "r2", "x"), ("d", "r1", "x")], "set string, run string, path string")
     assert {r.set: r["mode"] for r in campaign.mode(rows).collect()} == {"a": "shared", "b": "pooled", "c": "overlapping", "d": "shared"}
