@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators import audit, eda, gallery, slices, splits
 from cohortlens.plans.registry import query, rounded
 from cohortlens.plans.views import manifest, sketches, table
+from cohortlens.storage import written
 
 
 def _h(text: str, n: int) -> str:
@@ -34,7 +35,8 @@ def flat(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def hashed_manifest(spark, d) -> DataFrame:
-    return manifest(spark, d).join(sketches(spark, d), "path")
+    """The manifest with its sketches, which are computed once and written: plans on duplicates read them in several branches."""
+    return manifest(spark, d).join(written(sketches(spark, d), "sketches"), "path")
 
 
 CLUSTER = ("paths", "group_keys", "labels", "supplied_splits", "crosses_groups", "crosses_supplied_splits", "conflicting_labels")

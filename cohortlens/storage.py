@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset, a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one is set, but only if driver and executors are
+    one process: on a cluster they would not see the same folder, and that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

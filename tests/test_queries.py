@@ -87,3 +87,19 @@ def test_stream_windows(spark, sf_dir, tmp_path):
     stream = confusions.stream_of(spark, str(tmp_path / "in"), rows)
     confusions.to_memory(confusions.windowed_accuracy(stream, "ts", "1 day"), "daily_accuracy")
     assert spark.table("daily_accuracy").selectExpr("sum(rows)").first()[0] == rows.count()
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cohortlens import storage
+
+    def session(master, found=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: found), sparkContext=context)
+
+    assert storage.shared_dir(session("yarn", "hdfs://store/shared/")) == "hdfs://store/shared"
+    assert storage.shared_dir(session("local[4]")).startswith("file://") and storage.shared_dir(session("local")).startswith("file://")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            storage.shared_dir(session(master))
