@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, decontaminate, html, ngram_join, quality, secrets, substring, tokenfiles, warc
+from cohortlens.llm import ann, bpe, centroids, decontaminate, html, ngram_join, phrases, quality, secrets, substring, tokenfiles, warc
 from cohortlens.storage import new_path, ship
 
 
@@ -78,6 +78,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "kind", "start", "end", F.sha2("secret", 256).alias("secret_sha256"), F.round("score", 9).alias("score"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroids": op11_centroids,
+    "op13_collocations": op13_collocations,
 }
 
 #: Words without upper-case A-Z, as SQL.
@@ -127,4 +137,45 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, sha1(html) AS payload_di
 FROM m
 """
 
-SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+
+
+def _lloyd_sql(k: int, rounds: int, dims: int, scale: int) -> str:
+    """All rounds one after the other; centroids are lists, and a mean is rounded down exactly."""
+    gap = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    near = lambda c: f"SELECT v.row, v.vec_id, v.x, arg_min({{'c': c.c, 'd': {gap}}}, {{'d': {gap}, 'c': c.c}}) AS b FROM v CROSS JOIN {c} c GROUP BY v.row, v.vec_id, v.x"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * {scale})::BIGINT) AS x FROM embeddings
+WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        steps += [
+            f"a{r} AS MATERIALIZED ({near(f'c{r}')})",
+            f"s{r} AS (SELECT b.c AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY b.c, i)",
+            f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{r} GROUP BY c)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c))",
+        ]
+    last = f"f AS MATERIALIZED ({near(f'c{rounds}')})"
+    return f"""WITH {', '.join([*steps, last])} SELECT vec_id, b.c::INT AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(o.x, ',')) AS centroid_sha256 FROM f JOIN c{rounds} o ON o.c = f.b.c"""
+
+
+OP11_SQL = _lloyd_sql(40, 5, 64, 256)
+
+OP13_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+x AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (SELECT x.*, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score FROM x JOIN f h ON h.lang = x.lang AND h.phrase = array_to_string(ws[1:cut], ' ') JOIN f t ON t.lang = x.lang AND t.phrase = array_to_string(ws[cut + 1:], ' ')),
+b AS (SELECT lang, phrase, k, a, arg_min({'l': l, 'r': r, 'score': score}, {'score': score, 'cut': cut}) AS c FROM s GROUP BY ALL),
+i AS (SELECT lang, f, phrase AS longer, string_split(phrase, ' ') AS ws, k, unnest(range(2, k)) AS m FROM f WHERE k >= 3),
+j AS (SELECT lang, f, array_to_string(ws[q:q + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - m + 2)) AS q FROM i)),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN j USING (lang, phrase) WHERE 100::HUGEINT * j.f >= 80::HUGEINT * b.a),
+o AS (SELECT lang, phrase, a, c.l AS l, c.r AS r, c.score AS score, row_number() OVER (PARTITION BY lang ORDER BY c.score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_centroids": OP11_SQL, "op13_collocations": OP13_SQL, "op6_warc": OP6_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_substring_dedup": OP9_SQL}
