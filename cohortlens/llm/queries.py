@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, bpe, centroids, decontaminate, html, ngram_join, phrases, quality, secrets, substring, tokenfiles, warc
+from cohortlens.llm import ann, bpe, centroids, decontaminate, html, minhash, ngram_join, phrases, quality, secrets, substring, tokenfiles, warc
 from cohortlens.storage import new_path, ship
 
 
@@ -82,6 +82,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.linked(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, most=2000)
 
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op11_centroids": op11_centroids,
+    "op12_minhash": op12_minhash,
     "op13_collocations": op13_collocations,
 }
 
@@ -116,6 +121,8 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(to_node) AS least_id FROM r GROUP BY node) m USING (doc_id)
 """
 
+OP12_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP4_SQL.replace('100 * c >= 85 *', '100 * c >= 80 *')}) q"
+
 OP9_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
@@ -178,4 +185,4 @@ o AS (SELECT lang, phrase, a, c.l AS l, c.r AS r, c.score AS score, row_number()
 SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
 
-SQL: dict[str, str] = {"op11_centroids": OP11_SQL, "op13_collocations": OP13_SQL, "op6_warc": OP6_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_substring_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op11_centroids": OP11_SQL, "op12_minhash": OP12_SQL, "op13_collocations": OP13_SQL, "op6_warc": OP6_SQL, "op4_ngram_jaccard": OP4_SQL, "op9_substring_dedup": OP9_SQL}
