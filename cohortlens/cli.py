@@ -42,11 +42,6 @@ def _profiles(spark: SparkSession, dataset: datasets.Dataset) -> DataFrame:
     return found.withColumn("path", F.substring(place, base, 1 << 30)).drop("origin")
 
 
-def _audited(spark: SparkSession, dataset: datasets.Dataset, most: int) -> dict[str, DataFrame]:
-    listing = image_files(spark, dataset.root, IMAGE_SUFFIXES).select("path")
-    return audit_report(datasets.records(spark, dataset), _profiles(spark, dataset), listing, most)
-
-
 def _written(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         df.write.mode("errorifexists").json(f"{folder}/{name}")
@@ -71,7 +66,8 @@ def run_audit(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def run_manifest(spark: SparkSession, a: argparse.Namespace) -> int:
     for d in _enabled(spark, a.config):
-        report = _audited(spark, d, a.max_hash_distance)
+        profiles = written(_profiles(spark, d), "profiles")  # several branches of the report read them
+        report = audit_report(datasets.records(spark, d), profiles, image_files(spark, d.root, IMAGE_SUFFIXES).select("path"), a.max_hash_distance)
         named = [report[k].withColumn("paths", F.transform("paths", lambda p: F.concat("in_source", F.lit(":"), p))) for k in ("exact_duplicates", "near_duplicates")]
         rows = datasets.records(spark, d).withColumns({"key": F.concat("source", F.lit(":"), "path"), "seq": F.xxhash64("path")})
         kept, counts = audit.apply_decisions(rows, *named)

@@ -128,18 +128,20 @@ def apply_decisions(manifest: DataFrame, exact: DataFrame, near: DataFrame, key:
     """The manifest without quarantined records, copies and repeated rows; and (quarantined, deduplicated) counts.
 
     ``exact`` and ``near`` are (paths, quarantine_eligible) with paths as keys. Every path of an eligible cluster goes; of
-    each exact cluster the least of the paths left stays; of equal keys the first row stays."""
+    each exact cluster the least of the paths left stays; of equal keys the row of least ``order`` stays, or of rows that
+    agree in it too the least by all columns: always exactly one. A null order comes first. Rows without a key are all kept."""
     both = exact.select("paths", "quarantine_eligible").unionByName(near.select("paths", "quarantine_eligible"))
-    out = both.where("quarantine_eligible").select(F.explode("paths").alias(key)).distinct()
-    left = exact.withColumn("__c", F.xxhash64("paths")).select("__c", "paths", F.explode("paths").alias(key)).join(out, key, "left_anti")
-    least = left.groupBy("__c", "paths").agg(F.min(key).alias("canonical"))
-    copies = left.join(least, ["__c", "paths"]).where(F.col(key) != F.col("canonical")).select(key).distinct()
-    kept = manifest.join(out, key, "left_anti").join(copies, key, "left_anti")
-    firsts = kept.groupBy(key).agg(F.min(order).alias(order), F.count("*").alias("__n"))
-    rows = kept.join(firsts.select(key, order), [key, order])
-    repeats = firsts.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("repeats"))
+    out = both.where("quarantine_eligible").select(F.explode("paths").alias("k")).distinct()
+    left = exact.select(F.xxhash64("paths").alias("c"), "paths", F.explode("paths").alias("k")).join(out, "k", "left_anti")
+    least = left.groupBy("c", "paths").agg(F.min("k").alias("canonical"))
+    copies = left.join(least, ["c", "paths"]).where("k <> canonical").select("k").distinct()
+    rows = manifest.select(F.col(key).alias("k"), F.struct(F.col(order).alias("o"), F.to_json(F.struct("*")).alias("j")).alias("place"), F.struct("*").alias("row"))
+    kept = rows.join(out, "k", "left_anti").join(copies, "k", "left_anti")
+    firsts = kept.where("k is not null").groupBy("k").agg(F.min_by("row", "place").alias("row"), F.count("*").alias("n"))
+    repeats = firsts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"))
     counts = out.agg(F.count("*").alias("quarantined")).crossJoin(copies.agg(F.count("*").alias("copies"))).crossJoin(repeats)  # one row each
-    return rows, counts.select("quarantined", (F.col("copies") + F.col("repeats")).alias("deduplicated"))
+    whole = firsts.select("row").unionByName(kept.where("k is null").select("row")).select("row.*")
+    return whole, counts.select("quarantined", (F.col("copies") + F.col("repeats")).alias("deduplicated"))
 
 
 def integrity_failures(invalid: int, exact: DataFrame, near: DataFrame) -> DataFrame:

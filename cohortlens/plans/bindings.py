@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import arrays
-from cohortlens.operators import bootstrap, campaign, curves, eda, metrics, splits
+from cohortlens.operators import audit, bootstrap, campaign, curves, eda, metrics, splits
 from cohortlens.plans.campaigns import PER_RUN, R, boot_sql, runs
 from cohortlens.plans.evaluation import STEPS, P
 from cohortlens.plans.records import M
@@ -173,3 +173,28 @@ def _(spark, d) -> DataFrame:
     """All 2,000 multinomial draws, 500 of them for AUROC. SQL can't follow numpy's generator; a test has a brute-force version."""
     rows = runs(spark, d).where("run = 'r1'")
     return rounded(bootstrap.bootstrap(rows, bootstrap.multinomial_weights(rows), CLASSES))
+
+
+BATCH = """z AS (SELECT source, label, count(*) AS size FROM m GROUP BY ALL), y AS (SELECT source, label, size, row_number() OVER (PARTITION BY source ORDER BY label) - 1 AS at, count(*) OVER (PARTITION BY source) AS classes FROM z),
+x AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS at, count(*) OVER () AS sources FROM (SELECT DISTINCT source FROM z)), o AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY md5(path)) - 1 AS number FROM m),
+d AS (SELECT t.i, x.source, ('0x' || substr(md5('7:2:class:' || t.i), 1, 12))::BIGINT AS c, ('0x' || substr(md5('7:2:row:' || t.i), 1, 12))::BIGINT AS r FROM (SELECT unnest(range(6400)) AS i) t JOIN x ON x.at = t.i % 32 % x.sources)"""
+
+
+@query("q84_balanced_batches", f"WITH {M}, {BATCH} SELECT d.i // 32 AS batch, d.i % 32 AS position, o.source, o.label, o.path FROM d JOIN y ON y.source = d.source AND y.at = d.c % y.classes JOIN o ON o.source = y.source AND o.label = y.label AND o.number = d.r % y.size")
+def _(spark, d) -> DataFrame:
+    rows = manifest(spark, d).select("source", "label", "path").repartition("path")
+    return splits.balanced_batches(rows, 32, 200, seed=7, epoch=2, target="label", identity=F.col("path"))
+
+
+@query(
+    "q85_repeated_records",
+    f"""WITH {M}, r AS (SELECT lang || '-' || (doc_id // 3) AS path, label, n_chars, text FROM m), x AS (SELECT text, list(DISTINCT path ORDER BY path) AS paths FROM r GROUP BY text HAVING count(DISTINCT path) > 1),
+l AS (SELECT DISTINCT p.path FROM x, (SELECT text, unnest(paths) AS path FROM x) p WHERE p.text = x.text AND p.path <> x.paths[1]), k AS (SELECT * FROM r WHERE path NOT IN (SELECT path FROM l))
+SELECT path, min(n_chars) AS n_chars, (SELECT count(*) FROM l) + (SELECT count(*) FROM k) - (SELECT count(DISTINCT path) FROM k) AS deduplicated FROM k GROUP BY path""".replace("md5(text) AS digest, n_chars, origin FROM m_k", "md5(text) AS digest, n_chars, origin, text, lang FROM m_k"),
+)
+def _(spark, d) -> DataFrame:
+    """Records that share a path: those of one language among each three ids."""
+    rows = manifest(spark, d).select(F.expr("concat(raw_label, '-', seq div 3)").alias("key"), "n_chars", "digest")
+    several = rows.groupBy("digest").agg(F.sort_array(F.collect_set("key")).alias("paths")).where("size(paths) > 1").select("paths", F.lit(False).alias("quarantine_eligible"))
+    kept, counts = audit.apply_decisions(rows, several, several.limit(0), order="n_chars")
+    return kept.select(F.col("key").alias("path"), "n_chars").crossJoin(counts.select("deduplicated"))  # one row

@@ -78,6 +78,18 @@ def test_decisions(spark):
     assert [r.path for r in kept.collect()] == ["b"] and tuple(counts.first()) == (2, 1)
 
 
+def test_one_row_of_each_key_stays(spark):
+    """Rows of a key that agree in their order, or in everything, are repeats too."""
+    df = manifest(spark, [("a", "amd", "1", None), ("a", "amd", "1", None), ("a", "amd", "2", None), ("b", "amd", "1", None), ("c", "amd", None, None), ("c", "amd", None, None)])
+    df = df.withColumns({"key": F.concat("source", F.lit(":"), "path"), "seq": F.xxhash64("path"), "k": F.lit(1), "row": F.lit("x")})
+    none = clusters(spark, [([], False, 0)]).limit(0)
+    kept, counts = audit.apply_decisions(df.repartition(3), none, none)
+    assert sorted((r.path, r.group_id) for r in kept.collect()) == [("a", "1"), ("b", "1"), ("c", None)] and kept.columns == df.columns
+    assert tuple(counts.first()) == (0, 3)
+    kept, counts = audit.apply_decisions(df.withColumn("key", F.lit(None).cast("string")), none, none)
+    assert kept.count() == 6 and tuple(counts.first()) == (0, 0)
+
+
 def test_integrity_messages(spark):
     both = spark.createDataFrame([(["phash_zero_split_crossing", "phash_zero_label_conflict"],)], "quarantine_reasons array<string>")
     none = both.limit(0)
@@ -253,3 +265,23 @@ def test_balanced_batches(spark):
     assert sorted(map(tuple, again.collect())) == sorted((r.batch, r.position, r.source, r.target) for r in got)
     assert splits.balanced_batches(df, 8, 200, seed=1, epoch=1).select("batch", "position", "target").exceptAll(again.select("batch", "position", "target")).count() > 0
     assert splits.balanced_batches(df.limit(0), 8, 2, seed=1).collect() == []
+
+
+def test_balanced_batches_after_a_shuffle(spark):
+    """Every place is filled, however the rows have been dealt and whatever adaptive execution makes of it."""
+    names = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "4k")
+        spark.conf.set(names[1], "40")
+        rows = spark.range(20_000).selectExpr("id", "concat('s', id % 4) as source", "cast(id % 7 % 3 as int) as target", "cast(id as string) as at", "1 as r")
+        for given in (rows.repartition("id"), rows.groupBy("id", "source", "target", "at", "r").count(), rows.unionByName(rows)):
+            got = splits.balanced_batches(given, 16, 200, seed=3)
+            found = got.collect()
+            assert len(found) == 3200 and len({(r.batch, r.position) for r in found}) == 3200 and got.count() == 3200
+            assert got.columns == ["batch", "position", *given.columns]
+            assert Counter(r.source for r in found) == dict.fromkeys(["s0", "s1", "s2", "s3"], 800)
+            assert len({r.id for r in found}) > 2800
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
