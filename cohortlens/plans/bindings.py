@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import arrays
-from cohortlens.operators import audit, bootstrap, campaign, curves, eda, metrics, splits
+from cohortlens.operators import audit, bootstrap, campaign, curves, eda, metrics, probe, splits
 from cohortlens.plans.campaigns import PER_RUN, R, boot_sql, runs
 from cohortlens.plans.evaluation import STEPS, P
 from cohortlens.plans.records import M
@@ -198,3 +198,28 @@ def _(spark, d) -> DataFrame:
     several = rows.groupBy("digest").agg(F.sort_array(F.collect_set("key")).alias("paths")).where("size(paths) > 1").select("paths", F.lit(False).alias("quarantine_eligible"))
     kept, counts = audit.apply_decisions(rows, several, several.limit(0), order="n_chars")
     return kept.select(F.col("key").alias("path"), "n_chars").crossJoin(counts.select("deduplicated"))  # one row
+
+
+@query(
+    "q86_group_folds",
+    """WITH RECURSIVE g AS (SELECT 'm' || (p_partkey % 3) AS source, p_brand || '-' || (p_size % 7) AS g, count(*) AS n FROM part GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, md5(g)) AS i FROM g),
+r AS (SELECT source, 0::BIGINT AS i, NULL::VARCHAR AS g, -1 AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS load FROM (SELECT DISTINCT source FROM g) UNION ALL
+SELECT o.source, o.i, o.g, list_position(r.load, list_min(r.load))::INT - 1, list_transform(r.load, lambda x, k: CASE WHEN k = list_position(r.load, list_min(r.load)) THEN x + o.n ELSE x END) FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+SELECT source, g, fold FROM r WHERE i > 0""",
+)
+def _(spark, d) -> DataFrame:
+    rows = table(spark, d, "part").select(F.expr("concat('m', p_partkey % 3)").alias("source"), F.expr("concat(p_brand, '-', p_size % 7)").alias("g"))
+    return probe.group_folds(rows, "g", 5, ("source",))
+
+
+PROBE = probe.Boosting(rounds=5, depth=3, bins=32, rate=0.3)
+
+
+@query("q87_artifact_probe")
+def _(spark, d) -> DataFrame:
+    """Trees have no SQL; tests/test_probe.py has a slow version. Five rounds of three levels keep it short."""
+    part = table(spark, d, "part").select("p_partkey", F.expr("concat('m', p_partkey % 3)").alias("source"), F.expr("concat('g', p_partkey % 97)").alias("group_id"))
+    place = F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 3).otherwise((F.col("width") > 27).cast("int") + (F.col("white_bottom") > 35).cast("int"))
+    rows = features(spark, d).join(part, "p_partkey").withColumn("label", F.element_at(F.array(*map(F.lit, CLASSES)), place.cast("int") + 1))
+    sets = {"geometry": ("width", "height"), "all": ("width", "height", "white_top", "white_bottom", "white_frac", "black_frac")}
+    return rounded(probe.probed(rows, sets, "label", "group_id", how=PROBE))
