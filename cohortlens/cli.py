@@ -99,8 +99,8 @@ def run_splits(spark: SparkSession, a: argparse.Namespace) -> int:
     assigned = None if a.replace_definition else sinks.reused_definition(spark, path, *hashes)
     if assigned is None:
         ratios = RATIOS_WITH_TEST if a.keep_supplied_test else RATIOS
-        assigned, _ = splits.derived_splits(rows, clusters, ratios, a.seed, a.keep_supplied_test)
-        sinks.write_split_definition(spark, path, assigned, a.seed, {"ratios": ratios, "keep_supplied_test": a.keep_supplied_test}, *hashes)
+        assigned, _ = splits.derived_splits(rows, clusters, ratios, a.seed, a.keep_supplied_test, a.by_runs)
+        sinks.write_split_definition(spark, path, assigned, a.seed, {"ratios": ratios, "keep_supplied_test": a.keep_supplied_test} | ({"by_runs": True} if a.by_runs else {}), *hashes)
     done = splits.applied(rows, assigned)
     violations = splits.derived_violations(done, splits.group_components(rows, clusters)).collect()
     if violations:
@@ -132,7 +132,7 @@ def run_features(spark: SparkSession, a: argparse.Namespace) -> int:
 def run_analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     for s in manifests.discover_predictions(spark, a.run, a.manifests):
         known = manifests.duplicate_keys(spark, a.audits, s.source)
-        tables = analysis_report(s.rows, s.classes, known, s.label_unit, a.n_boot, a.n_boot_auroc, a.seed, a.gallery, a.max_per_group)
+        tables = analysis_report(s.rows, s.classes, known, s.label_unit, a.n_boot, a.n_boot_auroc, a.seed, a.gallery, a.max_per_group, a.tree_draws)
         if s.reference:
             names = [n for n in ("accuracy", "balanced_accuracy", "macro_f1", "macro_auroc") if n in s.reference]
             saved = spark.createDataFrame([(n, None if s.reference[n] is None else float(s.reference[n])) for n in names], "metric string, value double")
@@ -154,7 +154,7 @@ def run_campaign(spark: SparkSession, a: argparse.Namespace) -> int:
     for name, rows in sorted(by_set.items()):
         if len(classes[name]) == 1:  # sets with other classes in another run are skipped
             both = reduce(DataFrame.unionByName, rows)
-            weights = bootstrap.multinomial_weights(both, a.n_boot, a.seed)
+            weights = (bootstrap.tree_weights if a.tree_draws else bootstrap.multinomial_weights)(both, a.n_boot, a.seed)
             known = next(iter(classes[name]))
             parts.append(campaign.campaign_table(a.name, name, both, weights, known, auroc_replicates=a.n_boot_auroc))
             if a.eye_level and units[name] == {"eye"}:
@@ -183,6 +183,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=20260913)
     p.add_argument("--keep-supplied-test", action="store_true")
     p.add_argument("--replace-definition", action="store_true")
+    p.add_argument("--by-runs", action="store_true", help="deal units of equal label counts together: for any number of units, without a seed")
     p = command("folds", run_folds, "manifest")
     p.add_argument("--near")
     p.add_argument("--seed", type=int, default=20260913)
@@ -198,6 +199,7 @@ def parser() -> argparse.ArgumentParser:
     for p in (analyze, many):
         p.add_argument("--manifests", required=True)
         p.add_argument("--n-boot", type=int, default=2000)
+        p.add_argument("--tree-draws", action="store_true", help="draw replicates by a tree of splits: for any number of groups")
         p.add_argument("--n-boot-auroc", type=int, default=500)
         p.add_argument("--seed", type=int, default=20260927)
     return top

@@ -1,22 +1,36 @@
 """Cluster bootstrap of metrics, and summaries over several runs.
 
-Groups are drawn once for all runs. Weights come as a (replicate, group_key, w) table: drawn by numpy in pieces for the exact
-multinomial, or made by a hash where they are used, in which case nothing is sent. Counts are aggregated per group before they meet the replicates.
+Groups are drawn once for all runs. Weights come as a (replicate, group_key, w) table. There are three kinds: the exact
+multinomial as numpy draws it in one go (for up to MOST_GROUPS groups, in pieces); the exact multinomial for any number of
+groups, by a tree of binomial splits whose nodes have generators of their own, so that each task draws its groups by itself;
+and weights by a hash, which are no multinomial but can be followed in SQL. Counts are aggregated per group before they meet
+the replicates, and so are scores: a group brings its weights of all replicates as one array, and no row is repeated for each
+replicate.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortlens.functions.scalars import hashed
 from cohortlens.operators import metrics
+from cohortlens.operators.numbering import hash_ranked
 
 #: Groups up to which the multinomial is drawn.
 MOST_GROUPS = 200_000
 #: Numbers that are drawn, and held, at a time.
 PIECE = 4_000_000
+#: Groups that are drawn together at the leaves of the tree of splits.
+LEAF = 1024
+#: Ranges of scores in which replicates of AUROC are summed up.
+RANGES = 256
 
 
 def _states(groups: int, replicates: int, seed: int) -> list[tuple[int, int, dict]]:
@@ -37,18 +51,17 @@ def multinomial_weights(df: DataFrame, replicates: int = 2000, seed: int = 20260
     """(replicate, group_key, w), w > 0: as many draws as groups, with replacement, over groups in the order of their keys.
 
     The driver goes through the draws piece by piece and keeps the generator's state before each; tasks draw the pieces
-    again from there. So neither holds more than a piece, and what is sent is the group keys and the states."""
-    groups = [r.group_key for r in df.select("group_key").distinct().limit(MOST_GROUPS + 1).collect()]
+    again from there. So neither holds more than a piece, and what is sent is the group keys and the states. Rows without a
+    group are left out."""
+    groups = [r.group_key for r in df.select("group_key").where("group_key is not null").distinct().limit(MOST_GROUPS + 1).collect()]
     if len(groups) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups; use hash_weights")
+        raise ValueError(f"more than {MOST_GROUPS} groups; use tree_weights")
     groups.sort()
     states = _states(len(groups), replicates, seed)
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast((np.array(groups, object), states))  # MOST_GROUPS keys, replicates states at most
 
     def rows(batches):
-        import pyarrow as pa
-
         names, pieces = sent.value
         even = np.full(len(names), 1 / len(names)) if len(names) else names
         for batch in batches:
@@ -63,6 +76,43 @@ def multinomial_weights(df: DataFrame, replicates: int = 2000, seed: int = 20260
     return spark.range(0, len(states), 1, max(1, len(states))).mapInArrow(rows, "replicate int, group_key string, w int")
 
 
+def leaf_draws(groups: int, leaf: int, replicates: int, seed: int, size: int) -> np.ndarray:
+    """How often each group of a leaf is drawn in each replicate (replicates x groups of the leaf), of ``groups`` draws over
+    as many groups. The number of draws that fall to a range of leaves is split between its halves by a binomial; the
+    splits, and the draws inside the leaf, come from generators keyed by seed and range. So leaves agree with each other
+    wherever they are drawn, and sums over all of them are exact."""
+    low, high = 0, -(-groups // size)
+    draws = np.full(replicates, groups, np.int64)
+    keyed = lambda a, b: np.random.Generator(np.random.Philox(key=np.array([seed % (1 << 64), a << 32 | b], np.uint64)))
+    end = lambda x: min(groups, x * size)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = keyed(low, high).binomial(draws, (end(middle) - low * size) / (end(high) - low * size))
+        draws, low, high = (first, low, middle) if leaf < middle else (draws - first, middle, high)
+    own = end(high) - low * size
+    return keyed(leaf, 0).multinomial(draws, np.full(own, 1 / own))
+
+
+def tree_weights(df: DataFrame, replicates: int = 2000, seed: int = 20260927) -> DataFrame:
+    """(replicate, group_key, w), w > 0: as many draws as groups, with replacement, over any number of groups, which are put
+    in the order of a hash. The driver sees their number. The first replicates are the same whatever their number."""
+    size = LEAF
+    groups = df.select("group_key").where("group_key is not null").distinct()
+    total = groups.count()
+    leaves = hash_ranked(groups, (), F.col("group_key")).select((F.col("rank") / size).cast("int").alias("leaf"), "rank", "group_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for leaf, members in groupby(rows, key=lambda r: r[0]):
+            names = np.array([r[2] for r in members], object)
+            drawn = leaf_draws(total, leaf, replicates, seed, size)
+            for first in range(0, replicates, 64):
+                r, g = np.nonzero(drawn[first : first + 64])
+                yield pa.RecordBatch.from_arrays([pa.array((r + first).astype(np.int32)), pa.array(names[g], pa.string()), pa.array(drawn[first + r, g].astype(np.int32))], ["replicate", "group_key", "w"])
+
+    return leaves.repartition("leaf").sortWithinPartitions("leaf", "rank").mapInArrow(run, "replicate int, group_key string, w int")
+
+
 def hash_weights(df: DataFrame, replicates: int, most: int = 3) -> DataFrame:
     """(replicate, group_key, w): w from 0 to ``most`` by a hash of group and replicate. Like a bootstrap, but no multinomial."""
     groups = df.select("group_key").distinct()
@@ -79,6 +129,51 @@ def replicate_counts(df: DataFrame, weights: DataFrame, classes: int, runs: tupl
     return joined.groupBy(*runs, "replicate").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in names))
 
 
+def _views(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch; lists, which come last, as views of arrays."""
+    plain = [c.to_pylist() for c in batch.columns[:-2]]
+    lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in batch.columns[-2:]]
+    for i, row in enumerate(zip(*plain, strict=True)):
+        yield *row, *(v[o[i] : o[i + 1]] for o, v in lists)
+
+
+def replicate_aurocs(df: DataFrame, weights: DataFrame, replicates: int) -> DataFrame:
+    """(run, replicate, macro_auroc) over the first so many replicates; null where a class is absent or alone.
+
+    Scores are added up by run, class, group and score. Tasks add up weights of positives and negatives by range of scores,
+    and inside a range they rank scores for all replicates at once; what the ranges above a range hold is a table of ranges
+    x replicates."""
+    cells = metrics.by_class(df.withColumn("run", F.col("run").cast("string")), ("run", "group_key")).groupBy("run", "class", "group_key", "score").agg(F.sum("positive").alias("pos"), F.sum(1 - F.col("positive")).alias("neg"))
+    cells = cells.withColumn("range", F.least(F.greatest(F.floor(F.col("score") * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int"))
+    kept = weights.where(F.col("replicate") < replicates).groupBy("group_key").agg(F.collect_list(F.struct("replicate", "w")).alias("drawn"))
+    rows = cells.join(kept, "group_key").select("run", "class", "range", "score", "pos", "neg", F.col("drawn.replicate").alias("at"), F.col("drawn.w").alias("w"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run, class and range: weights of positives and negatives, and what pairs inside the range lose."""
+        every = (r for b in batches for r in _views(b))
+        for key, members in groupby(every, key=lambda r: r[:3]):
+            pos, neg, lost = (np.zeros(replicates) for _ in range(3))
+            for _, tied in groupby(members, key=lambda r: r[3]):
+                p, n = np.zeros(replicates), np.zeros(replicates)
+                for _, _, _, _, a, b, at, w in tied:
+                    if a:
+                        p[at] += np.multiply(w, a)
+                    if b:
+                        n[at] += np.multiply(w, b)
+                lost += p * (neg + 0.5 * n)
+                pos, neg = pos + p, neg + n
+            yield pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array(key[1:2], pa.int32()), pa.array(key[2:], pa.int32())] + [pa.array([v.tolist()]) for v in (pos, neg, lost)], ["run", "class", "range", "pos", "neg", "lost"])
+
+    shape = "run string, class int, range int, pos array<double>, neg array<double>, lost array<double>"
+    ranges = rows.repartition("run", "class", "range").sortWithinPartitions("run", "class", "range", F.desc("score")).mapInArrow(sums, shape)
+    long = ranges.select("run", "class", "range", F.posexplode(F.arrays_zip("pos", "neg", "lost")).alias("replicate", "v")).select("run", "class", "range", "replicate", "v.*")
+    above = Window.partitionBy("run", "class", "replicate").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = long.withColumn("over", F.coalesce(F.sum("neg").over(above), F.lit(0.0)))
+    each = whole.groupBy("run", "class", "replicate").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("lost") + F.col("pos") * F.col("over")).alias("lost"))
+    found = each.select("run", "replicate", F.when(F.col("p") * F.col("n") > 0, 1 - F.col("lost") / (F.col("p") * F.col("n"))).alias("auroc"))
+    return found.groupBy("run", "replicate").agg(F.when(F.count("auroc") == F.count("*"), F.avg("auroc")).alias("macro_auroc"))
+
+
 def _metric_columns(classes: tuple[str, ...]) -> dict[str, Column]:
     c = len(classes)
     return {"accuracy": metrics.accuracy(c), "balanced_accuracy": metrics.balanced_accuracy(c), "macro_f1": metrics.macro_f1(c)} | {f"recall_{name}": metrics.recall(k) for k, name in enumerate(classes)}
@@ -103,9 +198,7 @@ def bootstrap(df: DataFrame, weights: DataFrame, classes: tuple[str, ...], auroc
     names = [*columns, "macro_auroc"]
     drawn = replicate_counts(df, weights, len(classes)).select("run", "replicate", *(c.alias(n) for n, c in columns.items()))
     reps = drawn.groupBy("replicate").agg(*(_mean_of_all(n).alias(n) for n in columns))
-    weighted = df.join(weights.where(F.col("replicate") < auroc_replicates), "group_key")
-    aurocs = metrics.macro_auroc(weighted.withColumn("w", F.col("w").cast("double")), ("run", "replicate"), "w")
-    aurocs = aurocs.groupBy("replicate").agg(_mean_of_all("macro_auroc").alias("macro_auroc"))
+    aurocs = replicate_aurocs(df, weights, auroc_replicates).groupBy("replicate").agg(_mean_of_all("macro_auroc").alias("macro_auroc"))
     values = _long(reps, list(columns), ("replicate",)).unionByName(_long(aurocs, ["macro_auroc"], ("replicate",)))
     spread = values.groupBy("metric").agg(F.avg("value").alias("mean"), F.expr("percentile(value, array(0.025, 0.975))").alias("q"), F.count("value").alias("n_valid"))
     per_run = metrics.class_counts(df, len(classes), ("run",)).select("run", *(c.alias(n) for n, c in columns.items()))

@@ -223,3 +223,28 @@ def _(spark, d) -> DataFrame:
     rows = features(spark, d).join(part, "p_partkey").withColumn("label", F.element_at(F.array(*map(F.lit, CLASSES)), place.cast("int") + 1))
     sets = {"geometry": ("width", "height"), "all": ("width", "height", "white_top", "white_bottom", "white_frac", "black_frac")}
     return rounded(probe.probed(rows, sets, "label", "group_id", how=PROBE))
+
+
+@query("q88_tree_draws", "SELECT unnest(range(200))::INT AS replicate, (SELECT count(DISTINCT user_id) FROM events) AS draws")
+def _(spark, d) -> DataFrame:
+    """Weights of a bootstrap by a tree of splits add up to the number of groups in each replicate."""
+    return bootstrap.tree_weights(predictions(spark, d), 200).groupBy("replicate").agg(F.sum("w").alias("draws"))
+
+
+@query(
+    "q89_splits_by_runs",
+    f"""WITH RECURSIVE {M}, u AS (SELECT group_key, count(*) FILTER (label = 'amd') AS a, count(*) FILTER (label = 'dme') AS b, count(*) FILTER (label = 'normal') AS c FROM m WHERE group_key IS NOT NULL GROUP BY group_key),
+o AS (SELECT *, row_number() OVER (ORDER BY a + b + c DESC, a, b, c, md5(group_key)) AS i, row_number() OVER (PARTITION BY a, b, c ORDER BY md5(group_key)) - 1 AS place FROM u), t AS (SELECT sum(a) AS a, sum(b) AS b, sum(c) AS c FROM u),
+g AS (SELECT list_transform([0.7, 0.15, 0.15], lambda r: [r * a, r * b, r * c]::DOUBLE[]) AS goal FROM t),
+r AS (SELECT 0::BIGINT AS i, [[0, 0, 0], [0, 0, 0], [0, 0, 0]]::DOUBLE[][] AS have, 0::BIGINT AS s UNION ALL SELECT n.i, list_transform(n.have, lambda h, k: CASE WHEN k = n.s THEN [h[1] + n.x[1], h[2] + n.x[2], h[3] + n.x[3]] ELSE h END), n.s
+FROM (SELECT o.i, r.have, [o.a, o.b, o.c]::DOUBLE[] AS x, list_transform([1, 2, 3], lambda k: list_sum(list_transform([1, 2, 3], lambda l: [o.a, o.b, o.c][l] * ([o.a, o.b, o.c][l] + 2 * (r.have[k][l] - goal[k][l])) / greatest(goal[k][l], 1)))) AS cost,
+list_position(list_transform(cost, lambda v: v <= list_min(cost) + 1e-9), true) AS s FROM r JOIN o ON o.i = r.i + 1, g) n),
+k AS (SELECT a, b, c, s, count(*) AS n FROM r JOIN o USING (i) GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY a, b, c ORDER BY s) AS until FROM k)
+SELECT group_key, ['train', 'val', 'test'][s] AS split FROM o JOIN e USING (a, b, c) WHERE place < until AND place >= until - n""",
+)
+def _(spark, d) -> DataFrame:
+    rows = manifest(spark, d).where("group_id is not null")
+    alone = rows.select(F.concat("source", F.lit(":"), "group_id").alias("group_key")).distinct()
+    units = splits.unit_table(rows, alone.withColumn("component", F.col("group_key")))
+    ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
+    return splits.run_splits(units, ratios).select(F.col("component").alias("group_key"), "split")

@@ -40,11 +40,12 @@ def audit_report(manifest: DataFrame, profiles: DataFrame | None = None, listing
     return out
 
 
-def analysis_report(rows: DataFrame, classes: tuple[str, ...], duplicates: DataFrame, label_unit: str = "image", replicates: int = 2000, auroc_replicates: int = 500, seed: int = 20260927, gallery_size: int = 24, per_group: int = 3) -> dict[str, DataFrame]:
-    """Tables of one prediction set. ``duplicates`` has the ``key`` (source:path) of what is in a duplicate cluster."""
+def analysis_report(rows: DataFrame, classes: tuple[str, ...], duplicates: DataFrame, label_unit: str = "image", replicates: int = 2000, auroc_replicates: int = 500, seed: int = 20260927, gallery_size: int = 24, per_group: int = 3, tree_draws: bool = False) -> dict[str, DataFrame]:
+    """Tables of one prediction set. ``duplicates`` has the ``key`` (source:path) of what is in a duplicate cluster.
+    With ``tree_draws`` the bootstrap takes any number of groups."""
     n = len(classes)
     given = metrics.with_prediction(rows.withColumns({"run": F.lit("run"), "key": F.concat("source", F.lit(":"), "path")}))
-    weights = bootstrap.multinomial_weights(given, replicates, seed)
+    weights = (bootstrap.tree_weights if tree_draws else bootstrap.multinomial_weights)(given, replicates, seed)
     steps = curves.curve_steps(given)
     groups = slices.group_table(given, classes)
     out = {

@@ -164,6 +164,57 @@ def test_no_groups_give_no_draws(spark):
     assert bootstrap.multinomial_weights(spark.createDataFrame([], "group_key string"), 5).count() == 0
 
 
+def test_tree_of_splits_draws_a_multinomial(spark, monkeypatch):
+    """Sums are exact, shares are those of the multinomial, and neither leaves nor partitions matter to a leaf's draws."""
+    import numpy as np
+
+    monkeypatch.setattr(bootstrap, "LEAF", 8)
+    df = spark.createDataFrame([(f"g{i}",) for i in range(61)] + [("g3",), (None,)], "group_key string")
+    rows = bootstrap.tree_weights(df.repartition(5), 400, 3).collect()
+    table = np.zeros((400, 61))
+    for r in rows:
+        table[r.replicate, int(r.group_key[1:])] += r.w
+    assert len({(r.replicate, r.group_key) for r in rows}) == len(rows) and min(r.w for r in rows) == 1
+    assert (table.sum(axis=1) == 61).all()
+    assert abs(table.mean(axis=0) - 1).max() < 0.25 and abs(table.var() - 60 / 61) < 0.05
+    pairs = np.cov(table.T)[np.triu_indices(61, 1)]
+    assert abs(pairs.mean() + 1 / 61) < 0.01
+    assert sorted(map(tuple, bootstrap.tree_weights(df.repartition(2), 400, 3).collect())) == sorted(map(tuple, rows))
+    assert {tuple(r) for r in bootstrap.tree_weights(df, 10, 3).collect()} == {tuple(r) for r in rows if r.replicate < 10}
+    assert {tuple(r) for r in bootstrap.tree_weights(df, 10, 4).collect()} != {tuple(r) for r in rows if r.replicate < 10}
+    assert bootstrap.tree_weights(df.limit(0), 5).count() == 0
+
+
+def test_two_groups_follow_the_binomial():
+    """Chances of each count against the exact ones, at a leaf of one group."""
+    from math import comb
+
+    import numpy as np
+
+    drawn = bootstrap.leaf_draws(5, 2, 20_000, 1, 1)[:, 0]
+    want = [comb(5, k) * 0.2**k * 0.8 ** (5 - k) for k in range(6)]
+    assert np.abs(np.bincount(drawn, minlength=6) / 20_000 - want).max() < 0.012
+
+
+def test_aurocs_of_replicates_equal_weighted_ones(spark):
+    """Ties, groups that aren't drawn, several runs and scores outside 0 to 1, against the metric on weighted rows."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(f"r{i % 2}", f"g{rnd.randrange(9)}", rnd.randrange(3), [rnd.choice([0.1, 0.25, 0.5, rnd.random(), 1.5, -0.5]) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "run string, group_key string, target int, probs array<double>")
+    weights = bootstrap.multinomial_weights(df, 12, 1)
+    weighted = df.join(weights.where("replicate < 7"), "group_key").withColumn("w", F.col("w").cast("double"))
+    want = {(r.run, r.replicate): r.macro_auroc for r in metrics.macro_auroc(weighted, ("run", "replicate"), "w").collect()}
+    got = {(r.run, r.replicate): r.macro_auroc for r in bootstrap.replicate_aurocs(df, weights, 7).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) if want[k] is not None else got[k] is None for k in want)
+
+
+def test_rows_without_a_group_are_not_drawn(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "group_key string")
+    assert {r.group_key for r in bootstrap.multinomial_weights(df, 20).collect()} == {"a", "b"}
+
+
 def test_bootstrap_query_equals_brute_force(spark, sf_dir):
     import numpy as np
 

@@ -253,6 +253,46 @@ def test_greedy_assignment_by_hand():
     assert splits.greedy_assignment(units, ratios, 9) == want
 
 
+def one_by_one(vectors, ratios):
+    """Counts by vector and split of units dealt in turn, with fractions."""
+    from fractions import Fraction
+
+    labels, names = range(len(vectors[0])), list(ratios)
+    whole = sum(Fraction(r) for r in ratios.values())
+    goal = {s: [Fraction(r) / whole * sum(v[i] for v in vectors) for i in labels] for s, r in ratios.items()}
+    have, out = {s: [0] * len(vectors[0]) for s in ratios}, {}
+    for v in sorted(vectors, key=lambda v: (-sum(v), v)):
+        cost = {s: sum(((have[s][i] + v[i] - goal[s][i]) ** 2 - (have[s][i] - goal[s][i]) ** 2) / max(goal[s][i], 1) for i in labels) for s in ratios}
+        best = min(names, key=lambda s: (cost[s], names.index(s)))
+        have[best] = [h + x for h, x in zip(have[best], v, strict=True)]
+        out.setdefault(v, dict.fromkeys(names, 0))[best] += 1
+    return {v: list(c.values()) for v, c in out.items()}
+
+
+@pytest.mark.parametrize(("seed", "units", "ratios"), [(1, 10_000, {"train": 0.7, "val": 0.15, "test": 0.15}), (2, 700, {"a": 0.85, "b": 0.15}), (3, 300, {"a": 1, "b": 1, "c": 1, "d": 2}), (4, 3, {"a": 1, "b": 1})])
+def test_dealing_runs_equals_one_by_one(seed, units, ratios):
+    rnd = random.Random(seed)
+    kinds = [tuple(rnd.randrange(4) * rnd.randrange(3) for _ in range(3)) for _ in range(12)] + [(0, 0, 0), (5, 0, 0)]
+    vectors = [rnd.choice(kinds[: 3 + i % 12]) for i in range(units)]
+    got = splits.dealt_runs(dict(Counter(vectors)), ratios)
+    want = one_by_one(vectors, ratios)
+    assert {v: got[v] for v in want} == want and set(got) == set(want)
+
+
+def test_splits_by_runs(spark):
+    rows = [(f"p{g}-{i}", ("amd", "dme")[g % 2], str(g), "test" if g % 10 == 0 else "train") for g in range(60) for i in range(1 + g % 3)]
+    df = manifest(spark, rows)
+    none = spark.createDataFrame([], "paths array<string>, distance int")
+    got, components = splits.derived_splits(df, none, {"train": 0.8, "val": 0.2}, 1, True, by_runs=True)
+    dealt = {r.group_key: r.split for r in got.collect()}
+    assert len(dealt) == 60 and {dealt[f"s:{g}"] for g in range(0, 60, 10)} == {"test"} and splits.derived_violations(splits.applied(df, got), components).count() == 0
+    units = Counter((1 + g % 3, g % 2, dealt[f"s:{g}"]) for g in range(60) if g % 10)
+    want = one_by_one([((1 + g % 3), 0) if g % 2 == 0 else (0, 1 + g % 3) for g in range(60) if g % 10], {"train": 0.8, "val": 0.2})
+    for v, (train, val) in want.items():
+        size, odd = sum(v), int(v[0] == 0)
+        assert (units[size, odd, "train"], units[size, odd, "val"]) == (train, val)
+
+
 def test_balanced_batches(spark):
     rows = [("a", "x", i) for i in range(50)] + [("a", "y", 100 + i) for i in range(3)] + [("b", "x", 200)] + [(None, "x", 1), ("b", None, 2)]
     df = spark.createDataFrame(rows, "source string, target string, n int").repartition(4)
