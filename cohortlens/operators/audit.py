@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,26 +90,47 @@ def classified(clusters: DataFrame, exact: bool) -> DataFrame:
     return out.withColumn("quarantine_eligible", F.size("quarantine_reasons") > 0)
 
 
-def near_pairs(hashes: DataFrame, most: int = 5, bands: int = 4, path: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+#: Hashes up to which all of those that share a band are compared.
+HOT_BAND = 2_000
+
+
+def near_pairs(hashes: DataFrame, most: int = 5, bands: int = 4, path: str = "path", by: tuple[str, ...] = (), hot: int = HOT_BAND) -> DataFrame:
     """(by, hash_a, hash_b, distance) of distinct 64-bit hashes that share a band of 64 / bands bits and differ in at most
     ``most`` bits. Pairs that differ in every band are missed by design: bands find all up to bands - 1 bits.
 
-    Equal hashes are one before the join, and a pair counts in its first shared band only, so no distinct is needed."""
+    Equal hashes are one before the join, and a pair counts in its first shared band only, so no distinct is needed. A band
+    that more than ``hot`` hashes share is split: if two of them differ in at most ``most`` bits, then one of the other bands
+    differs in at most most / (bands - 1) of them. So one side is dealt by each other band, the other one by each value of it
+    that so few flips lead to; what meets agrees in one band and nearly in a second one. The pairs are the same."""
+    if bands < 2:
+        raise ValueError("at least two bands")
     width = 64 // bands
     chunk = lambda h, b: F.shiftrightunsigned(h, width * (bands - 1 - b)).bitwiseAND(F.lit((1 << width) - 1))
     distinct = hashes.where("hash is not null").select(*by, "hash").distinct()
     dealt = distinct.select(*by, "hash", F.posexplode(F.array(*(chunk(F.col("hash"), b) for b in range(bands)))).alias("band", "chunk"))
-    a, b = dealt.withColumnRenamed("hash", "hash_a"), dealt.withColumnRenamed("hash", "hash_b")
     # hashes are unsigned numbers: flipping the top bit makes the signed order theirs
     less = F.col("hash_a").bitwiseXOR(F.lit(-(1 << 63))) < F.col("hash_b").bitwiseXOR(F.lit(-(1 << 63)))
-    joined = a.join(b, [*by, "band", "chunk"]).where(less)
     x = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    earlier = [F.when(F.col("band") > k, chunk(x, k) == 0).otherwise(False) for k in range(bands - 1)]
-    first = ~earlier[0]
-    for e in earlier[1:]:
-        first = first & ~e
-    pairs = joined.where(first).withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b")).cast("int"))
-    return pairs.where(F.col("distance") <= most).select(*by, "hash_a", "hash_b", "distance")
+    apart = lambda b: F.bit_count(chunk(x, b))
+    first = reduce(and_, (~((F.col("band") > b) & (apart(b) == 0)) for b in range(bands - 1)), F.lit(True))
+
+    def told(joined: DataFrame) -> DataFrame:
+        pairs = joined.where(less & first).withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b")).cast("int"))
+        return pairs.where(F.col("distance") <= most).select(*by, "hash_a", "hash_b", "distance")
+
+    keys = [*by, "band", "chunk"]
+    side = lambda df, s: df.withColumnRenamed("hash", f"hash_{s}")
+    marked = dealt.join(dealt.groupBy(*keys).agg((F.count("*") > hot).alias("hot")), keys)
+    cold, split = marked.where("not hot").drop("hot"), marked.where("hot").drop("hot")
+    flips = most // (bands - 1)
+    masks = [sum(1 << i for i in at) for k in range(flips + 1) for at in combinations(range(width), k)]
+    others = split.withColumn("other", F.explode(F.array(*map(F.lit, range(bands))))).where("other <> band")
+    value = reduce(lambda c, b: c.when(F.col("other") == b, chunk(F.col("hash"), b)), range(1, bands), F.when(F.col("other") == 0, chunk(F.col("hash"), 0)))
+    exact = others.withColumn("near", value)
+    flipped = exact.withColumn("near", F.explode(F.transform(F.array(*(F.lit(m).cast("bigint") for m in masks)), lambda m: m.bitwiseXOR(F.col("near")))))
+    earliest = reduce(and_, (~((F.col("other") > b) & (F.col("band") != b) & (apart(b) <= flips)) for b in range(bands - 1)), F.lit(True))
+    met = side(flipped, "a").join(side(exact, "b"), [*keys, "other", "near"]).where(earliest)
+    return told(side(cold, "a").join(side(cold, "b"), keys)).unionByName(told(met))
 
 
 def near_clusters(manifest: DataFrame, most: int = 5, across: bool = False) -> DataFrame:

@@ -59,6 +59,33 @@ def test_near_pairs_are_each_there_once_and_unsigned(spark):
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize(("most", "bands", "hot"), [(5, 4, 0), (5, 4, 3), (7, 4, 0), (3, 2, 0)])
+def test_split_bands_find_the_same_pairs(spark, most, bands, hot):
+    rnd = random.Random(most)
+    values = set()
+    for v in [rnd.getrandbits(64) for _ in range(8)]:
+        for _ in range(12):
+            w = v
+            for b in rnd.sample(range(64), rnd.randrange(0, 7)):
+                w ^= 1 << b
+            values.add(w)
+    width = 64 // bands
+    shared = lambda a, b: any((a >> s) % (1 << width) == (b >> s) % (1 << width) for s in range(0, 64, width))
+    want = Counter((a, b) for a in values for b in values if a < b and shared(a, b) and (a ^ b).bit_count() <= most)
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, "s") for v in values], "hash long, source string")
+    got = Counter((r.hash_a % (1 << 64), r.hash_b % (1 << 64)) for r in audit.near_pairs(df, most, bands, by=("source",), hot=hot).collect())
+    assert got == want and want
+
+
+def test_a_hot_band_is_not_compared_pair_by_pair(spark):
+    """100,000 hashes that share a band: candidates are a small part of their pairs, and planted pairs are found."""
+    mixed = F.xxhash64("id").bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.lit(7 << 48))
+    df = spark.range(100_000).select(mixed.alias("hash"))
+    planted = df.limit(50).select(F.col("hash").bitwiseXOR(F.lit((1 << 40) | (1 << 20) | (1 << 3))).alias("hash"))
+    found = audit.near_pairs(df.unionByName(planted)).collect()
+    assert len([r for r in found if r.distance == 3]) >= 50 and len(found) < 1000
+
+
 def test_exact_clusters(spark):
     df = manifest(spark, [("a", "amd", "1", "", "d"), ("b", "dme", None, "train", "d"), ("c", "amd", "1", None, "e"), ("x", "amd", "1", None, "d", None, "t")])
     row = audit.exact_clusters(df).first()
