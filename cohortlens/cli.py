@@ -92,7 +92,7 @@ def _clusters(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def run_splits(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = manifests.read_manifest(spark, a.manifest)
+    rows = manifests.read_manifest(spark, a.manifest, checked=True)
     hashes = {"manifest": sinks.content_hash(spark, a.manifest)}, {"near": sinks.content_hash(spark, f"{a.near}/*.json")} if a.near else {}
     path = f"{a.output}/definition.json"
     clusters = _clusters(spark, a.near)
@@ -111,7 +111,7 @@ def run_splits(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def run_folds(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = manifests.read_manifest(spark, a.manifest)
+    rows = manifests.read_manifest(spark, a.manifest, checked=True)
     folds = splits.stratified_folds(rows, _clusters(spark, a.near), a.folds, a.validation_groups_per_class, a.seed)
     folds.write.partitionBy("fold").json(f"{a.output}/folds")
     sinks.write_split_definition(spark, f"{a.output}/definition.json", folds, a.seed, {"folds": a.folds, "validation_groups_per_class": a.validation_groups_per_class}, {"manifest": sinks.content_hash(spark, a.manifest)}, {})

@@ -61,6 +61,23 @@ def cluster_summary(members: DataFrame, by: tuple[str, ...], identity: str = "pa
     return out.withColumns({name: F.size(of) > 1 for name, of in flags.items()})
 
 
+def cluster_flags(members: DataFrame, by: tuple[str, ...], identity: str = "path") -> DataFrame:
+    """Per cluster: its representative (the least member), number of members, and what it crosses; the same as
+    ``cluster_summary`` tells, but without lists, so that a cluster of any size is a few partial sums."""
+    values = {"crosses_groups": group_key(), "crosses_supplied_splits": F.when(F.col("supplied_split") != "", F.col("supplied_split")), "conflicting_labels": F.col("label"), "crosses_sources": F.col("source")}
+    several = [F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(name) for name, c in values.items()]
+    return members.groupBy(*by).agg(F.min(identity).alias("representative"), F.count("*").alias("members"), *several)
+
+
+def memberships(manifest: DataFrame, digest: str = "digest", across: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Exact clusters in two tables: (by, representative, members, flags) of each cluster of two records or more (``across``:
+    of several sources), and (by, representative, member) for each of its records, by a join that can split a hot digest."""
+    by = (digest,) if across else ("in_source", digest)
+    known = manifest.where(F.col(digest).isNotNull()).withColumns({"in_source": F.col("source"), "member": F.concat("source", F.lit(":"), "path") if across else F.col("path")})
+    clusters = cluster_flags(known, by, "member").where("crosses_sources" if across else "members > 1")
+    return clusters, known.join(clusters.select(*by, "representative"), list(by)).select(*by, "representative", "member")
+
+
 def exact_clusters(manifest: DataFrame, digest: str = "digest", across: bool = False) -> DataFrame:
     """Clusters of records of one digest: inside each source, or ``across`` sources (named source:path then).
 

@@ -54,13 +54,25 @@ def average_precision(steps: DataFrame, by: tuple[str, ...] = ("class",)) -> Dat
 
 
 def downsampled(points: DataFrame, by: tuple[str, ...], order: str, most: int = 200) -> DataFrame:
-    """At most ``most`` rows of each curve, evenly spread over its order, both ends included."""
-    w = Window.partitionBy(*by)
-    ranked = points.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
-    step = (F.col("__n") - 1) / F.lit(most - 1)
-    near = F.floor(F.col("__i") / step + 0.5)
-    kept = F.exists(F.array(near - 1, near, near + 1), lambda k: (F.bround(k * step, 0) == F.col("__i")) & k.between(0, most - 1))
-    return ranked.where((F.col("__n") <= most) | kept).drop("__i", "__n")
+    """At most ``most`` rows of each curve, evenly spread over its order, both ends included; nulls come first.
+
+    The places that stay follow from the number of points. Points are counted by ranges of the order (a number, mostly from 0
+    to 1), which tells what range a place is in; only ranges that hold one are sorted, each by itself."""
+    place = F.coalesce(F.least(F.greatest(F.floor(F.col(order) * BUCKETS), F.lit(-1)), F.lit(BUCKETS)), F.lit(-2)).cast("int")
+    dealt = points.withColumn("b__", place)
+    sizes = dealt.groupBy(*by, "b__").agg(F.count("*").alias("c__"))
+    curve = Window.partitionBy(*by)  # BUCKETS rows a curve
+    ranges = sizes.withColumns({"s__": F.sum("c__").over(curve.orderBy("b__")) - F.col("c__"), "n__": F.sum("c__").over(curve)})
+    step = (F.col("n__") - 1) / F.lit(most - 1)
+    stays = lambda k, low, high: k.between(0, most - 1) & (F.bround(k * step, 0) >= low) & (F.bround(k * step, 0) < high)
+    first = F.ceil((F.col("s__") - 0.5) / step)
+    visited = ranges.where((F.col("n__") <= most) | F.exists(F.array(*(first + k for k in (-1, 0, 1))), lambda k: stays(k, F.col("s__"), F.col("s__") + F.col("c__")))).drop("c__")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*by, "b__")]
+    ranked = dealt.alias("x").join(visited.alias("y"), same).select("x.*", "s__", "n__")
+    ranked = ranked.withColumn("i__", F.col("s__") + F.row_number().over(Window.partitionBy(*by, "b__").orderBy(order)) - 1)
+    near = F.floor(F.col("i__") / step + 0.5)
+    kept = F.exists(F.array(near - 1, near, near + 1), lambda k: stays(k, F.col("i__"), F.col("i__") + 1))
+    return ranked.where((F.col("n__") <= most) | kept).drop("i__", "n__", "s__", "b__")
 
 
 def disease_scores(df: DataFrame, normal: int = 0) -> DataFrame:

@@ -114,6 +114,20 @@ def macro_auroc(df: DataFrame, by: tuple[str, ...] = (), weight: str | None = No
     return one.groupBy(*by).agg(F.when(F.count("auroc") == F.count("*"), F.avg("auroc")).alias("macro_auroc"))
 
 
+def rank_correlation(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, rows, spearman): the correlation of mid-ranks, ties sharing theirs; null without spread. Rows with a null in
+    either column don't count. Values are counted and ranked by ranges, so no key is sorted in one task."""
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x__"), F.col(y).cast("double").alias("y__"))
+
+    def ranks(c: str) -> DataFrame:
+        counted = known.groupBy(*by, c).agg(F.count("*").alias("n__"))
+        return ranked_scores(counted, by, ("n__",), c).select(*by, c, (F.col("n___above") + (F.col("n__") + 1) / 2).alias(f"{c}r"))
+
+    both = known.join(ranks("x__"), [*by, "x__"]).join(ranks("y__"), [*by, "y__"])
+    spread = F.stddev_pop("x__r") * F.stddev_pop("y__r")
+    return both.groupBy(*by).agg(F.count("*").alias("rows"), (F.covar_pop("x__r", "y__r") / F.nullif(spread, F.lit(0.0))).alias("spearman"))
+
+
 def rates_by_class(df: DataFrame, classes: int, by: tuple[str, ...] = ()) -> DataFrame:
     """One-vs-rest sensitivity, specificity, ppv, npv and f1 of the decisions; null on an empty denominator."""
     rows = []

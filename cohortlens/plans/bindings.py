@@ -248,3 +248,28 @@ def _(spark, d) -> DataFrame:
     units = splits.unit_table(rows, alone.withColumn("component", F.col("group_key")))
     ratios = {"train": 0.7, "val": 0.15, "test": 0.15}
     return splits.run_splits(units, ratios).select(F.col("component").alias("group_key"), "split")
+
+
+@query("q90_rank_correlation", f"WITH {P}, a AS (SELECT event_type, count(*) OVER (PARTITION BY event_type, p[1]) AS nx, rank() OVER (PARTITION BY event_type ORDER BY p[1]) AS kx, count(*) OVER (PARTITION BY event_type, p[2]) AS ny, rank() OVER (PARTITION BY event_type ORDER BY p[2]) AS ky FROM p) SELECT event_type AS cohort, count(*) AS rows, round(corr(kx + (nx - 1) / 2, ky + (ny - 1) / 2), 9) AS spearman FROM a GROUP BY event_type")
+def _(spark, d) -> DataFrame:
+    rows = predictions(spark, d).select("cohort", F.element_at("probs", 1).alias("x"), F.element_at("probs", 2).alias("y"))
+    return rounded(metrics.rank_correlation(rows, "x", "y", ("cohort",)))
+
+
+@query("q91_cluster_members", f"WITH {M}, c AS (SELECT source, digest, min(path) AS representative FROM m GROUP BY source, digest HAVING count(*) > 1) SELECT source AS in_source, representative, path AS member FROM m JOIN c USING (source, digest)")
+def _(spark, d) -> DataFrame:
+    return audit.memberships(manifest(spark, d))[1].select("in_source", "representative", "member")
+
+
+@query("q92_cluster_flags", f"WITH {M} SELECT digest, min(source || ':' || path) AS representative, count(*) AS members, count(DISTINCT group_key) > 1 AS crosses_groups, count(DISTINCT supplied_split) > 1 AS crosses_supplied_splits, count(DISTINCT label) > 1 AS conflicting_labels, true AS crosses_sources FROM m GROUP BY digest HAVING count(DISTINCT source) > 1")
+def _(spark, d) -> DataFrame:
+    return audit.memberships(manifest(spark, d), across=True)[0]
+
+
+@query("q93_numbered_lines", f"WITH {M} SELECT path, label FROM m WHERE group_id IS NOT NULL")
+def _(spark, d) -> DataFrame:
+    """Records of a written manifest of many files, read with the check of each line and by their numbers."""
+    path = new_path(spark, "manifest")
+    sinks.write_manifest(whole(manifest(spark, d)).repartition(5), path)
+    rows = manifests.read_manifest(spark, path, checked=True, numbered=True)
+    return rows.where("group_id is not null and seq >= 1").select("path", "label")

@@ -72,7 +72,7 @@ def serialised(manifest: DataFrame) -> DataFrame:
     return given.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def deserialised(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Records from JSON objects; missing keys are null, a missing unit is ``image``."""
+def deserialised(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records from JSON objects; missing keys are null, a missing unit is ``image``. ``keep`` names further columns."""
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in MANIFEST.fields])
-    return lines.select(F.from_json(column, loose, {"mode": "FAILFAST"}).alias("r")).select("r.*").withColumn("label_unit", F.coalesce("label_unit", F.lit("image")))
+    return lines.select(F.from_json(column, loose, {"mode": "FAILFAST"}).alias("r"), *keep).select("r.*", *keep).withColumn("label_unit", F.coalesce("label_unit", F.lit("image")))

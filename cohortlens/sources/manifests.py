@@ -3,20 +3,75 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from cohortlens.schema import MANIFEST, deserialised, unit_key
 from cohortlens.sources.listing import exists, globbed, read_text
+from cohortlens.storage import ship
 
 PREFIX = "probability_"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a JSON-lines file; blank lines are skipped, and a malformed one is an error."""
+LINE = "value string, file string, block long, at long"
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, at): each line with the file and the first byte of the split that it was read from, and its place
+    in that split. A split is read by one task from its first line on, so places are the same in each reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            at = []
+            for place in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at.append(seen.get(place, 0))
+                seen[place] = at[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], ["value", "file", "block", "at"])
+
+    ship(spark)
+    return spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").mapInArrow(run, LINE)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line) of all lines, numbered from 1 in each file: the place in a split, after the lines of the splits
+    before it."""
+    placed = _placed(spark, path)
+    sizes = placed.groupBy("file", "block").agg(F.count("*").alias("n"))
+    since = sizes.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("since"))  # a row for each split
+    return placed.join(since, ["file", "block"]).select("value", "file", (F.col("since") + F.col("at") + 1).alias("line"))
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of lines that are neither blank nor a JSON object with the keys that a record must have."""
+    return numbered_lines(spark, path).where(_malformed()).select("file", "line", "value")
+
+
+def _malformed() -> Column:
+    loose = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in MANIFEST.fields), T.StructField("_corrupt", T.StringType())])
+    read = F.from_json("value", loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    lacks = reduce(or_, (read[f.name].isNull() for f in MANIFEST.fields if not f.nullable and f.name != "label_unit"))
+    return (F.trim("value") != "") & (read.isNull() | read["_corrupt"].isNotNull() | lacks)
+
+
+def read_manifest(spark: SparkSession, path: str, checked: bool = False, numbered: bool = False) -> DataFrame:
+    """Records of a JSON-lines file; blank lines are skipped, and a malformed one is an error: of the task that meets it, or
+    with ``checked`` one that names its file and line before anything else is read. ``numbered`` adds ``seq``, the place of
+    a record in its file."""
+    if checked and not spark.read.text(path).where(_malformed()).isEmpty():
+        bad = malformed_lines(spark, path).orderBy("file", "line").first()
+        raise ValueError(f"{bad.file}:{bad.line}: no manifest record")
+    if numbered:
+        lines = numbered_lines(spark, path).where(F.trim("value") != "")
+        return deserialised(lines, keep=("line",)).withColumnRenamed("line", "seq")
     return deserialised(spark.read.text(path).where(F.trim("value") != ""))
 
 
@@ -43,12 +98,14 @@ def read_predictions(spark: SparkSession, path: str, manifest: DataFrame, name:
     """Predictions of a CSV file joined to the manifest.
 
     Every column ``probability_<class>`` names a class, in the order of the header; fewer than two are an error, as are an
-    empty file, paths that the manifest doesn't have, targets other than its labels, and mixed label units."""
+    empty file, paths that the manifest doesn't have, targets other than its labels, and mixed label units. Of records that
+    share a path the last one counts, if the manifest tells by ``seq``, else the greatest one."""
     table = spark.read.csv(path, header=True, inferSchema=False, mode="FAILFAST")
     classes = tuple(c.removeprefix(PREFIX) for c in table.columns if c.startswith(PREFIX))
     if len(classes) < 2:
         raise ValueError(f"{path} has fewer than two probability columns")
-    known = manifest.groupBy("path").agg(F.max(F.struct(*(F.col(f.name) for f in MANIFEST.fields if f.name != "path"))).alias("m"))
+    record = F.struct(*(F.col(f.name) for f in MANIFEST.fields if f.name != "path"))
+    known = manifest.groupBy("path").agg((F.max_by(record, "seq") if "seq" in manifest.columns else F.max(record)).alias("m"))
     given = table.withColumn("seq", F.monotonically_increasing_id())
     joined = given.join(known, "path", "left")
     bad = F.when(F.col("m").isNull(), F.concat(F.lit("a path isn't in the manifest: "), "path")).when(F.col("target") != F.col("m.label"), F.concat(F.lit("a target isn't the manifest's label: "), "path"))
@@ -71,7 +128,7 @@ def discover_predictions(spark: SparkSession, run_dir: str, manifests_dir: str)
     found: list[PredictionSet] = []
 
     def add(name: str, path: str, source: str, reference: dict | None, full: bool = False) -> None:
-        manifest = read_manifest(spark, f"{manifests_dir}/{source}.jsonl")
+        manifest = read_manifest(spark, f"{manifests_dir}/{source}.jsonl", checked=True, numbered=True)
         found.append(read_predictions(spark, path, manifest, name, source, full_source=full, reference=reference))
 
     if exists(spark, f"{run_dir}/predictions-test.csv"):

@@ -285,3 +285,33 @@ def test_class_weights_and_balance(spark):
     assert {r.target: r.weight for r in metrics.class_weights(df, 2).collect()} == {0: 1.0, 1: 1.0}
     got = {(r.source, r.target): r.weight for r in splits.balanced_weights(df).collect()}
     assert got == {("a", 0): pytest.approx(1 / 12), ("a", 1): pytest.approx(1 / 4), ("b", 1): pytest.approx(1 / 4)}
+
+
+def test_rank_correlation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, 200) / 5, rng.integers(0, 9, 200) / 4 - 1
+    y[:120] = x[:120]
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("a", None, 1.0), ("c", 1.0, 0.0), ("c", 1.0, 1.0)], "k string, x double, y double")
+    got = {r.k: r for r in metrics.rank_correlation(df, "x", "y", ("k",)).collect()}
+    assert got["a"].rows == 200 and got["a"].spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1]) and got["c"].spearman is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 199, 200, 201, 399, 1000, 5003])
+def test_downsampled_places(spark, n):
+    import numpy as np
+
+    df = spark.range(n).selectExpr("'k' as k", "case when id > 0 then id / 997.0D - 0.3D end as v", "id as i").repartition(3)
+    got = sorted(r.i for r in curves.downsampled(df, ("k",), "v").collect())
+    assert got == (list(range(n)) if n <= 200 else sorted(set(np.round(np.linspace(0, n - 1, 200)).astype(int).tolist())))
+
+
+def test_galleries_and_controls_are_cut_before_they_are_moved(spark, sf_dir):
+    """The rows of a class meet in one task only after each part of the table has been cut to as many as are asked for."""
+    from cohortlens.operators import gallery
+    from cohortlens.plans import views
+
+    plan = gallery.control_sample(views.predictions(spark, sf_dir), views.CLASSES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3

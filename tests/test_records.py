@@ -249,6 +249,58 @@ def test_records_round_trip(spark, tmp_path):
         schema.parse_labels([])
 
 
+def whole(df):
+    """With every column of a record."""
+    given = {"available_labels": F.array(F.lit("amd"), F.lit("dme")), "label_unit": F.lit("image")}
+    missing = {f.name: given.get(f.name, F.lit(None).cast(f.dataType)) for f in schema.MANIFEST.fields if f.name not in df.columns}
+    return df.withColumns(missing)
+
+
+def test_a_bad_line_is_named(spark, tmp_path):
+    """Also if it lies in a later split of its file, after blank lines."""
+    from cohortlens.sources.manifests import malformed_lines, numbered_lines, read_manifest
+
+    df = whole(manifest(spark, [(f"p{i}", "amd", "g", None) for i in range(400)]))
+    lines = [r.value for r in schema.serialised(df).collect()]
+    lines[7:7] = ["", "   "]
+    (tmp_path / "good.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        assert spark.read.text(str(tmp_path / "good.jsonl")).rdd.getNumPartitions() > 3
+        assert {r.line: r.value for r in numbered_lines(spark, str(tmp_path / "good.jsonl")).collect()} == dict(enumerate(lines, 1))
+        assert read_manifest(spark, str(tmp_path / "good.jsonl"), checked=True).count() == 400
+        rows = read_manifest(spark, str(tmp_path / "good.jsonl"), numbered=True).collect()
+        assert {r.seq: r.path for r in rows} == {i: x.split('"path":"')[1].split('"')[0] for i, x in enumerate(lines, 1) if x.strip()}
+        bad = [*lines]
+        bad[350], bad[360] = '{"path": "x"', '{"path": "only"}'
+        (tmp_path / "bad.jsonl").write_text("\n".join(bad))
+        assert [r.line for r in malformed_lines(spark, str(tmp_path / "bad.jsonl")).orderBy("line").collect()] == [351, 361]
+        with pytest.raises(ValueError, match=r"bad\.jsonl:351"):
+            read_manifest(spark, str(tmp_path / "bad.jsonl"), checked=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_last_of_repeated_paths_counts(spark, tmp_path):
+    from cohortlens.sources.manifests import read_predictions
+
+    known = whole(manifest(spark, [("a", "dme", "1", None), ("a", "amd", "2", None), ("b", "dme", "3", None)]))
+    (tmp_path / "p.csv").write_text("path,target,probability_amd,probability_dme\na,amd,0.4,0.6\nb,dme,0.1,0.9\n")
+    rows = {r.path: r.group_key for r in read_predictions(spark, str(tmp_path / "p.csv"), known, "t", "s").rows.collect()}
+    assert rows == {"a": "s:2", "b": "s:3"}
+
+
+def test_memberships_of_a_hot_digest(spark):
+    df = manifest(spark, [(f"p{i}", "amd" if i else "dme", "1", "", "d") for i in range(300)] + [("x", "amd", None, "train", "e"), ("y", "amd", None, "train", "e"), ("z", "amd", None, None, "f")])
+    flags, members = audit.memberships(df)
+    got = {r.digest: r for r in flags.collect()}
+    assert (got["d"].members, got["d"].representative, got["d"].conflicting_labels, got["d"].crosses_supplied_splits) == (300, "p0", True, False)
+    assert set(got) == {"d", "e"} and members.groupBy("representative").count().count() == 2 and members.count() == 302
+    whole = {r.digest: r for r in audit.exact_clusters(df).collect()}
+    assert all(tuple(got[k][c] for c in ("crosses_groups", "crosses_supplied_splits", "conflicting_labels")) == tuple(whole[k][c] for c in ("crosses_groups", "crosses_supplied_splits", "conflicting_labels")) for k in whole)
+
+
 def test_exploration(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0), ("a", None, 3.0), ("b", "y", 0.3)], "k string, c string, v double")
     assert {(r.k, r.c): r.n for r in eda.group_counts(df, ("k", "c")).collect()}["a", "none"] == 1
