@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortlens.plans import bindings, campaigns, evaluation, more, records
+from cohortlens.plans import bindings, campaigns, evaluation, more, records, reporting
 from cohortlens.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "bindings", "campaigns", "evaluation", "more", "records"]
+__all__ = ["QUERIES", "SQL", "bindings", "campaigns", "evaluation", "more", "records", "reporting"]
