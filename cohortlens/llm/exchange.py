@@ -28,6 +28,8 @@ SETTLED = np.uint32(0xFFFFFFFF)
 CHUNK = 500_000
 #: Bytes of stored input for each key range at most: what a worker holds of a range doesn't grow with the table.
 RANGE_BYTES = 32 << 20
+#: Bytes of it for which a range is worth its rows.
+LEAST_BYTES = 256 << 10
 PACKED = "bucket long, chunk long, kind int, keys binary, refs binary"
 
 
@@ -44,9 +46,12 @@ class Keys:
 
 
 def key_ranges(df: DataFrame) -> int:
-    """Number of ranges that keys are dealt to: four for each shuffle partition of the session, and more where the tables
-    that df reads are large."""
-    return max(4 * shuffle_width(df.sparkSession), -(-input_bytes(df) // RANGE_BYTES))
+    """Number of ranges that keys are dealt to: four for each shuffle partition of the session, but fewer where the tables
+    that df reads are small for so many (every chunk sends a row to each range), and more where they are large."""
+    wide, stored = 4 * shuffle_width(df.sparkSession), input_bytes(df)
+    if not stored:  # unknown
+        return wide
+    return max(1, min(wide, stored // LEAST_BYTES), -(-stored // RANGE_BYTES))
 
 
 def dealt(df: DataFrame, by: str, ranges: int) -> DataFrame:

@@ -176,7 +176,7 @@ def signatures(tokens: np.ndarray, spread: np.ndarray, percent: int, few: int |
 def candidate_pairs(sets: DataFrame, percent: int, few: int | None, rare: int = RARE) -> DataFrame:
     """Pairs (a, b) of rows of sets (rk, root, n, tokens) of different roots that may link: of each signature all of
     them, or with ``few`` those of one member with the others, over the first signatures of a row."""
-    buckets = key_ranges(sets) // 2
+    buckets = max(1, key_ranges(sets) // 2)
 
     def send(parts: list[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
         rk, root, n = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("rk", "root", "n"))
