@@ -300,7 +300,9 @@ def nearest(df: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, id_co
             for ids, vectors, query_ids, queries in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8")
                 c, q = np.frombuffer(vectors).reshape(len(ids), -1), np.frombuffer(queries).reshape(len(query_ids), -1)
-                found = [_top(ids, c, one, i, row, k) for one, i, row in zip(q, query_ids, q @ c.T, strict=True)]
+                # two roundings of a product are at most so far apart, and so are those of the product it is compared with
+                wide = 4 * c.shape[1] * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max(initial=0)
+                found = [_top(ids, c, one, i, row, k, margin) for one, i, row, margin in zip(q, query_ids, q @ c.T, wide, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["query_id", "ids", "scores"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,12 +353,13 @@ def _packed(rows: DataFrame, block: int) -> DataFrame:
     return in_arrow(salted.repartition("part", "salt").sortWithinPartitions("part", "salt", "vec_id"), pack, "part int, salt int, ids binary, vectors binary")
 
 
-def _top(ids: np.ndarray, c: np.ndarray, query: np.ndarray, own: int, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of a block: rough products choose, sums in the order of the components rank."""
+def _top(ids: np.ndarray, c: np.ndarray, query: np.ndarray, own: int, rough: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of a block: rough products choose, with a margin for their rounding; sums in the order of the components
+    rank."""
     rough = np.where(ids == own, -np.inf, rough)
     if len(rough) > k:
         least = np.partition(rough, len(rough) - k)[-k]
-        near = np.flatnonzero(rough >= least - 1e-9 * max(1.0, abs(least) if np.isfinite(least) else 1.0))
+        near = np.flatnonzero(rough >= least - margin)
     else:
         near = np.arange(len(rough))
     near = near[ids[near] != own]

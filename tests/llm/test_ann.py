@@ -41,6 +41,19 @@ def test_one_part_is_exact(spark):
     assert as_map(ann.nearest(df)) == brute(rows, 20, lambda i: i % 20 == 0)
 
 
+def test_products_that_cancel_are_ranked_exactly(spark):
+    """Large components, almost orthogonal: products are small beside the rounding of their terms."""
+    rnd = np.random.default_rng(11)
+    q = rnd.normal(size=16) * 1e6
+    rows = [(0, q.tolist())]
+    for i in range(1, 80):
+        v = rnd.normal(size=16) * 1e6
+        v -= q * (v @ q) / (q @ q)
+        rows.append((i, v.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert as_map(ann.nearest(df)) == brute(rows, 20, lambda i: i % 20 == 0)
+
+
 def test_fewer_candidates_and_none(spark):
     df = spark.createDataFrame([(20, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert as_map(ann.nearest(df)) == {20: [(1, 1.5)]}
