@@ -38,7 +38,7 @@ FINDINGS, THRESHOLD, NEAR = 6000, 0.5, 4
 KINDS = ("provider_key", "private_key", "signed_token", "assigned", "mixed")
 # Published key formats.
 PROVIDER = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|glpat-[A-Za-z0-9_\-]{20}"
-PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----)?"
+PRIVATE = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----)?"
 SIGNED = r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth[_\-]?key|client[_\-]?secret|private[_\-]?key|credential"
 PATTERNS = (
