@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.llm import css
 from cohortlens.llm.common import in_arrow, slices
 
 DEEP = 150
@@ -51,14 +52,13 @@ _WHITE = re.compile(r"[ \t\n\r\f]+")
 _MARK = re.compile(r"[{};]")
 _LENGTH = re.compile(r"(\d*\.?\d+)(px|em|rem)?")
 _RANGE = re.compile(r"(?:([^<>=]+?)\s*([<>]=?|=)\s*)?(width|height)(?:\s*([<>]=?|=)\s*([^<>=]+))?")
-_SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*)?(?:[.#][\w-]+)?")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
+        self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
 
 
 class TreeBuilder(HTMLParser):
@@ -99,6 +99,7 @@ class TreeBuilder(HTMLParser):
         if tag == "textarea":
             self.set_cdata_mode(tag)  # what looks like tags in it is text
         if tag in VOID:
+            node.parent = self.open[-1]
             self.open[-1].children.append(node)
         else:
             self._push(node)
@@ -113,7 +114,7 @@ class TreeBuilder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
         elif tag == "p" and not any(n.tag == "p" for n in self.open):
-            self.open[-1].children.append(Node("p", {}))
+            self.open[-1].children.append(Node("p", {}, self.open[-1]))
         elif tag not in ("html", "body"):
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag == tag:
@@ -132,6 +133,7 @@ class TreeBuilder(HTMLParser):
         at.children.append(unescape(data) if at.tag == "textarea" else data)
 
     def _push(self, node: Node) -> None:
+        node.parent = self.open[-1]
         self.open[-1].children.append(node)
         if len(self.open) < DEEP:
             self.open.append(node)
@@ -169,15 +171,6 @@ class TreeBuilder(HTMLParser):
         return False
 
 
-def declared(style: str) -> dict[str, str]:
-    out = {}
-    for part in style.split(";"):
-        name, colon, value = part.partition(":")
-        if colon:
-            out[name.strip().lower()] = value.replace("!important", "").strip().lower()
-    return out
-
-
 def _pixels(value: str) -> float | None:
     found = _LENGTH.fullmatch(value.strip())
     return float(found[1]) * (1 if found[2] in (None, "px") else 16) if found else None
@@ -223,14 +216,13 @@ def holds(query: str) -> bool:
     return False
 
 
-def plain_rules(css: str) -> Iterator[tuple[str, str]]:
-    """(selectors, declarations) of the rules that apply on the screen, those of layers first, as they yield to others."""
-    layered: list[tuple[str, str]] = []
-    plain: list[tuple[str, str]] = []
+def plain_rules(sheet: str) -> Iterator[tuple[bool, str, str]]:
+    """(whether in a layer, selectors, declarations) of the rules that apply on the screen."""
+    rules: list[tuple[bool, str, str]] = []
     blocks: list[tuple[str, bool, bool, list[str]]] = []  # prelude, whether rules in it apply, in a layer, own declarations
     at = 0
-    for mark in _MARK.finditer(css):
-        text, at = css[at : mark.start()].strip(), mark.end()
+    for mark in _MARK.finditer(sheet):
+        text, at = sheet[at : mark.start()].strip(), mark.end()
         if mark[0] == "{":
             apply, layer = (blocks[-1][1], blocks[-1][2]) if blocks else (True, False)
             if blocks and not blocks[-1][0].startswith("@"):
@@ -246,40 +238,49 @@ def plain_rules(css: str) -> Iterator[tuple[str, str]]:
             if mark[0] == "}":
                 selectors, apply, layer, body = blocks.pop()
                 if apply and not selectors.startswith("@"):
-                    (layered if layer else plain).append((selectors, ";".join(body)))
+                    rules.append((layer, selectors, ";".join(body)))
     if blocks and blocks[-1][1] and not blocks[-1][0].startswith("@"):  # the end of a sheet closes what it left open
-        (layered if blocks[-1][2] else plain).append((blocks[-1][0], ";".join([*blocks[-1][3], css[at:]])))
-    yield from layered
-    yield from plain
+        rules.append((blocks[-1][2], blocks[-1][0], ";".join([*blocks[-1][3], sheet[at:]])))
+    yield from rules
 
 
 class Visibility:
     """Rules of display and visibility; ``state`` is whether the surroundings are visible."""
 
     def __init__(self, sheets: list[str]):
-        self.rules: dict[str, dict[str, str]] = {}
-        for selectors, body in plain_rules(re.sub(r"/\*.*?\*/", "", " ".join(sheets), flags=re.DOTALL)):
-            found = {k: v for k, v in declared(body).items() if k in ("display", "visibility")}
-            for one in selectors.split(",") if found else []:
-                if one.strip() and _SIMPLE.fullmatch(one.strip()):
-                    self.rules.setdefault(one.strip(), {}).update(found)
+        self.rules: dict[str, list[tuple[tuple, css.Selector, dict[str, tuple[str, bool]]]]] = {}
+        for order, (layered, selectors, body) in enumerate(plain_rules(re.sub(r"/\*.*?\*/", "", " ".join(sheets), flags=re.DOTALL))):
+            found = {k: v for k, v in css.declared(body).items() if k in ("display", "visibility")}
+            for one in css.separated(selectors) if found else []:
+                if rule := css.parsed(one):
+                    self.rules.setdefault(rule.key(), []).append(((not layered, rule.weight(), order), rule, found))
 
     def of(self, node: Node, state: bool) -> bool | None:
-        """Whether the node's own text shows; None if nothing inside it does."""
+        """Whether the node's own text shows; None if nothing inside it does. Of several declarations an important one counts
+        before others, then the node's own before those of rules, then the more specific rule, then the later one."""
         attrs = node.attrs
         if node.tag in UNSEEN or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
             return None
-        style: dict[str, str] = {k: attrs[k].strip().lower() for k in ("display", "visibility") if k in attrs} if node.tag in DRAWN else {}
+        best: dict[str, tuple[tuple, str]] = {k: ((), attrs[k].strip().lower()) for k in ("display", "visibility") if k in attrs} if node.tag in DRAWN else {}
+
+        def told(found: dict[str, tuple[str, bool]], own: bool, place: tuple) -> None:
+            for name, (value, important) in found.items():
+                rank = (important, own, *place)
+                if name not in best or rank >= best[name][0]:
+                    best[name] = rank, value
+
         if self.rules:
-            names = ["." + c for c in attrs.get("class", "").split()] + (["#" + attrs["id"]] if attrs.get("id") else [])
-            for key in [node.tag, *names, *(node.tag + n for n in names)]:
-                style.update(self.rules.get(key, {}))
+            tags = [node.tag] if node.parent is not None else [node.tag, "body"]
+            for key in ["*", *tags, *("." + c for c in dict.fromkeys(attrs.get("class", "").split())), *(["#" + attrs["id"]] if attrs.get("id") else [])]:
+                for place, rule, found in self.rules.get(key, ()):
+                    if rule.fits(node):
+                        told(found, False, place)
         if "style" in attrs:
-            style.update(declared(attrs["style"]))
-        if style.get("display") == "none":
+            told(css.declared(attrs["style"]), True, ())
+        if best.get("display", ((), ""))[1] == "none":
             return None
-        seen = style.get("visibility")
-        return state if seen is None else seen not in ("hidden", "collapse")
+        seen = best.get("visibility")
+        return state if seen is None else seen[1] not in ("hidden", "collapse")
 
 
 def _text(node: Node) -> str:
@@ -383,6 +384,8 @@ class Renderer:
             elif tag == "select":
                 self.options(child, out, shown)
             elif tag == "li":
+                if re.fullmatch(r"-?\d{1,9}", child.attrs.get("value", "")):
+                    number = int(child.attrs["value"])
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
                 out.end()

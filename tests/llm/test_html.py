@@ -74,6 +74,37 @@ def test_query(spark, sf_dir):
             assert " ".join(word.split()) in out[r.page_id]
 
 
+RULES = {
+    "div p{display:none}": "<div><b><p>no</p></b></div><p>yes</p>",
+    ".c>.d{display:none}": "<div class=c><i class=d>no</i><b><i class=d>yes</i></b></div>",
+    ":is(p, #a){display:none}": "<p>no</p><div id=a>no</div><div>yes</div>",
+    "div:not(.keep, [open]){display:none}": "<div>no</div><div class=keep>yes</div><div open>, too</div>",
+    "p{display:none !IMPORTANT}": "<p style='display:block'>no</p>yes",
+    "p{display:none!important} #a{display:block}": "<p id=a>no</p>yes",
+    "#a{display:block} p{display:none}": "<p id=a>yes</p><p>no</p>",
+    "p.x{display:block} .x{display:none}": "<p class=x>yes</p><b class=x>no</b>",
+    "p{display:none} p{display:block}": "<p>yes</p>",
+    "body > div, P.q{display:none}": "<div>no</div><p class=q>no</p><p><b>yes</b></p>",
+    "[data-x='1'], a[href]{display:none}": "<p data-x=1>no</p><p data-x=2>yes</p><a href=u>no</a>",
+    "p:hover, p + p, p::before, p:is(:hover){display:none}": "<p>yes</p><p>, too</p>",
+    "div *{display:none} div b{display:inline}": "<div><b>yes</b><i>no</i></div>",
+    "@layer l{#a{display:none}} p{display:block}": "<p id=a>yes</p>",
+    "p{visibility:hidden} p b{visibility:visible}": "<p>no<b>yes</b></p>",
+}
+
+
+@pytest.mark.parametrize("sheet", RULES)
+def test_selectors_and_cascade(sheet):
+    body = RULES[sheet]
+    shown = " ".join(html.visible_text(f"<style>{sheet}</style><body>{body}").split())
+    assert "no" not in shown and "yes" in shown and ("too" in shown) == ("too" in body)
+
+
+def test_inline_importance_and_list_values():
+    assert html.visible_text("<p style='display:none!important;display:block'>no</p>yes") == "yes"
+    assert html.visible_text("<ol><li>a<li value=5>b<li>c</ol>") == "1. a\n5. b\n6. c"
+
+
 AT_RULES = {
     "@media print{.content{display:none}} @media (max-width:600px){nav{display:none}}": "nav\ncontent",
     "@media screen{nav{display:none}}": "content",
