@@ -57,6 +57,15 @@ def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Numbers from -1 on as their lowest bytes, then the next ones, and so on: small numbers then take little when packed."""
+    return np.ascontiguousarray((ids + 1).astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64) - 1
+
+
 # ---- shards ---------------------------------------------------------------------------------------------
 
 
@@ -106,15 +115,19 @@ def shards(df: DataFrame) -> DataFrame:
         key, opens = np.concatenate([p.key for p in parts]), np.concatenate([p.opens for p in parts])
         opens[np.cumsum([0, *(len(p.key) for p in parts[:-1])])] = True
         lang = np.concatenate([p.lang for p in parts])
-        vocabulary, first, word = np.unique(key, return_index=True, return_inverse=True)
+        vocabulary, first, word, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        vocabulary, first, word = vocabulary[order], first[order], number[word]
         place = np.arange(len(key)) + np.cumsum(opens)
-        ids = np.full(len(key) + int(opens.sum()) + 1, -1, "<i4")
+        ids = np.full(len(key) + int(opens.sum()) + 1, -1, np.int64)
         ids[place] = word
         base = np.cumsum([0, *(len(p.key) for p in parts)])
         of = np.searchsorted(base, first, side="right") - 1
         spelled = [parts[p].data[parts[p].start[i] : parts[p].end[i]].tobytes() for p, i in zip(of.tolist(), (first - base[of]).tolist(), strict=True)]
         count = np.bincount(lang, minlength=len(langs)).astype("<i8")
-        yield from _rows([(chunk, chunk, ROWS, vocabulary.tobytes(), ids.tobytes()), (chunk, chunk, TEXTS, b"\n".join(spelled), lang[first].astype("<u4").tobytes()), (chunk, chunk, LANGS, json.dumps(list(langs)).encode(), count.tobytes())])
+        yield from _rows([(chunk, chunk, ROWS, vocabulary.tobytes(), _planes(ids)), (chunk, chunk, TEXTS, b"\n".join(spelled), lang[first].astype("<u4").tobytes()), (chunk, chunk, LANGS, json.dumps(list(langs)).encode(), count.tobytes())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -138,7 +151,7 @@ class Shard:
 
     def __init__(self, rows: list[tuple]):
         by = {r[2]: r for r in rows if r[2] in (ROWS, TEXTS, LANGS, PLACES)}
-        self.keys, self.ids = np.frombuffer(by[ROWS][3], "<u8"), np.frombuffer(by[ROWS][4], "<i4").astype(np.int64)
+        self.keys, self.ids = np.frombuffer(by[ROWS][3], "<u8"), _from_planes(by[ROWS][4])
         self.spelled, self.lang = by[TEXTS][3].decode().split("\n"), np.frombuffer(by[TEXTS][4], "<u4")
         self.langs = json.loads(by[LANGS][3])
         self.places = by.get(PLACES)
@@ -185,71 +198,81 @@ class Bitmaps:
         bits = self.bits[head]
         return self.block[head] * 64 + np.bitwise_count((bits & (~bits + np.uint64(1))) - np.uint64(1))
 
-    def shifted(self) -> Bitmaps:
-        """Every position moved on by one."""
+    def shifted(self) -> tuple[Bitmaps, np.ndarray, np.ndarray]:
+        """Every position moved on by one; and of each block where its positions are now: those that stay inside, and the
+        last one, which goes over into the next block."""
         over = self.bits >> np.uint64(63)
         into = np.flatnonzero(over)
-        return merged(np.concatenate([self.owner, self.owner[into]]), np.concatenate([self.block, self.block[into] + 1]), np.concatenate([self.bits << np.uint64(1), over[into]]))
-
-
-def merged(owner: np.ndarray, block: np.ndarray, bits: np.ndarray) -> Bitmaps:
-    some = bits != 0
-    owner, block, bits = owner[some], block[some], bits[some]
-    order = np.lexsort((block, owner))
-    owner, block, bits = owner[order], block[order], bits[order]
-    head = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
-    return Bitmaps(owner[head], block[head], np.bitwise_or.reduceat(bits, head) if len(head) else bits)
+        moved, place = merged(np.concatenate([self.owner, self.owner[into]]), np.concatenate([self.block, self.block[into] + 1]), np.concatenate([self.bits << np.uint64(1), over[into]]))
+        last = np.full(len(self.bits), -1, np.int64)
+        last[into] = place[len(self.bits) :]
+        return moved, place[: len(self.bits)], last
 
 
-def bitmaps(owner_at: np.ndarray) -> Bitmaps:
-    """Of the owner at each position, -1 for none."""
-    place = np.flatnonzero(owner_at >= 0)
-    return merged(owner_at[place], place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+def merged(owner: np.ndarray, block: np.ndarray, bits: np.ndarray) -> tuple[Bitmaps, np.ndarray]:
+    """The bitmaps of blocks that may be there several times or empty, and the place of each block given (-1: empty)."""
+    some = np.flatnonzero(bits)
+    code = owner[some] << 32 | block[some]
+    order = np.argsort(code, kind="stable")
+    code, part = code[order], bits[some[order]]
+    new = np.diff(code, prepend=-1) != 0
+    head = np.flatnonzero(new)
+    place = np.full(len(bits), -1, np.int64)
+    place[some[order]] = np.cumsum(new) - 1
+    return Bitmaps(code[head] >> 32, code[head] & 0xFFFFFFFF, np.bitwise_or.reduceat(part, head) if len(head) else part), place
 
 
 @dataclass
 class Phrases:
-    """Phrases of one length in a shard: key, bitmap of last positions, and the phrase that ends at each position."""
+    """Phrases of one length in a shard: key, bitmap of last positions, the phrase that ends at each position (-1: none), and
+    its block."""
 
     key: np.ndarray
     maps: Bitmaps
     at: np.ndarray
+    entry: np.ndarray
 
 
-def _entry(maps: Bitmaps, owner: np.ndarray, block: np.ndarray) -> np.ndarray:
-    wide = np.int64(1 << 32)
-    return np.searchsorted(maps.owner * wide + maps.block, owner * wide + block)
+def phrases_at(key: np.ndarray, at: np.ndarray) -> Phrases:
+    place = np.flatnonzero(at >= 0)
+    maps, of = merged(at[place], place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    entry = np.full(len(at), -1, np.int64)
+    entry[place] = of
+    return Phrases(key, maps, at, entry)
 
 
 def extended(prefix: Phrases, words: Phrases) -> Phrases:
     """All phrases that are one of the prefixes and one of the words after it."""
-    moved = prefix.maps.shifted()
+    moved, inside, last = prefix.maps.shifted()
     place = np.flatnonzero((prefix.at[:-1] >= 0) & (words.at[1:] >= 0)) + 1
-    left, right = _entry(moved, prefix.at[place - 1], place >> 6), _entry(words.maps, words.at[place], place >> 6)
+    before = prefix.entry[place - 1]
+    left, right = np.where(place & 63, inside[before], last[before]), words.entry[place]
     met, back = np.unique(left * np.int64(max(1, len(words.maps.owner))) + right, return_inverse=True)
     left, right = np.divmod(met, max(1, len(words.maps.owner)))
     bits = moved.bits[left] & words.maps.bits[right]
     code, phrase = np.unique(moved.owner[left] * np.int64(max(1, len(words.key))) + words.maps.owner[right], return_inverse=True)
-    before, word = np.divmod(code, max(1, len(words.key)))
-    key = splitmix(prefix.key[before] * np.uint64(0xD6E8FEB86659FD93) + splitmix(words.key[word]))
-    at = np.full(len(prefix.at), -1, np.int64)
-    at[place] = phrase[back]
-    return Phrases(key, merged(phrase, moved.block[left], bits), at)
+    first, word = np.divmod(code, max(1, len(words.key)))
+    key = splitmix(prefix.key[first] * np.uint64(0xD6E8FEB86659FD93) + splitmix(words.key[word]))
+    maps, of = merged(phrase, moved.block[left], bits)
+    at, entry = np.full(len(prefix.at), -1, np.int64), np.full(len(prefix.at), -1, np.int64)
+    at[place], entry[place] = phrase[back], of[back]
+    return Phrases(key, maps, at, entry)
 
 
 def some_of(phrases: Phrases, keep: np.ndarray) -> Phrases:
     """The phrases that ``keep`` marks."""
-    number = np.cumsum(keep) - 1
-    at = np.where(phrases.at >= 0, phrases.at, 0)
-    here = (phrases.at >= 0) & keep[at] if len(keep) else np.zeros(len(at), bool)
-    stay = keep[phrases.maps.owner]
+    number, stay = np.cumsum(keep) - 1, keep[phrases.maps.owner]
     maps = Bitmaps(number[phrases.maps.owner[stay]], phrases.maps.block[stay], phrases.maps.bits[stay])
-    return Phrases(phrases.key[keep], maps, np.where(here, number[at] if len(keep) else -1, -1))
+    place = np.flatnonzero(phrases.at >= 0)
+    place = place[keep[phrases.at[place]]]
+    at, entry = np.full(len(phrases.at), -1, np.int64), np.full(len(phrases.at), -1, np.int64)
+    at[place], entry[place] = number[phrases.at[place]], (np.cumsum(stay) - 1)[phrases.entry[place]]
+    return Phrases(phrases.key[keep], maps, at, entry)
 
 
 def frequent_pairs(shard: Shard, told: bool) -> tuple[Phrases, Phrases]:
     """Words of a shard and their pairs; with ``told`` the pairs that the shard was told of."""
-    words = Phrases(shard.keys, bitmaps(shard.ids), shard.ids)
+    words = phrases_at(shard.keys, shard.ids)
     pairs = extended(words, words)
     return words, some_of(pairs, shard.knows(pairs.key)) if told else pairs
 
@@ -313,7 +336,7 @@ def frequent(df: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in _runs(batches, "chunk"):
-            keys, ids = (np.frombuffer(rows[0][3], "<u8"), np.frombuffer(rows[0][4], "<i4"))
+            keys, ids = np.frombuffer(rows[0][3], "<u8"), _from_planes(rows[0][4])
             yield from _rows(_sent(keys, np.bincount(ids[ids >= 0], minlength=len(keys)), buckets, chunk))
 
     def count_langs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +355,7 @@ def frequent(df: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
         shard.keys, shard.ids = shard.keys[keep], ids
         pairs = frequent_pairs(shard, False)[1]
         out += _sent(pairs.key, pairs.maps.counts(len(pairs.key)), buckets, chunk)
-        out.append((chunk, chunk, ROWS, shard.keys.tobytes(), ids.astype("<i4").tobytes()))
+        out.append((chunk, chunk, ROWS, shard.keys.tobytes(), _planes(ids)))
         out.append((chunk, chunk, TEXTS, b"\n".join(spelled[i].encode() for i in at.tolist()), shard.lang[keep].tobytes()))
         return [*out, (chunk, chunk, LANGS, json.dumps(shard.langs).encode(), None)]
 
@@ -340,7 +363,7 @@ def frequent(df: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
         words, pairs = frequent_pairs(shard, True)
         out = shard.named(pairs.key, pairs.maps.first(), 2)
         follows = np.where(pairs.at >= 0, words.at, -1)  # a word that ends a frequent pair
-        words = Phrases(words.key, bitmaps(follows), follows)
+        words = phrases_at(words.key, follows)
         keys, counts, ends, sizes = [], [], [], []
         for a in range(0, len(pairs.key), GROUP):
             number = np.arange(len(pairs.key))

@@ -81,9 +81,18 @@ def test_empty_table(spark):
 
 def test_bitmaps():
     at = np.array([-1, 0, 1, 0, 1, 0, -1, *[0] * 130])
-    maps = phrases.bitmaps(at)
+    held = phrases.phrases_at(np.zeros(2, np.uint64), at)
+    maps = held.maps
     assert maps.counts(2).tolist() == [int((at == 0).sum()), 2] and maps.first().tolist() == [1, 2]
-    moved = maps.shifted()
+    moved, inside, last = maps.shifted()
     places = lambda m, o: sorted(int(b) * 64 + i for w, b, x in zip(m.owner, m.block, m.bits, strict=True) if w == o for i in range(64) if int(x) >> i & 1)
     for owner in (0, 1):
         assert places(moved, owner) == [p + 1 for p in np.flatnonzero(at == owner)]
+    for p in np.flatnonzero(at >= 0):
+        now = (inside if (p + 1) % 64 else last)[held.entry[p]]
+        assert moved.owner[now] == at[p] and moved.block[now] == (p + 1) // 64
+
+
+def test_planes():
+    ids = np.array([-1, 0, 5, 254, 255, 256, 70_000, -1])
+    assert phrases._from_planes(phrases._planes(ids)).tolist() == ids.tolist() and len(phrases._from_planes(phrases._planes(ids[:0]))) == 0
