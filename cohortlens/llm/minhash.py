@@ -166,13 +166,15 @@ def shared_tokens(sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 def prefix_pairs(ranked: DataFrame, shared: DataFrame, percent: int, least: int) -> DataFrame:
     """(a, b): all pairs of different components that meet in the prefixes of both and can be linked, as far as sizes,
-    shared n-grams and sketches tell. ``shared`` has rk, m and odd."""
+    shared n-grams and sketches tell; each under its first common posting. ``shared`` has rk, m and odd."""
     prefix = ranked.where(F.col("rank") <= F.col("total") - least + 1).join(shared, "rk").where(F.col("m") * 100 >= F.col("n") * percent)
-    a, b = (prefix.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rk", "n", "root", "top", "m", "odd"))) for s in "ab")
+    own = Window.partitionBy("rk").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    prefix = prefix.withColumn("all", F.collect_list("key").over(own))  # as many as coordinates, in an order that all share
+    a, b = (prefix.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rk", "n", "root", "top", "m", "odd", "all"))) for s in "ab")
     once = (F.col("root_b") == F.col("top_b")) | (F.col("rk_a") < F.col("rk_b"))
     enough = F.least("m_a", "m_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    met = a.where("root_a <> top_a").join(b, "key").where((F.col("root_a") != F.col("root_b")) & once & enough & _fits(F.col("n_a"), F.col("n_b"), percent) & _close(F.col("n_a"), F.col("n_b"), percent))
-    return met.select(F.least("rk_a", "rk_b").alias("a"), F.greatest("rk_a", "rk_b").alias("b")).distinct()
+    met = a.where("root_a <> top_a").join(b, "key").where((F.col("root_a") != F.col("root_b")) & once & enough & _fits(F.col("n_a"), F.col("n_b"), percent) & _close(F.col("n_a"), F.col("n_b"), percent) & (F.array_intersect("all_a", "all_b")[0] == F.col("key")))
+    return met.select(F.least("rk_a", "rk_b").alias("a"), F.greatest("rk_a", "rk_b").alias("b"))
 
 
 def colliding(pairs: DataFrame, signed: DataFrame, percent: int, least: int) -> DataFrame:
