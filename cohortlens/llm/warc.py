@@ -3,9 +3,10 @@
 Records are sorted by their id over ranges, so that shard files hold consecutive ids. Range bounds come from Spark's sample:
 the same input gives the same files, but on large tables another layout of the same rows may cut them elsewhere. A shard
 rolls to a new file when its compressed size passes ``ROLL_BYTES``. Every record is a gzip member of its own with regenerated
-headers: record id, date, lengths and SHA-1 digests follow from the record alone, so its bytes are the same in any file. A payload of at least ``LEAST`` bytes that equals another's is stored once, in the record of
-largest id; the others become revisit records that refer to it. A file is written under a temporary name and renamed;
-files that aren't in the manifest, which is written last, don't belong to the archive.
+headers: record id, date, lengths and SHA-1 digests follow from the record alone, so its bytes are the same in any file. A
+payload of at least ``LEAST`` bytes that equals another's is stored once, in the record of largest id; the others become
+revisit records that refer to it. A file is written under a temporary name and renamed; files that aren't in the manifest,
+which is written last, don't belong to the archive.
 
 Which records are revisits is settled by grouping (length, SHA-1, SHA-256) digests, so a hot payload is a sum of partial
 maxima, never a gathered group. Results for odd input: a null payload is empty; a null url is ``urn:record:<id>``. With
