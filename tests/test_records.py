@@ -169,6 +169,13 @@ def test_linked_groups_stay_together(spark):
         splits.derived_splits(df.withColumn("group_id", F.lit(None).cast("string")), links, {"a": 1.0}, 1)
 
 
+def test_derived_violations_where_every_group_crosses(spark):
+    rows = spark.createDataFrame([("s0", g, split) for g in "ab" for split in ("train", "test")] + [("s1", "c", "train")], "source string, group_id string, split string")
+    components = rows.select(F.concat("source", F.lit(":"), "group_id").alias("group_key")).distinct().withColumn("component", F.substring("group_key", 1, 2))
+    found = {tuple(r) for r in splits.derived_violations(rows, components).collect()}
+    assert found == {("group", f"group assigned to multiple splits: s0:{g}") for g in "ab"} | {("component", "pHash-zero linked groups cross splits: s0:a, s0:b")}
+
+
 def test_supplied_test_is_kept(spark):
     df = manifest(spark, [("a", "amd", "1", "test"), ("b", "amd", "2", "train"), ("c", "amd", "3", "train")])
     assigned, _ = splits.derived_splits(df, clusters(spark, []), {"train": 0.85, "val": 0.15}, 1, keep_supplied_test=True)
