@@ -154,7 +154,7 @@ def run_campaign(spark: SparkSession, a: argparse.Namespace) -> int:
     for name, rows in sorted(by_set.items()):
         if len(classes[name]) == 1:  # sets with other classes in another run are skipped
             both = reduce(DataFrame.unionByName, rows)
-            weights = (bootstrap.tree_weights if a.tree_draws else bootstrap.multinomial_weights)(both, a.n_boot, a.seed)
+            weights = (bootstrap.tree_weights if a.tree_draws else bootstrap.multinomial_weights)(both, a.n_boot, a.seed, True)
             known = next(iter(classes[name]))
             parts.append(campaign.campaign_table(a.name, name, both, weights, known, auroc_replicates=a.n_boot_auroc))
             if a.eye_level and units[name] == {"eye"}:

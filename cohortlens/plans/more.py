@@ -37,7 +37,7 @@ SELECT metric, round(max(gap) FILTER (r = -1), 9) AS point, round(quantile_cont(
 )
 def _(spark, d) -> DataFrame:
     rows = runs(spark, d)
-    return rounded(bootstrap.paired_differences(rows, bootstrap.hash_weights(rows, 30), CLASSES, "r1", "r2"))
+    return rounded(bootstrap.paired_differences(rows, bootstrap.hash_weights(rows, 30, pack=True), CLASSES, "r1", "r2"))
 
 
 KINDS = f"""j AS (SELECT m.*, hash, b0, b1, b2, b3 FROM m JOIN h USING (path)), n AS (SELECT DISTINCT source, hash, b0, b1, b2, b3 FROM j),

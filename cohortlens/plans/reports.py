@@ -45,7 +45,7 @@ def analysis_report(rows: DataFrame, classes: tuple[str, ...], duplicates: DataF
     With ``tree_draws`` the bootstrap takes any number of groups."""
     n = len(classes)
     given = metrics.with_prediction(rows.withColumns({"run": F.lit("run"), "key": F.concat("source", F.lit(":"), "path")}))
-    weights = (bootstrap.tree_weights if tree_draws else bootstrap.multinomial_weights)(given, replicates, seed)
+    weights = (bootstrap.tree_weights if tree_draws else bootstrap.multinomial_weights)(given, replicates, seed, True)
     steps = curves.curve_steps(given)
     groups = slices.group_table(given, classes)
     out = {

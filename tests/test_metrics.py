@@ -185,6 +185,23 @@ def test_tree_of_splits_draws_a_multinomial(spark, monkeypatch):
     assert bootstrap.tree_weights(df.limit(0), 5).count() == 0
 
 
+def test_packed_draws_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "PIECE", 60)
+    monkeypatch.setattr(bootstrap, "LEAF", 4)
+    df = spark.createDataFrame([(f"g{i:02}",) for i in range(30)], "group_key string")
+    for draw in (bootstrap.multinomial_weights, bootstrap.tree_weights, bootstrap.hash_weights):
+        wide = [(r.group_key, at, w) for r in draw(df, 11, pack=True).collect() for at, w in zip(r.at, r.w, strict=True)]
+        assert sorted(wide) == sorted((r.group_key, r.replicate, r.w) for r in draw(df, 11).collect())
+
+
+def test_draws_are_not_broadcast(spark):
+    """Spark takes the draws for a few bytes, whatever their number."""
+    df = spark.createDataFrame([("r", f"g{i}", i % 2, [i / 9, 1 - i / 9], i % 2) for i in range(9)], "run string, group_key string, target int, probs array<double>, prediction int")
+    for weights in (bootstrap.multinomial_weights(df, 20), bootstrap.multinomial_weights(df, 20, pack=True)):
+        for plan in (bootstrap.replicate_counts(df, weights, 2), bootstrap.replicate_aurocs(df, weights, 5)):
+            assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_two_groups_follow_the_binomial():
     """Chances of each count against the exact ones, at a leaf of one group."""
     from math import comb
