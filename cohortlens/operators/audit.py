@@ -150,13 +150,21 @@ def near_pairs(hashes: DataFrame, most: int = 5, bands: int = 4, path: str = "pa
     return told(side(cold, "a").join(side(cold, "b"), keys)).unionByName(told(met))
 
 
+def near_edges(manifest: DataFrame, most: int = 5, across: bool = False) -> DataFrame:
+    """(source, hash_a, hash_b, distance; without source ``across`` sources): equal hashes of two records or more (distance
+    0) and near pairs of hashes. Each is a cluster; what needs none of its members needs no more than this."""
+    by = () if across else ("source",)
+    known = manifest.where("hash is not null" if across else "hash is not null and source is not null")
+    same = known.groupBy(*by, "hash").agg(F.count("*").alias("n")).where("n > 1").select(*by, F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance"))
+    return same.unionByName(near_pairs(known, most, by=by)) if most else same  # different hashes are further apart than 0
+
+
 def near_clusters(manifest: DataFrame, most: int = 5, across: bool = False) -> DataFrame:
-    """Clusters of equal hashes (distance 0) and of near pairs of hashes, each with all its members' summary."""
+    """Clusters of equal hashes (distance 0) and of near pairs of hashes, each with all its members' summary. Quarantine and
+    components go by those of distance 0: with ``most`` 0 only they are looked for, and no pairs are compared."""
     by = () if across else ("source",)
     known = manifest.where("hash is not null").withColumn("key", F.concat("source", F.lit(":"), "path"))
-    pairs = near_pairs(known, most, by=by)
-    same = known.groupBy(*by, "hash").agg(F.count("*").alias("n")).where("n > 1").select(*by, F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(0).alias("distance"))
-    sides = same.unionByName(pairs).select(*by, "hash_a", "hash_b", "distance", F.explode(F.array_distinct(F.array("hash_a", "hash_b"))).alias("hash"))
+    sides = near_edges(manifest, most, across).select(*by, "hash_a", "hash_b", "distance", F.explode(F.array_distinct(F.array("hash_a", "hash_b"))).alias("hash"))
     members = sides.join(known, [*by, "hash"])
     keys = ("hash_a", "hash_b", "distance")
     if not across:
