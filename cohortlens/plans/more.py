@@ -56,7 +56,7 @@ def _(spark, d) -> DataFrame:
 
 @query("q57_distance_shares", f"WITH {M}, {H}, {KINDS} SELECT distance, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM near GROUP BY distance")
 def _(spark, d) -> DataFrame:
-    return rounded(audit.distance_shares(audit.near_clusters(hashed_manifest(spark, d))))
+    return rounded(audit.distance_shares(audit.near_edges(hashed_manifest(spark, d))))
 
 
 @query("q58_balanced_weights", f"WITH {M}, c AS (SELECT source, label, count(*) AS n FROM m GROUP BY ALL) SELECT source, label, n, round(1 / ((SELECT count(DISTINCT source) FROM c) * count(*) OVER (PARTITION BY source) * n), 9) AS weight FROM c")
@@ -106,7 +106,7 @@ def _(spark, d) -> DataFrame:
 
 @query("q63_decision_counts", f"WITH {M}, {H}, x AS (SELECT list(source || ':' || path ORDER BY path) AS paths, count(DISTINCT label) > 1 AS bad FROM m GROUP BY source, digest HAVING count(*) > 1), z AS (SELECT list(m.source || ':' || m.path) AS paths, count(DISTINCT label) > 1 OR count(DISTINCT supplied_split) > 1 AS bad FROM m JOIN h USING (path) GROUP BY m.source, h.hash HAVING count(*) > 1), q AS (SELECT unnest(paths) AS key FROM x WHERE bad UNION SELECT unnest(paths) FROM z WHERE bad), s AS (SELECT paths, unnest(paths) AS key FROM x) SELECT (SELECT count(*) FROM q) AS quarantined, (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM s WHERE key NOT IN (SELECT key FROM q) GROUP BY paths)) AS deduplicated")
 def _(spark, d) -> DataFrame:
-    exact, near = map(keyed, decided(spark, d))
+    exact, near = map(keyed, decided(spark, d, 0))
     rows = manifest(spark, d).withColumn("key", F.concat("source", F.lit(":"), "path"))
     return audit.apply_decisions(rows, exact, near)[1]
 

@@ -67,13 +67,13 @@ z AS (SELECT m.source, list(m.source || ':' || m.path ORDER BY m.path) AS paths,
 SELECT 'near', array_to_string(paths, ','), CASE WHEN bad_label THEN 'phash_zero_label_conflict' ELSE '' END || CASE WHEN bad_label AND bad_split THEN ',' ELSE '' END || CASE WHEN bad_split THEN 'phash_zero_split_crossing' ELSE '' END FROM z WHERE bad_label OR bad_split""",
 )
 def _(spark, d) -> DataFrame:
-    exact, near = (keyed(c).where("quarantine_eligible") for c in decided(spark, d))
+    exact, near = (keyed(c).where("quarantine_eligible") for c in decided(spark, d, 0))
     return flat(exact.withColumn("kind", F.lit("exact")), "kind", "paths", "quarantine_reasons").unionByName(flat(near.withColumn("kind", F.lit("near")), "kind", "paths", "quarantine_reasons"))
 
 
-def decided(spark, d) -> tuple[DataFrame, DataFrame]:
+def decided(spark, d, most: int = 5) -> tuple[DataFrame, DataFrame]:
     rows = hashed_manifest(spark, d)
-    return audit.classified(audit.exact_clusters(rows), True), audit.classified(audit.near_clusters(rows), False)
+    return audit.classified(audit.exact_clusters(rows), True), audit.classified(audit.near_clusters(rows, most), False)
 
 
 def keyed(clusters: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ c AS (SELECT s.key FROM s JOIN l USING (paths) WHERE s.key <> l.least_key)
 SELECT source || ':' || path AS key, label, group_id FROM m WHERE source || ':' || path NOT IN (SELECT key FROM q) AND source || ':' || path NOT IN (SELECT key FROM c)""",
 )
 def _(spark, d) -> DataFrame:
-    exact, near = map(keyed, decided(spark, d))
+    exact, near = map(keyed, decided(spark, d, 0))
     rows = manifest(spark, d).withColumn("key", F.concat("source", F.lit(":"), "path"))
     return audit.apply_decisions(rows, exact, near)[0].select("key", "label", "group_id")
 
@@ -119,7 +119,7 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELEC
 )
 def _(spark, d) -> DataFrame:
     rows = hashed_manifest(spark, d)
-    return splits.group_components(rows, keyed(audit.near_clusters(rows)))
+    return splits.group_components(rows, keyed(audit.near_clusters(rows, 0)))
 
 
 @query(
@@ -149,7 +149,7 @@ def _(spark, d) -> DataFrame:
 @query("q34_greedy_split")
 def _(spark, d) -> DataFrame:
     rows = hashed_manifest(spark, d).where("group_id is not null")
-    return splits.derived_splits(rows, keyed(audit.near_clusters(rows)), {"train": 0.7, "val": 0.15, "test": 0.15}, 20260913)[0]
+    return splits.derived_splits(rows, keyed(audit.near_clusters(rows, 0)), {"train": 0.7, "val": 0.15, "test": 0.15}, 20260913)[0]
 
 
 Q5 = "round(min({c}), 9) AS min, round(quantile_cont({c}, 0.05), 9) AS p05, round(quantile_cont({c}, 0.5), 9) AS median, round(quantile_cont({c}, 0.95), 9) AS p95, round(max({c}), 9) AS max"

@@ -1,12 +1,16 @@
+import hashlib
 import random
+import re
+import statistics
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens import schema
+from cohortlens import catalog, schema
 from cohortlens.operators import audit, eda, splits
 from cohortlens.operators.components import connected_components
+from cohortlens.plans import views
 
 
 def manifest(spark, rows):
@@ -176,6 +180,40 @@ def test_derived_violations_where_every_group_crosses(spark):
     assert found == {("group", f"group assigned to multiple splits: s0:{g}") for g in "ab"} | {("component", "pHash-zero linked groups cross splits: s0:a, s0:b")}
 
 
+def test_sketches_equal_brute_force(spark, tmp_path):
+    """Counts are made where a text lies: no row for each token. Documents that share an id are one."""
+    texts = [(1, "A b\x0bC \u00a0d a É"), (2, None), (3, ""), (4, "x y " * 50 + "z"), (4, "q r s"), (5, "\x1c word\x85 é")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for key in {k for k, _ in texts}:
+        tokens = [t for k, text in texts if k == key for t in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if t]
+        counts = Counter(int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % 64 for t in tokens)
+        middle = statistics.median(counts[s] for s in range(64))
+        bits = sum(1 << 63 - s for s in range(64) if counts[s] > middle)
+        want[str(key)] = bits - (1 << 64) if bits >> 63 else bits
+    found = views.sketches(spark, str(tmp_path))
+    assert {r.path: r.hash for r in found.collect()} == want and found.count() == len(want)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shares_of_distances_need_no_members(spark):
+    df = manifest(spark, [(f"p{i}", "amd", "g", None, "d", h, s) for i, (h, s) in enumerate([(1, "a"), (1, "a"), (3, "a"), (1, "b"), (7, "b"), (1 << 40, "b")])])
+    for across in (False, True):
+        edges, whole = audit.near_edges(df, across=across), audit.near_clusters(df, across=across)
+        if not across:
+            assert sorted(map(tuple, audit.distance_shares(edges).collect())) == sorted(map(tuple, audit.distance_shares(whole).collect()))
+        assert edges.count() >= whole.count() > 0
+
+
+@pytest.mark.parametrize("name", ["q25_quarantine", "q26_canonical_manifest", "q34_greedy_split", "q63_decision_counts"])
+def test_quarantine_and_components_compare_no_pairs(spark, sf_dir, monkeypatch, name):
+    def none(*_, **__):
+        raise AssertionError("pairs of different hashes are compared")
+
+    monkeypatch.setattr(audit, "near_pairs", none)
+    catalog.QUERIES[name](spark, sf_dir)
+
+
 def test_supplied_test_is_kept(spark):
     df = manifest(spark, [("a", "amd", "1", "test"), ("b", "amd", "2", "train"), ("c", "amd", "3", "train")])
     assigned, _ = splits.derived_splits(df, clusters(spark, []), {"train": 0.85, "val": 0.15}, 1, keep_supplied_test=True)
