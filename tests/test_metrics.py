@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import arrays, scalars
 from cohortlens.operators import bootstrap, calibration, campaign, curves, metrics, slices
+from cohortlens.plans import views
 
 SHAPE = "seq long, path string, source string, target int, probs array<double>, group_key string, eye_id string, cohort string, raw_label string"
 
@@ -332,3 +333,11 @@ def test_galleries_and_controls_are_cut_before_they_are_moved(spark, sf_dir):
 
     plan = gallery.control_sample(views.predictions(spark, sf_dir), views.CLASSES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 3
+
+
+def test_filters_do_not_hash_predictions_again(spark, sf_dir):
+    """Tests of a probability for null, also those that Spark adds by itself, once stood below the hashes of the view."""
+    rows = views.predictions(spark, sf_dir).select("cohort", "target", "probs", F.element_at("probs", 1).alias("x"), F.element_at("probs", 2).alias("y"))
+    for plan in (metrics.rank_correlation(rows, "x", "y", ("cohort",)), metrics.macro_auroc(rows)):
+        lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("md5" in line for line in lines) and not any("md5" in line for line in lines if "Filter" in line)
