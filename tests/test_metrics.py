@@ -341,3 +341,12 @@ def test_filters_do_not_hash_predictions_again(spark, sf_dir):
     for plan in (metrics.rank_correlation(rows, "x", "y", ("cohort",)), metrics.macro_auroc(rows)):
         lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
         assert any("md5" in line for line in lines) and not any("md5" in line for line in lines if "Filter" in line)
+
+
+def test_hash_draws_are_made_once_a_group(spark):
+    """As a column of arrays they were hashed again for each use, in as few tasks as the groups fill."""
+    df = spark.createDataFrame([("a",), (None,), ("b",), ("a",)], "group_key string")
+    drawn = bootstrap.hash_weights(df, 40, pack=True)
+    assert "transform" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.group_key for r in drawn.collect()} == {"a", "b"}
+    assert bootstrap.hash_weights(df.limit(0), 40, pack=True).collect() == []
