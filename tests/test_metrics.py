@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import arrays, scalars
 from cohortlens.operators import bootstrap, calibration, campaign, curves, metrics, slices
-from cohortlens.plans import views
+from cohortlens.plans import campaigns, views
 
 SHAPE = "seq long, path string, source string, target int, probs array<double>, group_key string, eye_id string, cohort string, raw_label string"
 
@@ -350,3 +350,8 @@ def test_hash_draws_are_made_once_a_group(spark):
     assert "transform" not in drawn._jdf.queryExecution().optimizedPlan().toString()
     assert {r.group_key for r in drawn.collect()} == {"a", "b"}
     assert bootstrap.hash_weights(df.limit(0), 40, pack=True).collect() == []
+
+
+def test_runs_are_hashed_once(spark, sf_dir):
+    plan = campaigns.runs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan
