@@ -128,3 +128,18 @@ def test_probe_scores(spark):
     got = {r.features: r for r in probe.probed(df, {"leak": ("leak",), "noise": ("noise",)}, "label", "g", how=how).collect()}
     assert got["leak"].balanced_accuracy == 1 and got["noise"].balanced_accuracy < 0.7 and got["leak"].chance == 0.5 and got["leak"].rows == 240
     assert probe.probed(df.limit(0), {"leak": ("leak",)}, "label", "g", how=how).collect() == []
+
+
+def test_blocks_are_filled_over_batches(spark, monkeypatch):
+    """Batches of rows are smaller than blocks; blocks once ended with them, and most time went to small blocks."""
+    monkeypatch.setattr(probe, "BLOCK", 300)
+    rows = spark.range(0, 1400, 1, 1).select((F.col("id") % 2).cast("int").alias("s"), (F.col("id") % 3).cast("int").alias("y"), (F.col("id") % 5).cast("int").alias("fold"), F.array(F.col("id").cast("double")).alias("x"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = probe.blocks(rows, [np.array([[500.0, 900.0]])] * 2, 3, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.s, r.n) for r in got) == [(0, 100), (0, 300), (0, 300), (1, 100), (1, 300), (1, 300)]
+    bins, target = (b"".join(r[c] for r in sorted(got, key=lambda r: (r.s, -r.n))) for c in ("bins", "target"))
+    assert sum(bins) == sum((i > 500) + (i > 900) for i in range(1400)) and len(target) == 4 * 1400
