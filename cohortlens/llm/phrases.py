@@ -7,10 +7,14 @@ one, is cut (AND) with the bitmap of that word; the popcount is the number of ti
 be empty aren't formed: the shard's order of words tells which blocks can meet.
 
 Popcounts are summed over shards by key ranges (packed arrays through ordinary shuffles), and each shard learns which of its
-phrases reach the threshold. That happens three times: for words; for pairs, which only frequent words form; and for phrases
-of three and four words, which a shard makes depth-first, group by group of pairs, where pairs one after the other are
-frequent. One of the shards that hold a frequent phrase is asked to spell it. All that follows are joins of phrases by their
-text: the parts of each cut, the score, longer phrases that hold a shorter one.
+phrases may reach the threshold. That happens three times: for words; for pairs, which only frequent words form; and for
+phrases of three and four words, which a shard makes depth-first, group by group of pairs, where pairs one after the other may
+be frequent. Words are summed by their whole keys, and one of the shards that hold a frequent one is asked to spell it. Most
+pairs and longer phrases are rare: the leading bits of their keys, as sorted numbers of some three bytes, tell which can't
+reach the threshold, as phrases that share these bits only add to a sum. The others are summed by whole keys, which gives
+exact numbers. One shard for each of those leading bits spells its phrase; where that was another phrase with the same bits,
+a shard is asked for the right one. All that follows are joins of phrases by their text: the parts of
+each cut, the score, longer phrases that hold a shorter one.
 
 Results for odd input: a null text is empty and a null language ``und``; texts without words give nothing; long texts are
 cut into several shards between pieces; repeated rows count each time; ties are ranked by the phrase; an empty table gives
@@ -21,6 +25,7 @@ while they are counted; what follows compares texts.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import isqrt
@@ -34,13 +39,15 @@ from pyspark.sql.window import Window
 
 from cohortlens.llm.common import _LOWER, Words, in_arrow, release_caches, shuffle_width, slices, splitmix, text_bytes
 from cohortlens.llm.exchange import ENTRIES, ROWS, _runs, dealt, key_ranges
-from cohortlens.storage import erase, stored, written
+from cohortlens.storage import erase, let_go, stored, written
 
 #: Positions of a shard, about.
 SHARD = 1 << 20
 #: Pairs whose extensions are held at a time.
 GROUP = 1 << 16
-TEXTS, LANGS, TOLD, NAMED, PLACES = 3, 4, 5, 6, 7
+#: Leading bits of a phrase's key by which phrases that can't be frequent are found.
+LEADING = 40
+TEXTS, LANGS, TOLD, NAMED, PLACES, SUMS, MARKS = 3, 4, 5, 6, 7, 8, 9
 FIELDS = "bucket long, chunk long, kind int, keys binary, refs binary, lang string, phrase string, k int, f long"
 _SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())])
 #: Bytes that end a piece, and those that end a word.
@@ -66,6 +73,46 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64) - 1
 
 
+def _ascending(numbers: np.ndarray) -> bytes:
+    """Ascending numbers (equal ones may follow each other): the lowest bits of each, and a bitmap with a bit for each number at
+    its place plus its highest bits."""
+    n, first = len(numbers), int(numbers[0])
+    numbers = numbers - numbers[0]
+    low = max(0, (int(numbers[-1]) // n).bit_length() - 1)
+    high = np.zeros((int(numbers[-1]) >> low) + n, bool)
+    high[(numbers >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
+    whole, rest = divmod(low, 8)
+    planes = [(numbers >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(whole)]
+    left = np.unpackbits((numbers >> np.uint64(8 * whole)).astype(np.uint8)[:, None], axis=1, count=rest, bitorder="little")
+    return b"".join([struct.pack("<QIIB", first, n, len(high), low), *planes, np.packbits(left).tobytes(), np.packbits(high).tobytes()])
+
+
+def _from_ascending(data: bytes) -> np.ndarray:
+    first, n, places, low = struct.unpack_from("<QIIB", data)
+    whole, rest = divmod(low, 8)
+    raw = np.frombuffer(data, np.uint8, offset=17)
+    at = whole * n + -(-n * rest // 8)
+    high = np.flatnonzero(np.unpackbits(raw[at:], count=places)) - np.arange(n)
+    left = np.packbits(np.unpackbits(raw[whole * n : at], count=n * rest).reshape(n, rest), axis=1, bitorder="little") if rest else np.zeros((n, 1), np.uint8)
+    out = (high.astype(np.uint64) << np.uint64(low)) + (left[:, 0].astype(np.uint64) << np.uint64(8 * whole))
+    for i in range(whole):
+        out += raw[i * n : (i + 1) * n].astype(np.uint64) << np.uint64(8 * i)
+    return out + np.uint64(first)
+
+
+def _mostly_ones(counts: np.ndarray) -> bytes:
+    """Counts, most of which are 1: a bitmap of the others, and these."""
+    more = counts != 1
+    return np.packbits(more).tobytes() + counts[more].astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def _from_mostly_ones(data: bytes, n: int) -> np.ndarray:
+    out, at = np.ones(n, np.int64), -(-n // 8)
+    more = np.unpackbits(np.frombuffer(data, np.uint8, at), count=n).astype(bool)
+    out[more] = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=at).reshape(4, -1).T).view("<u4").reshape(-1)
+    return out
+
+
 # ---- shards ---------------------------------------------------------------------------------------------
 
 
@@ -155,6 +202,7 @@ class Shard:
         self.spelled, self.lang = by[TEXTS][3].decode().split("\n"), np.frombuffer(by[TEXTS][4], "<u4")
         self.langs = json.loads(by[LANGS][3])
         self.places = by.get(PLACES)
+        self.marks = {r[0]: (r[3], r[4]) for r in rows if r[2] == MARKS}
         told = [r for r in rows if r[2] == TOLD]
         self.told = np.frombuffer(b"".join(r[3] for r in told), "<u8")
         self.total = np.frombuffer(b"".join(r[4] for r in told), "<i8")
@@ -166,16 +214,41 @@ class Shard:
         at = np.searchsorted(self.told, key)
         ask = np.flatnonzero(at < len(self.told))
         ask = ask[(self.told[at[ask]] == key[ask]) & (self.total[at[ask]] > 0)]
+        return self.spelled_as(last[ask], k, self.total[at[ask]])
+
+    def spelled_as(self, last: np.ndarray, k: int, total: np.ndarray) -> list[tuple]:
+        """Rows that spell the phrases at these last positions, with their sums."""
         out = []
-        for end, total in zip(last[ask].tolist(), self.total[at[ask]].tolist(), strict=True):
+        for end, f in zip(last.tolist(), total.tolist(), strict=True):
             words = self.ids[end - k + 1 : end + 1].tolist()
-            out.append((0, 0, NAMED, None, None, self.langs[self.lang[words[0]]], " ".join(self.spelled[w] for w in words), k, total))
+            out.append((0, 0, NAMED, None, None, self.langs[self.lang[words[0]]], " ".join(self.spelled[w] for w in words), k, f))
         return out
 
-    def knows(self, key: np.ndarray) -> np.ndarray:
-        """Which of the keys it was told to be frequent."""
-        at = np.minimum(np.searchsorted(self.told, key), max(len(self.told) - 1, 0))
-        return self.told[at] == key if len(self.told) else np.zeros(len(key), bool)
+    def marked(self, key: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the keys by leading bits, as they were sent; in this order, which of them may be frequent and which
+        are to be spelled; and the sums that came with the latter."""
+        order, edges = _ranges(key, buckets, bits)
+        keep, spells, sums = np.zeros(len(key), bool), np.zeros(len(key), bool), [b""]
+        for bucket, a, b in edges:
+            if bucket in self.marks:
+                bits_kept, rest = self.marks[bucket]
+                keep[a:b] = np.unpackbits(np.frombuffer(bits_kept, np.uint8), count=b - a)
+                spells[a:b] = np.unpackbits(np.frombuffer(rest, np.uint8, -(-(b - a) // 8)), count=b - a)
+                sums.append(rest[-(-(b - a) // 8) :])
+        return order, keep, spells, np.frombuffer(b"".join(sums), "<i8")
+
+    def sums(self, key: np.ndarray, last: np.ndarray, count: np.ndarray, k: np.ndarray, spells: np.ndarray, buckets: int, chunk: int) -> list[tuple]:
+        """For each key range the phrases (keys, last positions, counts, lengths) that may be frequent, some of them spelled."""
+        order, edges = _ranges(key, buckets)
+        key, last, count, k, spells = key[order], last[order], count[order], k[order], spells[order]
+        out = []
+        for bucket, a, b in edges:
+            at = a + np.flatnonzero(spells[a:b])
+            names = [" ".join([self.spelled[w] for w in self.ids[e - n + 1 : e + 1].tolist()]) for e, n in zip(last[at].tolist(), k[at].tolist(), strict=True)]
+            lang, counts = self.lang[self.ids[last[at]]].astype("<u4").tobytes(), _mostly_ones(count[a:b])
+            refs = struct.pack("<I", len(counts)) + counts + np.packbits(spells[a:b]).tobytes() + lang
+            out.append((bucket, chunk, SUMS, _ascending(key[a:b]), refs, json.dumps(self.langs), "\n".join(names)))
+        return out
 
 
 # ---- bitmaps --------------------------------------------------------------------------------------------
@@ -252,7 +325,7 @@ def extended(prefix: Phrases, words: Phrases) -> Phrases:
     bits = moved.bits[left] & words.maps.bits[right]
     code, phrase = np.unique(moved.owner[left] * np.int64(max(1, len(words.key))) + words.maps.owner[right], return_inverse=True)
     first, word = np.divmod(code, max(1, len(words.key)))
-    key = splitmix(prefix.key[first] * np.uint64(0xD6E8FEB86659FD93) + splitmix(words.key[word]))
+    key = _longer(prefix.key[first], words.key[word])
     maps, of = merged(phrase, moved.block[left], bits)
     at, entry = np.full(len(prefix.at), -1, np.int64), np.full(len(prefix.at), -1, np.int64)
     at[place], entry[place] = phrase[back], of[back]
@@ -270,48 +343,97 @@ def some_of(phrases: Phrases, keep: np.ndarray) -> Phrases:
     return Phrases(phrases.key[keep], maps, at, entry)
 
 
-def frequent_pairs(shard: Shard, told: bool) -> tuple[Phrases, Phrases]:
-    """Words of a shard and their pairs; with ``told`` the pairs that the shard was told of."""
+def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of phrases with one word more."""
+    return splitmix(key * np.uint64(0xD6E8FEB86659FD93) + splitmix(word))
+
+
+def words_and_pairs(shard: Shard) -> tuple[Phrases, Phrases]:
     words = phrases_at(shard.keys, shard.ids)
-    pairs = extended(words, words)
-    return words, some_of(pairs, shard.knows(pairs.key)) if told else pairs
+    return words, extended(words, words)
 
 
 # ---- levels ---------------------------------------------------------------------------------------------
 
 
-def _sent(key: np.ndarray, count: np.ndarray, buckets: int, chunk: int) -> list[tuple]:
-    order = np.argsort(key)
-    key, count = key[order], count[order].astype("<u4")
-    bucket = (key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(key)]
-    return [(int(bucket[a]), chunk, ENTRIES, key[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+def _ranges(key: np.ndarray, buckets: int, bits: int = 64) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the keys by their leading bits, and of each key range where it begins and ends in this order."""
+    key = key >> np.uint64(64 - bits) << np.uint64(64 - bits)
+    order = np.argsort(key, kind="stable")
+    bucket = (key[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+    return order, [(int(bucket[a]), a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def _sent(key: np.ndarray, count: np.ndarray, buckets: int, chunk: int, bits: int = 64, most: int = (1 << 32) - 1) -> list[tuple]:
+    """Leading bits of the keys, and their counts, which say no more than ``most``."""
+    order, edges = _ranges(key, buckets, bits)
+    key, count = key[order] >> np.uint64(64 - bits), np.minimum(count[order], most)
+    return [(bucket, chunk, ENTRIES, _ascending(key[a:b]), _mostly_ones(count[a:b])) for bucket, a, b in edges]
 
 
-def told(entries: DataFrame, buckets: int, least: int) -> DataFrame:
-    """To each shard the keys of its own whose sum over all shards is at least ``least``, and that sum where it is to spell
-    the phrase."""
+def _groups(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the keys, where each begins in it, and the sums of their counts."""
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    return order, head, np.add.reduceat(count[order], head)
+
+
+def told(entries: DataFrame, buckets: int, least: int, sums: bool) -> DataFrame:
+    """To each shard a bit for each of the keys it sent: whether the sum over all shards is at least ``least``; and a bit where
+    it is to spell the phrase, with that sum if ``sums``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _runs(batches, "bucket"):
-            key, count = np.frombuffer(b"".join(r[3] for r in rows), "<u8"), np.frombuffer(b"".join(r[4] for r in rows), "<u4")
-            order = np.argsort(key, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-            total = np.add.reduceat(count[order].astype(np.int64), head)
-            group = np.repeat(np.arange(len(head)), np.diff(head, append=len(key)))
-            sums, spells = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-            sums[order], spells[order[head]] = total[group], True
-            keep, ends, out = sums >= least, np.cumsum([0, *(len(r[3]) // 8 for r in rows)]), []
+            keys = [_from_ascending(r[3]) for r in rows]
+            key, count = np.concatenate(keys), np.concatenate([_from_mostly_ones(r[4], len(k)) for r, k in zip(rows, keys, strict=True)])
+            order, head, total = _groups(key, count)
+            keep, spells, sum_of = np.zeros(len(key), bool), np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+            keep[order] = np.repeat(total >= least, np.diff(head, append=len(key)))
+            sum_of[order[head]], spells[order[head]] = total, total >= least
+            ends, out = np.cumsum([0, *(len(k) for k in keys)]), []
             for r, a, b in zip(rows, ends, ends[1:], strict=False):
-                k = keep[a:b]
-                if k.any():
-                    out.append((bucket, r[1], TOLD, key[a:b][k].tobytes(), np.where(spells[a:b], sums[a:b], 0)[k].astype("<i8").tobytes()))
+                if keep[a:b].any():
+                    out.append((bucket, r[1], MARKS, np.packbits(keep[a:b]).tobytes(), np.packbits(spells[a:b]).tobytes() + (sum_of[a:b][spells[a:b]].astype("<i8").tobytes() if sums else b"")))
             yield from _rows(out)
 
     narrow = entries.where(F.col("kind") == ENTRIES).select("bucket", "chunk", "kind", "keys", "refs")
     return in_arrow(dealt(narrow, "bucket", buckets).sortWithinPartitions("bucket", "chunk"), run, FIELDS)
 
 
+def summed(sums: DataFrame, buckets: int, least: int) -> DataFrame:
+    """Rows that name the phrases that stand at least so many times in all shards together; those that no shard has spelled are
+    told to a shard that holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _runs(batches, "bucket"):
+            keys, counts, spells, langs = [_from_ascending(r[3]) for r in rows], [], [], []
+            for r, k in zip(rows, keys, strict=True):
+                to = 4 + struct.unpack_from("<I", r[4])[0]
+                counts.append(_from_mostly_ones(r[4][4:to], len(k)))
+                spells.append(np.unpackbits(np.frombuffer(r[4], np.uint8, -(-len(k) // 8), to), count=len(k)).astype(bool))
+                langs.append(np.frombuffer(r[4], "<u4", offset=to + -(-len(k) // 8)))
+            key, spelled, ends = np.concatenate(keys), np.concatenate(spells), np.cumsum([0, *(len(k) for k in keys)])
+            order, head, total = _groups(key, np.concatenate(counts))
+            by = np.maximum.reduceat(np.where(spelled[order], order, -1), head)
+            number, out = np.cumsum(spelled) - 1, []
+            base = np.cumsum([0, *(len(x) for x in langs)])
+            for some in (np.flatnonzero((total >= least) & (by >= 0)), np.flatnonzero((total >= least) & (by < 0))):
+                at = np.where(by[some] < 0, order[head[some]], by[some])
+                of = np.searchsorted(ends, at, side="right") - 1
+                for i in np.unique(of).tolist():
+                    own, f = at[of == i], total[some[of == i]]
+                    if by[some[0]] < 0:
+                        out.append((bucket, rows[i][1], TOLD, key[own].tobytes(), f.astype("<i8").tobytes()))
+                        continue
+                    names, known, place = rows[i][6].split("\n"), json.loads(rows[i][5]), number[own] - base[i]
+                    out += [(0, 0, NAMED, None, None, known[lang], names[j], names[j].count(" ") + 1, n) for lang, j, n in zip(langs[i][place].tolist(), place.tolist(), f.tolist(), strict=True)]
+            yield from _rows(out)
+
+    narrow = sums.where(F.col("kind") == SUMS).select("bucket", "chunk", "kind", "keys", "refs", "lang", "phrase")
+    return in_arrow(dealt(narrow, "bucket", buckets).sortWithinPartitions("bucket", "chunk"), run, FIELDS)
+
+
 def _by_shard(table: DataFrame, answers: DataFrame, step) -> DataFrame:
     """``step`` on each shard with its answers; it gives rows."""
 
@@ -331,7 +453,7 @@ _DATA = f"kind in ({ROWS}, {TEXTS}, {LANGS}, {PLACES})"
 def frequent(df: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to 4 words that stand at least so many times inside pieces of df (text,
     lang), and (lang, n) of all words."""
-    spark, buckets = df.sparkSession, key_ranges(df)
+    spark, buckets, bits = df.sparkSession, key_ranges(df), LEADING
     base, base_path = stored(shards(df), "shards")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,21 +470,30 @@ def frequent(df: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
         ends = np.zeros(len(shard.keys), np.int64)
         here = np.flatnonzero(shard.ids >= 0)
         ends[shard.ids[here]] = here
-        out, keep = shard.named(shard.keys, ends, 1), shard.knows(shard.keys)
+        order, some, spells, total = shard.marked(shard.keys, buckets, 64)
+        keep = np.zeros(len(shard.keys), bool)
+        keep[order] = some
+        out = shard.spelled_as(ends[order[spells]], 1, total)
         number = np.cumsum(keep) - 1
         ids = np.where((shard.ids >= 0) & keep[np.maximum(shard.ids, 0)], number[np.maximum(shard.ids, 0)], -1)
         at, spelled = np.flatnonzero(keep), shard.spelled
         shard.keys, shard.ids = shard.keys[keep], ids
-        pairs = frequent_pairs(shard, False)[1]
-        out += _sent(pairs.key, pairs.maps.counts(len(pairs.key)), buckets, chunk)
+        pairs = words_and_pairs(shard)[1]
+        out += _sent(pairs.key, pairs.maps.counts(len(pairs.key)), buckets, chunk, bits, least)
         out.append((chunk, chunk, ROWS, shard.keys.tobytes(), _planes(ids)))
         out.append((chunk, chunk, TEXTS, b"\n".join(spelled[i].encode() for i in at.tolist()), shard.lang[keep].tobytes()))
         return [*out, (chunk, chunk, LANGS, json.dumps(shard.langs).encode(), None)]
 
     def longer_of(shard: Shard, chunk: int) -> list[tuple]:
-        words, pairs = frequent_pairs(shard, True)
-        out = shard.named(pairs.key, pairs.maps.first(), 2)
-        follows = np.where(pairs.at >= 0, words.at, -1)  # a word that ends a frequent pair
+        words, pairs = words_and_pairs(shard)
+        order, some, spells, _ = shard.marked(pairs.key, buckets, bits)
+        keep, tells = np.zeros((2, len(pairs.key)), bool)
+        keep[order], tells[order] = some, spells
+        pairs, tells = some_of(pairs, keep), tells[keep]
+        if not len(pairs.key):
+            return []
+        out = shard.sums(pairs.key, pairs.maps.first(), pairs.maps.counts(len(pairs.key)), np.full(len(pairs.key), 2), tells, buckets, chunk)
+        follows = np.where(pairs.at >= 0, words.at, -1)  # a word that ends a pair that may be frequent
         words = phrases_at(words.key, follows)
         keys, counts, ends, sizes = [], [], [], []
         for a in range(0, len(pairs.key), GROUP):
@@ -374,27 +505,62 @@ def frequent(df: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]:
                 counts.append(longer.maps.counts(len(longer.key)))
                 ends.append(longer.maps.first())
                 sizes.append(np.full(len(longer.key), k))
-        if not keys:
-            return out
-        key, end = np.concatenate(keys), np.concatenate(ends)
-        out += _sent(key, np.concatenate(counts), buckets, chunk)
-        return [*out, (chunk, chunk, PLACES, key.tobytes(), (end * 8 + np.concatenate(sizes)).astype("<u4").tobytes())]
-
-    def spelled(shard: Shard, chunk: int) -> list[tuple]:
-        if shard.places is None:
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        out += _sent(key, count, buckets, chunk, bits, least)
+        order = _ranges(key, buckets, bits)[0]
+        place = (np.concatenate(ends) * 2 + np.concatenate(sizes) - 3)[order]
+        return [*out, (chunk, chunk, PLACES, _planes(place), _mostly_ones(count[order]))]
+
+    def placed(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, last positions and lengths of the longer phrases of a shard, in the order of what it sent."""
+        place = _from_planes(shard.places[3])
+        last, k = place // 2, 3 + place % 2
+        key = np.zeros(len(place), np.uint64)
+        for size in (3, 4):
+            some = np.flatnonzero(k == size)
+            words = [shard.keys[shard.ids[last[some] - size + 1 + i]] for i in range(size)]
+            key[some] = words[0]
+            for word in words[1:]:
+                key[some] = _longer(key[some], word)
+        return key, last, k
+
+    def sums_of(shard: Shard, chunk: int) -> list[tuple]:
+        if shard.places is None or not shard.marks:
             return []
-        key, place = np.frombuffer(shard.places[3], "<u8"), np.frombuffer(shard.places[4], "<u4").astype(np.int64)
-        return [r for k in (3, 4) for r in shard.named(key[place % 8 == k], place[place % 8 == k] // 8, k)]
+        key, last, k = placed(shard)
+        count = _from_mostly_ones(shard.places[4], len(key))
+        order, keep, spells, _ = shard.marked(key, buckets, bits)
+        order, spells = order[keep], spells[keep]
+        return shard.sums(key[order], last[order], count[order], k[order], spells, buckets, chunk)
+
+    def asked(shard: Shard, chunk: int) -> list[tuple]:
+        pairs = words_and_pairs(shard)[1]
+        out = shard.named(pairs.key, pairs.maps.first(), 2)
+        if shard.places is not None:
+            key, last, k = placed(shard)
+            out += [r for size in (3, 4) for r in shard.named(key[k == size], last[k == size], size)]
+        return out
 
     first = in_arrow(base.where(F.col("kind") == ROWS).select("bucket", "chunk", "kind", "keys", "refs"), count_words, FIELDS)
     n = written(in_arrow(base.where(F.col("kind") == LANGS).select("keys", "refs"), count_langs, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "words")
-    two, two_path = stored(_by_shard(base.where(_DATA), told(first, buckets, least), pairs_of), "pairs")
+    two, two_path = stored(_by_shard(base.where(_DATA), told(first, buckets, least, True), pairs_of), "pairs")
     erase(spark, base_path)
-    three, three_path = stored(_by_shard(two.where(_DATA), told(two, buckets, least), longer_of), "longer")
-    last = _by_shard(two.where(_DATA).unionByName(three.where(_DATA)), told(three, buckets, least), spelled)
-    named = written(two.unionByName(three).where(F.col("kind") == NAMED).unionByName(last).select("lang", "phrase", "k", "f"), "phrases")
+    let_go(spark)
+    three, three_path = stored(_by_shard(two.where(_DATA), told(two, buckets, least, False), longer_of), "longer")
+    let_go(spark)
+    four = _by_shard(two.where(_DATA).unionByName(three.where(_DATA)), told(three, buckets, least, False), sums_of)
+    total, total_path = stored(summed(three.unionByName(four), buckets, least), "sums")
+    ask = total.where(F.col("kind") == TOLD)
+    named = two.unionByName(total).where(F.col("kind") == NAMED)
+    if ask.head(1):
+        let_go(spark)
+        those = two.where(_DATA).unionByName(three.where(_DATA)).join(ask.select("chunk").distinct(), "chunk", "left_semi")
+        named = named.unionByName(_by_shard(those, ask, asked))
+    named = written(named.select("lang", "phrase", "k", "f"), "phrases")
+    erase(spark, total_path)
     erase(spark, two_path)
     erase(spark, three_path)
+    let_go(spark)
     return named, n
 
 

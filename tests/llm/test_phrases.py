@@ -96,3 +96,31 @@ def test_bitmaps():
 def test_planes():
     ids = np.array([-1, 0, 5, 254, 255, 256, 70_000, -1])
     assert phrases._from_planes(phrases._planes(ids)).tolist() == ids.tolist() and len(phrases._from_planes(phrases._planes(ids[:0]))) == 0
+
+
+def test_what_shards_send():
+    """Keys and counts leave a shard in less than 8 bytes each, leading bits and counts in less than 5."""
+    rnd = np.random.default_rng(9)
+    key, count = rnd.integers(0, 1 << 64, 300_000, np.uint64), np.minimum(rnd.zipf(2.2, 300_000), 9000)
+    size = lambda rows: sum(len(r[3]) + len(r[4]) for r in rows) / len(key)
+    assert size(phrases._sent(key, count, 5, 0)) < 8
+    assert size(phrases._sent(key, count, 5, 0, phrases.LEADING, 30)) < 5
+
+
+def test_packed_numbers():
+    rnd = np.random.default_rng(10)
+    for bits in (1, 7, 8, 9, 40, 63, 64):
+        for n in (1, 2, 1000):
+            numbers = np.sort(rnd.integers(0, (1 << bits) - 1, n, np.uint64, endpoint=True))
+            assert (phrases._from_ascending(phrases._ascending(numbers)) == numbers).all()
+            counts = rnd.choice([1, 1, 1, 2, 300, 70_000], n)
+            assert (phrases._from_mostly_ones(phrases._mostly_ones(counts), n) == counts).all()
+
+
+@pytest.mark.parametrize("bits", [1, 9])
+def test_phrases_that_share_leading_bits(spark, monkeypatch, bits):
+    """Rare phrases with the bits of frequent ones neither count nor keep these from being spelled."""
+    monkeypatch.setattr(phrases, "LEADING", bits)
+    monkeypatch.setattr(phrases, "SHARD", 60)
+    rows = corpus(5, 60)
+    assert run(spark, rows, 3, 2000) == brute(rows, 3, 2000)
