@@ -47,6 +47,8 @@ _FIELD = np.uint64((1 << FIELD) - 1)
 _START, _END = np.array([63, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, FIELD, 2 * FIELD, 2 * FIELD], np.uint64)
 #: By twice the confidence and whether a prediction came true: the change of its confidence.
 _CHANGE = np.array([0, 1, -1, 1, -1, 1, -1, 0], np.int32) << 20
+#: Of the hashes of order 2 and order 1: the bits left out below, and those that name a slot.
+_SHIFT, _SLOT = np.array([[3], [2]], np.int32), np.array([[SLOTS_2 - 1], [SLOTS_1 - 1]], np.int32)
 #: By order-2, order-1 and order-0 hits, as bits: the outcome.
 _OUTCOME = np.array([3, 2, 1, 1, 0, 0, 0, 0])
 
@@ -74,36 +76,44 @@ def counts_to(total_bits: int, counts: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """The models of all lanes. A prediction is held with its confidence: id + confidence << 20."""
+    """The models of all lanes. A prediction is held with its confidence: id + confidence << 20. Order 2 and order 1 are two
+    rows of the same arrays, and the overall distribution is a third row beside theirs, so that a step takes few operations."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.of2, self.of1, self.id0 = np.zeros(lanes * SLOTS_2, np.int32), np.zeros(lanes * SLOTS_1, np.int32), np.full(lanes * SLOTS_0, -1, np.int32)
-        self.cut2, self.cut1, self.cut0 = np.full(lanes * CONFIDENCE, _EVEN), np.full(lanes * CONFIDENCE, _EVEN), np.full(lanes, _EVEN)
+        lane, rows = np.arange(lanes), lanes * CONFIDENCE
+        self.of, self.id0 = np.zeros(lanes * (SLOTS_2 + SLOTS_1), np.int32), np.full(lanes * SLOTS_0, -1, np.int32)
+        self.cut = np.full(2 * rows + lanes, _EVEN)
         self.weight2, self.weight1 = np.tile(_FIRST_2, lanes), np.tile(_FIRST_1, lanes)
-        self.base2, self.base1, self.base0, self.base_c = lane * SLOTS_2, lane * SLOTS_1, lane * SLOTS_0, lane * CONFIDENCE
-        self.hash1 = self.hash2 = self.older = np.zeros(lanes, np.int32)
+        self.base, self.base0 = np.stack([lane * SLOTS_2, lanes * SLOTS_2 + lane * SLOTS_1]), lane * SLOTS_0
+        self.base_c, self.row = np.stack([lane * CONFIDENCE, rows + lane * CONFIDENCE]), np.stack([lane, lane, 2 * rows + lane])
+        self.share = np.zeros((3, lanes), np.uint64)
+        self.hash, self.older = np.zeros((2, lanes), np.int32), np.zeros(lanes, np.int32)
         self.steps = 0
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The ids that order 2 and order 1 predict; sets the cumulative counts of the outcomes."""
-        self.at1 = self.base1 + (self.hash1 >> 2 & SLOTS_1 - 1)
-        self.at2 = self.base2 + (self.hash2 >> 3 & SLOTS_2 - 1)
-        self.now2, self.now1 = self.of2[self.at2], self.of1[self.at1]
-        self.k2, self.k1 = self.now2 >> 20, self.now1 >> 20
-        self.row2, self.row1 = self.base_c + self.k2, self.base_c + self.k1
-        self.odds2, self.odds1 = self.cut2.take(self.row2), self.cut1.take(self.row1)
-        self.pair = self.row2 * CONFIDENCE + self.k1
+    def predict(self) -> np.ndarray:
+        """The ids that order 2 and order 1 predict, as two rows; sets the cumulative counts of the outcomes."""
+        at = self.hash >> _SHIFT
+        at &= _SLOT
+        self.at = self.base + at
+        self.now = self.of.take(self.at)
+        self.k = self.now >> 20
+        np.add(self.base_c, self.k, out=self.row[:2])
+        self.odds = self.cut.take(self.row)
+        self.pair = self.row[0] * CONFIDENCE
+        self.pair += self.k[1]
         a, b = (w.take(self.pair) >> WEIGHT_BITS - 8 for w in (self.weight2, self.weight1))
-        mixed = self.odds2 * a.astype(np.uint64)
-        mixed += self.odds1 * b.astype(np.uint64)
-        mixed += self.cut0 * (256 - a - b).astype(np.uint64)
+        self.share[0], self.share[1] = a, b
+        a += b
+        self.share[2] = 256 - a
+        mixed = np.add.reduce(self.odds * self.share)
         mixed >>= np.uint64(8)
         mixed &= _COUNTS
-        mixed -= mixed >> np.uint64(6) & _ROOM
+        less = mixed >> np.uint64(6)
+        less &= _ROOM
+        mixed -= less
         mixed += _ONES
         self.mixed = mixed
-        return self.now2 & 0xFFFFF, self.now1 & 0xFFFFF
+        return self.now & 0xFFFFF
 
     def bounds(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of an outcome."""
@@ -115,25 +125,25 @@ class _Model:
         end -= start
         return start, end
 
-    def update(self, ids: np.ndarray, outcome: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, width: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, outcome: np.ndarray, hits: np.ndarray, width: np.ndarray) -> None:
         self.steps += 1
         if self.steps % LEARN == 0:
             self._learn(outcome, width)
-        add, rate = _ADD.take(outcome), np.uint64(RATE)
-        for odds, row, table in ((self.odds2, self.row2, self.cut2), (self.odds1, self.row1, self.cut1), (self.cut0, None, self.cut0)):
-            less = odds >> rate
-            less &= _STAY
-            odds = odds - less
-            odds += add
-            table[slice(None) if row is None else row] = odds
-        for at, table, now, k, hit in ((self.at2, self.of2, self.now2, self.k2, hit2), (self.at1, self.of1, self.now1, self.k1, hit1)):
-            k += k
-            k += hit
-            now += _CHANGE.take(k)
-            table[at] = np.where(k == 0, ids, now)
-        self.id0[self.base0 + (ids & SLOTS_0 - 1)] = ids
-        self.hash1 = ids * 0x9E3B
-        self.hash2 = self.hash1 + self.older
+        less = self.odds >> np.uint64(RATE)
+        less &= _STAY
+        self.odds -= less
+        self.odds += _ADD.take(outcome)
+        self.cut[self.row] = self.odds
+        k = self.k
+        k += k
+        k += hits
+        self.now += _CHANGE.take(k)
+        np.copyto(self.now, ids, where=k == 0)
+        self.of[self.at] = self.now
+        slot = ids & SLOTS_0 - 1
+        self.id0[self.base0 + slot] = ids
+        np.multiply(ids, 0x9E3B, out=self.hash[1])
+        np.add(self.hash[1], self.older, out=self.hash[0])
         self.older = ids * 0x3D4D
 
     def _learn(self, outcome: np.ndarray, width: np.ndarray) -> None:
@@ -144,9 +154,9 @@ class _Model:
             end[outcome == 3] = 1 << FEW_BITS
             return (end - (odds >> _START.take(outcome) & _FIELD)).astype(np.int32)
 
-        overall, least, whole = given(self.cut0), 1 << WEIGHT_BITS - 6, 1 << WEIGHT_BITS
+        overall, least, whole = given(self.odds[2]), 1 << WEIGHT_BITS - 6, 1 << WEIGHT_BITS
         share = width.astype(np.int32)
-        a, b = (w.take(self.pair) + np.clip((given(odds) - overall) * STEP // share, -whole // 16, whole // 16) for w, odds in ((self.weight2, self.odds2), (self.weight1, self.odds1)))
+        a, b = (w.take(self.pair) + np.clip((given(odds) - overall) * STEP // share, -whole // 16, whole // 16) for w, odds in ((self.weight2, self.odds[0]), (self.weight1, self.odds[1])))
         a = np.clip(a, least, whole - 2 * least)
         self.weight2[self.pair], self.weight1[self.pair] = a, np.clip(b, least, whole - least - a)
 
@@ -201,16 +211,15 @@ def encode(ids: np.ndarray) -> bytes:
             out = np.pad(out.reshape(lanes, room), ((0, 0), (0, room))).reshape(-1)
             size += lane * room
             room *= 2
-        two, one = model.predict()
-        hit2, hit1 = now == two, now == one
+        hits = model.predict() == now
         hit0 = model.id0.take(model.base0 + (now & SLOTS_0 - 1)) == now
-        outcome = _OUTCOME.take(hit2.view(np.uint8) << 2 | hit1.view(np.uint8) << 1 | hit0.view(np.uint8))
+        outcome = _OUTCOME.take(hits[0].view(np.uint8) << 2 | hits[1].view(np.uint8) << 1 | hit0.view(np.uint8))
         start, width = model.bounds(outcome)
         at = outcome * len(freq) + now
         begin = begins.take(at) * width
         begin += start << u(ID_BITS)
         code(begin, widths.take(at) * width)
-        model.update(now, outcome, hit2, hit1, width)
+        model.update(now, outcome, hits, width)
     out, size = out.reshape(lanes, room), size - lane * room
     for word in (low >> u(36), low >> u(12) & u((1 << WORD) - 1), (low << u(12)) & u((1 << WORD) - 1)):
         out[lane, size] = word
@@ -264,7 +273,7 @@ def decode(data: bytes) -> np.ndarray:
 
     whole, all_bits = u(1 << ID_BITS), u(FEW_BITS + ID_BITS)
     for t in range(BLOCK):
-        two, one = model.predict()
+        guess = model.predict()
         unit = span >> all_bits
         value = left // unit
         few = value >> u(ID_BITS)
@@ -273,7 +282,7 @@ def decode(data: bytes) -> np.ndarray:
         outcome += few >= model.mixed >> u(2 * FIELD)
         first, room = model.bounds(outcome)
         first <<= u(ID_BITS)
-        now = np.where(outcome == 0, two, one)
+        now = np.where(outcome == 0, guess[0], guess[1])
         begin, width = np.zeros(lanes, np.uint64), np.full(lanes, whole)
         a, b = np.flatnonzero(outcome == 3), np.flatnonzero(outcome == 2)
         value -= first
@@ -299,7 +308,7 @@ def decode(data: bytes) -> np.ndarray:
             span[less] = wide
             less = less[(wide < u(1 << LEAST)) & (wide > 0)]
         steps[t] = now
-        model.update(now, outcome, now == two, now == one, room)
+        model.update(now, outcome, guess == now, room)
     ids = np.ascontiguousarray(steps.T).reshape(-1)[:n]
     for k in range(lanes):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != directory[k, 2]:

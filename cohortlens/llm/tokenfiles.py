@@ -1,6 +1,7 @@
 """Token-id files: texts encoded with a public vocabulary, in ascending order of id, as sections of coded ids.
 
-A file holds up to ``FILE_TOKENS`` ids (whole documents; one longer document alone) as a section of ``mixcoder`` with
+A file holds up to ``FILE_TOKENS`` ids (whole documents; one longer document alone), the last one of a task up to a quarter
+more where little is left: a file of few ids takes nearly as long to code as a larger one. They are held as a section of ``mixcoder`` with
 independently reset, checksummed blocks, and a directory of its documents: ids and token counts, with a checksum.
 Documents are dealt to files by ranges of their id. A file appears under its name when it is complete, and a repeated
 task writes the same file again. The manifest has a row for each file; its order is the order of the documents.
@@ -308,15 +309,15 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 2, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = encoder(vocabulary, end_id), TaskContext.get().partitionId()
-        docs, counts, coded, held, done = [], [], [], 0, []
+        docs, counts, coded, held, done, full = [], [], [], 0, [], []
 
-        def flush() -> None:
+        def put(docs: list, counts: list, coded: list, held: int) -> None:
             name = f"part-{task:06d}-{len(done):05d}.tok"
             files.put(folder, name, section(docs, counts, np.concatenate(coded)))
             done.append((name, len(docs), held))
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 ids, n = own.encode_bytes(*text_bytes(batch.column(1)))
                 at, names = 0, batch.column(0).to_pylist()
                 sums = np.cumsum(n)
@@ -329,11 +330,18 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 2, i
                         coded.append(ids[done_ids : sums[to - 1]])
                         held += len(coded[-1])
                         at = to
+                    if full and held > file_tokens // 4:
+                        put(*full.pop())
                     if at < len(names):
-                        flush()
+                        if full:
+                            put(*full.pop())
+                        full.append((docs, counts, coded, held))
                         docs, counts, coded, held = [], [], [], 0
-        if docs:
-            flush()
+        if docs and full and full[0][3] + held <= file_tokens + file_tokens // 4:  # little is left: it goes with the file before
+            docs, counts, coded, held = (x + y for x, y in zip(full.pop(), (docs, counts, coded, held), strict=True))
+        for last in (*full, (docs, counts, coded, held)):
+            if last[0]:
+                put(*last)
         if done:
             names, n, tokens = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], ["file", "docs", "tokens"])

@@ -76,3 +76,19 @@ def test_files(spark, library):
 def test_query(spark, sf_dir, library):
     got = [tuple(r) for r in queries.op7_token_files(spark, sf_dir).collect()]
     check([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()], got, library)
+
+
+@pytest.mark.parametrize(("docs", "tokens"), [(3, [300]), (4, [400]), (5, [500]), (9, [400, 500]), (10, [400, 400, 200]), (13, [400, 400, 500])])
+def test_little_that_is_left_goes_with_the_file_before(spark, library, docs, tokens):
+    rows = [(7, f"{chr(97 + i)} " * 99) for i in range(docs)]
+    folder = new_path(spark, "tokens")
+    manifest = tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, folder, file_tokens=400)
+    assert [n for _, _, n in manifest] == tokens
+    check(rows, [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids_le)) for r in tokenfiles.read(spark, folder).collect()], library)
+
+
+def test_a_long_document_stays_alone(spark, library):
+    rows = [(7, "a " * 999), (7, "b " * 49)]
+    folder = new_path(spark, "tokens")
+    assert [n for _, _, n in tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, folder, file_tokens=400)] == [1000, 50]
+    check(rows, [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids_le)) for r in tokenfiles.read(spark, folder).collect()], library)
