@@ -4,13 +4,15 @@ A block of ``BLOCK`` ids is coded on its own: its models start afresh. For each
 it) and the order-1 context predict one id each, and order 0 predicts the ids lately seen, one for each low byte. The
 outcome is order-2 hit, order-1 hit, order-0 hit or none. Its distribution is mixed from three adaptive ones: those kept
 for the order-2 confidence, for the order-1 confidence and overall. The weights of the mixture, kept for each pair of
-confidences, learn in the block: every ``LEARN`` ids they move along the gradient of the coding cost of the outcome.
-After an order-0 hit the low byte follows, after none the id, by order-0 counts that are the start of every block's model
-and stand in the header of the section. All blocks of a section advance in step, one id of each at a time, as array
-operations.
+confidences, learn in the block: they move along the gradient of the coding cost of the outcomes. Predictions and confidences
+follow every id; distributions, weights and the mixture take up the outcomes of the last ``LEARN`` ids at once (fewer where a
+block begins), as they cost more than all else. After an order-0 hit the low byte follows, after none the id, by order-0
+counts that are the start of every block's model and stand in the header of the section. Blocks advance in step, one id of
+each of ``GROUP`` blocks at a time, as array operations.
 
 The coder keeps a range of 36 to 60 bits, emits words of 24 bits, and settles carries at the end of a block. Ids are below
-2**20; others are an error.
+2**20; others are an error. Decoding repeats the arithmetic of encoding bit by bit: whole numbers, and single float operations
+that IEEE 754 rounds alike everywhere.
 """
 
 from __future__ import annotations
@@ -20,48 +22,23 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK, GROUP = 2048, 4096
 #: Bits of a coder word, least and whole bits of the range; bits of the totals of outcomes, and of ids and low bytes.
 WORD, LEAST, STATE, FEW_BITS, ID_BITS = 24, 36, 60, 12, 20
-SLOTS_2, SLOTS_1, SLOTS_0, CONFIDENCE = 1024, 512, 256, 4
-RATE, FIELD, LEARN = 5, 21, 8
-#: Bits of a weight, and how far the cost of one outcome moves it.
-WEIGHT_BITS, STEP = 14, 600
-MAGIC = b"CTXMIX02"
-
-
-def _fields(values) -> np.uint64:
-    """Three numbers in one, of which weighted sums can be taken at once."""
-    return np.uint64(sum(int(v) << FIELD * i for i, v in enumerate(values)))
-
-
-#: Three cumulative counts of the four outcomes are packed in one number: what stays of each after a step, at even odds at
-#: first, and what each outcome adds.
-_EVEN = _fields((1 << FEW_BITS - 2) * i for i in (1, 2, 3))
-_STAY = _fields([(1 << FEW_BITS - RATE) - 1] * 3)
-_ADD = np.array([_fields(((1 << FEW_BITS) - 1 >> RATE) * (i >= s) for i in range(3)) for s in range(4)], np.uint64)
-#: Of a mixture: its counts, the share that makes room for a count of each outcome, and that count.
-_COUNTS, _ROOM, _ONES = _fields([(1 << FEW_BITS) - 1] * 3), _fields([(1 << FEW_BITS - 6) - 1] * 3), _fields([1, 2, 3])
-_FIELD = np.uint64((1 << FIELD) - 1)
-#: Where the count at which an outcome starts, and at which it ends, stand among the fields.
-_START, _END = np.array([63, 0, FIELD, 2 * FIELD], np.uint64), np.array([0, FIELD, 2 * FIELD, 2 * FIELD], np.uint64)
-#: By twice the confidence and whether a prediction came true: the change of its confidence.
-_CHANGE = np.array([0, 1, -1, 1, -1, 1, -1, 0], np.int32) << 20
-#: Of the hashes of order 2 and order 1: the bits left out below, and those that name a slot.
-_SHIFT, _SLOT = np.array([[3], [2]], np.int32), np.array([[SLOTS_2 - 1], [SLOTS_1 - 1]], np.int32)
-#: By order-2, order-1 and order-0 hits, as bits: the outcome.
-_OUTCOME = np.array([3, 2, 1, 1, 0, 0, 0, 0])
-
-
-def _first_weights() -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the order-2 and the order-1 distribution, by both confidences, where a block begins."""
-    two, one = np.array([40, 96, 136, 168]), np.array([48, 80, 104, 128])
-    a = np.repeat(two, CONFIDENCE)
-    b = (256 - a) * np.tile(one, CONFIDENCE) // 192
-    return tuple((x << WEIGHT_BITS - 8).astype(np.int32) for x in (a, b))
-
-
-_FIRST_2, _FIRST_1 = _first_weights()
+SLOTS_2, SLOTS_1, SLOTS_0, CONFIDENCE, OUTCOMES = 1024, 512, 256, 4, 4
+LEARN = 64
+#: What an outcome adds to its count, and the total at which counts are halved; of a weight of 256, how far costs move it.
+COUNT, MOST, STEP = 16, 4096, 1.2
+MAGIC = b"CTXMIX03"
+
+#: The ids of a section are numbered. Where a section has few of them, a number and its confidence take 16 bits.
+FEW_IDS = 14
+#: Of the hashes of order 2 and order 1: the bits left out below a slot.
+_SHIFT = np.array([[32 - SLOTS_2.bit_length() + 1], [32 - SLOTS_1.bit_length() + 1]], np.uint32)
+#: After how many ids of a block, and at multiples of LEARN, the mixture is made anew.
+_EARLY = {4, 8, 16, 32}
+#: Four fields of 16 bits: one in each of the lower three, and their highest bits.
+_ONES, _HIGH = np.uint64(0x0000_0001_0001_0001), np.uint64(0x0000_8000_8000_8000)
 
 
 def counts_to(total_bits: int, counts: np.ndarray) -> np.ndarray:
@@ -76,89 +53,130 @@ def counts_to(total_bits: int, counts: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """The models of all lanes. A prediction is held with its confidence: id + confidence << 20. Order 2 and order 1 are two
-    rows of the same arrays, and the overall distribution is a third row beside theirs, so that a step takes few operations."""
-
-    def __init__(self, lanes: int):
-        lane, rows = np.arange(lanes), lanes * CONFIDENCE
-        self.of, self.id0 = np.zeros(lanes * (SLOTS_2 + SLOTS_1), np.int32), np.full(lanes * SLOTS_0, -1, np.int32)
-        self.cut = np.full(2 * rows + lanes, _EVEN)
-        self.weight2, self.weight1 = np.tile(_FIRST_2, lanes), np.tile(_FIRST_1, lanes)
+    """The models of all lanes, which are the last axis. A prediction is held with its confidence: number + confidence << bits.
+    Order 2 and order 1 are two rows of the same arrays, so that a step takes few operations. Outcomes are the first axis of
+    counts and odds."""
+
+    def __init__(self, lanes: int, known: int):
+        lane, sure = np.arange(lanes), CONFIDENCE
+        self.bits, kind = (FEW_IDS, np.uint16) if known <= 1 << FEW_IDS else (ID_BITS, np.int32)
+        self.lane, self.outcome_step = lane.astype(np.int32), np.int64(sure * sure * lanes)
+        self.of, self.id0 = np.zeros(lanes * (SLOTS_2 + SLOTS_1), kind), np.full(lanes * SLOTS_0, np.iinfo(kind).max, kind)
         self.base, self.base0 = np.stack([lane * SLOTS_2, lanes * SLOTS_2 + lane * SLOTS_1]), lane * SLOTS_0
-        self.base_c, self.row = np.stack([lane * CONFIDENCE, rows + lane * CONFIDENCE]), np.stack([lane, lane, 2 * rows + lane])
-        self.share = np.zeros((3, lanes), np.uint64)
-        self.hash, self.older = np.zeros((2, lanes), np.int32), np.zeros(lanes, np.int32)
-        self.steps = 0
+        self.at, self.hash, self.older = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.uint32), np.zeros(lanes, np.uint32)
+        self.part = np.array([[sure * lanes], [lanes]], np.int32)
+        self.count2, self.count1, self.count0 = (np.full((OUTCOMES, *rows, lanes), COUNT, np.int32) for rows in ((sure,), (sure,), ()))
+        two, one = np.array([[40], [96], [136], [168]]), np.array([48, 80, 104, 128])
+        self.weight2, self.weight1 = (np.repeat(w[:, :, None], lanes, 2).astype(np.float32) for w in np.broadcast_arrays(two, (256 - two) * one // 192))
+        #: Of each outcome for each pair of confidences: where it starts, and its width above 16 bits.
+        self.odds = np.zeros((OUTCOMES, sure, sure, lanes), np.uint32)
+        self.places, self.steps, self.learned = np.zeros((LEARN, lanes), np.int64), 0, 0
+        self._mix()
 
     def predict(self) -> np.ndarray:
-        """The ids that order 2 and order 1 predict, as two rows; sets the cumulative counts of the outcomes."""
-        at = self.hash >> _SHIFT
-        at &= _SLOT
-        self.at = self.base + at
-        self.now = self.of.take(self.at)
-        self.k = self.now >> 20
-        np.add(self.base_c, self.k, out=self.row[:2])
-        self.odds = self.cut.take(self.row)
-        self.pair = self.row[0] * CONFIDENCE
-        self.pair += self.k[1]
-        a, b = (w.take(self.pair) >> WEIGHT_BITS - 8 for w in (self.weight2, self.weight1))
-        self.share[0], self.share[1] = a, b
-        a += b
-        self.share[2] = 256 - a
-        mixed = np.add.reduce(self.odds * self.share)
-        mixed >>= np.uint64(8)
-        mixed &= _COUNTS
-        less = mixed >> np.uint64(6)
-        less &= _ROOM
-        mixed -= less
-        mixed += _ONES
-        self.mixed = mixed
-        return self.now & 0xFFFFF
+        """The ids that order 2 and order 1 predict, as two rows; sets the place of the pair of confidences among the odds."""
+        np.add(self.base, self.hash >> _SHIFT, out=self.at)
+        self.now = self.of.take(self.at).astype(np.int32, copy=False)
+        k = self.now >> self.bits
+        k *= self.part
+        self.place = k[0]
+        self.place += k[1]
+        self.place += self.lane
+        return self.now & (1 << self.bits) - 1
+
+    def outcomes(self, few: np.ndarray) -> np.ndarray:
+        """The outcomes in whose part of the whole these numbers lie."""
+        few = few * _ONES
+        few += self.ends.take(self.place)
+        few &= _HIGH
+        return np.bitwise_count(few)
 
     def bounds(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of an outcome."""
-        start = self.mixed >> _START.take(outcome)
-        start &= _FIELD
-        end = self.mixed >> _END.take(outcome)
-        end &= _FIELD
-        end[outcome == 3] = 1 << FEW_BITS
-        end -= start
-        return start, end
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray, hits: np.ndarray, width: np.ndarray) -> None:
-        self.steps += 1
-        if self.steps % LEARN == 0:
-            self._learn(outcome, width)
-        less = self.odds >> np.uint64(RATE)
-        less &= _STAY
-        self.odds -= less
-        self.odds += _ADD.take(outcome)
-        self.cut[self.row] = self.odds
-        k = self.k
-        k += k
-        k += hits
-        self.now += _CHANGE.take(k)
-        np.copyto(self.now, ids, where=k == 0)
-        self.of[self.at] = self.now
-        slot = ids & SLOTS_0 - 1
-        self.id0[self.base0 + slot] = ids
-        np.multiply(ids, 0x9E3B, out=self.hash[1])
+        """Start and width of outcomes, which are remembered."""
+        place = self.places[self.steps % LEARN]
+        np.multiply(outcome, self.outcome_step, out=place)
+        place += self.place
+        both = self.odds.reshape(-1).take(place)
+        return (both & np.uint32(0xFFFF)).astype(np.uint64), (both >> np.uint32(16)).astype(np.uint64)
+
+    def update(self, ids: np.ndarray, hits: np.ndarray) -> None:
+        """Moves predictions and confidences: a hit makes surer, a miss less sure, and in the end the id is predicted."""
+        now, more = self.now, hits.astype(np.int32)
+        more <<= self.bits + 1
+        more -= 1 << self.bits
+        now += more
+        np.minimum(now, ids + (CONFIDENCE - 1 << self.bits), out=now)
+        np.right_shift(now, 31, out=more)  # all bits where no confidence was left
+        more &= now ^ ids
+        now ^= more
+        self.of[self.at.reshape(-1)] = now.reshape(-1).astype(self.of.dtype, copy=False)
+        key = ids.view(np.uint32)
+        np.multiply(key, np.uint32(0x9E3779B1), out=self.hash[1])
         np.add(self.hash[1], self.older, out=self.hash[0])
-        self.older = ids * 0x3D4D
-
-    def _learn(self, outcome: np.ndarray, width: np.ndarray) -> None:
-        """Moves the weights by what each distribution gave the outcome, over what the mixture gave it."""
-
-        def given(odds: np.ndarray) -> np.ndarray:
-            end = odds >> _END.take(outcome) & _FIELD
-            end[outcome == 3] = 1 << FEW_BITS
-            return (end - (odds >> _START.take(outcome) & _FIELD)).astype(np.int32)
-
-        overall, least, whole = given(self.odds[2]), 1 << WEIGHT_BITS - 6, 1 << WEIGHT_BITS
-        share = width.astype(np.int32)
-        a, b = (w.take(self.pair) + np.clip((given(odds) - overall) * STEP // share, -whole // 16, whole // 16) for w, odds in ((self.weight2, self.odds[0]), (self.weight1, self.odds[1])))
-        a = np.clip(a, least, whole - 2 * least)
-        self.weight2[self.pair], self.weight1[self.pair] = a, np.clip(b, least, whole - least - a)
+        self.older = key * np.uint32(0x85EBCA77)
+        self.steps += 1
+        if self.steps % LEARN == 0 or self.steps in _EARLY:
+            self._learn()
+
+    def _learn(self) -> None:
+        """Takes up the outcomes since the last time."""
+        seen = self.places[self.learned % LEARN : (self.steps - 1) % LEARN + 1].reshape(-1)
+        self.learned = self.steps
+        n = np.bincount(seen, minlength=self.odds.size).astype(np.int32).reshape(self.odds.shape)
+        # A weight moves by what its distribution gave the outcomes beyond the overall one, over what the mixture gave them.
+        ratio = n.astype(np.float32)
+        ratio /= self.width
+        overall = self.share0[:, None]
+        for weight, more in ((self.weight2, (self.share2 - overall)[:, :, None]), (self.weight1, (self.share1 - overall)[:, None])):
+            gain = _sum(ratio * more.astype(np.float32))
+            gain *= np.float32(STEP)
+            weight += np.clip(gain, np.float32(-16), np.float32(16), out=gain)
+        np.clip(self.weight2, np.float32(4), np.float32(248), out=self.weight2)
+        np.clip(self.weight1, np.float32(4), np.float32(252) - self.weight2, out=self.weight1)
+        n *= COUNT
+        by_2, by_1 = n.swapaxes(0, 2), n.swapaxes(0, 1)
+        two = _sum(by_2).swapaxes(0, 1)
+        self.count2 += two
+        self.count1 += _sum(by_1)
+        self.count0 += _sum(two.swapaxes(0, 1))
+        for count in (self.count2, self.count1, self.count0):
+            big = (_sum(count) > MOST).astype(np.int32)
+            count >>= big
+            count |= big
+        self._mix()
+
+    def _mix(self) -> None:
+        """Odds from the counts: shares of a whole of 4096, mixed by weights of 256."""
+        self.share2, self.share1, self.share0 = (c * ((1 << 24) // _sum(c)) >> 24 - FEW_BITS for c in (self.count2, self.count1, self.count0))
+        two, one = self.weight2.astype(np.int32), self.weight1.astype(np.int32)
+        some = two * self.share2[:3, :, None]
+        some += one * self.share1[:3, None]
+        two += one
+        some += (256 - two) * self.share0[:3, None, None]
+        some -= some >> 6
+        some >>= 8
+        some += 4
+        ends, self.width = np.empty_like(some), np.empty(self.odds.shape, np.float32)
+        ends[0] = some[0]
+        np.add(some[0], some[1], out=ends[1])
+        np.add(ends[1], some[2], out=ends[2])
+        self.width[:3] = some
+        np.subtract(1 << FEW_BITS, ends[2], out=self.width[3], casting="unsafe")
+        some <<= 16
+        some[1:] += ends[:2]
+        self.odds[:3] = some
+        self.odds[3] = ends[2] + ((1 << FEW_BITS) - ends[2] << 16)
+        high = ends[2].astype(np.uint64)
+        high <<= np.uint64(32)
+        ends[1] <<= 16
+        ends[1] += ends[0]
+        high += ends[1].view(np.uint32)
+        self.ends = np.subtract(_HIGH, high, out=high).reshape(-1)
+
+
+def _sum(x: np.ndarray) -> np.ndarray:
+    """The sum of four parts, in an order that is always the same."""
+    return (x[0] + x[1]) + (x[2] + x[3])
 
 
 def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -174,67 +192,79 @@ def encode(ids: np.ndarray) -> bytes:
         return MAGIC + struct.pack("<QII", 0, 0, 0)
     if int(ids.min()) < 0 or int(ids.max()) >= 1 << ID_BITS:
         raise ValueError(f"ids must be from 0 to {(1 << ID_BITS) - 1}")
-    freq = counts_to(ID_BITS, np.bincount(ids))
+    counts = np.bincount(ids)
+    used = np.flatnonzero(counts)
+    number = np.zeros(len(counts), np.int32)
+    number[used] = np.arange(len(used))
+    freq = counts_to(ID_BITS, counts[used])
     size_of, begin_of, low_size, low_begin = _tables(freq)
-    # What follows an outcome: nothing (the whole range) after a hit of order 2 or 1, the low byte, the id.
+    # What follows an outcome, as begin + width << 32: nothing (the whole range) after a hit of order 2 or 1, the low byte, the id.
     slot, whole = np.arange(len(freq)) & SLOTS_0 - 1, np.full(len(freq), 1 << ID_BITS)
-    begins = np.concatenate([whole * 0, whole * 0, low_begin[slot], begin_of]).astype(np.uint32)
-    widths = np.concatenate([whole, whole, low_size[slot], size_of]).astype(np.uint32)
+    parts = np.concatenate([whole << 32, whole << 32, low_begin[slot] + (low_size[slot] << 32), begin_of + (size_of << 32)]).astype(np.uint64)
     padded = np.full(lanes * BLOCK, ids[-1], np.int32)
     padded[:n] = ids
-    steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    model, lane = _Model(lanes), np.arange(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << STATE, np.uint64)
-    room = BLOCK // 2
-    out, size = np.zeros(lanes * room, np.int32), lane * room
-    u = np.uint64
-
-    def code(start: np.ndarray, width: np.ndarray) -> None:
-        nonlocal low, span
+    blocks = number.take(padded).reshape(lanes, BLOCK)
+    bodies = [body for k in range(0, lanes, GROUP) for body in _coded(blocks[k : k + GROUP], parts, len(freq))]
+    table = zlib.compress(np.concatenate([used, freq]).astype("<u4").tobytes(), 6)
+    directory = np.column_stack([[len(b) // 3 for b in bodies], [zlib.crc32(b) for b in bodies], [zlib.crc32(padded[k * BLOCK : min(n, (k + 1) * BLOCK)].astype("<u4").tobytes()) for k in range(lanes)]]).astype("<u4").tobytes()
+    return b"".join([MAGIC, struct.pack("<QII", n, lanes, len(table)), table, directory, *bodies])
+
+
+def _coded(blocks: np.ndarray, parts: np.ndarray, known: int) -> list[bytes]:
+    """Coded blocks, given what follows each of the outcomes for each of the known ids."""
+    lanes, u = len(blocks), np.uint64
+    model, lane = _Model(lanes, known), np.arange(lanes)
+    low, span = np.zeros(lanes, u), np.full(lanes, 1 << STATE, u)
+    of_lane, words = [], []  # words in the order in which they came, and their lanes
+    steps = np.empty((BLOCK, lanes), np.int32)
+    for k in range(0, lanes, 32):
+        steps[:, k : k + 32] = blocks[k : k + 32].T
+    for now in steps:
+        hits = model.predict() == now
+        at = model.base0 + (now & SLOTS_0 - 1)
+        hit0 = model.id0.take(at) == now
+        model.id0[at] = now.astype(model.id0.dtype)
+        as_8 = hits.view(np.uint8)
+        outcome = np.minimum(3 - as_8[0] * 3, 3 - as_8[1] * 2)
+        np.minimum(outcome, 3 - hit0.view(np.uint8), out=outcome)
+        start, width = model.bounds(outcome)
+        at = outcome * np.int64(known)
+        at += now
+        part = parts.take(at)
         unit = span >> u(FEW_BITS + ID_BITS)
-        start *= unit
-        low += start
-        span = width
-        span *= unit
+        begin = part & u(0xFFFFFFFF)
+        begin *= width
+        start <<= u(ID_BITS)
+        begin += start
+        begin *= unit
+        low += begin
+        part >>= u(32)
+        part *= width
+        part *= unit
+        span = part
         less = np.flatnonzero(span < u(1 << LEAST))
         while len(less):  # a carry stays above bit 60 and leaves with the next word
-            some, at = low.take(less), size.take(less)
-            out[at] = some >> u(STATE - WORD)
-            size[less] = at + 1
-            low[less] = (some & u((1 << STATE - WORD) - 1)) << u(WORD)
+            some = low.take(less)
+            of_lane.append(less.astype(np.uint16))
+            words.append((some >> u(STATE - WORD)).astype(np.int32))
+            some &= u((1 << STATE - WORD) - 1)
+            some <<= u(WORD)
+            low[less] = some
             wide = span.take(less) << u(WORD)
             span[less] = wide
             less = less[wide < u(1 << LEAST)]
-
-    for t, now in enumerate(steps):
-        if t % 64 == 0 and int((size - lane * room).max()) + 140 > room:
-            out = np.pad(out.reshape(lanes, room), ((0, 0), (0, room))).reshape(-1)
-            size += lane * room
-            room *= 2
-        hits = model.predict() == now
-        hit0 = model.id0.take(model.base0 + (now & SLOTS_0 - 1)) == now
-        outcome = _OUTCOME.take(hits[0].view(np.uint8) << 2 | hits[1].view(np.uint8) << 1 | hit0.view(np.uint8))
-        start, width = model.bounds(outcome)
-        at = outcome * len(freq) + now
-        begin = begins.take(at) * width
-        begin += start << u(ID_BITS)
-        code(begin, widths.take(at) * width)
-        model.update(now, outcome, hits, width)
-    out, size = out.reshape(lanes, room), size - lane * room
+        model.update(now, hits)
     for word in (low >> u(36), low >> u(12) & u((1 << WORD) - 1), (low << u(12)) & u((1 << WORD) - 1)):
-        out[lane, size] = word
-        size += 1
-    for i in range(int(size.max()) - 1, 0, -1):
-        carry = out[:, i] >> WORD
-        out[:, i] &= (1 << WORD) - 1
-        out[:, i - 1] += carry
-    bodies = []
-    as_bytes = out.astype("<u4").view(np.uint8).reshape(lanes, -1, 4)[:, :, :3]
-    for k in range(lanes):
-        bodies.append(as_bytes[k, : size[k]].tobytes())
-    table = zlib.compress(freq.astype("<u4").tobytes(), 6)
-    directory = np.column_stack([size, [zlib.crc32(b) for b in bodies], [zlib.crc32(padded[k * BLOCK : min(n, (k + 1) * BLOCK)].astype("<u4").tobytes()) for k in range(lanes)]]).astype("<u4").tobytes()
-    return b"".join([MAGIC, struct.pack("<QII", n, lanes, len(table)), table, directory, *bodies])
+        of_lane.append(lane.astype(np.uint16))
+        words.append(word.astype(np.int32))
+    of_lane = np.concatenate(of_lane)
+    out = np.concatenate(words).take(np.argsort(of_lane, kind="stable"))
+    while len(over := np.flatnonzero(out >> WORD)):
+        out[over] &= (1 << WORD) - 1
+        out[over - 1] += 1
+    as_bytes = np.ascontiguousarray(out.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)[:, :3])
+    edges = np.concatenate([[0], np.cumsum(np.bincount(of_lane, minlength=lanes))])
+    return [as_bytes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 class Corrupt(ValueError):
@@ -249,68 +279,84 @@ def decode(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int32)
     at = 24 + length
-    freq = np.frombuffer(zlib.decompress(data[24:at]), "<u4").astype(np.int64)
+    used, freq = np.frombuffer(zlib.decompress(data[24:at]), "<u4").reshape(2, -1).astype(np.int64)
     directory = np.frombuffer(data, "<u4", lanes * 3, at).reshape(lanes, 3)
-    at += lanes * 12
-    size = directory[:, 0].astype(np.int64)
-    words = np.zeros((lanes, int(size.max()) + 4), np.uint64)
-    for k in range(lanes):
-        body = data[at : at + 3 * int(size[k])]
-        at += len(body)
-        if zlib.crc32(body) != directory[k, 1]:
-            raise Corrupt(f"block {k} was changed")
-        b = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.uint64)
-        words[k, : size[k]] = b[:, 0] | b[:, 1] << np.uint64(8) | b[:, 2] << np.uint64(16)
+    edges = at + lanes * 12 + 3 * np.concatenate([[0], np.cumsum(directory[:, 0].astype(np.int64))])
     size_of, begin_of, low_size, low_begin = _tables(freq)
-    id_of, low_of = np.repeat(np.arange(len(freq), dtype=np.int32), size_of), np.repeat(np.arange(SLOTS_0, dtype=np.int32), low_size)
-    size_of, begin_of, low_size, low_begin = (x.astype(np.uint64) for x in (size_of, begin_of, low_size, low_begin))
-    model, u = _Model(lanes), np.uint64
-    span = np.full(lanes, 1 << STATE, np.uint64)
-    left = words[:, 0] << u(36) | words[:, 1] << u(12) | words[:, 2] >> u(12)
-    tail, width_of_row = words[:, 2] & u(0xFFF), words.shape[1]
-    read, words = np.arange(lanes) * width_of_row + 3, words.reshape(-1)
-    steps = np.zeros((BLOCK, lanes), np.int32)
-
-    whole, all_bits = u(1 << ID_BITS), u(FEW_BITS + ID_BITS)
+    # Symbols: low bytes, then ids, then that nothing follows. What they cover of the counts, and as begin + width << 32.
+    last = SLOTS_0 + len(freq)
+    symbols = np.repeat(np.arange(last + 1, dtype=np.uint16 if last < 1 << 16 else np.int32), np.concatenate([low_size, size_of, [1]]))
+    parts = np.concatenate([low_begin + (low_size << 32), begin_of + (size_of << 32), [1 << 32 + ID_BITS]]).astype(np.uint64)
+    ids = np.empty((lanes, BLOCK), np.int32)
+    for first in range(0, lanes, GROUP):
+        bodies = [data[edges[k] : edges[k + 1]] for k in range(first, min(first + GROUP, lanes))]
+        for k, body in enumerate(bodies, first):
+            if zlib.crc32(body) != directory[k, 1]:
+                raise Corrupt(f"block {k} was changed")
+        _decode(bodies, symbols, parts, ids[first : first + GROUP])
+    ids = used.astype(np.int32).take(ids.reshape(-1)[:n])
+    for k in range(lanes):
+        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4", copy=False)) != directory[k, 2]:
+            raise Corrupt(f"block {k} decodes to other ids")
+    return ids
+
+
+def _decode(bodies: list[bytes], symbols: np.ndarray, parts: np.ndarray, ids: np.ndarray) -> None:
+    """Decodes blocks to rows of ids, given the symbol of each count (those of low bytes, of ids, and one for nothing) and what
+    each symbol covers."""
+    lanes, u = len(bodies), np.uint64
+    words = np.zeros((lanes, max(map(len, bodies)) // 3 + 4), np.int32)
+    for k, body in enumerate(bodies):
+        words[k].view(np.uint8).reshape(-1, 4)[: len(body) // 3, :3] = np.frombuffer(body, np.uint8).reshape(-1, 3)
+    model = _Model(lanes, len(parts) - SLOTS_0 - 1)
+    # By outcome: the bits of a count that tell the symbol, and where its symbols begin.
+    seen, past = np.array([0, 0, (1 << ID_BITS) - 1, (1 << ID_BITS) - 1], u), np.array([2 << ID_BITS, 2 << ID_BITS, 0, 1 << ID_BITS], u)
+    span = np.full(lanes, 1 << STATE, u)
+    head = words[:, :3].astype(u)
+    left, tail = head[:, 0] << u(36) | head[:, 1] << u(12) | head[:, 2] >> u(12), head[:, 2] & u(0xFFF)
+    read, words = np.arange(lanes) * words.shape[1] + 3, words.reshape(-1)
+    steps = np.zeros((64, lanes), np.int32)
     for t in range(BLOCK):
         guess = model.predict()
-        unit = span >> all_bits
+        unit = span >> u(FEW_BITS + ID_BITS)
         value = left // unit
-        few = value >> u(ID_BITS)
-        outcome = (few >= model.mixed & _FIELD).astype(np.int64)
-        outcome += few >= (model.mixed >> u(FIELD)) & _FIELD
-        outcome += few >= model.mixed >> u(2 * FIELD)
+        outcome = model.outcomes(value >> u(ID_BITS))
         first, room = model.bounds(outcome)
-        first <<= u(ID_BITS)
-        now = np.where(outcome == 0, guess[0], guess[1])
-        begin, width = np.zeros(lanes, np.uint64), np.full(lanes, whole)
-        a, b = np.flatnonzero(outcome == 3), np.flatnonzero(outcome == 2)
-        value -= first
-        found = id_of.take((value.take(a) // room.take(a)).astype(np.int64), mode="clip")
-        now[a], begin[a], width[a] = found, begin_of.take(found), size_of.take(found)
-        slot = low_of.take((value.take(b) // room.take(b)).astype(np.int64), mode="clip")
-        now[b], begin[b], width[b] = model.id0.take(model.base0.take(b) + slot), low_begin.take(slot), low_size.take(slot)
+        value -= first << u(ID_BITS)
+        value //= room
+        value &= seen.take(outcome)
+        value += past.take(outcome)
+        symbol = symbols.take(value.view(np.int64))
+        part = parts.take(symbol)
+        now = symbol.astype(np.int32)
+        now -= SLOTS_0
+        some = np.flatnonzero(outcome == 2)
+        now[some] = model.id0.take(model.base0.take(some) + symbol.take(some))
+        for order in (1, 0):
+            np.copyto(now, guess[order], where=outcome == order)
+        begin = part & u(0xFFFFFFFF)
         begin *= room
+        first <<= u(ID_BITS)
         begin += first
         begin *= unit
         left -= begin
-        width *= room
-        width *= unit
-        span = width
+        part >>= u(32)
+        part *= room
+        part *= unit
+        span = part
         less = np.flatnonzero(span < u(1 << LEAST))
         while len(less):  # reads on where the range has become small
             at = read.take(less)
-            word = words.take(at, mode="clip")
-            left[less] = left.take(less) << u(WORD) | tail.take(less) << u(12) | word >> u(12)
+            word = words.take(at, mode="clip").astype(u)
+            rest = tail.take(less)
+            left[less] = left.take(less) << u(WORD) | rest << u(12) | word >> u(12)
             tail[less] = word & u(0xFFF)
             read[less] = at + 1
             wide = span.take(less) << u(WORD)
             span[less] = wide
             less = less[(wide < u(1 << LEAST)) & (wide > 0)]
-        steps[t] = now
-        model.update(now, outcome, guess == now, room)
-    ids = np.ascontiguousarray(steps.T).reshape(-1)[:n]
-    for k in range(lanes):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != directory[k, 2]:
-            raise Corrupt(f"block {k} decodes to other ids")
-    return ids
+        steps[t % 64] = now
+        if t % 64 == 63:
+            ids[:, t - 63 : t + 1] = steps.T
+        model.id0[model.base0 + (now & SLOTS_0 - 1)] = now.astype(model.id0.dtype)
+        model.update(now, guess == now)

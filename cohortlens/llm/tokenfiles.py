@@ -7,7 +7,8 @@ Documents are dealt to files by ranges of their id. A file appears under its nam
 task writes the same file again. The manifest has a row for each file; its order is the order of the documents.
 
 Words between ASCII white space are encoded apart and remembered: the vocabulary's normaliser and splitter never join
-characters over white space. Results for odd input: a null text is empty and has the end id only; null ids come first;
+characters over white space. A comma or full stop that ends a word, behind a letter from a to z, is a word of its own where the
+splitter cuts there anyway. Results for odd input: a null text is empty and has the end id only; null ids come first;
 equal ids follow in the order of their texts, and repeated rows are all written; very long texts are whole documents of
 one file; an empty table gives no file; other columns, whatever their names, are not read; ids must be whole numbers.
 """
@@ -31,21 +32,24 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import files, mixcoder
 from cohortlens.llm.bpe import byte_alphabet
-from cohortlens.llm.common import CACHES, in_arrow, ragged_arange, release_caches, slices, text_bytes, word_spans
+from cohortlens.llm.common import CACHES, SPACE_BYTES, in_arrow, ragged_arange, release_caches, slices, text_bytes, word_spans
 
 FILE_TOKENS = 6_000_000
+#: Bytes of texts that are encoded at once: words that they share are looked up once.
+SLICE = 1 << 23
 #: Words of the table beyond which those not used lately go, and the 8-byte parts of a word in it.
 CACHE, LANES = 1 << 20, 4
 MAGIC = b"TOKFILE1"
 _PRINTED = re.compile(rb"[!-~\n]+")
+_SOLID = ~np.isin(np.arange(256), SPACE_BYTES)
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class WordEncoder:
     """Ids of texts by a library tokenizer that drops white space, word by word.
 
-    Words of up to ``LANES`` times 8 bytes are looked up many at a time in a hash table of arrays, by all their bytes. New
-    ones go to the library, many at a time: its normaliser and its own pattern cut them into pieces for its merge model,
+    Arrow finds the distinct words of a run of texts, and puts their ids in the place of each word. Distinct ones of up to
+    ``LANES`` times 8 bytes are looked up many at a time in a hash table of arrays, by all their bytes. New ones go to the library, many at a time: its normaliser and its own pattern cut them into pieces for its merge model,
     which marks the ends of pieces. Longer words, texts that may hold special tokens, and words of other kinds of
     vocabularies are encoded one by one. When the table is full, the words used since the last time stay. Case is folded
     first where the vocabulary does so anyway."""
@@ -66,7 +70,7 @@ class WordEncoder:
         self.library = opened(json.dumps(spec))
         self.marks = [(t.content.encode(), i) for i, t in self.library.get_added_tokens_decoder().items()]
         self.folds = self._whole("Ab") == self._whole("ab")
-        self.ends = np.zeros(0, bool)
+        self.ends, self.stops = np.zeros(0, bool), False
         self.pieces, self.merges = self._piece_model(spec, opened)
         self.mark_start = re.compile(b"|".join({re.escape(m[:2]) for m, _ in self.marks})) if self.marks else None
         self._clear(1 << 18)
@@ -84,6 +88,7 @@ class WordEncoder:
         cut = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and s.get("invert") and s.get("behavior") == "Removed"]
         if not suffix or len(cut) != 1 or [s["type"] for s in steps] != ["Split", "ByteLevel"] or not self.folds:
             return None, None
+        self.stops = cut[0].endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and cut[0].count(",") + cut[0].count(".") == 0
         import regex
 
         merges = opened(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
@@ -205,7 +210,7 @@ class WordEncoder:
         return np.diff(np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])[edges]).astype(np.int32), ids
 
     def _entries(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Table entries of words of the text bytes (with 8 * LANES bytes more at the end), known or new."""
+        """Table entries of distinct words of the text bytes (with 8 * LANES bytes more at the end), known or new."""
         views = np.lib.stride_tricks.sliding_window_view(data, 8)
         lanes = np.zeros((len(start), LANES), np.uint64)
         for k in range(LANES):
@@ -214,18 +219,13 @@ class WordEncoder:
         entry = self._find(lanes, size)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
-            order = miss[np.lexsort((*lanes[miss].T[::-1], size[miss]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (lanes[order[1:]] != lanes[order[:-1]]).any(1) | (size[order[1:]] != size[order[:-1]])
-            first = order[new]
-            plain = ((lanes[first] & np.uint64(0x8080808080808080)) == 0).all(1)
-            shuffled, counts, ids = self._coded(data, start[first], size[first], plain)
+            plain = ((lanes[miss] & np.uint64(0x8080808080808080)) == 0).all(1)
+            shuffled, counts, ids = self._coded(data, start[miss], size[miss], plain)
             before = len(self.size), self.count
-            added = np.empty(len(first), np.int64)
-            added[shuffled] = self._add(lanes[first[shuffled]], size[first[shuffled]], counts, ids)
-            if before != (len(self.size), self.count - len(first)):  # the table was made anew: entries have moved
+            added = self._add(lanes[miss[shuffled]], size[miss[shuffled]], counts, ids)
+            if before != (len(self.size), self.count - len(miss)):  # the table was made anew: entries have moved
                 return self._entries(data, start, size)
-            entry[order] = added[np.cumsum(new) - 1]
+            entry[miss[shuffled]] = added
         self.used[entry] = True
         return entry
 
@@ -242,39 +242,45 @@ class WordEncoder:
             hits = np.array([m.start() for m in self.mark_start.finditer(raw)], np.int64)
             for r in np.unique(np.searchsorted(offsets, hits, side="right") - 1).tolist():
                 apart[r] = np.array(self._whole(raw[offsets[r] : offsets[r + 1]].decode()), np.int32)
-        data = np.frombuffer((raw.lower() if self.folds else raw) + bytes(8 * LANES), np.uint8)
-        start, end, first = word_spans(data[: len(raw)], offsets)
-        size = end - start
-        row = np.repeat(np.arange(n), np.diff(first))
+        data = np.frombuffer(raw.lower() if self.folds else raw, np.uint8)
+        if apart:
+            data = data.copy()
+            for r in apart:
+                data[offsets[r] : offsets[r + 1]] = SPACE_BYTES[0]
+        start, end, first = word_spans(data, offsets)
+        edge, letters = np.cumsum(end - start), data[_SOLID[data]]
+        if self.stops:  # those behind a letter are words of their own: there are fewer new words so
+            last, before = data.take(end - 1), data.take(end - 2, mode="clip")
+            stop = ((last == 0x2C) | (last == 0x2E)) & (before - np.uint8(0x61) < 26) & (end - start > 1)
+            apart_to = np.concatenate([[0], np.cumsum(stop)])
+            edge = np.repeat(edge, 1 + stop)
+            edge[np.flatnonzero(stop) + apart_to[:-1][stop]] -= 1
+            first = first + apart_to.take(first)
+        words = _binary(np.concatenate([[0], edge]), letters).dictionary_encode()
+        known, edge, letters = (np.frombuffer(x, t) if x else np.zeros(1, t) for x, t in zip((words.indices.buffers()[1], *words.dictionary.buffers()[1:]), (np.int32, np.int64, np.uint8), strict=True))
+        known, edge = known[: len(words)], edge[: len(words.dictionary) + 1]
+        size = np.diff(edge)
         long = size > 8 * LANES
-        kept = ~long
-        for r in apart:
-            kept[first[r] : first[r + 1]] = long[first[r] : first[r + 1]] = False
-        extra = {int(i): np.array(self._whole(data[start[i] : end[i]].tobytes().decode()), np.int32) for i in np.flatnonzero(long)}
-        entry = np.full(len(start), -1, np.int64)
-        entry[kept] = self._entries(data, start[kept], size[kept])
-        count = np.where(entry >= 0, self.ids.take(entry), 0)
-        for i, ids in extra.items():
-            count[i] = len(ids)
-        # The end id follows the last word of each text; a text encoded apart is one piece before it.
-        each = np.bincount(row, weights=count, minlength=n).astype(np.int64)
-        for r, ids in apart.items():
-            each[r] = len(ids)
-        begin = np.cumsum(each + self.ids[self.end]) - each - self.ids[self.end]
-        out = np.zeros(int(each.sum()) + n * int(self.ids[self.end]), np.int32)
-        if self.ids[self.end]:
-            out[begin + each] = self.pool[self.at[self.end]]
-        some = np.flatnonzero(count * (entry >= 0))
-        n_some = count[some].astype(np.int64)
-        place = np.cumsum(count) - count  # in the text's run, if all words were in one run
-        head = np.concatenate([[0], np.cumsum(count)])[first[:-1]]
-        place = begin[row] + place - head[row]
-        out[ragged_arange(place[some], n_some)] = self.pool[ragged_arange(self.at[entry[some]], n_some)]
-        for i, ids in extra.items():
-            out[place[i] : place[i] + len(ids)] = ids
-        for r, ids in apart.items():
-            out[begin[r] : begin[r] + len(ids)] = ids
-        return out, each + self.ids[self.end]
+        extra = [self._whole(letters[edge[i] : edge[i + 1]].tobytes().decode()) for i in np.flatnonzero(long)] + list(apart.values())
+        short = np.flatnonzero(~long)
+        entry = self._entries(np.concatenate([letters[: edge[-1]], np.zeros(8 * LANES, np.uint8)]), edge[short], size[short])
+        # Ids of the end, of short words, of long ones and of the texts encoded apart; then of all there is, in its order.
+        listed = _binary(4 * np.append(self.at[: self.count], self.filled), self.pool).take(pa.array(np.append(self.end, entry)))
+        listed = pa.concat_arrays([listed, pa.array([np.array(x, np.int32).tobytes() for x in extra], pa.large_binary())])
+        place = np.empty(len(size), np.int64)
+        place[short], place[long] = np.arange(1, len(short) + 1), len(short) + 1 + np.arange(len(size) - len(short))
+        rows = np.sort(np.concatenate([np.arange(n) * 2 + 1, np.fromiter(apart, np.int64, len(apart)) * 2]))  # ends and, before them, texts apart
+        more = np.zeros(len(rows), np.int64)
+        more[rows % 2 == 0] = len(listed) - len(apart) + np.arange(len(apart))
+        found = listed.take(pa.array(np.insert(place.take(known), first[1:].take(rows // 2), more)))
+        ids, bounds = (np.frombuffer(found.buffers()[k], t) if found.buffers()[k] else np.zeros(n + 1, t) for k, t in ((2, np.int32), (1, np.int64)))
+        upto = bounds.take(first[1:] + np.searchsorted(rows, np.arange(n) * 2 + 1) + 1) // 4
+        return ids[: bounds[len(found)] // 4], np.diff(upto, prepend=0)
+
+
+def _binary(edges: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values that stand one after the other, between edges counted in bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64, copy=False)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 @lru_cache(maxsize=2)
@@ -317,7 +323,7 @@ def write(df: DataFrame, vocabulary: str, folder: str, end_id: int | None = 2, i
             done.append((name, len(docs), held))
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 ids, n = own.encode_bytes(*text_bytes(batch.column(1)))
                 at, names = 0, batch.column(0).to_pylist()
                 sums = np.cumsum(n)

@@ -25,6 +25,21 @@ def test_coder_round_trip():
         assert (mixcoder.decode(coded) == ids).all()
 
 
+@pytest.mark.parametrize(("known", "group"), [(3, 4096), (1 << 14, 3), ((1 << 14) + 1, 3), (70_000, 4096)])
+def test_coder_in_groups_of_blocks_and_with_many_ids(monkeypatch, known, group):
+    monkeypatch.setattr(mixcoder, "GROUP", group)
+    rnd = np.random.default_rng(9)
+    ids = np.concatenate([rnd.permutation(known), rnd.zipf(1.3, 9000) % known]).astype(np.int32) * 14
+    assert (mixcoder.decode(mixcoder.encode(ids)) == ids).all()
+
+
+def test_blocks_learn_many_ids_at_once(monkeypatch):
+    calls, learn = [], mixcoder._Model._learn
+    monkeypatch.setattr(mixcoder._Model, "_learn", lambda self: (calls.append(self.steps), learn(self)))
+    mixcoder.encode(np.arange(3 * mixcoder.BLOCK, dtype=np.int32) % 50)
+    assert len(calls) <= mixcoder.BLOCK // mixcoder.LEARN + len(mixcoder._EARLY)
+
+
 def test_repeats_cost_little():
     rnd = np.random.default_rng(5)
     assert len(mixcoder.encode(np.tile(rnd.integers(0, 40_000, 64), 64).astype(np.int32))) < 4096 * 2 / 4
@@ -49,6 +64,21 @@ def test_words_as_the_library(library):
         assert np.frombuffer(ids, "<i4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_stops_make_no_new_words(library):
+    own = tokenfiles.WordEncoder(VOCABULARY, 2)
+    text = "abcq xyzq vwxq abcq, xyzq, vwxq, abcq. xyzq. vwxq. don't, é, 5. ..,"
+    assert np.frombuffer(own.encode([text.encode()])[0], "<i4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert own.count == len({"end", "abcq", "xyzq", "vwxq", ",", ".", "don't", "é,", "5.", "..,"})
+
+
+def test_texts_and_words_encoded_apart_stay_in_their_places(library):
+    own = tokenfiles.WordEncoder(VOCABULARY, 2)
+    texts = ["", "<|endoftext|>", "", "b, " + "x" * 40 + ". " + "x" * 40 + " c.", "<|startoftext|>a, b", "d", " \n ", "e. <|endoftext|>", ""]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], text
+    assert own.encode([b"", b" "]) == [np.array([2], "<i4").tobytes()] * 2
+
+
 def check(rows, got, library):
     start = 0
     want = []
