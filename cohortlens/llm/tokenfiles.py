@@ -38,7 +38,7 @@ FILE_TOKENS = 6_000_000
 #: Bytes of texts that are encoded at once: words that they share are looked up once.
 SLICE = 1 << 23
 #: Words of the table beyond which those not used lately go, and the 8-byte parts of a word in it.
-CACHE, LANES = 1 << 20, 4
+CACHE, LANES = 1 << 21, 4
 MAGIC = b"TOKFILE1"
 _PRINTED = re.compile(rb"[!-~\n]+")
 _SOLID = ~np.isin(np.arange(256), SPACE_BYTES)
@@ -51,7 +51,8 @@ class WordEncoder:
     Arrow finds the distinct words of a run of texts, and puts their ids in the place of each word. Distinct ones of up to
     ``LANES`` times 8 bytes are looked up many at a time in a hash table of arrays, by all their bytes. New ones go to the library, many at a time: its normaliser and its own pattern cut them into pieces for its merge model,
     which marks the ends of pieces. Longer words, texts that may hold special tokens, and words of other kinds of
-    vocabularies are encoded one by one. When the table is full, the words used since the last time stay. Case is folded
+    vocabularies are encoded one by one. When the table is full, the words used
+    last stay, half of it at most. Case is folded
     first where the vocabulary does so anyway."""
 
     def __init__(self, path: str, end_id: int | None):
@@ -74,6 +75,7 @@ class WordEncoder:
         self.pieces, self.merges = self._piece_model(spec, opened)
         self.mark_start = re.compile(b"|".join({re.escape(m[:2]) for m, _ in self.marks})) if self.marks else None
         self._clear(1 << 18)
+        self.now = self.distinct = 0  # what is marked as used now, and the words that must have room at once
         end = np.array([] if end_id is None else [end_id], np.int32)
         self.end = self._add(np.zeros((1, LANES), np.uint64), np.zeros(1, np.int64), np.array([len(end)]), end, listed=False)[0]
 
@@ -103,7 +105,7 @@ class WordEncoder:
 
     def _clear(self, room: int) -> None:
         self.count, self.lanes, self.size = 0, np.zeros((room, LANES), np.uint64), np.zeros(room, np.uint8)
-        self.at, self.ids, self.used = np.zeros(room, np.int64), np.zeros(room, np.int32), np.zeros(room, bool)
+        self.at, self.ids, self.used = np.zeros(room, np.int64), np.zeros(room, np.int32), np.zeros(room, np.int64)
         self.pool, self.filled = np.zeros(8 * room, np.int32), 0
         self.slots = np.full(4 * room, -1, np.int32)
 
@@ -143,7 +145,7 @@ class WordEncoder:
             entries, slot = entries[left], slot[left] + 1 & len(self.slots) - 1
 
     def _add(self, lanes: np.ndarray, size: np.ndarray, counts: np.ndarray, ids: np.ndarray, listed: bool = True) -> np.ndarray:
-        """Entries of new words with their ids; the table grows to ``CACHE`` words, of which then only used ones stay."""
+        """Entries of new words with their ids; the table grows to ``CACHE`` words, of which then half at most stay."""
         while self.count + len(size) > len(self.size):
             self._resize()
         entries = np.arange(self.count, self.count + len(size))
@@ -160,13 +162,15 @@ class WordEncoder:
     def _resize(self) -> None:
         n, room = self.count, 2 * len(self.size)
         keep = np.arange(n)
-        if room > CACHE and self.used[:n].sum() < n // 2:
-            keep, room = np.flatnonzero(self.used[:n] | (keep == 0)), len(self.size)
-        lanes, size, ids = self.lanes[keep], self.size[keep], self.ids[keep]
+        if room > CACHE and self.distinct < len(self.size):
+            late = self.used[:n] > np.partition(self.used[:n], n // 2)[n // 2]
+            keep, room = np.flatnonzero(late | (keep == 0)), len(self.size)
+        lanes, size, ids, used = self.lanes[keep], self.size[keep], self.ids[keep], self.used[keep]
         found = self.pool[ragged_arange(self.at[keep], ids.astype(np.int64))]
         self._clear(room)
         self._add(lanes[:1], size[:1], ids[:1], found[: ids[0]], listed=False)
         self._add(lanes[1:], size[1:], ids[1:], found[ids[0] :])
+        self.used[: len(keep)] = used
 
     # -- new words
 
@@ -217,7 +221,9 @@ class WordEncoder:
             some = np.flatnonzero(size > 8 * k) if k else slice(None)
             lanes[some, k] = views[start[some] + 8 * k].view("<u8").ravel() & _MASKS.take(np.minimum(size[some] - 8 * k, 8))
         entry = self._find(lanes, size)
-        miss = np.flatnonzero(entry < 0)
+        miss, self.distinct = np.flatnonzero(entry < 0), len(start)
+        self.now += 1
+        self.used[entry[entry >= 0]] = self.now
         if len(miss):
             plain = ((lanes[miss] & np.uint64(0x8080808080808080)) == 0).all(1)
             shuffled, counts, ids = self._coded(data, start[miss], size[miss], plain)
@@ -226,7 +232,7 @@ class WordEncoder:
             if before != (len(self.size), self.count - len(miss)):  # the table was made anew: entries have moved
                 return self._entries(data, start, size)
             entry[miss[shuffled]] = added
-        self.used[entry] = True
+        self.used[entry] = self.now
         return entry
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:

@@ -79,6 +79,18 @@ def test_texts_and_words_encoded_apart_stay_in_their_places(library):
     assert own.encode([b"", b" "]) == [np.array([2], "<i4").tobytes()] * 2
 
 
+def test_the_table_of_words_stays_within_bounds(monkeypatch, library):
+    monkeypatch.setattr(tokenfiles, "CACHE", 1 << 18)
+    own, often = tokenfiles.WordEncoder(VOCABULARY, 2), "often used words"
+    for k in range(4):
+        words = [f"{i:x}k" for i in range(k * 100_000, (k + 1) * 100_000)]
+        ids = own.encode([" ".join(words[a : a + 1000]).encode() for a in range(0, len(words), 1000)] + [often.encode()])
+        assert np.frombuffer(ids[-1], "<i4").tolist() == [*library.encode(often, add_special_tokens=False).ids, 2]
+        assert np.frombuffer(ids[0], "<i4").tolist() == [*library.encode(" ".join(words[:1000]), add_special_tokens=False).ids, 2]
+        assert len(own.size) == 1 << 18
+    assert np.frombuffer(own.encode([" ".join(f"{i:x}q" for i in range(300_000)).encode()])[0], "<i4")[-1] == 2
+
+
 def check(rows, got, library):
     start = 0
     want = []
