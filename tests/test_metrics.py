@@ -265,6 +265,38 @@ def test_bootstrap_query_equals_brute_force(spark, sf_dir):
         assert (got[name].ci_low, got[name].ci_high) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])), abs=1e-8)
 
 
+def test_campaign_query_draws_all_replicates(spark, sf_dir):
+    """2,000 draws of all groups, 500 of them for AUROC, of which the table had 20 and 3; against a brute-force version."""
+    from hashlib import md5
+
+    import numpy as np
+
+    from cohortlens import catalog
+
+    rows = campaigns.runs(spark, sf_dir).select("run", "group_key", "target", "probs").collect()
+    names = sorted({r.group_key for r in rows})
+    draws = np.array([[int(md5(f"{g}-{k}".encode()).hexdigest()[:4], 16) % 4 for g in names] for k in range(2000)])
+    place = {g: i for i, g in enumerate(names)}
+    accuracy, auroc = [], []
+    for run in campaigns.RUNS:
+        own = [r for r in rows if r.run == run]
+        group = np.array([place[r.group_key] for r in own])
+        target, probs = np.array([r.target for r in own]), np.array([r.probs for r in own])
+        weights = draws[:, group].astype(float)
+        accuracy.append(weights[:, probs.argmax(1) == target].sum(1) / weights.sum(1))
+        each = []
+        for c in range(3):
+            score, inverse = np.unique(probs[:, c], return_inverse=True)
+            sides = [np.array([np.bincount(inverse, w * side, len(score)) for w in weights[:500]]) for side in (target == c, target != c)]
+            whole = sides[0].sum(1) * sides[1].sum(1)
+            each.append((sides[0] * (sides[1].cumsum(1) - sides[1] / 2)).sum(1) / np.where(whole > 0, whole, np.nan))
+        auroc.append(np.mean(each, axis=0))
+    got = {r.metric: r for r in catalog.QUERIES["q38_campaign_table"](spark, sf_dir).collect()}
+    for name, values in (("accuracy", np.mean(accuracy, axis=0)), ("macro_auroc", np.mean(auroc, axis=0))):
+        known = values[np.isfinite(values)]  # a draw without a class has no macro AUROC
+        assert (got[name].ci_low, got[name].ci_high) == pytest.approx(tuple(np.quantile(known, [0.025, 0.975])), abs=1e-8)
+
+
 def test_modes_and_spread(spark):
     rows = spark.createDataFrame([("a", "r1", "x"), ("a", "r2", "x"), ("b", "r1", "x"), ("b", "r2", "y"), ("c", "r1", "x"), ("c", "r1", "z"), ("c", "r2", "x"), ("d", "r1", "x")], "set string, run string, path string")
     assert {r.set: r["mode"] for r in campaign.mode(rows).collect()} == {"a": "shared", "b": "pooled", "c": "overlapping", "d": "shared"}
