@@ -228,6 +228,43 @@ def test_aurocs_of_replicates_equal_weighted_ones(spark):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) if want[k] is not None else got[k] is None for k in want)
 
 
+def test_aurocs_of_replicates_tie_across_blocks(spark, monkeypatch):
+    """Scores that fill several blocks, and draws that come in pieces and need more than eight bits."""
+    import random
+
+    monkeypatch.setattr(bootstrap, "BLOCK", 2)
+    rnd = random.Random(5)
+    rows = [(f"r{i % 2}", f"g{rnd.randrange(9)}", rnd.randrange(3), [rnd.choice([0.1, 0.25, 0.2501, 0.5]) for _ in range(3)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "run string, group_key string, target int, probs array<double>").coalesce(1)
+    drawn = [(f"g{g}", [r], [rnd.choice([1, 2, 3, 700])]) for g in range(9) for r in range(11) if rnd.random() < 0.7]
+    packed = spark.createDataFrame(drawn, bootstrap.PACKED)
+    weights = spark.createDataFrame([(at[0], g, w[0]) for g, at, w in drawn], "replicate int, group_key string, w int").where("replicate < 9")
+    weighted = df.join(weights, "group_key").withColumn("w", F.col("w").cast("double"))
+    want = {(r.run, r.replicate): r.macro_auroc for r in metrics.macro_auroc(weighted, ("run", "replicate"), "w").collect()}
+    got = {(r.run, r.replicate): r.macro_auroc for r in bootstrap.replicate_aurocs(df, packed, 9).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) if want[k] is not None else got[k] is None for k in want)
+
+
+def test_draws_as_planes_of_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for replicates in (1, 8, 9, 500):
+        for most in (1, 3, 255, 256, 65535):
+            drawn = rng.integers(0, most + 1, (20, replicates)).astype(np.uint32)
+            drawn[::3] %= 3
+            assert (bootstrap._numbers(bootstrap._planes(drawn), replicates) == drawn).all()
+    with pytest.raises(ValueError, match="65535"):
+        bootstrap._planes(np.array([[65536]], np.uint32))
+
+
+def test_hash_draws_are_dealt_to_tasks(spark):
+    """Group keys are few bytes, for which Spark ran a single task, that drew all replicates of all groups."""
+    df = spark.createDataFrame([(f"g{i}",) for i in range(40)], "group_key string")
+    tasks = bootstrap.hash_weights(df, 10, pack=True).select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_rows_without_a_group_are_not_drawn(spark):
     df = spark.createDataFrame([("a",), (None,), ("b",)], "group_key string")
     assert {r.group_key for r in bootstrap.multinomial_weights(df, 20).collect()} == {"a", "b"}
